@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brambling.llm import bpe, chat, simhash
+from brambling.llm import bpe, chat, decontam, simhash, warc
+from brambling.llm.storage import new_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +32,39 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+    hit = decontam.words_hit(F.col("spans"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (hit > 0).alias("contaminated"),
+    )
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "warc")
+    warc.write_archive(table(spark, sf_dir, "pages"), folder, least_bytes=0)
+    return warc.capture_history(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP7_SQL = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
+), m AS (
+  SELECT *, max(page_id) OVER (PARTITION BY h) AS last_id, count(*) OVER (PARTITION BY h) AS n FROM p
+)
+SELECT page_id, payload_bytes,
+  list_aggregate(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, 1 + 5 * (k // 4)::INT, 5))::BIGINT >> (15 - 5 * (k % 4))::INT) & 31)::INT, 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = last_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = last_id THEN NULL ELSE last_id END AS refers_to
+FROM m
+"""
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render(chat.maximal_conversations(table(spark, sf_dir, "conversations")))
 
@@ -56,8 +90,8 @@ WHERE path NOT IN (SELECT path FROM p WHERE k < n_turns)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op4_simhash": op4_simhash, "op10_chat": op10_chat}
+    return {"op1_bpe": op1_bpe, "op4_simhash": op4_simhash, "op6_decontaminate": op6_decontaminate, "op7_warc": op7_warc, "op10_chat": op10_chat}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_chat": OP10_SQL}
+    return {"op7_warc": OP7_SQL, "op10_chat": OP10_SQL}
