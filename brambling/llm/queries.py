@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brambling.llm import bpe, chat, decontam, simhash, warc
+from brambling.llm import bpe, chat, decontam, exact_dedup, simhash, warc
 from brambling.llm.storage import new_folder
 
 
@@ -32,6 +32,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.digest_repeats(table(spark, sf_dir, "documents"), width=200).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
     hit = decontam.words_hit(F.col("spans"))
@@ -90,7 +94,7 @@ WHERE path NOT IN (SELECT path FROM p WHERE k < n_turns)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op4_simhash": op4_simhash, "op6_decontaminate": op6_decontaminate, "op7_warc": op7_warc, "op10_chat": op10_chat}
+    return {"op1_bpe": op1_bpe, "op4_simhash": op4_simhash, "op5_suffix_dedup": op5_suffix_dedup, "op6_decontaminate": op6_decontaminate, "op7_warc": op7_warc, "op10_chat": op10_chat}
 
 
 def oracle_sql() -> dict[str, str]:
