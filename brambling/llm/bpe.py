@@ -21,12 +21,15 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
 SCAN_LIMIT = 64
 #: Pieces and words that a worker remembers (twice as many at most), and the longest of them.
-CACHE_ENTRIES, CACHE_CHARS = 300_000, 40
+CACHE_ENTRIES, CACHE_CHARS = 100_000, 40
+#: Bytes or ids that are Python objects at once.
+PORTION = 500_000
 NEVER = 1 << 60
 
 
@@ -149,17 +152,28 @@ def load(path: str) -> WordBpe:
     return WordBpe(path)
 
 
+def portions(sizes: np.ndarray) -> Iterator[slice]:
+    """Rows of a batch in slices of about ``PORTION`` units, one row at least."""
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < len(sizes):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PORTION, "right")))
+        yield slice(at, stop)
+        at = stop
+
+
 def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, ids array<int>. ``tokenizer`` is the path of a tokenizer file that every executor has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(tokenizer)
         for batch in batches:
-            ids = [bpe.encode(t or "") for t in batch.column(1).to_pylist()]
-            offsets = np.zeros(len(ids) + 1, np.int32)
-            np.cumsum([len(x) for x in ids], out=offsets[1:])
-            values = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=[id_col, "ids"])
+            for rows in portions(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy()):
+                n = rows.stop - rows.start
+                ids = [bpe.encode(t or "") for t in batch.column(1).slice(rows.start, n).to_pylist()]
+                offsets = np.zeros(n + 1, np.int32)
+                np.cumsum([len(x) for x in ids], out=offsets[1:])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(rows.start, n), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))], names=[id_col, "ids"])
 
     kept = docs.select(id_col, text_col)
     return kept.mapInArrow(run, f"`{id_col}` {kept.schema[0].dataType.simpleString()}, ids array<int>")
@@ -172,9 +186,11 @@ def decode_ids(encoded: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_c
         bpe = load(tokenizer)
         for batch in batches:
             ids = batch.column(1)
-            flat, offsets = ids.flatten().to_pylist(), np.concatenate([[0], np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
-            texts = [bpe.decode(flat[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(texts, pa.string())], names=[id_col, "ids", "decoded"])
+            flat, offsets = ids.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
+            for rows in portions(np.diff(offsets)):
+                texts = [bpe.decode(flat[a:b].tolist()) for a, b in zip(offsets[rows], offsets[rows.start + 1 : rows.stop + 1])]
+                n = rows.stop - rows.start
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(rows.start, n), ids.slice(rows.start, n), pa.array(texts, pa.string())], names=[id_col, "ids", "decoded"])
 
     kept = encoded.select(id_col, ids_col)
     return kept.mapInArrow(run, f"`{id_col}` {kept.schema[0].dataType.simpleString()}, ids array<int>, decoded string")
