@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brambling.llm import bpe, chat, decontam, exact_dedup, simhash, warc
+from brambling.llm import bpe, chat, decontam, exact_dedup, quality, simhash, toxicity, warc
 from brambling.llm.storage import new_folder
 
 
@@ -27,6 +27,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = quality.score_documents(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, budget=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -55,6 +61,12 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.capture_history(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net, _ = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score_documents(docs, net).select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 OP7_SQL = """
 WITH p AS (
   SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
@@ -94,7 +106,7 @@ WHERE path NOT IN (SELECT path FROM p WHERE k < n_turns)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op4_simhash": op4_simhash, "op5_suffix_dedup": op5_suffix_dedup, "op6_decontaminate": op6_decontaminate, "op7_warc": op7_warc, "op10_chat": op10_chat}
+    return {"op1_bpe": op1_bpe, "op3_quality": op3_quality, "op4_simhash": op4_simhash, "op5_suffix_dedup": op5_suffix_dedup, "op6_decontaminate": op6_decontaminate, "op7_warc": op7_warc, "op9_toxicity": op9_toxicity, "op10_chat": op10_chat}
 
 
 def oracle_sql() -> dict[str, str]:
