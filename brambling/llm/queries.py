@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brambling.llm import bpe, chat, decontam, exact_dedup, quality, simhash, toxicity, warc
+from brambling.llm import bpe, chat, decontam, exact_dedup, extract, quality, simhash, toxicity, warc, weighted_sampling
 from brambling.llm.storage import new_folder
 
 
@@ -27,6 +27,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted_sampling.with_next(table(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = quality.score_documents(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -61,6 +65,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.capture_history(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     net, _ = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -106,7 +114,7 @@ WHERE path NOT IN (SELECT path FROM p WHERE k < n_turns)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op3_quality": op3_quality, "op4_simhash": op4_simhash, "op5_suffix_dedup": op5_suffix_dedup, "op6_decontaminate": op6_decontaminate, "op7_warc": op7_warc, "op9_toxicity": op9_toxicity, "op10_chat": op10_chat}
+    return {"op1_bpe": op1_bpe, "op2_weighted_sampling": op2_weighted_sampling, "op3_quality": op3_quality, "op4_simhash": op4_simhash, "op5_suffix_dedup": op5_suffix_dedup, "op6_decontaminate": op6_decontaminate, "op7_warc": op7_warc, "op8_extract": op8_extract, "op9_toxicity": op9_toxicity, "op10_chat": op10_chat}
 
 
 def oracle_sql() -> dict[str, str]:
