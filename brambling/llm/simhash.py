@@ -225,3 +225,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole = named.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = named.join(whole, "root").select("fp", "component_id")
     return marked.join(classes, "fp").select(id_col, "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, budget: int = 4) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest id (of rows that share it, one). All columns stay."""
+    found = near_duplicates(docs, id_col, text_col, shingle, budget)
+    kept = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept")).distinct()
+    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates([id_col])
