@@ -5,24 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from brambling.plans import business, logs, texts
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def usage_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
-
-
-QUERIES = {"usage_rollup": usage_rollup}
-SQL = {"usage_rollup": "SELECT event_type, count(*) AS n FROM events GROUP BY 1"}
+FAMILIES = (logs, business, texts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    return {k: f for m in FAMILIES for k, f in m.Q.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return {k: s for m in FAMILIES for k, s in m.Q.sql.items()}
