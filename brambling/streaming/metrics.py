@@ -41,7 +41,7 @@ def rate_limited(events: DataFrame, key: str, ts: str, seconds: int, most: int,
         start, used = state.get if state.exists else (-(1 << 62), 0)
         rows = pd.concat(list(batches)).sort_values("_ts")
         allowed = []
-        for at in (rows["_ts"].astype("datetime64[us, UTC]").astype("int64")).tolist():
+        for at in (rows["_ts"].astype("datetime64[us]").astype("int64")).tolist():
             if at >= start + seconds * 1_000_000:
                 start, used = at, 0
             allowed.append(used < most)
@@ -67,7 +67,7 @@ def alerts(metrics: DataFrame, rules: list[tuple[str, str, str, float, int]], ts
         (last,) = state.get if state.exists else (-(1 << 62),)
         found = pd.concat(list(batches)).sort_values("ts")
         keep = []
-        for at, pause in zip(found["ts"].astype("datetime64[us, UTC]").astype("int64").tolist(), found["pause"].tolist()):
+        for at, pause in zip(found["ts"].astype("datetime64[us]").astype("int64").tolist(), found["pause"].tolist()):
             fire = at >= last + pause * 1_000_000
             last = at if fire else last
             keep.append(fire)
