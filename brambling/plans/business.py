@@ -375,3 +375,119 @@ def findings(spark: SparkSession, d: str) -> DataFrame:
     found = scoring.rule_findings(orders(spark, d), "o_orderkey", rules).drop("findings")
     n = [F.col(f"n_{k}") for k in ("critical", "warning", "info")]
     return found.withColumn("mode", scoring.display_mode(n[0], n[1])).withColumn("score", scoring.validation_score(*n, F.lit(0)).cast("int"))
+
+
+@Q.query("""
+WITH p AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS size, p_retailprice AS price, length(p_name) % 4 AS n FROM part)
+SELECT p_partkey, CAST(least(100, greatest(0, 70 + CASE WHEN size * 1000 / price > 20 THEN 15 WHEN size * 1000 / price < 10 THEN -10 ELSE 0 END + CASE WHEN n + 1 < 3 THEN -15 ELSE 0 END - CASE WHEN n >= 1 THEN 0 ELSE 10 END)) AS DOUBLE) AS score FROM p""")
+def coverage_scores(spark: SparkSession, d: str) -> DataFrame:
+    from brambling.operators.policies import COVERAGES, coverage_score
+
+    names = F.slice(F.array(F.lit("Fire"), F.lit("Theft"), F.lit("Glass"), F.lit("Flood")), F.lit(1), F.length("p_name") % 4 + 1)
+    made = F.transform(names, lambda n: F.struct(n.alias("name"), F.lit(60_000.0).alias("limit"), F.lit(0.0).alias("deductible"), F.lit(True).alias("included"), F.lit(False).alias("is_unlimited"), F.lit(False).alias("is_market_value"))).cast(COVERAGES)
+    score = coverage_score(made, F.col("p_retailprice"), F.col("p_size") * 1000.0, F.lit(False), ["theft"])
+    return table(spark, d, "part").select("p_partkey", score.alias("score"))
+
+
+LIMITS = "(VALUES (DATE '1993-01-01', DATE '1995-06-30', 50000.0, 100.0), (DATE '1995-07-01', CAST(NULL AS DATE), 150000.0, 200.0)) AS v(valid_from, valid_to, price, key_no)"
+
+
+@Q.query("""
+WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, o_totalprice AS price, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE CAST(o_orderkey % 300 AS DOUBLE) END AS key_no FROM orders), m AS (SELECT *, CASE WHEN day >= DATE '1995-07-01' THEN 150000.0::DOUBLE ELSE 50000.0::DOUBLE END AS mp, CASE WHEN day >= DATE '1995-07-01' THEN 200.0::DOUBLE ELSE 100.0::DOUBLE END AS mk FROM o)
+SELECT o_orderkey, 'price' AS code, 'blocking' AS level, price AS value, mp AS minimum FROM m WHERE price < mp UNION ALL SELECT o_orderkey, 'key_no', CASE WHEN key_no IS NULL THEN 'warning' ELSE 'blocking' END, key_no, mk FROM m WHERE key_no IS NULL OR key_no < mk""")
+def limit_compliance(spark: SparkSession, d: str) -> DataFrame:
+    from brambling.operators.policies import limit_check
+
+    rows = orders(spark, d).select("o_orderkey", "day", F.col("o_totalprice").alias("price"), F.when(F.col("o_orderkey") % 4 != 0, (F.col("o_orderkey") % 300).cast("double")).alias("key_no"))
+    return limit_check(rows, values(spark, LIMITS), "o_orderkey", "day", ["price", "key_no"])
+
+
+@Q.query("""
+WITH c AS (SELECT l_orderkey, l_linenumber, lower(l_returnflag) AS k, l_quantity FROM lineitem), l AS (SELECT *, CASE WHEN k = 'r' THEN 'returned' WHEN k IN ('a', 'n') THEN 'kept' END AS label FROM c)
+SELECT l_orderkey, label, l_quantity, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, label ORDER BY l_quantity DESC, l_linenumber) AS n FROM l) WHERE n = 1""")
+def canonical_coverages(spark: SparkSession, d: str) -> DataFrame:
+    from brambling.operators.policies import canonical
+
+    rules = spark.createDataFrame([(1, "r", "returned"), (2, "a", "kept"), (3, "n", "kept")], "pos int, part string, label string")
+    return canonical(table(spark, d, "lineitem"), ["l_orderkey"], "l_returnflag", "l_quantity", "l_linenumber", rules).select("l_orderkey", "label", "l_quantity", "l_linenumber")
+
+
+CATEGORY_SQL = "SELECT p_partkey, 'size' AS category, p_size / 50.0 AS score FROM part UNION ALL SELECT p_partkey, 'price', p_retailprice / 2500.0 FROM part UNION ALL SELECT p_partkey, 'age', (p_partkey % 100) / 100.0 FROM part"
+
+
+def _categories(spark: SparkSession, d: str) -> DataFrame:
+    pairs = {"size": F.col("p_size") / 50.0, "price": F.col("p_retailprice") / 2500.0, "age": (F.col("p_partkey") % 100) / 100.0}
+    return table(spark, d, "part").select("p_partkey", F.explode(F.array(*[F.struct(F.lit(k).alias("category"), v.cast("double").alias("score")) for k, v in pairs.items()])).alias("c")).select("p_partkey", "c.*")
+
+
+@Q.query()
+def risk_scores(spark: SparkSession, d: str) -> DataFrame:
+    from brambling.operators.policies import risk_score
+
+    return risk_score(_categories(spark, d), "p_partkey", {"size": 0.5, "price": 0.25, "age": 0.25}).withColumn("level", numbers.risk_level("risk"))
+
+
+@Q.query(f"""
+WITH c AS ({CATEGORY_SQL}), n AS (SELECT count(DISTINCT p_partkey) AS n FROM c)
+SELECT category, count(DISTINCT p_partkey) FILTER (score >= 0.5) AS n_high FROM c GROUP BY 1 HAVING count(DISTINCT p_partkey) FILTER (score >= 0.5) >= (SELECT ceil(n / 2) FROM n)""")
+def portfolio_risks(spark: SparkSession, d: str) -> DataFrame:
+    from brambling.operators.policies import common_risks
+
+    return common_risks(_categories(spark, d), "p_partkey", 0.5).select("category", "n_high")
+
+
+TEMPLATES = [("size", 0.6, "high", 12, "easy", "split"), ("size", 0.9, "critical", 30, "hard", "rebuild"), ("price", 0.5, "medium", 10, "easy", "negotiate"), ("age", 0.5, "low", 5, "easy", "renew")]
+
+
+@Q.query(f"""
+WITH c AS ({CATEGORY_SQL}), t(category, trigger, priority, p, impact, text) AS (VALUES ('size', 0.6, 'high', 1, 12, 'split'), ('size', 0.9, 'critical', 0, 30, 'rebuild'), ('price', 0.5, 'medium', 2, 10, 'negotiate'), ('age', 0.5, 'low', 3, 5, 'renew'))
+SELECT p_partkey, text, row_number() OVER (PARTITION BY p_partkey ORDER BY p, impact DESC, text) AS position FROM c JOIN t USING (category) WHERE score >= trigger""")
+def mitigations(spark: SparkSession, d: str) -> DataFrame:
+    from brambling.operators.policies import mitigations as recommend
+
+    templates = spark.createDataFrame(TEMPLATES, "category string, trigger double, priority string, impact int, difficulty string, text string")
+    return recommend(_categories(spark, d), "p_partkey", templates).select("p_partkey", "text", F.col("position").cast("long").alias("position"))
+
+
+@Q.query("""
+WITH s AS (SELECT p_partkey, least(6, greatest(1, p_size % 9)) AS s FROM part), t(s, x) AS (VALUES (1, 0.0), (2, 0.1), (3, 0.2), (4, 0.3), (5, 0.4), (6, 0.5))
+SELECT p_partkey, s.s AS step, CAST(t.x AS DOUBLE) AS discount, CAST(u.x AS DOUBLE) AS next_discount, CAST(w.x AS DOUBLE) AS after_claim FROM s JOIN t ON t.s = s.s JOIN t u ON u.s = least(6, s.s + 1) JOIN t w ON w.s = greatest(1, s.s - 2)""")
+def ncd_steps(spark: SparkSession, d: str) -> DataFrame:
+    from brambling.operators.policies import ncd_projection
+
+    p = ncd_projection(F.col("p_size") % 9, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5])
+    return table(spark, d, "part").select("p_partkey", p.alias("p")).select("p_partkey", F.col("p.now.step").alias("step"), F.col("p.now.discount").alias("discount"), F.col("p.next_year.discount").alias("next_discount"), F.col("p.after_claim.discount").alias("after_claim"))
+
+
+@Q.query("""
+WITH e AS (SELECT l_orderkey AS k, l_returnflag AS t, CASE l_linestatus WHEN 'O' THEN 'excludes' ELSE 'limits' END AS kind FROM lineitem), n AS (SELECT k, t, count(*) AS n, max(CASE kind WHEN 'excludes' THEN 100 ELSE 50 END) AS top FROM e GROUP BY 1, 2)
+SELECT o_orderkey, flag, coalesce(n, 0) AS n_annotations, top FROM (SELECT o_orderkey, f.flag FROM orders, (VALUES ('R'), ('A')) f(flag)) c LEFT JOIN n ON n.k = o_orderkey AND n.t = flag""")
+def annotated_coverages(spark: SparkSession, d: str) -> DataFrame:
+    from brambling.operators.policies import annotated
+
+    edges = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_returnflag").alias("target"), F.when(F.col("l_linestatus") == "O", "excludes").otherwise("limits").alias("kind"), F.lit("").alias("description"))
+    rows = orders(spark, d).select("o_orderkey", F.explode(F.array(F.lit("R"), F.lit("A"))).alias("flag"))
+    out = annotated(rows, edges, "o_orderkey", "flag", {"excludes": 100, "limits": 50})
+    return out.select("o_orderkey", "flag", F.size("annotations").cast("long").alias("n_annotations"), F.get("annotations", 0)["w"].alias("top"))
+
+
+@Q.query("""
+SELECT c_custkey, o_orderkey, CAST(o_orderdate AS DATE) AS day, date_diff('day', DATE '1996-06-01', CAST(o_orderdate AS DATE)) AS days_left FROM orders JOIN customer ON o_custkey = c_custkey WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1996-06-01' AND DATE '1996-07-01' AND c_custkey % 2 = 0""")
+def expiring_policies(spark: SparkSession, d: str) -> DataFrame:
+    from brambling.operators.policies import expiring
+
+    users = table(spark, d, "customer").select("c_custkey")
+    wishes = users.select("c_custkey", (F.col("c_custkey") % 2 == 0).alias("remind"))
+    due = orders(spark, d).select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "day")
+    out = expiring(due, users, wishes, "c_custkey", "day", F.lit("1996-06-01").cast("date"), 30)
+    return out.select("c_custkey", "o_orderkey", "day", F.col("days_left").cast("long").alias("days_left"))
+
+
+@Q.query("""
+WITH d AS (SELECT o_orderkey, least(1, o_orderkey % 7 / 50.0) AS share, o_orderkey % 11 = 0 AS cond, o_orderkey % 13 <> 0 AS sure FROM orders)
+SELECT o_orderkey, CAST(CASE WHEN NOT sure THEN -1 WHEN cond THEN 80 WHEN share = 0 THEN 95 WHEN share <= 0.01 THEN 90 WHEN share <= 0.02 THEN 80 WHEN share <= 0.05 THEN 65 WHEN share <= 0.1 THEN 50 ELSE 30 END AS DOUBLE) AS score FROM d""")
+def deductible_scores(spark: SparkSession, d: str) -> DataFrame:
+    from brambling.operators.policies import deductible_score
+
+    k = F.col("o_orderkey")
+    return orders(spark, d).select("o_orderkey", deductible_score((k % 7) / 50.0, k % 11 == 0, k % 13 != 0).cast("double").alias("score"))

@@ -217,3 +217,75 @@ def version_test(spark: SparkSession, d: str) -> DataFrame:
     stats = rows.groupBy("version").agg(F.count(F.lit(1)).alias("n"), rollups.rate(F.count_if(~failed()), F.count(F.lit(1))).alias("success_rate"), half_up(F.avg(F.col("value").cast("decimal(18,4)")).cast("double"), 2).alias("mean_value"))
     best = stats.agg(ranking.winner("version", "success_rate", "version").alias("best"))
     return stats.crossJoin(F.broadcast(best)).select("version", "n", "success_rate", "mean_value", (F.col("n") >= 100).alias("meets_sample_rule"), (F.col("version") == F.col("best")).alias("is_winner"))
+
+
+@Q.query("""
+SELECT event_type, count(*) FILTER (event_id % 3 <> 0) AS hits, count(*) FILTER (event_id % 3 = 0) AS misses, count(*) FILTER (user_id % 5 = 0) AS errors, floor(count(*) FILTER (event_id % 3 <> 0) / count(*) * 100 + 0.5) / 100 AS hit_rate FROM events GROUP BY 1""")
+def cache_stats(spark: SparkSession, d: str) -> DataFrame:
+    from brambling.operators.jobs import cache_stats as stats
+
+    out = stats(events(spark, d), ["event_type"], F.col("event_id") % 3 != 0, F.col("user_id") % 5 == 0, [(0.9, 3600), (0.5, 600)])
+    return out.select("event_type", "hits", "misses", "errors", half_up(F.col("hits") / (F.col("hits") + F.col("misses")), 2).alias("hit_rate"))
+
+
+@Q.query("""
+WITH r AS (SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 500) SELECT event_type, count(*) AS n, count(*) FILTER (value > 50) AS n_ok FROM r GROUP BY 1""")
+def recent_health(spark: SparkSession, d: str) -> DataFrame:
+    from brambling.operators.jobs import recent_health as health
+
+    rows = events(spark, d).withColumn("at", F.struct("ts", "event_id"))
+    return health(rows, "at", "event_type", F.col("value") > 50, 500).select("event_type", "n", "n_ok")
+
+
+@Q.query("""
+SELECT m.kind AS event_type, count(event_id) AS n FROM (VALUES ('click'), ('view'), ('refund'), ('chargeback')) m(kind) LEFT JOIN events ON event_type = kind GROUP BY 1""")
+def zero_filled_kinds(spark: SparkSession, d: str) -> DataFrame:
+    from brambling.operators.jobs import zero_filled
+
+    return zero_filled(events(spark, d), "event_type", ["click", "view", "refund", "chargeback"])
+
+
+@Q.query("""
+SELECT user_id, event_id, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_type)) / 1000000 AS seconds FROM events QUALIFY count(*) OVER (PARTITION BY user_id, ts) = 1""")
+def stage_timings(spark: SparkSession, d: str) -> DataFrame:
+    from brambling.operators.jobs import stage_timings as timings
+
+    out = timings(events(spark, d), "user_id", "event_type", "ts")
+    same = F.count(F.lit(1)).over(ranking.Window.partitionBy("user_id", "ts"))
+    return out.withColumn("_n", same).filter("_n = 1").select("user_id", "event_id", "seconds")
+
+
+@Q.query("""
+WITH k AS (SELECT DISTINCT user_id FROM events), n AS (SELECT count(*) AS n FROM k) SELECT event_type, count(DISTINCT user_id) AS n, floor(100.0 * count(DISTINCT user_id) / (SELECT n FROM n) * 10 + 0.5) / 10 AS percent FROM events GROUP BY 1""")
+def reach(spark: SparkSession, d: str) -> DataFrame:
+    from brambling.operators.jobs import translation_coverage
+
+    rows = events(spark, d)
+    total = rows.agg(F.count_distinct("user_id").alias("t"))
+    return translation_coverage(rows, rows, "user_id", "event_type").drop("percent").crossJoin(F.broadcast(total)).select("event_type", "n", half_up(100.0 * F.col("n") / F.col("t"), 1).alias("percent"))
+
+
+@Q.query("""
+SELECT count(value) AS n, floor((quantile_cont(value, 0.9) - 90) * 1000 + 0.5) / 1000 AS a, floor((quantile_cont(value, 0.5) - 50) * 1000 + 0.5) / 1000 AS c FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY""")
+def calibration_drift(spark: SparkSession, d: str) -> DataFrame:
+    from brambling.functions.numbers import percentiles
+
+    rows = events(spark, d)
+    latest = rows.agg(F.max("ts").alias("m")).first()["m"]
+    p = retained(rows, "ts", F.lit(latest), 7).agg(F.count("value").alias("n"), percentiles("value", 0.9, 0.5).alias("p"))
+    return p.select("n", half_up(F.col("p")[0] - 90, 3).alias("a"), half_up(F.col("p")[1] - 50, 3).alias("c"))
+
+
+@Q.query("""SELECT event_type AS pattern, count(*) AS occurrences, floor(least(1.0, 0.5 + 0.05 * count(*)) * 1000 + 0.5) / 1000 AS confidence FROM events GROUP BY 1""")
+def learned_patterns(spark: SparkSession, d: str) -> DataFrame:
+    from brambling.streaming.metrics import learned_patterns as learn
+
+    rows = events(spark, d).select(F.col("event_type").alias("pattern"), F.lit("event").alias("kind"), F.col("props").alias("example"), F.col("user_id").cast("string").alias("source"))
+    return learn(rows, "pattern", "kind", "example", "source").select("pattern", "occurrences", half_up("confidence", 3).alias("confidence"))
+
+
+@Q.query("""SELECT CAST(time_bucket(INTERVAL 1 MINUTE, ts) AS TIMESTAMP) AS "start", event_type, count(*) AS n, max(value) AS high FROM events GROUP BY 1, 2""")
+def minute_metrics(spark: SparkSession, d: str) -> DataFrame:
+    from brambling.streaming.metrics import minute_metrics as minutes
+
+    return minutes(events(spark, d), "ts", ["event_type"], "value", failed()).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", "high")

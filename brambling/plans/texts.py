@@ -154,3 +154,54 @@ SELECT o_orderkey, d[1] <> 0 AND ((((d[1] + d[3] + d[5] + d[7] + d[9]) * 7 - (d[
 def id_checks(spark: SparkSession, d: str) -> DataFrame:
     number = F.lpad(((F.col("o_orderkey") * 7919 + 13) % 100_000_000_000).cast("string"), 11, "1")
     return table(spark, d, "orders").select("o_orderkey", checks.national_id(number).alias("valid_id"))
+
+
+@Q.query()
+def extracted_fields(spark: SparkSession, d: str) -> DataFrame:
+    from brambling.operators.extraction import fields
+
+    patterns = {"mail": (r"([\w.+-]+@[\w-]+\.[\w.-]+)", None, 0.9), "iban": (r"([A-Z]{2}[0-9]{22,26})", "iban", 0.8), "phone": (r"(\+?[0-9][0-9 ()-]{8,}[0-9])", None, 0.7)}
+    return fields(docs(spark, d), "doc_id", "text", patterns)
+
+
+@Q.query("""
+WITH t(pos, label, term, weight) AS (VALUES (1, 'legal', 'license', 2.0), (2, 'legal', 'copyright', 1.0), (3, 'contact', '@', 2.0), (4, 'table', '|', 0.5)), h AS (SELECT doc_id, label, sum(weight) AS s, min(pos) AS p FROM documents, t WHERE contains(lower(text), term) GROUP BY 1, 2), b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, p) AS k FROM h)
+SELECT d.doc_id, b.label, CAST(coalesce(b.s, 0) AS DOUBLE) AS score FROM documents d LEFT JOIN b ON b.doc_id = d.doc_id AND k = 1""")
+def classified(spark: SparkSession, d: str) -> DataFrame:
+    from brambling.operators.extraction import classified as classify
+
+    terms = spark.createDataFrame([(1, "legal", "license", 2.0), (2, "legal", "copyright", 1.0), (3, "contact", "@", 2.0), (4, "table", "|", 0.5)], "pos int, label string, term string, weight double")
+    return classify(docs(spark, d), "doc_id", "text", terms)
+
+
+@Q.query("""SELECT doc_id, regexp_replace(regexp_replace(text, '[ \\t]+', ' ', 'g'), '!+', '!', 'g') AS clean, list_filter([CASE WHEN regexp_matches(text, '[ \\t]{2,}|\\t') THEN 'blanks' END, CASE WHEN regexp_matches(text, '!!') THEN 'marks' END], lambda x: x IS NOT NULL)::VARCHAR AS applied FROM documents""")
+def normalised(spark: SparkSession, d: str) -> DataFrame:
+    from brambling.operators.extraction import normalised as normalise
+
+    n = normalise("text", [("blanks", r"[ \t]+", " "), ("marks", "!+", "!")])
+    return docs(spark, d).select("doc_id", n.alias("n")).select("doc_id", F.col("n.text").alias("clean"), F.concat(F.lit("["), F.array_join("n.applied", ", "), F.lit("]")).alias("applied"))
+
+
+@Q.query()
+def table_lines(spark: SparkSession, d: str) -> DataFrame:
+    from brambling.operators.extraction import table_rows
+
+    return table_rows(docs(spark, d), "doc_id", "text")
+
+
+@Q.query("""
+WITH s AS (SELECT conv_id, count(*) AS n, string_agg(role, '>' ORDER BY turn, role) AS path FROM conversations GROUP BY 1) SELECT conv_id, n, path FROM s""")
+def conversation_paths(spark: SparkSession, d: str) -> DataFrame:
+    from brambling.operators.jobs import stage_logs
+
+    c = table(spark, d, "conversations")
+    listed = c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("t"))
+    return listed.select("conv_id", "n", F.array_join(F.transform("t", lambda x: x["role"]), ">").alias("path")).join(stage_logs(c, "conv_id", "role", "turn").select("conv_id"), "conv_id")
+
+
+@Q.query()
+def admissions(spark: SparkSession, d: str) -> DataFrame:
+    from brambling.operators.extraction import admission
+
+    a = admission(F.col("text"), F.col("source"), F.col("doc_id").cast("string"), F.lit(1))
+    return docs(spark, d).select("doc_id", a.alias("a")).select("doc_id", "a.decision", "a.reasons")
