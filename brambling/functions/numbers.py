@@ -80,7 +80,7 @@ def parse_date(c: Column | str, pivot: int = 50) -> Column:
 def all_dates(c: Column | str) -> Column:
     """All dates in a text as sorted distinct dates."""
     found = F.regexp_extract_all(col(c), F.lit(r"(?<!\d)(\d{1,2}[./]\d{1,2}[./]\d{4}|\d{4}-\d{1,2}-\d{1,2})(?!\d)"), F.lit(1))
-    return F.array_sort(F.array_distinct(F.array_compact(F.transform(found, parse_date))))
+    return F.array_sort(F.array_distinct(F.array_compact(F.transform(found, lambda x: parse_date(x)))))
 
 
 def expiry_status(expiry: Column | str, today: Column, soon: int = 30) -> Column:

@@ -49,7 +49,7 @@ def table_rows(docs: DataFrame, key: str, text: str, separator: str = r"\|") ->
     from brambling.functions.numbers import parse_amount
 
     lines = docs.select(key, F.posexplode(F.split(F.col(text), "\n")).alias("row", "line")).filter(F.col("line").rlike(rf"{separator}.*\d"))
-    cells = lines.select(key, "row", F.filter(F.transform(F.split("line", separator), F.trim), lambda x: x != "").alias("cells")).filter(F.size("cells") >= 2)
+    cells = lines.select(key, "row", F.filter(F.transform(F.split("line", separator), lambda x: F.trim(x)), lambda x: x != "").alias("cells")).filter(F.size("cells") >= 2)
     return cells.select(key, "row", F.col("cells")[0].alias("name"), parse_amount(F.element_at("cells", -1)).alias("amount"))
 
 
