@@ -9,8 +9,10 @@ windows of one group (spans of about ``1.4 * width`` bytes) are the units:
 3. What is left are spans that stand alone in a group with other spans (the edges of repeated passages) or that hold
    the piece which names the group twice (periodic text). Groups are dealt over the tasks, each task sorts the suffixes of its spans by external induced sorting (``suffix_sort``), and
    neighbours that share ``width`` bytes are repeats.
-4. A group of more than ``GROUP`` different spans is salted: each part is sorted alone and hands on one row per
-   different window, and equal windows of several parts meet by their hash.
+4. A group of more than ``GROUP`` different spans is salted. Its windows are first tried in blocks: those that hold the
+   group's piece at one of ``BLOCK`` neighbouring offsets share a core, and a core that is nowhere else settles the
+   block. What is left is sorted part by part; a part hands on one row per different window that its blocks still
+   leave open, and equal windows of several parts meet by their hash.
 
 Hashes of spans and windows have 128 bits. Nothing is capped; a text of any length is worked on in segments.
 
@@ -36,6 +38,8 @@ from brambling.llm.suffix_sort import Shard
 GRAM = 32
 #: Windows of a span, bytes of text that a task hashes at once, spans of a group that are sorted together, bytes that a task sorts at once.
 RUN, SEGMENT, GROUP, SHARD = 1024, 1 << 21, 2_000, 3_000_000
+#: Neighbouring offsets whose windows are settled together.
+BLOCK = 16
 
 
 def _gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -143,48 +147,82 @@ def _hash_spans(texts: DataFrame, width: int) -> DataFrame:
     return texts.select("k1", "k2", "bytes", "copies").mapInArrow(run, "h long, c long, k1 long, k2 long, at long")
 
 
+def _blocks(piece: bytes, h: int, windows: int) -> np.ndarray:
+    """The block of each window of a span: where its core starts, and which offsets it stands for, in one number."""
+    place = np.nonzero(_gram_hashes(np.frombuffer(piece, np.uint8)).view(np.int64) == h)[0]
+    start = np.arange(windows)
+    first = place[np.searchsorted(place, start)]
+    block = (first - start) // BLOCK
+    return (first - block * BLOCK) * 256 + block
+
+
+def _cores(pieces: DataFrame, width: int) -> DataFrame:
+    """k1, k2, at, block, w1, w2, m: a hash of the core of each block of each span."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for h, k1, k2, at, m, piece in zip(*(c.to_pylist() for c in batch.columns)):
+                for b in np.unique(_blocks(piece, h, at >> 1 & 2047)).tolist():
+                    digest = xxhash.xxh3_128_digest(piece[b >> 8 : (b >> 8) + width - BLOCK + 1] + bytes([b & 255]))
+                    out.append((k1, k2, at, b, *_halves(digest), min(m, 2)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 7)], names=["k1", "k2", "at", "block", "w1", "w2", "m"])
+
+    return pieces.select("h", "k1", "k2", "at", "m", "piece").mapInArrow(run, "k1 long, k2 long, at long, block long, w1 long, w2 long, m long")
+
+
+def _halves(digest: bytes) -> tuple[int, int]:
+    return int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
+
+
+def _open_blocks(pieces: DataFrame, width: int) -> DataFrame:
+    """k1, k2, at, blocks: per span the blocks whose core occurs elsewhere too."""
+    cores = written(_cores(pieces, width), "cores")
+    again = cores.groupBy("w1", "w2").agg(F.sum("m").alias("n")).filter("n > 1").select("w1", "w2")
+    return cores.join(again, ["w1", "w2"], "left_semi").groupBy("k1", "k2", "at").agg(F.collect_set("block").alias("blocks"))
+
+
 def _sort_shards(pieces: DataFrame, width: int) -> DataFrame:
-    """kind 0: settled spans (k1, k2, at). kind 1: windows of salted groups (w1, w2), with a place if they are single here."""
+    """kind 0: settled spans (k1, k2, at). kind 1: open windows of salted groups (w1, w2), with a place if they are single here; kind 2 without."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list] = []
+        held: list[tuple] = []
         size = 0
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if size >= SHARD and row[:2] != tuple(held[-1][:2]):
+                if size >= SHARD and row[:2] != held[-1][:2]:
                     yield sort(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[7])
+                size += len(row[6])
         if held:
             yield sort(held)
 
-    def sort(rows: list) -> pa.RecordBatch:
-        """rows: h, salt, salted, k1, k2, at, m, piece. Whole groups."""
-        shard = Shard([r[7] for r in rows], width)
+    def sort(rows: list[tuple]) -> pa.RecordBatch:
+        """rows: h, salt, k1, k2, at, m, piece, blocks (null if the group is whole). Whole groups or parts."""
+        shard = Shard([r[6] for r in rows], width)
         twice = shard.duplicated()
         out: list[tuple] = []
         seen: set[bytes] = set()
-        for (h, _, salted, k1, k2, at, m, piece), first in zip(rows, shard.first.tolist()):
+        for (h, _, k1, k2, at, m, piece, blocks), first in zip(rows, shard.first.tolist()):
             start, n = at >> 13, at >> 1 & 2047
             flags = twice[first : first + n]
             if m < 2:
                 edge = np.flatnonzero(np.diff(np.concatenate([[False], flags, [False]])))
                 out += [(0, k1, k2, pack(start + int(a), int(b - a)), None, None) for a, b in zip(edge[::2], edge[1::2])]
-            if salted:
-                for j, f in enumerate(flags.tolist()):
+            if blocks is not None:
+                for j in np.nonzero(np.isin(_blocks(piece, h, n), blocks))[0].tolist():
                     digest = xxhash.xxh3_128_digest(piece[j : j + width])
-                    many = f or m > 1
+                    many = flags[j] or m > 1
                     if many and digest in seen:
                         continue
                     seen.add(digest)
-                    w = (int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True))
-                    out.append((2, None, None, None, *w) if many else (1, k1, k2, pack(start + j, 1), *w))
+                    out.append((2, None, None, None, *_halves(digest)) if many else (1, k1, k2, pack(start + j, 1), *_halves(digest)))
         kinds = [pa.int32()] + [pa.int64()] * 5
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [[]] * 6, kinds)], names=["kind", "k1", "k2", "at", "w1", "w2"])
 
     ordered = pieces.repartition("h", "salt").sortWithinPartitions("h", "salt")
-    return ordered.select("h", "salt", "salted", "k1", "k2", "at", "m", "piece").mapInArrow(run, "kind int, k1 long, k2 long, at long, w1 long, w2 long")
+    return ordered.select("h", "salt", "k1", "k2", "at", "m", "piece", "blocks").mapInArrow(run, "kind int, k1 long, k2 long, at long, w1 long, w2 long")
 
 
 def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
@@ -212,8 +250,11 @@ def kept_texts(docs: DataFrame, text_col: str = "text", width: int = 200) -> Dat
     edges = contents.join(unsettled.select("h", "g"), "h").select("h", F.pmod("c", parts).alias("salt"), (parts > 1).alias("salted"), "k1", "k2", "at", "m")
     pieces = edges.join(texts.select("k1", "k2", "bytes"), ["k1", "k2"]).withColumn(
         "piece", F.substr("bytes", (_start(F.col("at")) + 1).cast("int"), (_windows(F.col("at")) + (width - 1)).cast("int"))
-    )
-    found = written(_sort_shards(pieces, width), "shards")
+    ).drop("bytes")
+    salted = written(pieces.filter("salted"), "salted")
+    left = salted.join(_open_blocks(salted, width), ["k1", "k2", "at"])
+    sorted_ = _sort_shards(pieces.filter("not salted").withColumn("blocks", F.lit(None).cast("array<long>")).unionByName(left), width)
+    found = written(sorted_, "shards")
     windows = found.filter("kind > 0").groupBy("w1", "w2").agg(F.sum("kind").alias("m"), F.collect_list(F.when(F.col("kind") == 1, F.struct("k1", "k2", "at"))).alias("places"))
     apart = windows.filter("m > 1").select(F.explode("places").alias("p")).select("p.*")
 
