@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brambling.plans import business, logs, texts
+from brambling.plans import business, logs, markets, texts
 
-FAMILIES = (logs, business, texts)
+FAMILIES = (logs, business, markets, texts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
