@@ -304,10 +304,12 @@ def digest_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def remove_repeats(docs: DataFrame, text_col: str = "text", width: int = 200) -> DataFrame:
     """``docs`` with the repeats taken out of the text; all columns stay. A code point that a cut splits goes whole."""
-    whole = kept_texts(docs, text_col, width).select("k1", "k2", F.size("spans").alias("n"), F.col("kept").alias("kept_bytes")).filter("n > 0")
-    joined = _keyed(docs, text_col).select("row", "k1", "k2").join(whole, ["k1", "k2"], "left")
-    text = F.when(F.col("kept_bytes").isNotNull(), _valid(F.col("kept_bytes"))).otherwise(F.col("row")[text_col])
-    return joined.select(*[(text if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns])
+    kept = kept_texts(docs, text_col, width).select("k1", "k2", F.when(F.size("spans") > 0, _valid(F.col("kept"))).otherwise(F.col("kept").cast("string")).alias("kept_text"))
+    others = [F.col("row")[c].alias(c) for c in docs.columns if c != text_col]
+    # The texts themselves come from the kept ones only, so no row is shuffled with its old text.
+    rows = _keyed(docs, text_col).select(F.struct(*others).alias("others") if others else F.lit(0).alias("others"), F.col("row")[text_col].isNull().alias("none"), "k1", "k2").join(kept, ["k1", "k2"])
+    text = F.when(~F.col("none"), F.col("kept_text")).cast(docs.schema[text_col].dataType)
+    return rows.select(*[(text if c == text_col else F.col("others")[c]).alias(c) for c in docs.columns])
 
 
 def _valid(data: Column) -> Column:
