@@ -139,3 +139,47 @@ WITH f AS (SELECT o_custkey, o_orderstatus AS v, o_totalprice AS c FROM orders)
 SELECT o_custkey, count(DISTINCT v) = 1 AS agreed, max_by(v, c) AS value, count(*) AS n FROM f GROUP BY 1""")
 def provider_consensus(spark: SparkSession, d: str) -> DataFrame:
     return rollups.consensus(table(spark, d, "orders"), ["o_custkey"], F.col("o_orderstatus"), "o_totalprice")
+
+
+def _covered(spark: SparkSession, d: str) -> DataFrame:
+    from brambling.operators.policies import COVERAGES
+
+    line = F.struct(F.col("l_returnflag").alias("name"), F.when(F.col("l_linestatus") == "O", F.lit(0.0)).otherwise(F.col("l_extendedprice")).alias("limit"), F.lit(0.0).alias("deductible"), (F.col("l_quantity") > 10).alias("included"), (F.col("l_linestatus") == "O").alias("is_unlimited"), F.lit(False).alias("is_market_value"))
+    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(line).cast(COVERAGES).alias("coverages")).withColumn("kind", F.when(F.col("l_orderkey") % 2 == 0, "home").otherwise("auto"))
+
+
+@Q.query("""
+WITH s(kind, scenario, needs) AS (VALUES ('home', 'fire', 'R'), ('home', 'flood', 'A'), ('auto', 'theft', 'N')), p AS (SELECT DISTINCT l_orderkey, CASE WHEN l_orderkey % 2 = 0 THEN 'home' ELSE 'auto' END AS kind FROM lineitem),
+f AS (SELECT p.l_orderkey, scenario, count(i.l_orderkey) AS n, bool_or(i.l_linestatus = 'O') AS u, max(CASE WHEN i.l_linestatus = 'O' THEN 0 ELSE i.l_extendedprice END) AS m FROM p JOIN s USING (kind) LEFT JOIN lineitem i ON i.l_orderkey = p.l_orderkey AND i.l_returnflag = s.needs AND i.l_quantity > 10 GROUP BY 1, 2)
+SELECT l_orderkey, scenario, CASE WHEN n = 0 THEN 'open' WHEN u THEN 'covered' ELSE 'limited' END AS status, CASE WHEN n > 0 AND NOT u THEN m END AS insurer_pays FROM f""")
+def scenario_cards(spark: SparkSession, d: str) -> DataFrame:
+    from brambling.operators.reports import scenario_cards as cards
+
+    scenarios = spark.createDataFrame([("home", "fire", "R"), ("home", "flood", "A"), ("auto", "theft", "N")], "kind string, scenario string, needs string")
+    return cards(_covered(spark, d), "l_orderkey", "kind", "coverages", scenarios)
+
+
+@Q.query("""
+SELECT l_orderkey, l_returnflag AS name, CASE WHEN l_linestatus <> 'O' AND l_extendedprice > 0 THEN format('{:,.2f} TRY', l_extendedprice) WHEN l_linestatus = 'O' THEN 'Unlimited' WHEN l_quantity > 10 THEN 'Included' ELSE 'Not specified' END AS "limit", l_quantity > 10 AS included FROM lineitem""")
+def reviewer_rows(spark: SparkSession, d: str) -> DataFrame:
+    from brambling.operators.reports import reviewer_rows as shown
+
+    return shown(_covered(spark, d), "l_orderkey", "coverages").select("l_orderkey", "name", "limit", "included")
+
+
+@Q.query("""
+SELECT o_orderkey, 'large' AS rule, 'caution' AS kind, 'medium' AS severity FROM orders WHERE o_totalprice > 300000 UNION ALL SELECT o_orderkey, 'open_urgent', 'gap', 'high' FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority = '1-URGENT'""")
+def insights(spark: SparkSession, d: str) -> DataFrame:
+    from brambling.operators.reports import insights as found
+
+    rules = {"large": ("caution", "medium", F.col("o_totalprice") > 300_000), "open_urgent": ("gap", "high", (F.col("o_orderstatus") == "O") & (F.col("o_orderpriority") == "1-URGENT"))}
+    return found(table(spark, d, "orders"), "o_orderkey", rules)
+
+
+@Q.query("""
+WITH s AS (SELECT user_id, event_type, max_by(value > 40, event_id) AS passed, max(event_id) AS at_ FROM events GROUP BY 1, 2), p AS (SELECT *, CASE WHEN passed THEN CASE event_type WHEN 'signup' THEN 1 WHEN 'view' THEN 2 WHEN 'purchase' THEN 3 END END AS p FROM s)
+SELECT user_id, CASE max(p) WHEN 1 THEN 'signup' WHEN 2 THEN 'view' WHEN 3 THEN 'purchase' END AS stage, CASE WHEN max(p) = 3 THEN 'done' WHEN NOT max_by(passed, at_) THEN 'failed' ELSE 'running' END AS state FROM p GROUP BY 1""")
+def workflow_states(spark: SparkSession, d: str) -> DataFrame:
+    from brambling.operators.reports import workflow_states as states
+
+    return states(table(spark, d, "events"), "user_id", "event_type", F.col("value") > 40, "event_id", ["signup", "view", "purchase"])
