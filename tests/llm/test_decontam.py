@@ -21,7 +21,7 @@ def brute(docs, items, window):
         w, hit, who = words(t), set(), set()
         for s in range(len(w)):
             for n in {len(x) for x in wins}:
-                if tuple(w[s : s + n]) in wins:
+                if s + n <= len(w) and tuple(w[s : s + n]) in wins:
                     hit.update(range(s, s + n))
                     who |= wins[tuple(w[s : s + n])]
         out.append((d, len(w), len(hit), sorted(str(x) for x in who if x is not None)))
