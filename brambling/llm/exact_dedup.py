@@ -251,7 +251,8 @@ def kept_texts(docs: DataFrame, text_col: str = "text", width: int = 200) -> Dat
     pieces = edges.join(texts.select("k1", "k2", "bytes"), ["k1", "k2"]).withColumn(
         "piece", F.substr("bytes", (_start(F.col("at")) + 1).cast("int"), (_windows(F.col("at")) + (width - 1)).cast("int"))
     ).drop("bytes")
-    salted = written(pieces.filter("salted"), "salted")
+    pieces = written(pieces, "pieces")
+    salted = pieces.filter("salted")
     left = salted.join(_open_blocks(salted, width), ["k1", "k2", "at"])
     sorted_ = _sort_shards(pieces.filter("not salted").withColumn("blocks", F.lit(None).cast("array<long>")).unionByName(left), width)
     found = written(sorted_, "shards")
