@@ -25,6 +25,8 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
+from brambling.llm.storage import bounded_batches
+
 SCAN_LIMIT = 64
 #: Pieces and words that a worker remembers (twice as many at most), and the longest of them.
 CACHE_ENTRIES, CACHE_CHARS = 100_000, 40
@@ -175,7 +177,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
                 np.cumsum([len(x) for x in ids], out=offsets[1:])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(rows.start, n), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))], names=[id_col, "ids"])
 
-    kept = docs.select(id_col, text_col)
+    kept = bounded_batches(docs.select(id_col, text_col))
     return kept.mapInArrow(run, f"`{id_col}` {kept.schema[0].dataType.simpleString()}, ids array<int>")
 
 
@@ -192,5 +194,5 @@ def decode_ids(encoded: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_c
                 n = rows.stop - rows.start
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(rows.start, n), ids.slice(rows.start, n), pa.array(texts, pa.string())], names=[id_col, "ids", "decoded"])
 
-    kept = encoded.select(id_col, ids_col)
+    kept = bounded_batches(encoded.select(id_col, ids_col))
     return kept.mapInArrow(run, f"`{id_col}` {kept.schema[0].dataType.simpleString()}, ids array<int>, decoded string")

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brambling.llm.storage import bounded_batches
+
 BLOCK_CHARS = 8_000_000
 #: Lower-cases A-Z and turns every other ASCII character than digits and letters into a space.
 FOLD = bytes(ord(chr(b).lower()) if chr(b).isalnum() else 32 for b in range(128)) + bytes(range(128, 256))
@@ -142,6 +144,7 @@ SPANS = "array<struct<start: int, end: int>>"
 
 def find_matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10) -> DataFrame:
     """id_col, n_words long, spans (half-open, in words, merged), items array<string>: items with an occurring window."""
+    bounded_batches(docs)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col), F.encode(text_col, "UTF-8").alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast(SPANS).alias("spans"), F.array().cast("array<string>").alias("items"))
     for block in _blocks(items, item_id, item_text):
@@ -180,6 +183,7 @@ def words_hit(spans: Column) -> Column:
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10) -> DataFrame:
     """``docs`` without the rows in which a window of an item occurs; all columns stay."""
+    bounded_batches(docs)
     place = docs.columns.index(text_col)
 
     def filtered(tests: TestSuffixes):

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brambling.llm.storage import new_folder, written
+from brambling.llm.storage import bounded_batches, new_folder, written
 from brambling.llm.suffix_sort import Shard
 
 GRAM = 32
@@ -233,7 +233,7 @@ def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
 
 def kept_texts(docs: DataFrame, text_col: str = "text", width: int = 200) -> DataFrame:
     """k1, k2, n_bytes, spans (removed, half-open), kept binary: one row per different text."""
-    spark = docs.sparkSession
+    spark = bounded_batches(docs).sparkSession
     name = f"brambling_texts_{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     distinct = _keyed(docs, text_col).groupBy("k1", "k2").agg(F.first("bytes").alias("bytes"), F.count(F.lit(1)).alias("copies"))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brambling.llm.storage import written
+from brambling.llm.storage import bounded_batches, written
 
 PART, LEAST_PAGES = 1_000, 3
 # Elements of HTML.
@@ -285,7 +285,7 @@ def page_expressions(pages: DataFrame, url_col: str = "url", html_col: str = "ht
                 kind = pa.list_(pa.struct([("path", pa.string()), ("h", pa.int64()), ("chars", pa.int64()), ("linked", pa.int64())]))
                 yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(made, pa.string()), pa.array(held, kind)], names=["host", "expression", "slots"])
 
-    return pages.select(url_col, html_col).mapInArrow(run, f"host string, expression string, slots {SLOTS}")
+    return bounded_batches(pages.select(url_col, html_col)).mapInArrow(run, f"host string, expression string, slots {SLOTS}")
 
 
 def _merged_by(rows: DataFrame, *keys: str) -> DataFrame:

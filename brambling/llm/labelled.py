@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brambling.llm.bpe import portions
+from brambling.llm.storage import bounded_batches
 
 FOLDS = 5
 
@@ -38,7 +39,7 @@ def scored(docs: DataFrame, score: Callable[[list[bytes]], np.ndarray], id_col:
     """All columns of ``docs`` in a struct ``row`` without the text, and its score."""
     others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
     data = F.coalesce(F.encode(F.col(f"`{text_col}`").cast("string"), "UTF-8"), F.lit(b""))
-    rows = docs.select(F.struct(*others).alias("row"), data.alias("data"))
+    rows = bounded_batches(docs).select(F.struct(*others).alias("row"), data.alias("data"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

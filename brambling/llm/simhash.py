@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brambling.llm.storage import written
+from brambling.llm.storage import bounded_batches, written
 
 SEED = 42
 #: Fingerprints of one subtree that a task walks at once, node pairs that it holds, and links before it folds them.
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = np.array([fingerprint(t or b"", shingle) for t in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=[id_col, "fp"])
 
-    kept = docs.select(id_col, F.encode(text_col, "UTF-8").alias("text"))
+    kept = bounded_batches(docs.select(id_col, F.encode(text_col, "UTF-8").alias("text")))
     return kept.mapInArrow(run, f"`{id_col}` {kept.schema[0].dataType.simpleString()}, fp long")
 
 

@@ -8,6 +8,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+ARROW_BYTES, ARROW_BYTES_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, with Arrow batches of whole texts bounded to a few MB, unless the session sets a size of its own."""
+    conf = df.sparkSession.conf
+    if str(conf.get(ARROW_BYTES, None)).rstrip("b") in ("None", str(ARROW_BYTES_DEFAULT)):
+        conf.set(ARROW_BYTES, str(BATCH_BYTES))
+    return df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The checkpoint folder of the session. Only where none is set (tests, one machine) a temporary one is made."""
     sc = spark.sparkContext
