@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brambling.llm import labelled
+from brambling.llm.storage import bounded_batches
 
 SAMPLES, SHINGLE = 128, 5
 ROWS = 2_000
@@ -163,7 +164,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = [hexadecimal(fingerprint((t.as_py() or "").encode(), shingle)) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], names=[id_col, "fingerprint"])
 
-    kept = docs.select(id_col, text_col)
+    kept = bounded_batches(docs.select(id_col, text_col))
     return kept.mapInArrow(run, f"`{id_col}` {kept.schema[0].dataType.simpleString()}, fingerprint string")
 
 
@@ -199,12 +200,13 @@ def in_ranges(rows: DataFrame, size: Column, per_range: int) -> DataFrame:
     # One row per range.
     tops = [r[:2] + tuple(r[2]) for r in numbered.groupBy("_b", "_s").agg(F.max(F.struct(F.coalesce("id", F.lit(-(1 << 63))).alias("i"), "h", "id"))).collect()]
     tops.sort(key=lambda r: (r[0], r[1]), reverse=True)
-    again = [(i, h, *tops[k - 1][:2]) for k, (_, _, _, h, i) in enumerate(tops)]
-    own = numbered.withColumn("extra", F.lit(0))
-    copies = spark.createDataFrame(again, "i long, j long, b int, s int")
-    more = numbered.join(F.broadcast(copies), F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("j"))).withColumns({"_b": F.col("b"), "_s": F.col("s"), "extra": F.lit(1)}).select(own.columns)
-    both = own.unionByName(more)
-    return both.withColumn("deal", F.struct("_b", "_s")).drop("_b", "_s").repartition(max(1, len(tops)), "deal").sortWithinPartitions("deal", "extra", F.col("id").desc_nulls_last(), F.col("h").desc())
+    # Each row of these two tables stands for one range, so both are small; n bounds them.
+    numbers = spark.createDataFrame([(b, s, k) for k, (b, s, *_) in enumerate(tops)], "_b int, _s int, deal int")
+    again = spark.createDataFrame([(i, h, (k - 1) % len(tops)) for k, (_, _, _, h, i) in enumerate(tops)], "i long, j long, deal int")
+    own = numbered.join(F.broadcast(numbers), ["_b", "_s"]).drop("_b", "_s").withColumn("extra", F.lit(0))
+    more = rows.join(F.broadcast(again), F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("j"))).withColumn("extra", F.lit(1)).select(own.columns)
+    dealt = own.unionByName(more).repartitionById(max(1, len(tops)), F.col("deal"))
+    return dealt.sortWithinPartitions("deal", "extra", F.col("id").desc_nulls_last(), F.col("h").desc())
 
 
 def edited(text: str, other: str) -> str:
@@ -216,7 +218,7 @@ def edited(text: str, other: str) -> str:
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_chars, edited_sha256, both fingerprints and their likeness, and that to the next document by descending id."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    rows = bounded_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
     dealt = in_ranges(rows, F.octet_length("text"), RANGE).select("deal", "extra", "id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
