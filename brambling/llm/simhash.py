@@ -215,20 +215,31 @@ def components(links: DataFrame) -> DataFrame:
         mark = tuple(now)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, budget: int = 4) -> DataFrame:
-    """id_col, fp long, component_id: the smallest id that links of ``budget`` bits or fewer reach."""
-    marked = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+def _classes(marked: DataFrame, id_col: str, budget: int) -> DataFrame:
+    """fp, least, root long: per fingerprint the least id and the component."""
     distinct = marked.groupBy("fp").agg(F.min(id_col).alias("least"))
     roots = components(near_links(distinct.select("fp"), budget))
     named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = written(named, "classes")
+    return written(named, "classes")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, budget: int = 4) -> DataFrame:
+    """id_col, fp long, component_id: the smallest id that links of ``budget`` bits or fewer reach."""
+    marked = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    named = _classes(marked, id_col, budget)
     whole = named.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = named.join(whole, "root").select("fp", "component_id")
     return marked.join(classes, "fp").select(id_col, "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, budget: int = 4) -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest id (of rows that share it, one). All columns stay."""
-    found = near_duplicates(docs, id_col, text_col, shingle, budget)
-    kept = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates([id_col])
+    """``docs`` with one row of each component: that of the smallest id (null last), of rows that share it the least text hash.
+
+    Rows are told apart by a number of their own, so ids may be null or repeated: a row goes only for another one of
+    its component. All columns stay.
+    """
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    order = F.struct(F.col(id_col).isNull().alias("absent"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col("_row").alias("row"))
+    marked = written(fingerprints(rows.select(order.alias("_order"), text_col), "_order", text_col, shingle), "fingerprints")
+    kept = _classes(marked, "_order", budget).groupBy("root").agg(F.min("least").alias("first")).select(F.col("first.row").alias("_row"))
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)

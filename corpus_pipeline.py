@@ -1,7 +1,8 @@
 """A training corpus from ``documents``: toxic rows, near duplicates, repeated passages and benchmark leaks go, the rest is encoded.
 
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; ``run`` writes each result as Parquet
-into the shared folder and reads it again. Null texts count as empty and pass; rows with a null id pass too.
+into the shared folder and reads it again. Null texts count as empty; rows with a null or repeated id pass like any other
+(a near copy goes only for another row of its group, which has the smaller id; null is the largest).
 """
 
 from __future__ import annotations

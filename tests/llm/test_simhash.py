@@ -62,3 +62,17 @@ def test_documents(spark):
     out = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, fp int")).collect()
     assert sorted((r.doc_id, r.component_id) for r in out) == [(3, 3), (5, 3), (7, 7), (7, 7), (8, 8), (9, 7)]
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_keep_one_with_null_and_repeated_ids(spark):
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice("abcdefghij") * rng.randint(1, 9) for _ in range(60)) for _ in range(7)]
+    rows = [(None, texts[0], 1), (None, texts[1], 2), (None, texts[1], 2), (4, texts[2], 3), (4, texts[3], 4), (4, texts[3], 4), (3, texts[3].upper(), 5), (6, texts[4], 6), (None, texts[4], 7), (7, texts[5], 8), (7, texts[6], 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, mark int").repartition(3)
+    out = simhash.keep_one(docs)
+    assert out.columns == docs.columns
+    assert sorted(r.mark for r in out.collect()) == [1, 2, 3, 5, 6, 8, 9]
+    assert simhash.keep_one(docs.limit(0)).count() == 0
+    # Of texts that share an id in one component the choice does not depend on the partitions.
+    near = spark.createDataFrame([(1, texts[0], 1), (1, texts[0].upper(), 2)], "doc_id long, text string, mark int")
+    assert simhash.keep_one(near.repartition(2, "mark")).collect() == simhash.keep_one(near.orderBy("mark", ascending=False).coalesce(1)).collect()
