@@ -52,12 +52,12 @@ NAME = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))"
 
 
 class Group:
-    """An element: its label, what it holds (groups and texts), whether the text in it is a link's."""
+    """An element: its label, what it holds (groups and texts), the inline tags open in it that are no groups."""
 
-    __slots__ = ("kids", "label", "tag")
+    __slots__ = ("inline", "kids", "label", "tag")
 
     def __init__(self, tag: str, label: str):
-        self.tag, self.label, self.kids = tag, label, []
+        self.tag, self.label, self.kids, self.inline = tag, label, [], {}
 
 
 def label_of(tag: str, attributes: str) -> str:
@@ -91,9 +91,17 @@ def read(page: str) -> Group:
                 text(m[0][9:].removesuffix("]]>"))
             continue
         if m[1] or m[4]:
-            if tag == "a":
-                links = max(0, links - 1)
-            elif tag not in INLINE:
+            if tag in INLINE:
+                for k in range(len(open_) - 1, -1, -1):  # inline groups end within their block
+                    if open_[k].inline.get(tag):
+                        open_[k].inline[tag] -= 1
+                        links -= tag == "a" and links > 0
+                    elif open_[k].tag == tag:
+                        del open_[k:]
+                    elif open_[k].tag in INLINE:
+                        continue
+                    break
+            else:
                 for k in range(len(open_) - 1, 0, -1):
                     if open_[k].tag == tag:
                         del open_[k:]
@@ -110,10 +118,15 @@ def read(page: str) -> Group:
                 links += 1
             elif tag == "br":
                 text(" ")
+            if tag not in VOID:
+                open_[-1].inline[tag] = open_[-1].inline.get(tag, 0) + 1
             continue
         ends = ENDED_BY.get(tag, frozenset()) | (frozenset({"p"}) if tag in CLOSES_P else frozenset())
-        if open_[-1].tag in ends:
-            open_.pop()
+        block = len(open_) - 1
+        while block and open_[block].tag in INLINE:
+            block -= 1
+        if open_[block].tag in ends:
+            del open_[block:]
         group = Group(tag, label_of(tag, attributes))
         open_[-1].kids.append(group)
         if tag not in VOID and not attributes.endswith("/"):
@@ -129,13 +142,13 @@ def slots(group: Group, path: str = "") -> Iterator[tuple[str, bool, str, int]]:
         nonlocal count
         if g.tag in HIDDEN:
             return
-        count += 1
+        count += g.tag not in INLINE
         for kid in g.kids:
             if isinstance(kid, tuple):
                 yield path, *kid, count
             else:
                 yield from walk(kid, f"{path}/{kid.label}")
-                count += 1
+                count += kid.tag not in INLINE
 
     return walk(group, path)
 

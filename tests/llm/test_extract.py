@@ -44,3 +44,12 @@ def test_parts(spark, monkeypatch):
 
 def test_empty(spark):
     assert x.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_inline_groups_end(spark):
+    rows = [
+        (1, "http://c.org/1", page("<p>A <span class=ad>x <span>y</span> z</span> B</p><p>C <small class='copyright'>n</small> D</p>")),
+        (2, "http://c.org/2", page("<p>one</p><p>two</p>", "<a class='skip' href='#m'>Skip</a>")),
+        (3, "http://c.org/3", page("<p>A <span class=ad>never closed<p>B <a class=share href=s>share <b>now</b></a> C <a href=l>l</a></p>")),
+    ]
+    assert run(spark, rows) == {1: "A B\n\nC D", 2: "one\n\ntwo", 3: "A\n\nB C l"}
