@@ -1,3 +1,5 @@
+import random
+
 from brambling.llm import extract as x
 
 
@@ -42,6 +44,64 @@ def test_parts(spark, monkeypatch):
     assert got[0] == "a" and got[1] == "a\n\nb\n\nc" and got[4] == "a\n\nb\n\nb\n\nb\n\nb\n\nc"
 
 
+def test_deep_nesting_and_many_siblings(spark):
+    deep = "<div>" * 10_000 + "<p>core</p>" + "</div>" * 10_000
+    wide = "".join(f"<x{i} class=c{i}>w{i}</x{i}>" for i in range(5_000))
+    other = "".join(f"<x{i} class=c{i}>w{i}</x{i}>" for i in range(4_999, -1, -1))
+    rows = [(1, "http://d.org/1", page(deep)), (2, "http://d.org/2", page(wide)), (3, "http://d.org/3", page(other)), (4, "http://d.org/4", page("<p>" + "long " * 200_000 + "</p>"))]
+    got = run(spark, rows)
+    assert got[1] == "core" and got[4] == ("long " * 200_000).strip()
+    assert got[2] == "\n\n".join(f"w{i}" for i in range(5_000)) and got[3] == "\n\n".join(f"w{i}" for i in range(4_999, -1, -1))
+
+
+def test_alignment_fits_both_sides():
+    rng = random.Random(4)
+    for n in (0, 1, 5, 30, 400):
+        for labels in ("ab", "abcdefghijklmnopqrstuvwxyz"):
+            a, b = ([rng.choice(labels) for _ in range(rng.randint(0, n))] for _ in range(2))
+            out = x.aligned(a, b)
+            assert [i for i, _ in out if i is not None] == list(range(len(a))) and [j for _, j in out if j is not None] == list(range(len(b)))
+            assert all(a[i] == b[j] for i, j in out if i is not None and j is not None)
+            e = x.merged(*(x.Expression("r", "", tuple(map(x.Expression, side))) for side in (a, b)))
+            assert x.written_as(x.unpacked(x.packed(e))) == x.written_as(e)
+
+
+def test_words_of_names_drop_no_article_text(spark):
+    article = "<div class='post-header'><h1>Headline</h1></div><p>Body</p><p class='search-results'>findings</p><ul><li><a href=a>one</a></li><li><a href=b>two</a></li></ul><div class='ad-box'>buy</div><section id='comments'><p>troll</p></section>"
+    plain = "<body><div id=nav>n</div><div class='page with-sidebar'><h1>Lead {0}</h1><p>Text {0}</p></div><div class=second>Column {0}</div><div class=line>Same line</div></body>"
+    rows = [(1, "http://e.org/1", page(article)), *[(i, f"http://e.org/{i}", plain.format(i)) for i in range(2, 6)], (6, None, plain.format(6)), (7, "/rel", plain.format(7)), (8, "http://f.org/", "<body class='has-sidebar'><form id=all>" + page("<p>in a form</p>") + "</form></body>")]
+    got = run(spark, rows)
+    assert got[1] == "Headline\n\nBody\n\nfindings\n\none\n\ntwo"
+    assert got[3] == "Lead 3\n\nText 3\n\nColumn 3"
+    assert got[6] == "Lead 6\n\nText 6\n\nColumn 6\n\nSame line" and got[8] == "in a form"
+
+
+def test_against_known_articles(spark, monkeypatch):
+    """Pages built from articles that are known, in several templates of boilerplate, a hot host among them."""
+    monkeypatch.setattr(x, "PART", 7)
+    rng = random.Random(9)
+    words = lambda n: " ".join("".join(rng.choice("abcdeäö&") for _ in range(rng.randint(1, 9))) for _ in range(n))
+    shown = lambda t: t.replace("&", "&amp;")
+    menu = "<nav><ul>" + "".join(f"<li><a href='/{i}'>menu {i}</a></li>" for i in range(5)) + "</ul></nav>"
+    frames = [
+        lambda body, n: f"<html><head><title>{n}</title></head><body>{menu}<div class='ad'>{words(9)}</div><article>{body}</article><footer>{words(5)}</footer></body></html>",
+        lambda body, n: f"<html><body><header><h2>Site</h2></header><main><div class=inner>{body}</div><aside>{words(4)}</aside><div id='comments'><article class=comment>{words(6)}</article></div></main></body></html>",
+        lambda body, n: f"<body><div class=top><div>Brand</div></div><div class='links'>" + "".join(f"<div><a href=/{i}>to {i} {n}</a></div>" for i in range(4)) + f"</div><div class=content>{body}</div><div class='newsletter'><p>{words(3)}</p></div><div class=legal>All rights</div></body>",
+    ]
+    rows, want = [], {}
+    for n in range(120):
+        texts = [words(rng.randint(1, 40)) for _ in range(rng.randint(1, 6))]
+        tags = [rng.choice(["p", "h2", "blockquote", "li"]) for _ in texts]
+        body = "".join(f"<{t} class=k{rng.randint(0, 2)}>{shown(s)}<!-- no --></{t}>" for t, s in zip(tags, texts))
+        host, frame = rng.choice([("hot.org", 0), ("hot.org", 0), ("hot.org", 1), ("two.org", 1), ("three.org", 2)])
+        rows.append((n, f"https://{host}/{n}", frames[frame](body, n)))
+        want[n] = "\n\n".join(" ".join(s.split()) for s in texts)
+    assert run(spark, rows) == want
+    monkeypatch.setattr(x, "SLOTS_SENT", 0)  # the way for many hosts
+    monkeypatch.setattr(x, "PAGES", 10)
+    assert run(spark, rows) == want
+
+
 def test_empty(spark):
     assert x.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
