@@ -1,27 +1,38 @@
-"""SimHash near-duplicates: 64-bit fingerprints of word shingles, joined with themselves by a binary trie.
+"""SimHash near-duplicates: fingerprints of word shingles, joined with themselves by a binary trie.
 
-Fingerprints that differ in few bits agree on at least one of ``budget + 1`` blocks of bits. So the trie is laid out
-once per block, with the bits of that block on top: whoever differs there lies in another subtree, and the subtrees
-are dealt over the tasks. In a subtree node pairs are walked together from the first free bit down; a pair carries the
-number of bits that already differ and is dropped as soon as it exceeds the budget. What meets at the leaves is kept
-as a spanning forest, never as all pairs, so a group of many near copies gives as many links as it has members.
+Bits that differ in few places agree on several blocks. So the trie is laid out once per choice of blocks (a view), with
+the bits of these blocks on top: whoever differs there lies in another subtree, and the subtrees are dealt over the
+tasks. The more fingerprints there are, the more blocks are put on top, so that subtrees stay small (``_views``). In a
+subtree node pairs are walked together from the first free bit down; a pair carries the number of bits that already
+differ and is dropped as soon as it exceeds the budget. What meets at the leaves is kept as a spanning forest, never as
+all pairs, so a group of many near copies gives as many links as it has members.
+
+``near_duplicates`` links 64-bit fingerprints by a budget of differing bits. ``keep_one`` asks for a similarity instead:
+64 bits are too few to tell 0.8 from less, so it takes wide fingerprints of distinct shingles, walks the trie over bands
+of them (``_bands`` picks their width from the number of documents and their number from the share of pairs at the
+similarity that must meet). What the whole width estimates to be well above the similarity links at once; what is
+within ``MARGIN`` of it and would join two groups is settled by the texts themselves.
 
 Copies share a fingerprint and take part once. A subtree that holds more than ``SUBTREE`` fingerprints is cut into
 tiles; every pair of tiles is walked in its own task, so nothing is lost and nothing grows past a task.
 
 Cases: null text is an empty one; texts without words have fingerprint zero and link like any other; fewer words than
-the shingle give one shingle; repeated rows are kept (each with the same component); a null id is kept with a
-component like any other but never names one unless all ids of it are null; other columns are dropped.
+the shingle give one shingle; texts of any length are taken whole; repeated rows are kept (each with the same
+component); a null id is kept with a component like any other but never names one unless all ids of it are null; an
+empty table gives an empty result; ``near_duplicates`` drops other columns, ``keep_one`` keeps them, whatever their
+names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brambling.llm.storage import bounded_batches, written
@@ -29,27 +40,52 @@ from brambling.llm.storage import bounded_batches, written
 SEED = 42
 #: Fingerprints of one subtree that a task walks at once, node pairs that it holds, and links before it folds them.
 SUBTREE, FRONTIER, LINKS = 65_536, 1 << 20, 1 << 21
+#: Wide fingerprints: words of 64 bits that are compared whole, the share of pairs at the similarity that bands must bring together, and how far from it an estimate (its standard deviation is below 0.04) says nothing.
+WORDS, MEETING, MARGIN = 8, 0.97, 0.08
 #: Eight lanes of one byte: the bits of a byte, spread, so that up to 255 of them add up side by side.
+#: Shingles whose bits are counted at once.
+PORTION = 255 << 6
 SPREAD = ((np.arange(256, dtype=np.uint64)[:, None] >> np.arange(8, dtype=np.uint64)) & 1) @ (np.uint64(1) << np.arange(0, 64, 8, dtype=np.uint64))
 
 
-def fingerprint(text: bytes, shingle: int = 4, seed: int = SEED) -> int:
+def _shingle_hashes(text: bytes, shingle: int, seed: int) -> np.ndarray:
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = max(1, len(words) - shingle + 1)
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[len(words) - n :].tolist())), np.uint64, n)
-    lanes = SPREAD[hashes.view(np.uint8).reshape(-1, 8)]
-    full = n // 255 * 255
-    sums = lanes[:full].reshape(-1, 255, 8).sum(axis=1)
-    sums = np.concatenate([sums, lanes[full:].sum(axis=0, keepdims=True)])
-    counts = np.ascontiguousarray(sums).view(np.uint8).reshape(-1, 64).sum(axis=0, dtype=np.int64)
-    bits = np.nonzero(counts * 2 > n)[0]
-    return sum(1 << int(b) for b in bits)
+    return np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[len(words) - n :].tolist())), np.uint64, n)
+
+
+def _majority(hashes: np.ndarray) -> np.ndarray:
+    """For each column, the bits that are set in over half its hashes."""
+    n, columns = hashes.shape
+    counts = np.zeros(64 * columns, np.int64)
+    for at in range(0, n, PORTION):
+        lanes = SPREAD[np.ascontiguousarray(hashes[at : at + PORTION]).view(np.uint8)]
+        full = len(lanes) // 255 * 255
+        sums = np.concatenate([lanes[:full].reshape(-1, 255, 8 * columns).sum(axis=1), lanes[full:].sum(axis=0, keepdims=True)])
+        counts += np.ascontiguousarray(sums).view(np.uint8).reshape(-1, 64 * columns).sum(axis=0, dtype=np.int64)
+    return np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)
+
+
+def fingerprint(text: bytes, shingle: int = 4, seed: int = SEED) -> int:
+    return int(_majority(_shingle_hashes(text, shingle, seed)[:, None])[0])
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def wide_fingerprint(text: bytes, shingle: int, words: int, seed: int = SEED) -> tuple[int, np.ndarray]:
+    """How many different shingles there are, and ``words`` times 64 bits of them."""
+    hashes = np.unique(_shingle_hashes(text, shingle, seed))
+    return len(hashes), _majority(_mixed(hashes[:, None] + np.arange(words, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
@@ -65,38 +101,60 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 class Forest:
-    """Links among n rows, folded now and then into one root per group."""
+    """Links among n rows, folded now and then into a spanning forest. Sure links (2) come before unsure ones (1)."""
 
     def __init__(self, n: int):
         self.root = np.arange(n)
-        self.held: list[np.ndarray] = []
+        self.held: dict[int, list[np.ndarray]] = {2: [], 1: []}
+        self.kept: list[np.ndarray] = []
         self.size = 0
 
-    def add(self, a: np.ndarray, b: np.ndarray) -> None:
-        self.held.append(np.stack([a, b]))
-        self.size += len(a)
+    def add(self, a: np.ndarray, b: np.ndarray, grade: np.ndarray) -> None:
+        for g in self.held:
+            mine = grade == g
+            if mine.any():
+                self.held[g].append(np.stack([a[mine], b[mine]]))
+                self.size += int(mine.sum())
         if self.size >= LINKS:
             self.fold()
 
     def fold(self) -> None:
-        if not self.held:
-            return
-        a, b = np.concatenate(self.held, axis=1)
         root = self.root
-        while True:
-            ra, rb = root[a], root[b]
-            apart = ra != rb
-            if not apart.any():
-                break
-            a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
-            np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
-            while not np.array_equal(up := root[root], root):
-                root = up
-        self.root, self.held, self.size = root, [], 0
-
-
-def walk(keys: np.ndarray, pairs: np.ndarray, depth: int, budget: int, forest: Forest) -> None:
-    """Walks pairs of nodes of the trie over the sorted ``keys``. pairs: rows (a from, a to, b from, b to) of nodes of one depth."""
+        for g, held in self.held.items():
+            if not held:
+                continue
+            a, b = np.concatenate(held, axis=1)
+            while True:
+                ra, rb = root[a], root[b]
+                apart = ra != rb
+                if not apart.any():
+                    break
+                a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
+                high, low = np.maximum(ra, rb), np.minimum(ra, rb)
+                order = np.lexsort((low, high))
+                first = order[np.concatenate([[True], high[order][1:] != high[order][:-1]])]
+                root[high[first]] = low[first]
+                self.kept.append(np.stack([a[first], b[first], np.full(len(first), g)]))
+                while not np.array_equal(up := root[root], root):
+                    root = up
+            held.clear()
+        self.root, self.size = root, 0
+
+    def links(self) -> np.ndarray:
+        """Rows a, b, grade of the links that span what hangs together."""
+        self.fold()
+        return np.concatenate(self.kept, axis=1) if self.kept else np.zeros((3, 0), np.int64)
+
+
+#: For two arrays of places: 0 where they do not link, 2 where they do, 1 where a closer look is needed.
+Near = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def walk(keys: np.ndarray, pairs: np.ndarray, depth: int, width: int, budget: int, near: Near, forest: Forest) -> None:
+    """Walks pairs of nodes of the trie over the first ``width`` bits of the sorted ``keys`` and links the leaves that are ``near``.
+
+    pairs: rows (a from, a to, b from, b to) of nodes of one depth.
+    """
     ones: dict[int, np.ndarray] = {}
     todo = [(depth, pairs, np.zeros(len(pairs), np.int8))]
     while todo:
@@ -106,12 +164,15 @@ def walk(keys: np.ndarray, pairs: np.ndarray, depth: int, budget: int, forest: F
             todo += [(d, p[:half], off[:half]), (d, p[half:], off[half:])]
             continue
         alone = (p[:, 1] - p[:, 0] == 1) & (p[:, 3] - p[:, 2] == 1)
-        if alone.any() or d == 64:
+        if alone.any():
             i, j = p[alone, 0], p[alone, 2]
-            near = (i != j) & (np.bitwise_count(keys[i] ^ keys[j]) <= budget)
-            forest.add(i[near], j[near])
+            i, j = i[i != j], j[i != j]
+            forest.add(i, j, near(i, j))
             p, off = p[~alone], off[~alone]
-        if not len(p) or d == 64:
+        if not len(p):
+            continue
+        if d == width:
+            _leaves(p, near, forest)
             continue
         if d not in ones:
             ones[d] = np.concatenate([[0], np.cumsum((keys >> np.uint64(63 - d)) & np.uint64(1))]).astype(np.int64)
@@ -126,41 +187,99 @@ def walk(keys: np.ndarray, pairs: np.ndarray, depth: int, budget: int, forest: F
         todo.append((d + 1, nodes[live], off[live]))
 
 
-def _blocks(budget: int) -> list[tuple[int, int]]:
-    """First bit and width of each block, the highest bit first."""
-    edges = [round(64 * i / (budget + 1)) for i in range(budget + 2)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:])]
-
-
-def near_links(distinct: DataFrame, budget: int = 4) -> DataFrame:
-    """src, dst long: for each group of fingerprints within ``budget`` bits in a subtree, links that connect it."""
-    blocks = _blocks(budget)
-    turned = F.array(*[F.struct(F.lit(i).alias("block"), (F.shiftleft("fp", a).bitwiseOR(F.shiftrightunsigned("fp", 64 - a)) if a else F.col("fp")).alias("key")) for i, (a, _) in enumerate(blocks)])
-    top = F.element_at(F.array(*[F.shiftrightunsigned("key", 64 - w) for _, w in blocks]), F.col("block") + 1)
-    rows = distinct.select(F.explode(turned).alias("t")).select("t.*").withColumn("top", top)
-    # One row per block and top at most: fewer than (budget + 1) * 2^13 for any input.
-    sizes = rows.groupBy("block", "top").count().filter(F.col("count") > SUBTREE).select("block", "top", F.ceil(F.col("count") / (SUBTREE // 2)).cast("int").alias("tiles"))
-    tile = F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int")
+def _leaves(pairs: np.ndarray, near: Near, forest: Forest) -> None:
+    """Links within pairs of nodes whose walked bits say nothing more: small ones at once, large ones leader by leader."""
+    many = pairs[:, 1] - pairs[:, 0], pairs[:, 3] - pairs[:, 2]
+    size = many[0] * many[1]
+    for a0, a1, b0, b1 in pairs[size > 4096].tolist():
+        rows = np.arange(a0, a1) if a0 == b0 else np.concatenate([np.arange(a0, a1), np.arange(b0, b1)])
+        of = np.arange(len(rows))
+        second = 0 if a0 == b0 else a1 - a0
+        for k in range(a1 - a0):  # what already hangs together needs no more looks
+            apart = second + np.nonzero(of[second:] != of[k])[0]
+            apart = apart[apart > k]
+            found = near(np.full(len(apart), rows[k]), rows[apart])
+            forest.add(np.full(len(apart), rows[k]), rows[apart], found)
+            linked = apart[found == 2]
+            if len(linked):
+                of[np.isin(of, np.unique(of[linked]))] = of[k]
+                if (of == of[0]).all():
+                    break
+    pairs, size = pairs[size <= 4096], size[size <= 4096]
+    ends = np.cumsum(size)
+    at = 0
+    while at < len(pairs):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + FRONTIER, "right")))
+        p, n = pairs[at:stop], size[at:stop]
+        of = np.repeat(np.arange(len(p)), n)
+        k = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+        wide = (p[:, 3] - p[:, 2])[of]
+        i, j = p[of, 0] + k // wide, p[of, 2] + k % wide
+        once = (p[of, 0] != p[of, 2]) | (i < j)
+        i, j = i[once], j[once]
+        forest.add(i, j, near(i, j))
+        at = stop
+
+
+def _views(width: int, budget: int, n: int) -> tuple[int, list[list[tuple[int, int]]]]:
+    """How many bits in front must agree, and ways to lay out ``width`` bits with them in front: lists of (first bit, bits).
+
+    Of k blocks at least k - budget agree. With more blocks more bits agree but more choices have to be tried; the
+    number of blocks is that which sends the fewest rows, when subtrees of over ``SUBTREE`` are cut into tiles.
+    """
+    found = []
+    for k in range(budget + 1, min(width, budget + 5) + 1):
+        edges = [round(width * i / k) for i in range(k + 1)]
+        blocks = [(a, b - a) for a, b in zip(edges, edges[1:])]
+        top = sum(sorted(w for _, w in blocks)[: k - budget])
+        views = [[*c, *[b for b in blocks if b not in c]] for c in itertools.combinations(blocks, k - budget)]
+        found.append((len(views) * max(1.0, n / 2**top / (SUBTREE // 2)), top, views))
+    return min(found, key=lambda x: x[0])[1:]
+
+
+def _laid_out(key: Column, view: list[tuple[int, int]]) -> Column:
+    """The bits of ``key`` in the order of the view."""
+    out, at = F.lit(0).cast("long"), 0
+    for first, bits in view:
+        part = F.shiftrightunsigned(F.shiftleft(key, first), 64 - bits)
+        out = out.bitwiseOR(F.shiftleft(part, 64 - at - bits))
+        at += bits
+    return out
+
+
+def _trie_links(nodes: DataFrame, keys: list[tuple[Column, int]], budget: int, n: int, near: Callable[[list[np.ndarray]], Near], payload: list[str]) -> DataFrame:
+    """src, dst long, sure boolean: links among ``nodes`` (node, payload long ...) that connect all pairs which one of the ``keys`` brings together.
+
+    keys: columns and how many of their first bits are walked. ``near`` gets the payload of the rows of a task and gives
+    the check of pairs of them.
+    """
+    width = keys[0][1]
+    depth, views = _views(width, budget, n)
+    laid = [F.struct(F.lit(i * len(views) + k).alias("view"), _laid_out(key, v).alias("key")) for i, (key, _) in enumerate(keys) for k, v in enumerate(views)]
+    rows = nodes.select("node", *payload, F.explode(F.array(*laid)).alias("t")).select("t.view", F.shiftrightunsigned("t.key", 64 - depth).alias("top"), "t.key", "node", *payload)
+    # A subtree that is cut holds over SUBTREE rows, so this table has at most one row in SUBTREE.
+    sizes = rows.groupBy("view", "top").count().filter(F.col("count") > SUBTREE).select("view", "top", F.ceil(F.col("count") / (SUBTREE // 2)).cast("int").alias("tiles"))
+    tile = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
     other = F.sequence(F.lit(0), F.col("tiles") - 1)
+    group = ["view", "top", "low", "high"]
     dealt = (
-        rows.join(F.broadcast(sizes), ["block", "top"], "left")
+        rows.join(F.broadcast(sizes), ["view", "top"], "left")
         .withColumn("tile", F.when(F.col("tiles").isNull(), 0).otherwise(tile))
         .withColumn("other", F.explode(F.when(F.col("tiles").isNull(), F.array(F.lit(0))).otherwise(other)))
-        .select("block", "top", "key", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile")
-        .repartition("block", "top", "low", "high")
-        .sortWithinPartitions("block", "top", "low", "high")
+        .select("view", "top", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "key", "node", *payload)
+        .repartition(*group)
+        .sortWithinPartitions(*group)
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
         for batch in batches:
-            rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
-            held.append(rows)
-            size += rows.shape[1]
+            held.append(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]))
+            size += batch.num_rows
             if size >= 2 * SUBTREE:
                 rows = np.concatenate(held, axis=1)
-                last = np.nonzero((rows[[0, 1, 3, 4]] != rows[[0, 1, 3, 4], -1:]).any(axis=0))[0]
+                last = np.nonzero((rows[:4] != rows[:4, -1:]).any(axis=0))[0]
                 if len(last):
                     yield links(rows[:, : last[-1] + 1])
                     rows = rows[:, last[-1] + 1 :]
@@ -169,29 +288,97 @@ def near_links(distinct: DataFrame, budget: int = 4) -> DataFrame:
             yield links(np.concatenate(held, axis=1))
 
     def links(rows: np.ndarray) -> pa.RecordBatch:
-        """rows: block, top, key, low, high, tile. Whole subtrees (or pairs of tiles)."""
-        unsigned = rows[2].view(np.uint64)
-        order = np.lexsort((unsigned, rows[5], rows[4], rows[3], rows[1], rows[0]))
-        rows, keys = rows[:, order], unsigned[order]
-        node = np.concatenate([[True], (rows[[0, 1, 3, 4, 5], 1:] != rows[[0, 1, 3, 4, 5], :-1]).any(axis=0)])
+        """rows: view, top, low, high, tile, key, node, payload. Whole subtrees (or pairs of tiles)."""
+        unsigned = rows[5].view(np.uint64)
+        order = np.lexsort((unsigned, rows[4], rows[3], rows[2], rows[1], rows[0]))
+        rows, walked = rows[:, order], unsigned[order]
+        node = np.concatenate([[True], (rows[:5, 1:] != rows[:5, :-1]).any(axis=0)])
         starts = np.nonzero(node)[0]
-        ends = np.append(starts[1:], len(keys))
-        forest = Forest(len(keys))
-        for block, (_, width) in enumerate(blocks):
-            mine = rows[0, starts] == block
-            whole = mine & (rows[3, starts] == rows[4, starts])
-            pairs = [np.stack([starts[whole], ends[whole]] * 2, axis=1)]
-            cut = np.nonzero(mine & ~whole)[0]  # pairs of tiles lie side by side, when both have rows
-            cut = cut[:-1][(rows[[0, 1, 3, 4]][:, starts[cut[:-1]]] == rows[[0, 1, 3, 4]][:, starts[cut[1:]]]).all(axis=0)] if len(cut) else cut
-            pairs.append(np.stack([starts[cut], ends[cut], starts[cut + 1], ends[cut + 1]], axis=1) if len(cut) else np.zeros((0, 4), np.int64))
-            walk(keys, np.concatenate(pairs), width, budget, forest)
-        forest.fold()
-        linked = np.nonzero(forest.root != np.arange(len(keys)))[0]
-        first = np.array([a for a, _ in blocks], np.uint64)
-        back = lambda i: ((keys[i] >> first[rows[0, i]]) | np.where(first[rows[0, i]] > 0, keys[i] << ((np.uint64(64) - first[rows[0, i]]) % np.uint64(64)), np.uint64(0))).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(back(linked)), pa.array(back(forest.root[linked]))], names=["src", "dst"])
-
-    return dealt.mapInArrow(run, "src long, dst long")
+        ends = np.append(starts[1:], len(walked))
+        whole = rows[2, starts] == rows[3, starts]
+        pairs = [np.stack([starts[whole], ends[whole]] * 2, axis=1)]
+        cut = np.nonzero(~whole)[0]  # pairs of tiles lie side by side, when both have rows
+        cut = cut[:-1][(rows[:4, starts[cut[:-1]]] == rows[:4, starts[cut[1:]]]).all(axis=0)] if len(cut) else cut
+        pairs.append(np.stack([starts[cut], ends[cut], starts[cut + 1], ends[cut + 1]], axis=1) if len(cut) else np.zeros((0, 4), np.int64))
+        forest = Forest(len(walked))
+        walk(walked, np.concatenate(pairs), depth, width, budget, near(list(rows[6:])), forest)
+        a, b, grade = forest.links()
+        return pa.RecordBatch.from_arrays([pa.array(rows[6, a]), pa.array(rows[6, b]), pa.array(grade == 2)], names=["src", "dst", "sure"])
+
+    return dealt.mapInArrow(run, "src long, dst long, sure boolean")
+
+
+def near_links(distinct: DataFrame, budget: int = 4) -> DataFrame:
+    """src, dst long: for each group of fingerprints (fp long) within ``budget`` bits in a subtree, links that connect it."""
+
+    def near(payload: list[np.ndarray]) -> Near:
+        bits = payload[0].view(np.uint64)
+        return lambda i, j: (np.bitwise_count(bits[i] ^ bits[j]) <= budget) * 2
+
+    n = distinct.count()
+    return _trie_links(distinct.select(F.col("fp").alias("node")), [(F.col("node"), 64)], budget, n, near, []).select("src", "dst")
+
+
+def bit_error(similarity: float) -> float:
+    """The chance that a bit differs for two sets of one size with this Jaccard similarity."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def _bands(similarity: float, n: int) -> tuple[int, int, int]:
+    """Bits of a band, budget of differing bits in it, number of bands.
+
+    A band is so wide that a document meets few unlike ones, whatever their number; there are so many that a pair at the
+    similarity agrees within the budget on one of them with the chance MEETING.
+    """
+    width = min(60, 6 + max(10, (max(n, 1) - 1).bit_length()))
+    budget = max(1, round(width / 12))
+    p = bit_error(similarity)
+    meet = sum(math.comb(width, k) * p**k * (1 - p) ** (width - k) for k in range(budget + 1))
+    return width, budget, math.ceil(math.log(1 - MEETING) / math.log(1 - meet))
+
+
+def similar_links(nodes: DataFrame, similarity: float, bands: tuple[int, int, int], n: int) -> DataFrame:
+    """src, dst long, sure boolean: links that span the ``nodes`` (node, n_shingles long, words array<long>) which may be similar."""
+    width, budget, number = bands
+    per = 64 // width
+    keys = [(F.shiftleft(F.element_at("words", i // per + 1), i % per * width), width) for i in range(number)]
+    payload = ["n_shingles", *[f"c{k}" for k in range(WORDS)]]
+
+    def near(columns: list[np.ndarray]) -> Near:
+        size, bits = columns[1].astype(np.float64), np.stack(columns[2:], axis=1).view(np.uint64)
+
+        def check(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            out = np.zeros(len(i), np.int8)
+            a, b = size[i], size[j]
+            may = np.nonzero(np.minimum(a, b) >= similarity * np.maximum(a, b))[0]  # no smaller set can be similar
+            i, j, a, b = i[may], j[may], a[may], b[may]
+            off = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
+            both = np.cos(np.pi * off / (64 * WORDS)) * np.sqrt(a * b)
+            rest = a + b - both
+            out[may] = (both >= (similarity - MARGIN) * rest).astype(np.int8) + (both >= (similarity + MARGIN) * rest)
+            return out
+
+        return check
+
+    rows = nodes.select("node", "n_shingles", "words", *[F.element_at("words", k + 1).alias(f"c{k}") for k in range(WORDS)])
+    return _trie_links(rows, keys, budget, n, near, payload)
+
+
+def _settled(links: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The ``links`` (a, b, x, y) whose texts (node, text) of a and b have the Jaccard similarity; x and y only pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for pair in batch.column(2).to_pylist():
+                a, b = (np.unique(_shingle_hashes((t or "").encode(), shingle, SEED)) for t in pair)
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                keep.append(both >= similarity * (len(a) + len(b) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["x", "y"]).filter(pa.array(keep, pa.bool_()))
+
+    ends = links.select("a", "b", "x", "y", F.explode(F.array("a", "b")).alias("node")).join(texts, "node")
+    pairs = ends.groupBy("a", "b").agg(F.first("x").alias("x"), F.first("y").alias("y"), F.collect_list("text").alias("pair"))
+    return bounded_batches(pairs.select("x", "y", "pair")).mapInArrow(run, "x long, y long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -217,7 +404,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def _classes(marked: DataFrame, id_col: str, budget: int) -> DataFrame:
     """fp, least, root long: per fingerprint the least id and the component."""
-    distinct = marked.groupBy("fp").agg(F.min(id_col).alias("least"))
+    distinct = written(marked.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct")
     roots = components(near_links(distinct.select("fp"), budget))
     named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     return written(named, "classes")
@@ -232,14 +419,53 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(classes, "fp").select(id_col, "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, budget: int = 4) -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest id (null last), of rows that share it the least text hash.
+def wide_fingerprints(rows: DataFrame, id_col: str, text_col: str, shingle: int, words: int) -> DataFrame:
+    """id_col, n_shingles long, words array<long>."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [wide_fingerprint(t or b"", shingle, words) for t in batch.column(1).to_pylist()]
+            bits = np.concatenate([w for _, w in found] or [np.zeros(0, np.uint64)]).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(bits) + 1, words), pa.int32()), pa.array(bits))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in found], pa.int64()), lists], names=[id_col, "n_shingles", "words"])
+
+    kept = bounded_batches(rows.select(id_col, F.encode(F.col(text_col).cast("string"), "UTF-8").alias("text")))
+    return kept.mapInArrow(run, f"`{id_col}` {kept.schema[0].dataType.simpleString()}, n_shingles long, words array<long>")
+
+
+def similar_classes(rows: DataFrame, id_col: str, text_col: str, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """node, least (id), root long: one row per different set of shingles, with its least id (one row each) and its component.
+
+    Sets link if their Jaccard similarity is ``similarity`` or more: by the estimate where it is clear, else by the texts.
+    Of pairs just at the similarity, MEETING meet in a band; of more similar ones nearly all do.
+    """
+    n = rows.count()
+    bands = _bands(similarity, n)
+    marked = wide_fingerprints(rows, id_col, text_col, shingle, max(WORDS, -(-bands[2] // (64 // bands[0]))))
+    different = marked.groupBy("n_shingles", "words").agg(F.min(id_col).alias("least"))
+    nodes = written(different.withColumn("node", F.monotonically_increasing_id()), "fingerprints")
+    links = written(similar_links(nodes, similarity, bands, n).select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "sure").distinct(), "links")
+    sure = written(components(links.filter("sure").select(F.col("a").alias("src"), F.col("b").alias("dst"))), "components")
+    of = lambda end, name: sure.select(F.col("node").alias(end), F.col("root").alias(name))
+    unsure = links.filter("not sure").select("a", "b").join(of("a", "x"), "a", "left").join(of("b", "y"), "b", "left")
+    unsure = unsure.select("a", "b", F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y")).filter("x <> y")
+    texts = nodes.join(rows.select(F.col(id_col).alias("least"), F.col(text_col).cast("string").alias("text")), "least").select("node", "text")
+    joined = components(_settled(unsure, texts, shingle, similarity).select(F.col("x").alias("src"), F.col("y").alias("dst")))
+    named = nodes.select("node", "least").join(sure, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return named.join(joined.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", "least", F.coalesce("top", "root").alias("root"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates: that of the smallest id (null last), of rows that share it the least text hash.
 
     Rows are told apart by a number of their own, so ids may be null or repeated: a row goes only for another one of
     its component. All columns stay.
     """
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    order = F.struct(F.col(id_col).isNull().alias("absent"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col("_row").alias("row"))
-    marked = written(fingerprints(rows.select(order.alias("_order"), text_col), "_order", text_col, shingle), "fingerprints")
-    kept = _classes(marked, "_order", budget).groupBy("root").agg(F.min("least").alias("first")).select(F.col("first.row").alias("_row"))
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+    own = "_row"
+    while own in docs.columns:
+        own += "_"
+    rows = written(docs.withColumn(own, F.monotonically_increasing_id()), "rows")
+    order = F.struct(F.col(id_col).isNull().alias("absent"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(own).alias("row"))
+    classes = similar_classes(rows.select(order.alias("order"), F.col(text_col).alias("text")), "order", "text", shingle, similarity)
+    kept = classes.groupBy("root").agg(F.min("least").alias("first")).select(F.col("first.row").alias(own))
+    return rows.join(kept, own, "left_semi").select(*docs.columns)

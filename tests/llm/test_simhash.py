@@ -27,7 +27,7 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-@pytest.mark.parametrize("tile, frontier", [(65_536, 1 << 20), (4, 50)])
+@pytest.mark.parametrize("tile, frontier", [(65_536, 1 << 20), (4, 50), (2, 1 << 20)])
 def test_components(spark, monkeypatch, tile, frontier):
     monkeypatch.setattr(simhash, "SUBTREE", tile)
     monkeypatch.setattr(simhash, "FRONTIER", frontier)
@@ -64,6 +64,80 @@ def test_documents(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def jaccard(a: str, b: str, shingle=5) -> float:
+    x, y = ({tuple(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} for w in (a.lower().split(), b.lower().split()))
+    return len(x & y) / len(x | y)
+
+
+def test_views_bring_near_bits_together():
+    rng = random.Random(3)
+    for width, budget, n in ((64, 4, 10), (64, 4, 1 << 33), (24, 2, 10**5), (40, 3, 10**10)):
+        depth, views = simhash._views(width, budget, n)
+        assert all(sorted(v) == sorted(views[0]) and sum(w for _, w in v) == width for v in views)
+        for _ in range(200):
+            off = set(rng.sample(range(width), budget))
+            assert any(not off & {b for first, bits in v for b in range(first, first + bits)} for v in [_front(v, depth) for v in views])
+
+
+def _front(view, depth):
+    out, at = [], 0
+    for first, bits in view:
+        if at < depth:
+            out.append((first, min(bits, depth - at)))
+            at += bits
+    return out
+
+
+def test_large_leaves_keep_all_links():
+    rng = np.random.default_rng(5)
+    value = rng.integers(0, 400, 300)
+    near = lambda i, j: (abs(value[i] - value[j]) <= 1) * 2
+    for pairs, both in (([[0, 300, 0, 300]], False), ([[0, 120, 120, 300]], True), ([[i, i + 30, j, j + 30] for i in range(0, 300, 30) for j in range(i, 300, 30)], False)):
+        forest = simhash.Forest(300)
+        simhash._leaves(np.array(pairs), near, forest)
+        forest.fold()
+        parent = list(range(300))
+        for i in range(300):
+            for j in range(i):
+                if near(i, j) and not (both and (i < 120) == (j < 120)):
+                    a, b = i, j
+                    while parent[a] != a:
+                        a = parent[a]
+                    while parent[b] != b:
+                        b = parent[b]
+                    parent[max(a, b)] = min(a, b)
+        root = []
+        for i in range(300):
+            while parent[i] != i:
+                i = parent[i]
+            root.append(i)
+        assert forest.root.tolist() == root
+
+
+def test_near_copies_are_found_and_others_stay(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SUBTREE", 40)  # subtrees are cut into tiles
+    rng = random.Random(6)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(800)]
+    texts, wanted = [], []
+    for _ in range(150):
+        base = [rng.choice(vocabulary) for _ in range(rng.randint(40, 300))]
+        texts.append(" ".join(base))
+        for share in (0.8, 0.85, 0.9, 0.5, 0.6):
+            other = list(base)
+            while jaccard(" ".join(other), texts[-1]) > share + 0.01:
+                k = rng.randrange(len(other))
+                other = other[:k] + [rng.choice(vocabulary) for _ in range(3)] + other[k + rng.randint(1, 4) :]
+            wanted.append((jaccard(" ".join(other), " ".join(base)) >= 0.8, share <= 0.6, len(texts), " ".join(other)))
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1_000 + i, w[3]) for i, w in enumerate(wanted)]
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert all(1_000 + i in kept or jaccard(w[3], texts[i // 5]) >= 0.75 for i, w in enumerate(wanted))
+    near = [1_000 + i not in kept for i, w in enumerate(wanted) if w[0]]
+    far = [1_000 + i in kept for i, w in enumerate(wanted) if w[1]]
+    assert len(near) > 250 and sum(near) >= 0.9 * len(near), sum(near) / len(near)
+    assert len(far) > 250 and sum(far) >= 0.99 * len(far), sum(far) / len(far)
+    assert set(range(len(texts))) <= kept
+
+
 def test_keep_one_with_null_and_repeated_ids(spark):
     rng = random.Random(2)
     texts = [" ".join(rng.choice("abcdefghij") * rng.randint(1, 9) for _ in range(60)) for _ in range(7)]
