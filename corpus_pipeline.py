@@ -22,8 +22,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, at most four differing bits) the smallest id stays."""
-    return simhash.keep_one(docs, shingle=5, budget=4)
+    """Of each group of near duplicates (five-word shingles, similarity 0.8 or more) the smallest id stays."""
+    return simhash.keep_one(docs, shingle=5, similarity=0.8)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
