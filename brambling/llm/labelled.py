@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brambling.llm.bpe import portions
-from brambling.llm.storage import bounded_batches
+from brambling.llm.storage import bounded_batches, written
 
 FOLDS = 5
 
@@ -21,18 +22,36 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % FOLDS == 0, F.lit(False))
 
 
-def learning_rows(labels: DataFrame, label: str, each: int, id_col: str = "doc_id") -> DataFrame:
-    """id_col, y: at most ``each`` labelled rows of either class outside the held-out fold, chosen by a hash of the id."""
-    rows = labels.select(F.col(id_col), F.col(label).cast("int").alias("y")).filter(F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
-    pick = lambda y: rows.filter(F.col("y") == y).orderBy(F.xxhash64(id_col), id_col).limit(each)
-    return pick(0).unionByName(pick(1))
+def learning_rows(labels: DataFrame, label: str, each: int, id_col: str = "doc_id", classes: tuple[int, ...] = (0, 1)) -> DataFrame:
+    """id_col, y: at most ``each`` ids of either class outside the held-out fold, chosen by a hash of the id.
 
+    An id counts once however often it is labelled; one whose labels contradict each other is left out.
+    """
+    rows = labels.select(F.col(id_col), F.col(label).cast("int").alias("y")).filter(F.col(id_col).isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col(id_col)))
+    agreed = rows.groupBy(id_col).agg(F.min("y").alias("y"), F.max("y").alias("z")).filter("y = z").drop("z")
+    pick = lambda y: agreed.filter(F.col("y") == y).orderBy(F.xxhash64(id_col), id_col).limit(each)
+    return reduce(DataFrame.unionByName, map(pick, classes))
 
-def texts_of(docs: DataFrame, chosen: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> list[tuple]:
-    """(y, text in UTF-8, *more) of the chosen ids. ``chosen`` has a bounded number of rows, so it is broadcast and its texts may come to the driver."""
+
+def texts_of(docs: DataFrame, chosen: DataFrame, most_bytes: int, id_col: str = "doc_id", text_col: str = "text", *more: str) -> list[tuple]:
+    """(y, text in UTF-8, *more): one text of each chosen id (of several, that with the least hash), in the order of ids.
+
+    ``chosen`` has a bounded number of rows, so it is broadcast. Of each class the texts come to the driver in the order
+    of a hash of the id until the next one would exceed ``most_bytes``; shorter ones behind it are still taken.
+    """
     data = F.coalesce(F.encode(F.col(text_col).cast("string"), "UTF-8"), F.lit(b""))
-    found = docs.select(F.col(id_col), data.alias("data"), *more).join(F.broadcast(chosen), id_col).select(id_col, "y", "data", *more)
-    return [(r[1], bytes(r[2]), *r[3:]) for r in sorted(found.collect(), key=lambda r: (r[0], bytes(r[2]), r[1]))]
+    others = F.struct(*[F.col(c) for c in more]) if more else F.lit(0)
+    found = docs.select(F.col(id_col).alias("id"), F.struct(F.xxhash64(data).alias("h"), data.alias("data"), others.alias("more")).alias("row"))
+    texts = written(found.join(F.broadcast(chosen.withColumnRenamed(id_col, "id")), "id").groupBy("id", "y").agg(F.min("row").alias("row")), "learning-texts")
+    left = {0: most_bytes, 1: most_bytes}
+    taken = []
+    for key, y, n in texts.select("id", "y", F.octet_length("row.data").alias("n")).orderBy(F.xxhash64("id"), "id").collect():
+        if n <= left[y]:
+            left[y] -= n
+            taken.append(key)
+    wanted = docs.sparkSession.createDataFrame([(k,) for k in taken], f"id {texts.schema['id'].dataType.simpleString()}")
+    rows = texts.join(F.broadcast(wanted), "id").collect()
+    return [(r.y, bytes(r.row.data), *(r.row.more if more else ())) for r in sorted(rows, key=lambda r: r.id)]
 
 
 def scored(docs: DataFrame, score: Callable[[list[bytes]], np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -4,23 +4,37 @@ A small network is trained to the non-negative unbiased risk: the risk of truste
 text taken as negative less the positives' own part in it, which may not fall below zero. The class prior is the share
 of positives among the labelled rows that may be learnt from, smoothed by one row of either class.
 
-Positives are at most ``EACH`` rows with label 1, unlabelled texts at most ``UNLABELLED`` rows of the table (chosen by a
-hash of the id outside the held-out fold; documented bounds). Every text is scored whole.
-
-Cases: null and empty texts have all features at zero; without trusted positives or unlabelled text every score is the
-prior; null labels are left out; repeated rows are kept; an empty table gives an empty result.
+The trusted positives are at most ``EACH`` labelled ids (a documented bound); the unlabelled side is every document of
+the table outside the held-out fold, and so are the means and scales of the features. Features are made once, in the
+tasks, and written; a round of training is one Spark job over them: each task starts from the network of the round
+before, takes mini-batches of its own rows against positives, and the networks of all tasks are averaged, weighted by
+rows. What comes to the driver is one row per parameter, and one feature row per positive.
+
+Cases: null and empty texts have all features at zero; very long texts are read whole, one at a time; without trusted
+positives or unlabelled text every score is the prior; null labels and ids whose labels contradict each other are left
+out, repeated labels count once, of several texts with one id one is trusted; repeated rows are kept; other columns are
+ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brambling.llm import labelled
+from brambling.llm.bpe import portions
+from brambling.llm.storage import bounded_batches, written
 
-EACH, UNLABELLED = 3_000, 6_000
-HIDDEN, ROUNDS, BATCH, RATE, DECAY = 16, 40, 256, 0.01, 1e-4
+EACH = 3_000
+HIDDEN, BATCH, RATE, DECAY = 16, 256, 0.01, 1e-4
+#: Rounds of training, and mini-batches that a task takes in one of them at least.
+ROUNDS, STEPS = 6, 150
 BLOCK = 16
 _KIND = np.full(256, 5, np.uint8)  # 0 lower, 1 upper, 2 digit, 3 space, 4 beyond ASCII, 5 symbol, 6 comma or full stop
 for _k, _codes in enumerate((range(97, 123), range(65, 91), range(48, 58), (9, 10, 11, 12, 13, 32), range(128, 256))):
@@ -64,30 +78,41 @@ def features(texts: list[bytes]) -> np.ndarray:
 
 
 class PuNet:
-    def __init__(self, x: np.ndarray, prior: float, seed: int = 11):
+    def __init__(self, mean: np.ndarray, scale: np.ndarray, prior: float, seed: int = 11):
         rng = np.random.default_rng(seed)
-        self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-3
-        self.w, self.b = rng.normal(0, 1 / np.sqrt(x.shape[1]), (x.shape[1], HIDDEN)), np.zeros(HIDDEN)
+        n = len(mean)
+        self.mean, self.scale, self.prior = mean, scale, prior
+        self.w, self.b = rng.normal(0, 1 / np.sqrt(n), (n, HIDDEN)), np.zeros(HIDDEN)
         self.v, self.c = rng.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN), np.zeros(1)
-        self.prior = prior
+
+    def parameters(self) -> np.ndarray:
+        return np.concatenate([x.ravel() for x in (self.w, self.b, self.v, self.c)])
+
+    def with_parameters(self, values: np.ndarray) -> PuNet:
+        out = PuNet(self.mean, self.scale, self.prior)
+        at = 0
+        for x in (out.w, out.b, out.v, out.c):
+            x[...] = values[at : at + x.size].reshape(x.shape)
+            at += x.size
+        return out
+
+    def scaled(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x - self.mean) / self.scale, -8, 8)
 
     def _hidden(self, x: np.ndarray) -> np.ndarray:
         return np.tanh(x @ self.w + self.b)
 
-    def scores(self, texts: list[bytes]) -> np.ndarray:
-        if not texts:
-            return np.zeros(0)
-        x = np.clip((features(texts) - self.mean) / self.scale, -8, 8)
-        return labelled.sigmoid(self._hidden(x) @ self.v + self.c)
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        return labelled.sigmoid(self._hidden(self.scaled(x)) @ self.v + self.c)
 
-    def learn(self, positive: np.ndarray, unlabelled: np.ndarray, seed: int = 11) -> None:
-        rng = np.random.default_rng(seed)
-        adam = labelled.Adam([self.w, self.b, self.v, self.c], RATE)
-        p, u = (np.clip((x - self.mean) / self.scale, -8, 8) for x in (positive, unlabelled))
-        for _ in range(ROUNDS):
+    def learn(self, adam: labelled.Adam, p: np.ndarray, u: np.ndarray, steps: int, rng: np.random.Generator) -> None:
+        """Mini-batches over the scaled rows ``u``, all of them at least once."""
+        done = 0
+        while done == 0 or done < steps:
             order = rng.permutation(len(u))
             for at in range(0, len(order), BATCH):
                 self._step(adam, p[rng.integers(0, len(p), BATCH)], u[order[at : at + BATCH]])
+                done += 1
 
     def _step(self, adam: labelled.Adam, p: np.ndarray, u: np.ndarray) -> None:
         x = np.concatenate([p, u])
@@ -109,29 +134,101 @@ class Constant:
     def __init__(self, value: float):
         self.value = value
 
-    def scores(self, texts: list[bytes]) -> np.ndarray:
-        return np.full(len(texts), self.value)
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        return np.full(len(x), self.value)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality") -> PuNet | Constant:
+def surface(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col, x array<float>: the features of every text."""
+    data = F.coalesce(F.encode(F.col(text_col).cast("string"), "UTF-8"), F.lit(b""))
+    rows = bounded_batches(docs.select(F.col(id_col), data.alias("data")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in portions(pc.binary_length(batch.column(1)).to_numpy()):
+                n = part.stop - part.start
+                found = features(batch.column(1).slice(part.start, n).to_pylist()).astype(np.float32)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * found.shape[1], pa.int32()), pa.array(found.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.start, n), lists], names=[id_col, "x"])
+
+    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, x array<float>")
+
+
+def _matrix(column: pa.ListArray) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(len(column), -1).astype(np.float64)
+
+
+def _summed(rows: DataFrame, per_task) -> np.ndarray | None:
+    """The sum over all tasks of the vector that ``per_task`` makes of a task's matrices; None if no task has any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = per_task(_matrix(b.column(0)) for b in batches if b.num_rows)
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], names=["k", "value"])
+
+    sums = rows.select("x").mapInArrow(run, "k int, value double").groupBy("k").agg(F.sum("value").alias("value")).orderBy("k").collect()
+    return np.array([r.value for r in sums]) if sums else None
+
+
+def _moments(parts: Iterator[np.ndarray]) -> np.ndarray | None:
+    total = None
+    for x in parts:
+        now = np.concatenate([[len(x)], x.sum(axis=0), (x * x).sum(axis=0)])
+        total = now if total is None else total + now
+    return total
+
+
+def _round(net: PuNet, positive: np.ndarray, number: int):
+    """One task's part of a round: its network's parameters times its rows, and the rows."""
+
+    def per_task(parts: Iterator[np.ndarray]) -> np.ndarray | None:
+        own, rows = net.with_parameters(net.parameters()), 0
+        adam = labelled.Adam([own.w, own.b, own.v, own.c], RATE / (1 + number / 2))
+        rng = np.random.default_rng([number, TaskContext.get().partitionId()])
+        for x in parts:
+            own.learn(adam, positive, net.scaled(x), 0 if rows else STEPS, rng)
+            rows += len(x)
+        return np.append(own.parameters() * rows, rows) if rows else None
+
+    return per_task
+
+
+def fit(rows: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: str = "quality") -> PuNet | Constant:
+    """The network for the written rows of ``surface``."""
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label).isNotNull() & ~labelled.held_out(F.col(id_col)))
-    ones, rows = known.agg(F.coalesce(F.sum(F.when(F.col(label) == 1, 1)), F.lit(0)), F.count(F.lit(1))).first()
-    prior = (ones + 1) / (rows + 2)
-    trusted = labelled.learning_rows(labels.filter(F.col(label) == 1), label, EACH, id_col)
-    web = docs.select(id_col).filter(F.col(id_col).isNotNull() & ~labelled.held_out(F.col(id_col))).orderBy(F.xxhash64(id_col), id_col).limit(UNLABELLED).distinct().withColumn("y", F.lit(0))
-    sides = [_features([r[1] for r in labelled.texts_of(docs, chosen, id_col, text_col)]) for chosen in (trusted, web)]
-    if not len(sides[0]) or not len(sides[1]):
+    ones, n = known.agg(F.coalesce(F.sum(F.when(F.col(label) == 1, 1)), F.lit(0)), F.count(F.lit(1))).first()
+    prior = (ones + 1) / (n + 2)
+    trusted = labelled.learning_rows(labels, label, EACH, id_col, classes=(1,))
+    found = rows.join(F.broadcast(trusted.select(id_col)), id_col).groupBy(id_col).agg(F.min("x").alias("x")).orderBy(id_col).collect()
+    web = rows.filter(F.col(id_col).isNotNull() & ~labelled.held_out(F.col(id_col)))
+    sums = _summed(web, _moments)
+    if not found or sums is None:
         return Constant(prior)
-    net = PuNet(sides[1], prior)
-    net.learn(*sides)
+    mean, square = np.split(sums[1:] / sums[0], 2)
+    net = PuNet(mean, np.sqrt(np.maximum(square - mean * mean, 0)) + 1e-3, prior)
+    positive = net.scaled(np.array([r.x for r in found], np.float64))
+    for number in range(ROUNDS):
+        total = _summed(web, _round(net, positive, number))
+        net = net.with_parameters(total[:-1] / total[-1])
     return net
 
 
-def _features(texts: list[bytes]) -> np.ndarray:
-    return np.concatenate([features(texts[i : i + 200]) for i in range(0, len(texts), 200)]) if texts else np.zeros((0, 0))
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality") -> PuNet | Constant:
+    return fit(written(surface(docs, id_col, text_col), "surface"), labels, id_col, label)
+
+
+def score_surface(rows: DataFrame, net: PuNet | Constant, id_col: str = "doc_id") -> DataFrame:
+    """id_col, held_out, score: how likely label 1 is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(net.scores(_matrix(batch.column(1))))], names=[id_col, "score"])
+
+    scored = rows.select(id_col, "x").mapInArrow(run, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, score double")
+    return scored.select(id_col, labelled.held_out(F.col(id_col)).alias("held_out"), "score")
 
 
 def score_documents(docs: DataFrame, net: PuNet | Constant, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, held_out, score: how likely label 1 is."""
-    found = labelled.scored(docs.select(id_col, text_col), net.scores, id_col, text_col)
-    return found.select(F.col("row")[id_col].alias(id_col), labelled.held_out(F.col("row")[id_col]).alias("held_out"), "score")
+    return score_surface(surface(docs, id_col, text_col), net, id_col)

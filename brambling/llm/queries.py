@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brambling.llm import bpe, chat, decontam, exact_dedup, extract, quality, simhash, toxicity, warc, weighted_sampling
-from brambling.llm.storage import new_folder
+from brambling.llm.storage import new_folder, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,8 +32,8 @@ def op2_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    found = quality.score_documents(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    rows = written(quality.surface(table(spark, sf_dir, "documents")), "surface")
+    found = quality.score_surface(rows, quality.fit(rows, table(spark, sf_dir, "labels")))
     return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 

@@ -4,13 +4,15 @@ A word is the sum of hashed embeddings of itself and of its first letters; filte
 words, their highest values over the whole text go into a logistic output. Only the places of these highest values get
 gradients. Hash values that fewer than ``MIN_TEXTS`` learning texts have stay zero, so that unknown words say nothing.
 
-The classes are learnt from at most ``EACH`` labelled rows of either class (a documented bound); every text is scored
-whole. Thresholds are set by language, on texts that the network did not learn from, where a language has enough of
-them. They serve ``decide`` only; a score never uses the language.
-
-Cases: null and empty texts get the score of no words; labels that are null or of unknown documents are left out; with
-no labels of one class all scores are the share of the other (0.5 without any); repeated rows are kept; a null or
-unknown language has the threshold 0.5; an empty table gives an empty result.
+The classes are learnt from at most ``EACH`` labelled ids and ``BYTES`` bytes of text of either class (documented bounds);
+every text is scored whole. Thresholds are set by language, on texts that the network did not learn from, where a
+language has enough of them. They serve ``reject_toxic`` only; a score never uses the language.
+
+Cases: null and empty texts get the score of no words; labels that are null, of unknown documents or that contradict
+each other are left out, repeated ones count once; of several texts with one id one is learnt from; with no labels of
+one class all scores are the share of the other (0.5 without any); very long texts are scored in whole, one at a time;
+repeated rows are kept; a null or unknown language has the threshold 0.5; ``reject_toxic`` keeps all columns, whatever
+their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from brambling.llm import labelled
 from brambling.llm.bpe import portions
 from brambling.llm.storage import bounded_batches
 
-EACH, MIN_TEXTS, CHECKED = 2_500, 3, 8
+EACH, BYTES, MIN_TEXTS, CHECKED = 2_500, 16 << 20, 3, 8
 SPACE_BITS, SIZE, WIDTHS, FILTERS = 18, 8, (1, 2, 3), 8
 #: Rounds over the learning texts: at most ROUNDS, fewer once VISITS texts were seen, three at least.
 ROUNDS, VISITS, BATCH, RATE, DECAY = 16, 16_000, 32, 0.01, 1e-4
@@ -61,7 +63,6 @@ class TextCnn:
         self.b = np.zeros(FILTERS * len(WIDTHS), np.float32)
         self.v = rng.normal(0, 0.3, FILTERS * len(WIDTHS)).astype(np.float32)
         self.c = np.zeros(1, np.float32)
-        self.shift = 0.0
 
     def _convolved(self, x: np.ndarray) -> list[np.ndarray]:
         out = []
@@ -84,7 +85,7 @@ class TextCnn:
         return np.maximum(best + self.b, 0) @ self.v + self.c
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        return labelled.sigmoid(self.logits(texts).astype(np.float64) + self.shift)
+        return labelled.sigmoid(self.logits(texts).astype(np.float64))
 
     def learn(self, texts: list[bytes], y: np.ndarray, seed: int = 7) -> None:
         rng = np.random.default_rng(seed)
@@ -148,7 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """A classifier, and thresholds by language."""
     chosen = labelled.learning_rows(labels, label, EACH, id_col)
     more = [lang_col] if lang_col and lang_col in docs.columns else []
-    rows = labelled.texts_of(docs, chosen, id_col, text_col, *more)
+    rows = labelled.texts_of(docs, chosen, BYTES, id_col, text_col, *more)
     y = np.array([r[0] for r in rows], np.float32)
     if len(set(y.tolist())) < 2:
         return Constant(float(y.mean()) if len(y) else 0.5), {}

@@ -111,3 +111,35 @@ def test_many_texts_are_one_by_one():
     used[0] = False
     net = toxicity.TextCnn(used)
     assert np.allclose(net.scores(texts), np.concatenate([net.scores([t]) for t in texts]), atol=1e-5)
+
+
+def test_labels_count_once(spark):
+    labels = spark.createDataFrame([(i, 1) for i in range(30)] * 5 + [(i, 0) for i in range(20, 50)] + [(None, 1), (60, None), (61, 7)], "doc_id long, toxic int")
+    got = {r.doc_id: r.y for r in labelled.learning_rows(labels, "toxic", 100).collect()}
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    assert got == {i: int(i < 20) for i in [*range(20), *range(30, 50)] if not fold(i)}
+    assert labelled.learning_rows(labels, "toxic", 3).count() == 6
+
+
+def test_learning_texts_are_bounded(spark):
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5][:10]
+    docs = spark.createDataFrame([(i, f"{i} {k} " + "word " * 20, "x") for i in ids for k in range(50)] + [(ids[0], None, None), (ids[1], "x" * 5_000_000, "y")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in ids] * 400, "doc_id long, toxic int")
+    rows = labelled.texts_of(docs, labelled.learning_rows(labels, "toxic", 100), 1_000_000, "doc_id", "text", "lang")
+    assert len(rows) in (9, 10) and all(len(r[1]) < 200 and len(r) == 3 for r in rows)
+    few = labelled.texts_of(docs, labelled.learning_rows(labels, "toxic", 100), 250, "doc_id", "text")
+    assert 2 <= len(few) <= 6 and all(sum(len(r[1]) for r in few if r[0] == y) <= 250 for y in (0, 1))
+
+
+@pytest.mark.parametrize("name, module, limit, scale", [("quality", quality, 0.3, 0.01), ("toxic", toxicity, 0.5, 0.1)])
+def test_held_out_documents(spark, name, module, limit, scale):
+    """Held-out accuracy on the tables themselves (the small ones have six toxic documents), with columns whose names clash."""
+    docs = spark.read.parquet(f"/root/testdata/sf{scale}/documents.parquet").selectExpr("*", "1 AS row", "2 AS score", "3 AS x", "4 AS data", "5 AS id", "6 AS y")
+    labels = spark.read.parquet(f"/root/testdata/sf{scale}/labels.parquet")
+    net = module.train(docs, labels)
+    net = net[0] if isinstance(net, tuple) else net
+    got = {r.doc_id: r for r in module.score_documents(docs, net).collect()}
+    rows = [(got[r.doc_id].score, r[name]) for r in labels.collect() if r.doc_id in got and got[r.doc_id].held_out and r[name] is not None]
+    ones, zeros = (np.array([s for s, y in rows if y == v]) for v in (1, 0))
+    assert len(rows) > 40 and (ones[:, None] > zeros).mean() >= 0.98, ((ones[:, None] > zeros).mean(), len(rows))
+    assert np.mean([(s >= limit) == (y == 1) for s, y in rows]) >= 0.95
