@@ -1,55 +1,72 @@
 """Chat formatting by cumulative-snapshot collapse.
 
-A logger that stores a conversation after every turn leaves snapshots: each is a prefix of a longer one. Every
-conversation gets a rolling hash per turn prefix; a conversation whose whole hash is a strict prefix hash of another
-goes (anti-join), equal conversations keep the smallest id, and what is left is rendered.
+A logger that stores a conversation after every turn leaves snapshots: each is a prefix of a longer one. Every turn adds
+a hash of its place, role and text to a running sum over its conversation, so each prefix of turns has a rolling hash; a
+conversation whose whole hash is a strict prefix hash of another goes (anti-join), equal conversations keep the smallest
+id, and what is left is rendered.
 
-Only DataFrame functions are used. The rolling hash is a chain of SHA-256 over (previous hash, role, text), so a match
-is a match of the whole prefix. Prefix hashes are made distinct before the join (one very common first turn is one row).
+Only DataFrame functions are used. The sums are two numbers of 60 bits of SHA-256 each, beside the number of turns, and
+come from one window over the conversation, in time in proportion to its turns. The same exchange serves the window and
+the grouping. Prefix hashes are made distinct before the join (one very common first turn is one row).
 
 Cases: a null role or text counts as the empty string, a null turn sorts first, ties of ``turn`` are ordered by role
-and text, repeated rows are repeated turns, rows with a null ``conv_id`` form one conversation, an empty table gives
-an empty result, other columns are ignored. A conversation is one row of the grouped table, so its size is what one
-task must hold; the number of conversations and of copies is not bounded.
+and text, repeated rows are repeated turns, a row with a null ``conv_id`` belongs to no other one and is a conversation
+of its own (of equal ones a single one stays, as always), an empty table gives an empty result, other columns are
+ignored, whatever their names. A rendered conversation is one row, so its size is what one task must hold; the number of
+conversations and of copies is not bounded.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 
-def _turns(df: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
+def _said(df: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
     said = F.struct(
         F.col(turn).cast("long").alias("turn"),
         F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
     )
-    return df.groupBy(F.col(conv).alias("conv_id")).agg(F.sort_array(F.collect_list(said)).alias("turns"))
+    return df.select(F.col(conv).alias("conv_id"), said.alias("said"))
 
 
-def _chain(turns: Column) -> Column:
-    """Hashes of all prefixes, shortest first. The length of the role keeps (role, text) apart."""
-    step = lambda made, t: F.concat(
-        made,
-        F.array(F.sha2(F.concat_ws("\x1f", F.coalesce(F.try_element_at(made, F.lit(-1)), F.lit("")), F.length(t["role"]).cast("string"), t["role"], t["text"]), 256)),
-    )
-    return F.aggregate(turns, F.array().cast("array<string>"), step)
+def _digest(place: Column, said: Column) -> Column:
+    """SHA-256 of a turn and its place. The length of the role keeps role and text apart."""
+    return F.sha2(F.concat_ws("\x1f", place.cast("string"), F.length(said["role"]).cast("string"), said["role"], said["text"]), 256)
+
+
+def _half(digest: Column, k: int) -> Column:
+    return F.conv(F.substring(digest, 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)")
+
+
+def _name(place: Column, a: Column, b: Column) -> Column:
+    return F.concat_ws("-", place.cast("string"), a.cast("string"), b.cast("string"))
 
 
 def conversation_prefixes(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """conv_id, turns array<struct<turn, role, text>>, prefixes array<string>: rolling hashes after each turn."""
-    return _turns(df, conv, turn, role, text).withColumn("prefixes", _chain(F.col("turns")))
+    rows = _said(df, conv, turn, role, text)
+    ordered = Window.partitionBy("conv_id").orderBy("said.turn", "said.role", "said.text")
+    running = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = rows.filter("conv_id is not null").withColumn("place", F.row_number().over(ordered)).withColumn("digest", _digest(F.col("place"), F.col("said")))
+    summed = placed.withColumn("prefix", _name(F.col("place"), F.sum(_half(F.col("digest"), 0)).over(running), F.sum(_half(F.col("digest"), 1)).over(running)))
+    steps = F.sort_array(F.collect_list(F.struct("place", "said", "prefix")))
+    grouped = summed.groupBy("conv_id").agg(steps.alias("steps")).select("conv_id", F.col("steps.said").alias("turns"), F.col("steps.prefix").alias("prefixes"))
+    digest = _digest(F.lit(1), F.col("said"))
+    alone = rows.filter("conv_id is null").select("conv_id", F.array("said").alias("turns"), F.array(_name(F.lit(1), _half(digest, 0), _half(digest, 1))).alias("prefixes"))
+    return grouped.unionByName(alone)
 
 
 def maximal_conversations(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """The conversations that are no prefix of a longer one; of equal ones that with the smallest id, and how many there were."""
+    """The conversations that are no prefix of a longer one; of equal ones that with the smallest id (null last), and how many there were."""
     chains = conversation_prefixes(df, conv, turn, role, text).withColumn("whole", F.element_at("prefixes", -1))
     inner = chains.select(F.explode(F.slice("prefixes", 1, F.size("prefixes") - 1)).alias("whole")).distinct()
-    kept = chains.groupBy("whole").agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_copies")).join(inner, "whole", "left_anti")
-    return chains.drop("whole", "prefixes").join(kept, chains["conv_id"].eqNullSafe(kept["conv_id"]), "inner").select(chains["conv_id"], "turns", "n_copies")
+    first = F.min(F.struct(F.col("conv_id").isNull().alias("none"), "conv_id", "turns"))
+    kept = chains.groupBy("whole").agg(first.alias("first"), F.count(F.lit(1)).alias("n_copies")).join(inner, "whole", "left_anti")
+    return kept.select("first.conv_id", "first.turns", "n_copies")
 
 
 def render(conversations: DataFrame, open_tag: str = OPEN, close_tag: str = CLOSE) -> DataFrame:

@@ -94,16 +94,18 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP10_SQL = """
-WITH t AS (
-  SELECT conv_id, coalesce(turn, -9223372036854775808) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+WITH numbered AS (
+  SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS own FROM conversations
+), t AS (
+  SELECT conv_id, own, coalesce(turn, -9223372036854775808) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM numbered
 ), n AS (
-  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k, count(*) OVER (PARTITION BY conv_id) AS n_turns FROM t
+  SELECT *, row_number() OVER (PARTITION BY conv_id, own ORDER BY turn, role, text) AS k, count(*) OVER (PARTITION BY conv_id, own) AS n_turns FROM t
 ), p AS (
   SELECT conv_id, k, n_turns,
     string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '')
-      OVER (PARTITION BY conv_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS said,
+      OVER (PARTITION BY conv_id, own ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS said,
     string_agg(length(role)::VARCHAR || ':' || role || chr(31) || length(text)::VARCHAR || ':' || text, chr(30))
-      OVER (PARTITION BY conv_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS path
+      OVER (PARTITION BY conv_id, own ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS path
   FROM n
 ), whole AS (
   SELECT path, min(conv_id) AS conv_id, count(*) AS n_copies, min(said) AS said, min(n_turns) AS n_turns FROM p WHERE k = n_turns GROUP BY path
