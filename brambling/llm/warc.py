@@ -1,7 +1,9 @@
 """WARC archives: writing, reading back, and a global capture index merged from sorted runs.
 
 Writing uses Spark's own text writer (a record ends in two line breaks, which is its line separator), so archives lie
-in any store that Spark reaches. A payload that several captures share is stored once: the capture with the largest
+in any store that Spark reaches. They are not compressed: offset and length of a record in the index are those in the
+file, so a reader can seek to it. Files hold about ``RUN_BYTES`` of payload, so payloads of a size class share a file
+and a very large one has its own. A payload that several captures share is stored once: the capture with the largest
 id is the response, the others are revisits that keep its HTTP headers and refer to it.
 
 Reading yields one index run per archive file, sorted by URL key, time and id. The runs are cut into ranges of that
@@ -9,14 +11,14 @@ key and each range is merged by a loser tree over its k runs, so the partitions
 capture history. The ranges split a very common URL too, as time and id are part of the key.
 
 Cases: a null payload is empty; a null URL is empty; repeated rows are repeated records; of several captures with the
-largest id and the same payload each is a response; a null id is written as ``null`` and read back as null; an empty
-table gives an archive without records and an empty index; other columns are ignored.
+largest id and the same payload each is a response; a null id is written as ``null`` and read back as null; a payload
+may be as long as a string of Spark can be (2 GB, the record with it); an empty table gives an archive without records
+and an empty index; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
@@ -29,7 +31,8 @@ from brambling.llm.storage import written
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-RUN_RECORDS, RANGE_ROWS = 4_000, 100_000
+#: Payload bytes of a file, the classes of payloads (bytes, from below) that share files, and index rows that a task merges.
+RUN_BYTES, CLASSES, RANGE_ROWS = 64 << 20, (0, 16 << 10, 256 << 10, 4 << 20, 64 << 20), 100_000
 INDEX = "url_key string, time string, page_id long, record_type string, refers_to long, payload_digest string, payload_bytes long, url string, run string, offset long, length long"
 
 
@@ -41,7 +44,7 @@ def base32_of_hex(digest: Column) -> Column:
 
 
 def write_archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", time_col: str | None = None, least_bytes: int = 0) -> None:
-    """Writes ``pages`` as gzipped WARC files. Equal payloads of ``least_bytes`` or more become revisits of one response.
+    """Writes ``pages`` as WARC files. Equal payloads of ``least_bytes`` or more become revisits of one response.
 
     Without ``time_col`` (a timestamp) the id counts as seconds, so ids give the order of captures.
     """
@@ -55,8 +58,18 @@ def write_archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
         F.sha1(F.encode(payload, "UTF-8")).alias("sha1"),
         payload.alias("payload"),
     )
-    shared = rows.filter(F.col("n") >= least_bytes).groupBy("sha1").agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").drop("copies")
-    rows = rows.join(shared, "sha1", "left")
+    shared = written(rows.filter(F.col("n") >= least_bytes).groupBy("sha1").agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").drop("copies"), "shared-payloads")
+    largest = rows.agg(F.max("n")).first()[0] or 0
+    for low, high in zip(CLASSES, [*CLASSES[1:], None]):
+        if low and low > largest:
+            break
+        mine = rows.filter((F.col("n") >= low) & (F.lit(True) if high is None else F.col("n") < high)).join(shared, "sha1", "left")
+        records = max(1, RUN_BYTES // high) if high else 1
+        _records(mine, least_bytes).write.mode("append").option("lineSep", "\r\n\r\n").option("compression", "none").option("maxRecordsPerFile", records).text(folder)
+
+
+def _records(rows: DataFrame, least_bytes: int) -> DataFrame:
+    """The rows as records of an archive."""
     again = (F.col("n") >= least_bytes) & F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("n").cast("string"), F.lit("\r\n\r\n"))
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">\r\n"))
@@ -71,7 +84,7 @@ def write_archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
         (F.octet_length(http) + F.when(again, 0).otherwise(F.col("n"))).cast("string"),
         F.lit("\r\n\r\n"), http, F.when(again, "").otherwise(F.col("payload")),
     )
-    rows.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", RUN_RECORDS).text(folder)
+    return rows.select(record.alias("value"))
 
 
 def url_key(url: str) -> str:
@@ -122,12 +135,18 @@ def read_runs(spark: SparkSession, folder: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column(0), batch.column(1)):
-                data = gzip.decompress(content.as_py())
+                data = content.as_py()
                 yield _table(sorted((_capture(h, b, path.as_py(), at, n) for h, b, at, n in parse_records(data)), key=order))
 
     return spark.read.format("binaryFile").load(folder).select("path", "content").mapInArrow(run, INDEX)
 
 
+def read_record(data: bytes) -> tuple[dict[str, str], bytes]:
+    """Headers and block of the one record in ``data``: the bytes of its file from ``offset`` on, ``length`` of them."""
+    head, block, _, _ = next(parse_records(data))
+    return head, block
+
+
 def _table(rows: list[tuple]) -> pa.RecordBatch:
     kinds = {"string": pa.string(), "long": pa.int64()}
     fields = [f.split(" ") for f in INDEX.split(", ")]

@@ -36,3 +36,21 @@ def test_empty(spark):
     folder = new_folder(spark, "test")
     warc.write_archive(spark.createDataFrame([], "page_id long, url string, html string"), folder)
     assert warc.capture_history(spark, folder).count() == 0
+
+
+def test_large_payloads_and_seeking(spark, monkeypatch):
+    monkeypatch.setattr(warc, "RUN_BYTES", 4_000)
+    monkeypatch.setattr(warc, "CLASSES", (0, 100, 1_000, 50_000))
+    rng = random.Random(2)
+    rows = [(i, f"http://a.org/{i % 7}", "".join(rng.choice("ab\r\né") for _ in range(rng.choice([0, 5, 90, 500, 900, 40_000])))) for i in range(120)] + [(500, "http://a.org/big", "é" * 3_000_000)]
+    folder = new_folder(spark, "test")
+    warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), folder, least_bytes=1)
+    got = warc.capture_history(spark, folder).collect()
+    payload = {i: (h or "").encode() for i, _, h in rows}
+    assert len(got) == len(rows) and len({r.run for r in got}) > 40
+    for r in got:
+        with open(r.run.removeprefix("file:"), "rb") as f:
+            f.seek(r.offset)
+            head, block = warc.read_record(f.read(r.length))
+        assert head["warc-record-id"] == f"<urn:page:{r.page_id}>" and r.payload_bytes == len(payload[r.page_id])
+        assert r.record_type == "revisit" or block.partition(b"\r\n\r\n")[2] == payload[r.page_id]
