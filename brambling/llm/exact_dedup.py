@@ -233,6 +233,8 @@ def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
 
 def kept_texts(docs: DataFrame, text_col: str = "text", width: int = 200) -> DataFrame:
     """k1, k2, n_bytes, spans (removed, half-open), kept binary: one row per different text."""
+    if width < GRAM:
+        raise ValueError(f"strings of {width} bytes are shorter than the pieces of {GRAM} bytes that group them")
     spark = bounded_batches(docs).sparkSession
     name = f"brambling_texts_{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))

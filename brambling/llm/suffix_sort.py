@@ -20,6 +20,8 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 BITS, SIDE = 9, 7
+#: Queue entries that a task holds in memory (5 bytes each); more lie on disk. A shard of the query has up to 3 million.
+HELD = 1 << 19
 END = (1 << BITS) - 1
 #: A byte that UTF-8 never has. As a symbol it is the smallest.
 SEPARATOR = b"\xff"
@@ -28,8 +30,8 @@ SEPARATOR = b"\xff"
 class BucketQueue:
     """First-in first-out chunks of (place, shared length) per first symbol; all chunks beyond ``held`` entries in memory go to disk."""
 
-    def __init__(self, held: int):
-        self.held, self.size, self.file = held, 0, None
+    def __init__(self, held: int, kind: np.dtype):
+        self.held, self.kind, self.size, self.file = held, np.dtype(kind), 0, None
         self.chunks: dict[int, deque] = defaultdict(deque)
         self.last: dict[int, int] = {}
 
@@ -57,7 +59,7 @@ class BucketQueue:
                 if isinstance(at, int):
                     self.file.seek(at)
                     n = shared
-                    at, shared = np.frombuffer(self.file.read(4 * n), np.int32), np.frombuffer(self.file.read(n), np.uint8)
+                    at, shared = np.frombuffer(self.file.read(4 * n), np.int32), np.frombuffer(self.file.read(self.kind.itemsize * n), self.kind)
                 else:
                     self.size -= len(at)
                 batch.append((at, shared))
@@ -106,7 +108,7 @@ def shared_lengths(words: np.ndarray, a: np.ndarray, b: np.ndarray, width: int)
         live = live[same]
         if not len(live):
             break
-    return np.minimum(out, width).astype(np.uint8)
+    return np.minimum(out, width).astype(np.min_scalar_type(width))
 
 
 class Shard:
@@ -115,7 +117,7 @@ class Shard:
     def __init__(self, pieces: Iterable[bytes], width: int):
         pieces = list(pieces)
         size = sum(map(len, pieces)) + len(pieces)
-        self.width, self.n = width, size
+        self.width, self.n, self.small = width, size, np.min_scalar_type(width)
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
         self.first = np.cumsum(lengths + 1) - lengths - 1
         raw = np.frombuffer(SEPARATOR.join(pieces) + SEPARATOR * (width + 17), np.uint8)
@@ -158,17 +160,17 @@ class Shard:
             step *= 2
         return at[np.argsort(name, kind="stable")]
 
-    def duplicated(self, held: int = 1 << 24) -> np.ndarray:
+    def duplicated(self, held: int = HELD) -> np.ndarray:
         """True at every place whose ``width`` symbols begin at another place too, within one piece."""
         s, width, kind = self.s, self.width, self.kind
         twice = np.zeros(self.n, bool)
         if self.n <= 2:
             return twice
         star = self.leftmost().astype(np.int32)
-        shared = np.zeros(len(star), np.uint8)
+        shared = np.zeros(len(star), self.small)
         shared[1:] = shared_lengths(self.words, star[:-1], star[1:], width)
         cut = np.searchsorted(s[star], np.arange(258))
-        queue, lower = BucketQueue(held), BucketQueue(held)
+        queue, lower = BucketQueue(held, self.small), BucketQueue(held, self.small)
 
         def induce(batch: np.ndarray, values: np.ndarray, keep: np.ndarray, into: BucketQueue) -> None:
             index = np.nonzero(keep)[0]
@@ -179,7 +181,7 @@ class Shard:
             order = np.argsort(symbol, kind="stable")
             index, before, symbol = index[order], before[order], symbol[order]
             head = np.concatenate([[True], symbol[1:] != symbol[:-1]])
-            value = np.zeros(len(index), np.uint8)
+            value = np.zeros(len(index), self.small)
             rest = np.nonzero(~head)[0]
             if len(rest):
                 value[rest] = np.minimum(width - 1, LeastBetween(values)(index[rest - 1] + 1, index[rest])) + 1
@@ -210,7 +212,7 @@ class Shard:
             if cut[c] < cut[c + 1]:
                 batch, values = star[cut[c] : cut[c + 1]], shared[cut[c] : cut[c + 1]]
                 induce(batch, values, batch > 0, queue)
-        upper = BucketQueue(held)
+        upper = BucketQueue(held, self.small)
         for c in range(256, -1, -1):
             previous = -1
             for batch, values in upper.take(c):
@@ -219,7 +221,7 @@ class Shard:
                 induce(batch, values, (batch > 0) & (s[batch - 1] <= c), upper)
             chunks = list(lower.take(c))
             for k in range(len(chunks) - 1, -1, -1):
-                batch, values = chunks[k][0][::-1], np.concatenate([np.zeros(1, np.uint8), chunks[k][1][:0:-1]])
+                batch, values = chunks[k][0][::-1], np.concatenate([np.zeros(1, self.small), chunks[k][1][:0:-1]])
                 if k == len(chunks) - 1 and previous >= 0:
                     pair = np.array([previous, batch[0]], np.int64)
                     if shared_lengths(self.words, pair[:1], pair[1:], width)[0] >= width:

@@ -64,3 +64,29 @@ def test_remove(spark):
     assert got == {1: "12é345é678é90", 2: "!", 3: None}
     assert x.find_repeats(docs.limit(0)).count() == 0
     assert {r.doc_id: r.kept for r in x.find_repeats(docs, width=40).collect()}[3] == b""
+
+
+def test_wide_strings_and_small_memory(spark, monkeypatch):
+    """Values above a byte, and a shard of over ten times what the queues hold in memory."""
+    from brambling.llm import suffix_sort
+
+    monkeypatch.setattr(suffix_sort.Shard.duplicated, "__defaults__", (300,))
+    spilled = []
+    push = suffix_sort.BucketQueue.push
+    rng = random.Random(8)
+    pieces = ["".join(rng.choice("ab") for _ in range(rng.randint(250, 700))).encode() for _ in range(12)]
+    pieces += [pieces[0][20:] + b"a", b"x" + pieces[3], b"ab" * 400]
+    monkeypatch.setattr(suffix_sort.BucketQueue, "push", lambda self, *a: (push(self, *a), spilled.append(self.file is not None)))
+    for width in (200, 300):
+        shard = suffix_sort.Shard(pieces, width)
+        assert shard.n > 3_000
+        flags = shard.duplicated()
+        want = brute_flags(pieces, width)
+        for first, piece, w in zip(shard.first.tolist(), pieces, want):
+            assert flags[first : first + max(0, len(piece) - width + 1)].tolist() == [bool(x) for x in w][: max(0, len(piece) - width + 1)]
+    assert sum(spilled) > len(spilled) / 4
+    rows = [(i, p.decode()) for i, p in enumerate(pieces)]
+    got = x.digest_repeats(spark.createDataFrame(rows, "doc_id long, text string"), width=300).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows, 300)
+    with pytest.raises(ValueError):
+        x.find_repeats(spark.createDataFrame(rows, "doc_id long, text string"), width=20)
