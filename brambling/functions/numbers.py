@@ -58,6 +58,16 @@ def near(a: Column | str, b: Column | str, tolerance: float = 0.02) -> Column:
     return F.when(a.isNull() & b.isNull(), True).when(a.isNull() | b.isNull(), False).when(top == 0, True).otherwise(F.abs(a - b) / top <= tolerance)
 
 
+def equivalent(a: Column | str, b: Column | str, pairs: list[tuple[float, float]], tolerance: float = 0.05) -> Column:
+    """Equal, or the lesser near the first and the greater near the second of one of the pairs."""
+    a, b = col(a), col(b)
+    low, high = F.least(a, b), F.greatest(a, b)
+    out = a == b
+    for x, y in pairs:
+        out = out | (near(low, F.lit(x), tolerance) & near(high, F.lit(y), tolerance))
+    return F.coalesce(out & a.isNotNull() & b.isNotNull(), F.lit(False))
+
+
 # Turkish month names.
 MONTHS = ("ocak", "şubat", "mart", "nisan", "mayıs", "haziran", "temmuz", "ağustos", "eylül", "ekim", "kasım", "aralık")
 

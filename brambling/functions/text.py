@@ -217,3 +217,9 @@ def route_template(c: Column | str) -> Column:
 def excerpt(c: Column | str, n: int = 50) -> Column:
     """The first ``n`` characters, and ``...`` if there are more."""
     return F.when(F.length(col(c)) > n, F.concat(F.substring(col(c), 1, n), F.lit("..."))).otherwise(col(c))
+
+
+def entity_type(number: Column | str) -> Column:
+    """Eleven digits name a person, ten a company; anything else says nothing."""
+    n = F.length(F.regexp_replace(col(number), r"\D", ""))
+    return F.when(n == 11, "individual").when(n == 10, "corporate")

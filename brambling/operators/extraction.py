@@ -80,6 +80,15 @@ def place(c: Column | str, places: list[tuple[str, str]], default: str | None =
     return F.coalesce(*hits, F.lit(default).cast("string"))
 
 
+def province(c: Column | str, provinces: list[tuple[str, str]]) -> Column:
+    """The code of the first province whose name is part of an address, else the first two-digit number that is a code."""
+    text = F.upper(col(c))
+    named = [F.when(F.contains(F.concat(F.lit(" "), F.regexp_replace(text, r"[^\p{L}\p{N}]+", " "), F.lit(" ")), F.lit(f" {name.upper()} ")), F.lit(code)) for name, code in provinces]
+    codes = F.array(*[F.lit(code) for _, code in provinces])
+    given = F.filter(F.regexp_extract_all(text, F.lit(r"(?<![0-9])([0-9]{2})(?![0-9])"), F.lit(1)), lambda x: F.array_contains(codes, x))
+    return F.coalesce(*named, F.try_element_at(given, F.lit(1)))
+
+
 def contradictions(docs: DataFrame, key: str, text: str, claims: dict[str, tuple[str, str, str]]) -> DataFrame:
     """key, claim, severity: an extracted value that none of the pattern's finds in the text agrees with. claims: name -> (column, pattern, severity)."""
     plain = lambda x: F.lower(F.regexp_replace(x, r"[\s.,]", ""))
