@@ -107,6 +107,12 @@ def deep_merge(maps: list[Column]) -> Column:
     return reduce(lambda a, b: F.map_zip_with(a, b, lambda k, x, y: F.coalesce(y, x)), maps)
 
 
+def preferred(defaults: Column, preferences: Column, allowed: list[str]) -> Column:
+    """A configuration map with a user's values for the keys that users may set; other keys of theirs count for nothing."""
+    own = F.map_filter(F.coalesce(preferences, F.create_map().cast("map<string,string>")), lambda k, v: k.isin(allowed) & v.isNotNull())
+    return deep_merge([defaults, own])
+
+
 def flatten(df: DataFrame, separator: str = ".") -> DataFrame:
     """Nested structs as columns with dotted names."""
     from pyspark.sql.types import StructType

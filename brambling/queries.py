@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brambling.plans import business, fields, logs, markets, texts
+from brambling.plans import business, fields, logs, markets, records, texts
 
-FAMILIES = (logs, business, markets, texts, fields)
+FAMILIES = (logs, business, markets, texts, fields, records)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

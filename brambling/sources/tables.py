@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -71,6 +73,16 @@ def comparison(df: DataFrame, key: str, metrics: list[str], keys: list[str]) ->
     return stacked.groupBy("metric").pivot(key, keys).agg(F.first("value"))
 
 
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new path in the folder of ``spark.checkpoint.dir``, which all executors see; without it, on one machine only, in a temporary one."""
+    there = spark.conf.get("spark.checkpoint.dir", None)
+    if not there:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
+        there = tempfile.mkdtemp(prefix="brambling-")
+    return f"{there.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
 def portable(tables: dict[str, DataFrame], user: str, value) -> DataFrame:
     """All rows of one user in all tables: (store, record as JSON)."""
     out = None
@@ -81,10 +93,13 @@ def portable(tables: dict[str, DataFrame], user: str, value) -> DataFrame:
 
 
 def upsert(spark: SparkSession, new: DataFrame, path: str, keys: list[str], then: Callable[[DataFrame], DataFrame] = lambda d: d) -> str:
-    """Writes old and new rows (new ones win) beside the old table and returns the new path; the old one stays for running readers."""
-    old = spark.read.parquet(path)
-    to = f"{path.rstrip('/')}-next"
-    then(latest_per_key(new, old, keys)).write.parquet(to)
+    """Writes old and new rows (new ones win) as a new version beside the table and returns its path.
+
+    The old version stays for running readers; the caller points to the new one (a name in a catalog, a setting) when it
+    likes, and may call again with either path.
+    """
+    to = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
+    then(latest_per_key(new, spark.read.parquet(path), keys)).write.parquet(to)
     return to
 
 
