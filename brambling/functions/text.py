@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 TURKISH, PLAIN = "İıĞğÜüŞşÖöÇç", "IiGgUuSsOoCc"
 OCR_CONFUSED, OCR_MEANT = "01lıi5", "oiiiis"
 LETTERS = "a-zA-ZçğıöşüÇĞİÖŞÜâîûÂÎÛ"
+ALL_LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ" + LETTERS[6:]
+BLANKS = " \t\n\x0b\f\r"
 
 
 def col(c: Column | str) -> Column:
@@ -89,10 +91,16 @@ def jaccard(a: Column | str, b: Column | str) -> Column:
     return F.when(union == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
+def without(c: Column | str, characters: str) -> Column:
+    """The text without these characters: one pass, no pattern."""
+    return F.translate(col(c), characters, "")
+
+
 def letter_ratio(c: Column | str) -> Column:
     """Share of letters among what is no white space; 1 for blank text."""
-    solid = F.regexp_replace(col(c), r"\s", "")
-    return F.when(F.length(solid) == 0, 1.0).otherwise(F.length(F.regexp_replace(solid, f"[^{LETTERS}]", "")) / F.length(solid))
+    solid = without(c, BLANKS)
+    n = F.length(solid)
+    return F.when(n == 0, 1.0).otherwise((n - F.length(without(solid, ALL_LETTERS))) / n)
 
 
 def count_of(c: Column | str, characters: str) -> Column:
@@ -167,15 +175,24 @@ def signal_score(c: Column | str, signals: list[tuple[str, float]], most: float
     return F.least(total, F.lit(most))
 
 
-def term_score(c: Column | str, terms: list[str], letters: str = "") -> Column:
-    """0.7 of the share of terms that occur plus 0.3 of the special letters (five or more count in full)."""
-    share = reduce(lambda a, b: a + b, (F.when(tokens_contain(c, t), 1).otherwise(0) for t in terms), F.lit(0)) / max(1, len(terms))
+def term_score(c: Column | str, terms: list[str], letters: str = "", padded: Column | str | None = None) -> Column:
+    """0.7 of the share of terms that occur plus 0.3 of the special letters (five or more count in full).
+
+    ``padded``: a column that holds ``padded_words`` of the text already, when many sets of terms are tried.
+    """
+    words = padded_words(c) if padded is None else col(padded)
+    share = reduce(lambda a, b: a + b, (F.when(words.contains(f" {t} "), 1).otherwise(0) for t in terms), F.lit(0)) / max(1, len(terms))
     special = F.least(count_of(c, letters) / 5, F.lit(1.0)) if letters else F.lit(0.0)
     return F.lit(0.7) * share + F.lit(0.3) * special
 
 
+def padded_words(c: Column | str) -> Column:
+    """Lower-case words between single blanks, one before and one behind all."""
+    return F.concat(F.lit(" "), F.regexp_replace(F.lower(col(c)), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
+
+
 def tokens_contain(c: Column | str, word: str) -> Column:
-    return F.concat(F.lit(" "), F.regexp_replace(F.lower(col(c)), r"[^\p{L}\p{N}]+", " "), F.lit(" ")).contains(f" {word} ")
+    return padded_words(c).contains(f" {word} ")
 
 
 def best_label(scores: dict[str, Column], least: float = 0.0) -> Column:

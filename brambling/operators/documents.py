@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from brambling.functions.numbers import banded, clamp, half_up
-from brambling.functions.text import col, count_of, garbage_reason
+from brambling.functions.text import col, count_of, garbage_reason, without
 
 PAGE_MARK = r"(?im)^[ \t]*(?:-+[ \t]*)?(?:page|sayfa|seite|página)[ \t]*:?[ \t]*\d+(?:[ \t]*(?:/|of)[ \t]*\d+)?[ \t]*(?:-+)?[ \t]*$"
 
@@ -63,10 +63,18 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, largest: int = 12_000, t
     return kept.mapInArrow(run, f"`{id_col}` {kept.schema[0].dataType.simpleString()}, chunk_no int, start long, end long, kind string, chunk string")
 
 
-def join_chunks(parts: DataFrame, id_col: str, no: str, chunk: str, least: int = 20, most: int = 1_000) -> DataFrame:
-    """The text of each document again: where the end of one chunk is the start of the next, it stays once.
+def join_chunks(parts: DataFrame, id_col: str, chunk: str, start: str = "start", end: str = "end") -> DataFrame:
+    """The text of each document again: of each chunk, by its place, what no chunk before it held."""
+    listed = parts.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct(start, end, chunk))).alias("_c"))
+    seen = lambda i: F.when(i > 0, F.element_at("_c", i)[end]).otherwise(F.lit(0))  # noqa: E731  element_at counts from one
+    own = F.transform("_c", lambda c, i: F.substr(c[chunk], (F.greatest(seen(i) - c[start], F.lit(0)) + 1).cast("int")))
+    return listed.select(id_col, F.array_join(own, "").alias("text"))
 
-    The chunks of a document are folded in order; the longest overlap of at most ``most`` characters counts.
+
+def join_overlapping(parts: DataFrame, id_col: str, no: str, chunk: str, least: int = 20, most: int = 300) -> DataFrame:
+    """As ``join_chunks`` where the places are gone, as a model rewrote the chunks: the end of one chunk that is the start of the next stays once.
+
+    The longest overlap of at most ``most`` characters counts, which must be the overlap that the chunks were cut with.
     """
     listed = parts.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct(no, chunk))).alias("_c"))
 
@@ -74,12 +82,14 @@ def join_chunks(parts: DataFrame, id_col: str, no: str, chunk: str, least: int =
         for batch in batches:
             texts = []
             for items in batch.column(1).to_pylist():
-                out = ""
+                out: list[str] = []
+                last = ""
                 for c in items:
                     new = c[chunk] or ""
-                    size = next((k for k in range(min(most, len(out), len(new)), least - 1, -1) if out[-k:] == new[:k]), 0)
-                    out += new[size:]
-                texts.append(out)
+                    size = next((k for k in range(min(most, len(last), len(new)), least - 1, -1) if last[-k:] == new[:k]), 0)
+                    out.append(new[size:])
+                    last = (last + new[size:])[-most:]
+                texts.append("".join(out))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[id_col, "text"])
 
     return listed.mapInArrow(run, f"`{id_col}` {listed.schema[0].dataType.simpleString()}, text string")
@@ -135,23 +145,34 @@ def sections(docs: DataFrame, id_col: str, text_col: str, headings: list[tuple[s
     return rows.groupBy(id_col, F.col("l.section").alias("section")).agg(F.count(F.lit(1)).alias("n_lines"), F.sum("l.size").alias("n_chars"))
 
 
-def text_quality(c: Column | str, terms: list[str] = ()) -> dict[str, Column]:
-    """Ratios of split glyphs, control and high bytes, word length, terms found, and a score from 0 to 100."""
-    text = F.coalesce(col(c), F.lit(""))
-    n = F.greatest(F.length(text), F.lit(1))
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    count = F.greatest(F.size(words), F.lit(1))
-    single = F.size(F.filter(words, lambda w: (F.length(w) == 1) & w.rlike(r"[a-zA-ZçğıöşüÇĞİÖŞÜ0-9]"))) / count
-    longer = F.filter(words, lambda w: F.length(w) > 1)
-    mean = F.when(F.size(longer) > 0, F.aggregate(longer, F.lit(0), lambda a, w: a + F.length(w)) / F.size(longer)).otherwise(0.0)
-    control = count_of(text, r"\x00-\x1f\x7f-\x{9f}") / n
-    turkish_low = count_of(text, "çğıöşüÇĞİÖŞÜ")
-    high = F.greatest(count_of(text, r"\x{80}-\x{ff}") - turkish_low, F.lit(0)) / n
-    found = sum((F.when(F.contains(F.lower(text), F.lit(t)), 1).otherwise(0) for t in terms), F.lit(0))
-    score = 100 - F.least(F.lit(40.0), single * 200) - F.least(F.lit(20.0), control * 500) - F.least(F.lit(15.0), high * 200) + F.least(F.lit(10), found * 2)
-    score = clamp(score - F.when(mean < 4, F.least(F.lit(10.0), (4 - mean) * 5)).otherwise(0.0), 0, 100)
-    score = F.when(F.length(text) == 0, 0.0).otherwise(score)
-    return {"single_ratio": single, "control_ratio": control, "high_ratio": high, "word_length": mean, "terms_found": found, "score": score, "ok": (score >= 60) & (single < 0.15) & (control < 0.05)}
+# Control characters, and the upper half of the first 256 less Turkish letters.
+CONTROL = "".join(map(chr, [*range(32), *range(127, 160)]))
+HIGH = "".join(c for c in map(chr, range(128, 256)) if c not in "çğıöşüÇĞİÖŞÜ")
+
+
+def text_quality(docs: DataFrame, key: str, text: str, terms: list[str] = ()) -> DataFrame:
+    """key, ratios of split glyphs, control and high bytes, word length, terms found, a score from 0 to 100 and a verdict.
+
+    Each pass over the text is a column of its own, so none is made twice: the text with single blanks, the same with
+    double ones (so that neighbouring words share none), and that without its one-character words.
+    """
+    t = F.coalesce(F.col(text), F.lit(""))
+    tidy = F.concat(F.lit(" "), F.trim(F.regexp_replace(t, r"\s+", " ")), F.lit(" "))
+    rows = docs.select(F.col(key), F.length(t).alias("_all"), *[F.contains(F.lower(t), F.lit(x)).cast("int").alias(f"_t{i}") for i, x in enumerate(terms)], F.length(without(t, CONTROL)).alias("_c"), F.length(without(t, HIGH)).alias("_h"), tidy.alias("_tidy"))
+    rows = rows.withColumn("_wide", F.replace("_tidy", F.lit(" "), F.lit("  "))).withColumn("_solid", F.length(without("_tidy", " ")))
+    rows = rows.withColumn("_long", F.regexp_replace("_wide", " [a-zA-ZçğıöşüÇĞİÖŞÜ0-9] ", "")).withColumn("_longer", F.length(F.regexp_replace("_wide", r" [^ ] ", "")))
+    words = F.when(F.col("_solid") == 0, 0).otherwise(F.length("_tidy") - F.col("_solid") - 1)
+    n, count = F.greatest("_all", F.lit(1)), F.greatest("_words", F.lit(1))
+    ones = ((F.length("_wide") - F.col("_longer")) / 3).cast("int")
+    rows = rows.select(key, "_all", "_c", "_h", "_solid", *[f"_t{i}" for i in range(len(terms))], words.alias("_words"), ((F.length("_wide") - F.length("_long")) / 3).alias("_single"), ones.alias("_ones"))
+    found = sum((F.col(f"_t{i}") for i in range(len(terms))), F.lit(0))
+    longer = F.col("_words") - F.col("_ones")
+    mean = F.when(longer > 0, (F.col("_solid") - F.col("_ones")) / longer).otherwise(0.0)
+    out = rows.select(key, "_all", (F.col("_single") / count).alias("single_ratio"), ((F.col("_all") - F.col("_c")) / n).alias("control_ratio"), ((F.col("_all") - F.col("_h")) / n).alias("high_ratio"), mean.alias("word_length"), found.alias("terms_found"))
+    score = 100 - F.least(F.lit(40.0), F.col("single_ratio") * 200) - F.least(F.lit(20.0), F.col("control_ratio") * 500) - F.least(F.lit(15.0), F.col("high_ratio") * 200) + F.least(F.lit(10), F.col("terms_found") * 2)
+    score = clamp(score - F.when(F.col("word_length") < 4, F.least(F.lit(10.0), (4 - F.col("word_length")) * 5)).otherwise(0.0), 0, 100)
+    out = out.withColumn("score", F.when(F.col("_all") == 0, 0.0).otherwise(score)).drop("_all")
+    return out.withColumn("ok", (F.col("score") >= 60) & (F.col("single_ratio") < 0.15) & (F.col("control_ratio") < 0.05))
 
 
 def error_rate_estimate(garbage: Column, letters: Column, spacing: Column, numbers: Column, structure: Column) -> Column:

@@ -1,16 +1,21 @@
-"""Expected own losses by seeded simulation: all simulations are rows, so they spread over the cluster.
+"""Expected own losses by seeded simulation.
 
-The random numbers come from a hash of (seed, exposure, scenario, simulation, draw): the result depends on neither
-partitioning nor order. The frequency is a Bernoulli draw; a loss is lognormal, Pareto or uniform; what exceeds the
-limit and the deductible stay with the policy holder.
+The random numbers come from a hash of (seed, exposure, scenario, draw, year): the result depends on neither partitioning
+nor order. The frequency is a Bernoulli draw; a loss is lognormal, Pareto or uniform; what exceeds the limit and the
+deductible stay with the policy holder. ``uniform`` and ``draw`` are the same as columns, for single draws.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brambling.functions.numbers import percentiles
+#: Rows that a scenario library may have.
+SCENARIOS = 1_000
 
 
 def uniform(seed: int, *keys: Column) -> Column:
@@ -30,23 +35,49 @@ def expected_mean(kind: Column, mu: Column, sigma: Column, alpha: Column, low: C
     return F.when(kind == "lognormal", lognormal_mean(mu, sigma)).when(kind == "pareto", pareto_mean(low, alpha)).otherwise((low + high) / 2)
 
 
-def simulate(exposures: DataFrame, scenarios: DataFrame, key: str, sims: int, seed: int = 42) -> DataFrame:
+def simulate(exposures: DataFrame, scenarios: DataFrame, key: str, sims: int = 10_000, seed: int = 42) -> DataFrame:
     """Per exposure mean own loss, its standard error and percentiles over the simulated years.
 
-    exposures: key, limit, deductible. scenarios (a small table): code, frequency, kind, mu, sigma, alpha, low, high.
+    exposures: key, limit, deductible (one row per key). scenarios (at most SCENARIOS rows, a library of parameters): code,
+    frequency, kind, mu, sigma, alpha, low, high. All years of an exposure are drawn in its own task, in numpy, as arrays
+    of ``sims`` numbers; nothing is shuffled.
     """
-    from brambling.operators.joins import small
-
-    years = exposures.select(key, "limit", "deductible").withColumn("sim", F.explode(F.sequence(F.lit(1), F.lit(sims))))
-    cells = years.crossJoin(small(scenarios))
-    at = [F.col(key), F.col("code"), F.col("sim")]
-    happens = uniform(seed, *at, F.lit(0)) < F.col("frequency")
-    loss = draw(*[F.col(c) for c in ("kind", "mu", "sigma", "alpha", "low", "high")], uniform(seed, *at, F.lit(1)), uniform(seed, *at, F.lit(2)))
-    paid = F.least(F.greatest(loss - F.col("deductible"), F.lit(0.0)), F.coalesce("limit", F.lit(float("inf"))))
-    own = F.when(happens, loss - paid).otherwise(0.0)
-    yearly = cells.groupBy(key, "sim").agg(F.sum(own).alias("own"))
-    found = yearly.groupBy(key).agg(F.avg("own").alias("mean"), (F.stddev("own") / F.sqrt(F.count(F.lit(1)))).alias("error"), percentiles("own", 0.5, 0.95, 0.99).alias("p"))
-    return found.select(key, "mean", "error", *[F.col("p")[i].alias(n) for i, n in enumerate(("p50", "p95", "p99"))])
+    library = scenarios.orderBy("code").limit(SCENARIOS + 1).collect()
+    if len(library) > SCENARIOS:
+        raise ValueError(f"more than {SCENARIOS} scenarios")
+    names = ("mean", "error", "p50", "p95", "p99")
+    rows = exposures.select(F.col(key), F.col("limit").cast("double"), F.col("deductible").cast("double"), *[F.xxhash64(F.lit(seed), F.col(key), F.lit(s.code)).alias(f"_s{i}") for i, s in enumerate(library)])
+    years = np.arange(sims, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+    def share(start: np.uint64, draw: int, at: np.ndarray) -> np.ndarray:
+        """Between 0 and 1, both excluded: a hash of exposure, scenario, draw and year."""
+        x = (start + np.uint64(draw * 0xD1B54A32D192ED03 & (1 << 64) - 1)) ^ at
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return ((x ^ (x >> np.uint64(31))) >> np.uint64(12)).astype(np.float64) / (1 << 52) + 0.5 / (1 << 52)
+
+    def losses_of(s, start: np.uint64, at: np.ndarray) -> np.ndarray:
+        u = share(start, 1, at)
+        if s.kind == "lognormal":
+            return np.exp(s.mu + s.sigma * np.sqrt(-2 * np.log(u)) * np.cos(2 * np.pi * share(start, 2, at)))
+        return s.low / u ** (1 / s.alpha) if s.kind == "pareto" else s.low + (s.high - s.low) * u
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            limit = np.array([np.inf if x is None else x for x in batch.column(1).to_pylist()])
+            deductible = np.array([0.0 if x is None else x for x in batch.column(2).to_pylist()])
+            starts = [batch.column(3 + i).to_numpy().view(np.uint64) for i in range(len(library))]
+            out = np.zeros((batch.num_rows, len(names)))
+            for r in range(batch.num_rows):
+                own = np.zeros(sims)
+                for s, start in zip(library, starts):
+                    hit = np.nonzero(share(start[r], 0, years) < s.frequency)[0]
+                    loss = losses_of(s, start[r], years[hit])
+                    own[hit] += loss - np.minimum(np.maximum(loss - deductible[r], 0), limit[r])
+                out[r] = own.mean(), own.std(ddof=1) / np.sqrt(sims) if sims > 1 else 0.0, *np.percentile(own, (50, 95, 99))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c) for c in out.T]], names=[key, *names])
+
+    return rows.mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, " + ", ".join(f"{n} double" for n in names))
 
 
 def quality_factor(parts: Column, network: Column, valuation: Column) -> Column:

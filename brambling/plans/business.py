@@ -364,7 +364,7 @@ def expected_losses(spark: SparkSession, d: str) -> DataFrame:
     """Simulated own losses of every part as an exposure."""
     exposures = table(spark, d, "part").select("p_partkey", (F.col("p_retailprice") * 2).alias("limit"), (F.col("p_size") * 10.0).alias("deductible"))
     scenarios = spark.createDataFrame(SCENARIOS, "code string, frequency double, kind string, mu double, sigma double, alpha double, low double, high double")
-    return losses.simulate(exposures, scenarios, "p_partkey", 200)
+    return losses.simulate(exposures, scenarios, "p_partkey", 10_000)
 
 
 @Q.query("""
@@ -420,7 +420,8 @@ def _categories(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", F.explode(F.array(*[F.struct(F.lit(k).alias("category"), v.cast("double").alias("score")) for k, v in pairs.items()])).alias("c")).select("p_partkey", "c.*")
 
 
-@Q.query()
+@Q.query(f"""WITH c AS ({CATEGORY_SQL}), r AS (SELECT p_partkey, CAST(greatest(0, least(100, floor(sum(score * CASE category WHEN 'size' THEN 0.5 ELSE 0.25 END) / 1.0 * 100 + 0.5))) AS DOUBLE) AS risk FROM c GROUP BY 1)
+SELECT p_partkey, risk, CASE WHEN risk <= 20 THEN 'very_low' WHEN risk <= 35 THEN 'low' WHEN risk <= 55 THEN 'moderate' WHEN risk <= 75 THEN 'high' ELSE 'very_high' END AS level FROM r""")
 def risk_scores(spark: SparkSession, d: str) -> DataFrame:
     from brambling.operators.policies import risk_score
 

@@ -163,7 +163,7 @@ def log_page(spark: SparkSession, d: str) -> DataFrame:
 
 @Q.query("""SELECT event_id, event_type, props FROM events WHERE contains(lower(event_type), 'sign') OR contains(lower(props), '7')""")
 def log_search(spark: SparkSession, d: str) -> DataFrame:
-    return any_contains(events(spark, d), ["event_type", "props"], "sign" ).unionByName(any_contains(events(spark, d).filter("not contains(event_type, 'sign')"), ["props"], "7")).select("event_id", "event_type", "props")
+    return any_contains(events(spark, d), {"event_type": "sign", "props": "7"}).select("event_id", "event_type", "props")
 
 
 @Q.query("""SELECT event_type, sum(CAST(json_extract_string(props, '$.k') AS BIGINT))::BIGINT AS total_k, count(json_extract_string(props, '$.k')) AS n_k, min(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS least_k FROM events GROUP BY 1""")
@@ -229,12 +229,11 @@ def cache_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 @Q.query("""
-WITH r AS (SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 500) SELECT event_type, count(*) AS n, count(*) FILTER (value > 50) AS n_ok FROM r GROUP BY 1""")
+SELECT event_type, count(*) AS n, count(*) FILTER (value > 50) AS n_ok, round(count(*) FILTER (value > 50) / count(*), 4) AS success_rate FROM events GROUP BY 1""")
 def recent_health(spark: SparkSession, d: str) -> DataFrame:
     from brambling.operators.jobs import recent_health as health
 
-    rows = events(spark, d).withColumn("at", F.struct("ts", "event_id"))
-    return health(rows, "at", "event_type", F.col("value") > 50, 500).select("event_type", "n", "n_ok")
+    return health(events(spark, d), "ts", "event_type", F.col("value") > 50)
 
 
 @Q.query("""

@@ -277,12 +277,6 @@ def guarded_words(spark: SparkSession, d: str) -> DataFrame:
     return orders(spark, d).select("k", reports.safe_wording(words, {"is always": "may be", "always": "may", "guaranteed": "expected"}).alias("safe"))
 
 
-@Q.query(f"""WITH c AS ({CATEGORY_SQL}), r AS (SELECT p_partkey, CAST(greatest(0, least(100, floor(sum(score * CASE category WHEN 'size' THEN 0.5 ELSE 0.25 END) / 1.0 * 100 + 0.5))) AS DOUBLE) AS risk FROM c GROUP BY 1)
-SELECT p_partkey, risk, CASE WHEN risk <= 20 THEN 'very_low' WHEN risk <= 35 THEN 'low' WHEN risk <= 55 THEN 'moderate' WHEN risk <= 75 THEN 'high' ELSE 'very_high' END AS level FROM r""")
-def weighted_risks(spark: SparkSession, d: str) -> DataFrame:
-    return policies.risk_score(_categories(spark, d), "p_partkey", {"size": 0.5, "price": 0.25, "age": 0.25}).withColumn("level", numbers.risk_level("risk"))
-
-
 @Q.query("""SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN 3 ELSE 1 END AS attempt, o_orderkey % 3 = 0 AS failed FROM orders""")
 def retried_rows(spark: SparkSession, d: str) -> DataFrame:
     work = lambda rows: rows.withColumn("failed", F.col("k") % 3 == 0)

@@ -17,7 +17,7 @@ def docs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents")
 
 
-LETTER = "[^a-zA-ZçğıöşüÇĞİÖŞÜâîûÂÎÛ]"
+LETTER = f"[^{text.LETTERS}]"
 
 
 @Q.query(f"""
@@ -34,7 +34,8 @@ WITH w AS (SELECT doc_id, ' ' || regexp_replace(lower(text), '[^\\p{L}\\p{N}]+',
 """ + ", ".join("round(0.7 * (" + " + ".join(f"CASE WHEN contains(t, ' {w} ') THEN 1 ELSE 0 END" for w in ws) + f") / {len(ws)}, 6) AS {k}" for k, ws in TERMS.items()) + """ FROM w)
 SELECT doc_id, CASE WHEN greatest(en, de, fr, es) <= 0 THEN NULL WHEN en = greatest(en, de, fr, es) THEN 'en' WHEN de = greatest(en, de, fr, es) THEN 'de' WHEN fr = greatest(en, de, fr, es) THEN 'fr' ELSE 'es' END AS language, greatest(en, de, fr, es) AS score FROM s""")
 def language(spark: SparkSession, d: str) -> DataFrame:
-    scores = docs(spark, d).select("doc_id", *[F.round(text.term_score("text", ws), 6).alias(k) for k, ws in TERMS.items()])
+    words = docs(spark, d).select("doc_id", text.padded_words("text").alias("words"))
+    scores = words.select("doc_id", *[F.round(text.term_score("words", ws, padded="words"), 6).alias(k) for k, ws in TERMS.items()])
     columns = {k: F.col(k) for k in TERMS}
     return scores.select("doc_id", text.best_label(columns).alias("language"), F.greatest(*columns.values()).alias("score"))
 
@@ -67,21 +68,43 @@ def typology(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", numbers.typology_key("lang", "source", numbers.two_year_bucket("n_chars")).alias("key"))
 
 
-@Q.query("""SELECT doc_id, regexp_replace(regexp_replace(lower(trim(text)), '[ \\t\\n\\r\\f\\v]+', ' ', 'g'), ' ?([:/,.]) ?', '\\1', 'g') AS normal FROM documents WHERE n_chars < 3000""")
+@Q.query("""SELECT doc_id, regexp_replace(regexp_replace(lower(trim(text)), '[ \\t\\n\\r\\f\\v]+', ' ', 'g'), ' ?([:/,.]) ?', '\\1', 'g')  AS normal FROM documents""")
 def tolerant_text(spark: SparkSession, d: str) -> DataFrame:
-    return docs(spark, d).filter("n_chars < 3000").select("doc_id", text.tolerant_key("text").alias("normal"))
+    return docs(spark, d).select("doc_id", text.tolerant_key("text").alias("normal"))
 
 
-@Q.query()
+@Q.query("""
+WITH t AS (SELECT doc_id, text, greatest(length(text), 1) AS n, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') AS words FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
+m AS (SELECT doc_id, text, len(list_filter(words, lambda w: regexp_full_match(w, '[a-zA-ZçğıöşüÇĞİÖŞÜ0-9]'))) / greatest(len(words), 1) AS single_ratio, (length(text) - length(regexp_replace(text, '[\\x00-\\x1f\\x7f-\\x{9f}]', '', 'g'))) / n AS control_ratio,
+  (length(text) - length(regexp_replace(text, '[\\x{80}-\\x{c6}\\x{c8}-\\x{d5}\\x{d7}-\\x{db}\\x{dd}-\\x{e6}\\x{e8}-\\x{f5}\\x{f7}-\\x{fb}\\x{fd}-\\x{ff}]', '', 'g'))) / n AS high_ratio,
+  coalesce(list_avg(list_transform(list_filter(words, lambda w: length(w) > 1), lambda w: length(w))), 0) AS word_length, CAST(contains(lower(text), 'insurance') AS INTEGER) + CAST(contains(lower(text), 'policy') AS INTEGER) AS terms_found FROM t),
+s AS (SELECT *, CASE WHEN text = '' THEN 0 ELSE greatest(0, least(100, 100 - least(40, single_ratio * 200) - least(20, control_ratio * 500) - least(15, high_ratio * 200) + least(10, terms_found * 2) - CASE WHEN word_length < 4 THEN least(10, (4 - word_length) * 5) ELSE 0 END)) END AS score FROM m)
+SELECT doc_id, single_ratio, control_ratio, high_ratio, word_length, terms_found, CAST(score AS DOUBLE) AS score, score >= 60 AND single_ratio < 0.15 AND control_ratio < 0.05 AS ok FROM s""")
 def text_quality(spark: SparkSession, d: str) -> DataFrame:
-    q = documents.text_quality("text", ["insurance", "policy"])
-    return docs(spark, d).select("doc_id", *[v.alias(k) for k, v in q.items()])
+    return documents.text_quality(docs(spark, d), "doc_id", "text", ["insurance", "policy"])
 
 
-@Q.query()
+def noise_sql(x: str) -> str:
+    """Is the line ``x`` noise?"""
+    t = f"trim({x}, ' ')"
+    gone = lambda c: f"(length({t}) - length(regexp_replace({t}, '[{c}]', '', 'g')))"
+    high, control, solid = gone("\\x{80}-\\x{ff}"), gone("\\x00-\\x1f\\x7f-\\x{9f}\\x{fffd}"), f"regexp_replace({t}, '\\s', '', 'g')"
+    few = f"length({solid}) > 40 AND length(regexp_replace({solid}, '{LETTER}', '', 'g')) / length({solid}) < 0.15"
+    return f"(length({t}) > 0 AND (regexp_matches({t}, '^[|!Il1\\s]{{10,}}$') OR regexp_matches({t}, '^[^\\p{{L}}\\p{{N}}\\s]{{6,}}$') OR {high} > 10 OR {high} / length({t}) > 0.3 OR {control} > 5 OR {control} / length({t}) > 0.2 OR ({few})))"
+
+
+NUMBERS = "list_distinct(regexp_extract_all({0}, '(\\d[\\d.,]*\\d|\\d)', 1))"
+
+
+@Q.query(f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS a, string_split(regexp_replace(regexp_replace(text, '\r\n?', '\n', 'g'), '[\\x{{a0}}\\x{{2000}}-\\x{{200b}}\\x{{202f}}\\x{{3000}}]', ' ', 'g'), chr(10)) AS lines FROM documents),
+c AS (SELECT doc_id, a, trim(regexp_replace(array_to_string(list_transform(list_filter(lines, lambda x: NOT {noise_sql("x")}), lambda x: rtrim(regexp_replace(regexp_replace(x, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g'), '[ \\t]{{2,}}', ' ', 'g'), ' ')), chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g'), ' ') AS b FROM t)
+SELECT doc_id, b AS clean, concat_ws(',', CASE WHEN length(trim(b, ' ')) = 0 THEN 'empty' END, CASE WHEN length(b) / greatest(length(a), 1) < 0.3 THEN 'too_short' END, CASE WHEN length(b) / greatest(length(a), 1) > 1.2 THEN 'too_long' END, CASE WHEN length(b) > 20000 THEN 'size' END,
+  CASE WHEN len(list_filter({NUMBERS.format("a")}, lambda x: NOT list_contains({NUMBERS.format("b")}, x))) > 0.1 * greatest(len({NUMBERS.format("a")}), 1) THEN 'numbers_lost' END, CASE WHEN len(list_filter(string_split(b, chr(10)), lambda x: {noise_sql("x")})) > 0 THEN 'noise_left' END,
+  CASE WHEN regexp_matches(b, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]') THEN 'control_left' END) AS failed_gates FROM c""")
 def cleaned(spark: SparkSession, d: str) -> DataFrame:
     out = docs(spark, d).select("doc_id", "text", text.clean_lines("text").alias("clean"))
-    return out.select("doc_id", "clean", documents.qa_gates("text", "clean").alias("failed_gates"))
+    return out.select("doc_id", "clean", F.array_join(documents.qa_gates("text", "clean"), ",").alias("failed_gates"))
 
 
 @Q.query()
@@ -89,9 +112,9 @@ def chunked(spark: SparkSession, d: str) -> DataFrame:
     return documents.chunks(docs(spark, d), "doc_id", "text")
 
 
-@Q.query()
+@Q.query("SELECT doc_id, coalesce(text, '') AS text FROM documents")
 def rejoined(spark: SparkSession, d: str) -> DataFrame:
-    return documents.join_chunks(documents.chunks(docs(spark, d), "doc_id", "text"), "doc_id", "chunk_no", "chunk")
+    return documents.join_chunks(documents.chunks(docs(spark, d), "doc_id", "text"), "doc_id", "chunk")
 
 
 @Q.query("""SELECT doc_id, regexp_replace(text, '[\\w.+-]+@[\\w-]+(\\.[\\w-]+)+', '[EMAIL]', 'g') AS redacted FROM documents""")
@@ -115,16 +138,19 @@ def document_kind(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", text.first_rule("text", [("(?i)copyright|license", "legal"), (r"\|", "table"), ("!!", "shout")], "prose").alias("kind"))
 
 
-@Q.query()
+@Q.query("""
+WITH t AS (SELECT doc_id, lower(source) AS s, lower(text) AS t, ' ' || regexp_replace(lower(source), '[^\\p{L}\\p{N}_]+', ' ', 'g') || ' ' AS ps, ' ' || regexp_replace(lower(text), '[^\\p{L}\\p{N}_]+', ' ', 'g') || ' ' AS pt FROM documents),
+r AS (SELECT doc_id, round(CAST(contains(ps, ' copyright ') AS INTEGER) + CAST(contains(ps, ' license ') AS INTEGER) + 0.4 * CAST(contains(pt, ' copyright ') AS INTEGER) + 0.4 * CAST(contains(pt, ' license ') AS INTEGER), 4) AS search_rank, contains(s, 'copyright license') OR contains(t, 'copyright license') AS hit FROM t)
+SELECT doc_id, CAST(search_rank AS DOUBLE) AS search_rank FROM r WHERE hit OR search_rank > 0""")
 def document_search(spark: SparkSession, d: str) -> DataFrame:
     return documents.search(docs(spark, d), {"source": 1.0, "text": 0.4}, "copyright license", "doc_id").select("doc_id", "search_rank")
 
 
 @Q.query()
 def near_dup_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Documents of one source read as the items of one record: paraphrases fold together."""
-    lines = docs(spark, d).filter("n_chars < 400").select("source", F.col("doc_id").alias("pos"), "text")
-    return collections.paraphrase_groups(lines, "source", "pos", "text", ["the", "of", "and", "a"]).drop("texts")
+    """The turns of a conversation as the items of one record: paraphrases fold together."""
+    lines = table(spark, d, "conversations").select("conv_id", "turn", "text")
+    return collections.paraphrase_groups(lines, "conv_id", "turn", "text", ["the", "of", "and", "a"], 0.3).drop("texts")
 
 
 @Q.query("""
@@ -156,7 +182,10 @@ def id_checks(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", checks.national_id(number).alias("valid_id"))
 
 
-@Q.query()
+@Q.query("""
+WITH f AS (SELECT doc_id, 'mail' AS field, regexp_extract(text, '([\\w.+-]+@[\\w-]+\\.[\\w.-]+)', 1) AS value, 0.9 AS c FROM documents UNION ALL SELECT doc_id, 'iban', regexp_extract(text, '([A-Z]{2}[0-9]{22,26})', 1), 0.8 FROM documents UNION ALL SELECT doc_id, 'phone', regexp_extract(text, '(\\+?[0-9][0-9 ()-]{8,}[0-9])', 1), 0.7 FROM documents),
+v AS (SELECT *, field <> 'iban' OR (regexp_full_match(value, 'TR[0-9]{24}') AND coalesce(TRY_CAST(substr(value, 5) || '2927' || substr(value, 3, 2) AS HUGEINT) % 97 = 1, false)) AS valid FROM f WHERE value <> '')
+SELECT doc_id, field, value, round(CASE WHEN valid THEN c ELSE c / 3 END, 4) AS confidence, valid FROM v""")
 def extracted_fields(spark: SparkSession, d: str) -> DataFrame:
     from brambling.operators.extraction import fields
 
@@ -182,11 +211,15 @@ def normalised(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", n.alias("n")).select("doc_id", F.col("n.text").alias("clean"), F.concat(F.lit("["), F.array_join("n.applied", ", "), F.lit("]")).alias("applied"))
 
 
-@Q.query()
+@Q.query("""
+SELECT o_custkey, CAST(r * 2 + 1 AS INTEGER) AS "row", o_orderpriority AS name, CAST(o_orderkey AS DOUBLE) AS amount FROM (SELECT o_custkey, o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS r FROM orders)""")
 def table_lines(spark: SparkSession, d: str) -> DataFrame:
     from brambling.operators.extraction import table_rows
 
-    return table_rows(docs(spark, d), "doc_id", "text")
+    line = F.concat(F.lit("plain words\n| "), F.col("o_orderpriority"), F.lit(" | x | "), F.col("o_orderkey").cast("string"), F.lit(" TL |"))
+    sorted_lines = F.array_sort(F.collect_list(F.struct("o_orderkey", line.alias("line"))))
+    texts = table(spark, d, "orders").groupBy("o_custkey").agg(F.array_join(F.transform(sorted_lines, lambda x: x["line"]), "\n").alias("text"))
+    return table_rows(texts, "o_custkey", "text")
 
 
 @Q.query("""
@@ -199,9 +232,11 @@ def conversation_paths(spark: SparkSession, d: str) -> DataFrame:
     return listed.select("conv_id", "n", F.array_join(F.transform("t", lambda x: x["role"]), ">").alias("path")).join(stage_logs(c, "conv_id", "role", "turn").select("conv_id"), "conv_id")
 
 
-@Q.query()
+@Q.query("""
+WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS n, lower(trim(coalesce(source, ''))) IN ('', 'unknown', 'sigorta', 'insurance') AS generic FROM documents)
+SELECT doc_id, CASE WHEN n < 100 THEN 'reject' WHEN n < 500 OR generic OR doc_id IS NULL THEN 'review' ELSE 'admit' END AS decision, concat_ws(',', CASE WHEN n < 100 THEN 'no_text' END, CASE WHEN n >= 100 AND n < 500 THEN 'little_text' END, CASE WHEN generic THEN 'no_provider' END, CASE WHEN doc_id IS NULL THEN 'no_number' END) AS reasons FROM n""")
 def admissions(spark: SparkSession, d: str) -> DataFrame:
     from brambling.operators.extraction import admission
 
     a = admission(F.col("text"), F.col("source"), F.col("doc_id").cast("string"), F.lit(1))
-    return docs(spark, d).select("doc_id", a.alias("a")).select("doc_id", "a.decision", "a.reasons")
+    return docs(spark, d).select("doc_id", a.alias("a")).select("doc_id", "a.decision", F.array_join("a.reasons", ",").alias("reasons"))

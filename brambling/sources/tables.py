@@ -51,9 +51,10 @@ def page(df: DataFrame, order: list[Column], offset: int, size: int) -> DataFram
     return df.orderBy(*order).offset(offset).limit(size)
 
 
-def any_contains(df: DataFrame, columns: list[str], text: str) -> DataFrame:
+def any_contains(df: DataFrame, wanted: dict[str, str]) -> DataFrame:
+    """Rows of which any column holds its text as a part, without case."""
     hit = F.lit(False)
-    for c in columns:
+    for c, text in wanted.items():
         hit = hit | F.coalesce(F.contains(F.lower(F.col(c).cast("string")), F.lit(text.lower())), F.lit(False))
     return df.filter(hit)
 

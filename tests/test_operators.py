@@ -63,8 +63,13 @@ def test_chunks_join_again(spark):
     parts = documents.chunks(docs, "id", "t")
     got = {(r.id, r.kind) for r in parts.collect()}
     assert {(1, "size"), (2, "whole"), (3, "whole"), (4, "page")} == got
-    again = {r.id: r.text for r in documents.join_chunks(parts.filter("id < 4"), "id", "chunk_no", "chunk").collect()}
+    again = {r.id: r.text for r in documents.join_chunks(parts.filter("id < 4"), "id", "chunk").collect()}
     assert again == {1: text, 2: "short", 3: ""}
+    repeated = spark.createDataFrame([(1, "ab " * 6_000), (2, "x" * 30_000)], "id int, t string")
+    pieces = documents.chunks(repeated, "id", "t")
+    want = {1: "ab " * 6_000, 2: "x" * 30_000}
+    assert {r.id: r.text for r in documents.join_chunks(pieces, "id", "chunk").collect()} == want
+    assert {r.id: r.text for r in documents.join_overlapping(pieces, "id", "chunk_no", "chunk").collect()} == want
 
 
 def test_redaction(spark):
@@ -78,9 +83,10 @@ def test_sections_and_quality(spark):
     docs = spark.createDataFrame([(1, "intro\nCOVERAGE\nfire\ntheft\nEXCLUSIONS\nwar")], "id int, t string")
     got = {r.section: r.n_lines for r in documents.sections(docs, "id", "t", [("^COVERAGE", "coverage"), ("^EXCL", "exclusions")]).collect()}
     assert got == {"none": 1, "coverage": 3, "exclusions": 2}
-    q = documents.text_quality("t", ["policy"])
-    rows = spark.createDataFrame([("a policy of words that are long enough",), ("p o l i c y",), ("",)], "t string").select(q["score"].alias("s"), q["ok"].alias("ok")).collect()
-    assert rows[0].ok and not rows[1].ok and rows[2].s == 0
+    texts = ["a policy of words that are long enough", "p o l i c y", "", None, " \n ", "ab"]
+    rows = documents.text_quality(spark.createDataFrame(list(enumerate(texts)), "k int, t string"), "k", "t", ["policy"]).orderBy("k").collect()
+    assert rows[0].ok and not rows[1].ok and rows[2].score == rows[3].score == 0 and rows[1].single_ratio == 1 and rows[0].terms_found == 1
+    assert abs(rows[0].word_length - 30 / 7) < 1e-9  # the one-letter word does not count
     gates = spark.createDataFrame([("sum 100 and 200 and 300", "sum"), ("x y", "x y")], "a string, b string").select(documents.qa_gates("a", "b")).collect()
     assert "numbers_lost" in gates[0][0] and gates[1][0] == []
 

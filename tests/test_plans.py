@@ -8,7 +8,7 @@ from brambling import queries
 from tests.oracle import rows
 
 DIR = "/root/testdata/sf0.001"
-PYTHON = {"rate_limit", "chunked", "rejoined", "insurer_keys"}
+PYTHON = {"rate_limit", "chunked", "rejoined", "insurer_keys", "expected_losses", "aligned_tokens"}
 
 
 def plan(spark, name):
