@@ -26,13 +26,27 @@ def small(dimension: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(dimension) if dimension.limit(rows + 1).count() <= rows else dimension
 
 
+def listed(dimension: DataFrame, entry: Column, rows: int = SMALL_ROWS) -> DataFrame:
+    """One row with a sorted array of the entries of a table of rules, whose size is checked first, marked for broadcast."""
+    if dimension.limit(rows + 1).count() > rows:
+        raise ValueError(f"a table of rules has at most {rows} rows")
+    return F.broadcast(dimension.agg(F.array_sort(F.collect_list(entry)).alias("_listed")))
+
+
+#: Versions without a key up to which they are one array; more are met by month.
+MANY_VERSIONS = 1_000
+
+
 def asof(facts: DataFrame, versions: DataFrame, by: list[str], at: str, start: str, end: str, key: str, values: list[str]) -> DataFrame:
     """Facts with the values of the latest version valid at their time, else of the earliest version of the key.
 
     The versions of a key are one sorted array (there are few per key), so facts are joined by key alone and never
-    multiplied.
+    multiplied. Versions without a key (``by`` is empty) are such an array too, unless there are over MANY_VERSIONS: then
+    a fact meets those that are valid in its month. ``key`` names a fact.
     """
     kept = [c for c in dict.fromkeys([start, end, *values])]
+    if not by and versions.limit(MANY_VERSIONS + 1).count() > MANY_VERSIONS:
+        return _asof_by_month(facts, versions, at, start, end, key, kept, values)
     history = versions.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*kept))).alias("_h"))
     valid = F.filter("_h", lambda v: (v[start] <= F.col(at)) & (v[end].isNull() | (F.col(at) <= v[end])))
     chosen = F.coalesce(F.try_element_at(valid, F.lit(-1)), F.try_element_at(F.col("_h"), F.lit(1)))
@@ -40,6 +54,19 @@ def asof(facts: DataFrame, versions: DataFrame, by: list[str], at: str, start: s
     return out.withColumn("_v", chosen).select(*facts.columns, *[F.col(f"_v.{v}").alias(v) for v in values], (F.size(valid) > 0).alias("in_force"))
 
 
+def _asof_by_month(facts: DataFrame, versions: DataFrame, at: str, start: str, end: str, key: str, kept: list[str], values: list[str]) -> DataFrame:
+    month = lambda c: F.trunc(c, "month")
+    last, first = facts.agg(F.max(F.to_date(at))), versions.agg(F.min(F.struct(*kept)).alias("_first"))  # one row each
+    until = last.select(F.col(last.columns[0]).alias("_last"))
+    own = versions.select(F.struct(*kept).alias("_v")).crossJoin(F.broadcast(until)).filter(F.to_date(f"_v.{start}") <= F.col("_last"))
+    spread = own.select("_v", F.explode(F.sequence(month(F.to_date(f"_v.{start}")), month(F.least(F.coalesce(F.to_date(f"_v.{end}"), F.col("_last")), F.col("_last"))), F.expr("INTERVAL 1 MONTH"))).alias("_month"))
+    times = facts.select(key, at, month(F.to_date(at)).alias("_month"))
+    hits = times.join(spread, "_month").filter((F.col(f"_v.{start}") <= F.col(at)) & (F.col(f"_v.{end}").isNull() | (F.col(at) <= F.col(f"_v.{end}"))))
+    best = hits.groupBy(key).agg(F.max("_v").alias("_v"))
+    out = facts.join(best, key, "left").crossJoin(F.broadcast(first))
+    return out.select(*facts.columns, *[F.coalesce(f"_v.{v}", F.when(F.col("_v").isNull(), F.col(f"_first.{v}"))).alias(v) for v in values], F.col("_v").isNotNull().alias("in_force"))
+
+
 def best_match(facts: DataFrame, benchmarks: DataFrame, kind: str, sub: str, order: str, values: list[str]) -> DataFrame:
     """Values of (kind, sub), else of (kind, no sub), else of the first benchmark of the kind."""
     per_kind = benchmarks.groupBy(F.col(kind).alias("_k")).agg(F.array_sort(F.collect_list(F.struct(order, F.col(sub).alias("_s"), *values))).alias("_b"))
@@ -95,29 +122,48 @@ def merged_limits(a: DataFrame, b: DataFrame, keys: list[str], name: str, limit:
 def contains_match(rows: DataFrame, names: DataFrame, name: str, other: str, order: str, synonyms: list[tuple[str, str]] = ()) -> DataFrame:
     """Rows with the first other name (by ``order``) that contains theirs or is contained in it, by normal form or synonym.
 
-    ``names`` is a dimension: it must be small (checked), as no equality limits the pairs.
+    Up to SMALL_ROWS names are sent to all tasks as one array. More meet the different normal forms of the rows by pieces:
+    what is contained begins with three letters that are somewhere in what contains it, and that is checked.
     """
-    count = names.limit(SMALL_ROWS + 1).count()
-    if count > SMALL_ROWS:
-        raise ValueError(f"more than {SMALL_ROWS} names: block both sides by a key first")
-    key = coverage_key(name)
-    for a, b in synonyms:
-        key = F.regexp_replace(key, rf"\b{a}\b", b)
-    other_key = coverage_key(F.col("_o.other"))
+    key, other_key = coverage_key(name), coverage_key(other)
     for a, b in synonyms:
-        other_key = F.regexp_replace(other_key, rf"\b{a}\b", b)
-    listed = names.select(F.struct(F.col(order).alias("o"), F.col(other).alias("other")).alias("_o")).withColumn("k", other_key)
-    table = listed.agg(F.array_sort(F.collect_list(F.struct("_o.o", "_o.other", "k"))).alias("_names"))
-    found = F.filter("_names", lambda n: (n["k"] != "") & (F.col("_k") != "") & (F.contains(F.col("_k"), n["k"]) | F.contains(n["k"], F.col("_k"))))
-    return rows.withColumn("_k", key).crossJoin(F.broadcast(table)).select(*rows.columns, F.try_element_at(found, F.lit(1))["other"].alias("matched"))
+        key, other_key = F.regexp_replace(key, rf"\b{a}\b", b), F.regexp_replace(other_key, rf"\b{a}\b", b)
+    keyed = names.select(F.struct(F.col(order).alias("o"), F.col(other).alias("other"), other_key.alias("k")).alias("_o")).filter("_o.k <> ''")
+    if names.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
+        found = F.filter("_listed", lambda n: (F.col("_k") != "") & (F.contains(F.col("_k"), n["k"]) | F.contains(n["k"], F.col("_k"))))
+        return rows.withColumn("_k", key).crossJoin(listed(keyed, F.col("_o"))).select(*rows.columns, F.try_element_at(found, F.lit(1))["other"].alias("matched"))
+    forms = rows.select(key.alias("_k")).filter("_k <> ''").distinct()
+    first = lambda c: F.substring(c, 1, 3)
+    pieces = lambda c: F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.array(*[F.substr(c, i, F.lit(n)) for n in (1, 2, 3)])))))
+    inner = forms.select("_k", pieces(F.col("_k")).alias("_p")).join(keyed.select("_o", first(F.col("_o.k")).alias("_p")), "_p").filter(F.contains(F.col("_k"), F.col("_o.k")))
+    outer = forms.select("_k", first(F.col("_k")).alias("_p")).join(keyed.select("_o", pieces(F.col("_o.k")).alias("_p")), "_p").filter(F.contains(F.col("_o.k"), F.col("_k")))
+    best = inner.unionByName(outer).groupBy("_k").agg(F.min("_o").alias("_o"))
+    return rows.withColumn("_k", key).join(best, "_k", "left").select(*rows.columns, F.col("_o.other").alias("matched"))
 
 
 def similar_pairs(rows: DataFrame, key: str, text: str, block: Column, threshold: float = 0.85) -> DataFrame:
-    """Pairs key < other in one block whose texts are alike after OCR folding. Equal texts of a block take part once; pairs are between representatives."""
-    reps = rows.select(F.col(key).alias("k"), ocr_key(text).alias("t"), block.alias("b")).groupBy("b", "t").agg(F.min("k").alias("k"))
-    a, b = reps, reps.select("b", F.col("t").alias("t2"), F.col("k").alias("other"))
-    near = a.join(b, "b").filter((F.col("k") < F.col("other")) & (F.abs(F.length("t") - F.length("t2")) <= (1 - threshold) * F.greatest(F.length("t"), F.length("t2"))))
-    return near.withColumn("similarity", F.round(similarity("t", "t2"), 4)).filter(F.col("similarity") >= threshold).select(F.col("k").alias("key"), "other", "similarity")
+    """Pairs key < other in one block whose texts are alike after OCR folding. Equal texts of a block take part once; pairs are between representatives.
+
+    Of two texts at the threshold (above one half) the shorter one is cut into one segment more than there may be edits, so
+    one of them is in the longer text, nearly at its place: texts meet by such a segment, not every one with every other.
+    """
+    if threshold <= 0.5:
+        raise ValueError("the threshold must be above one half")
+    reps = rows.select(F.col(key).alias("k"), ocr_key(text).alias("t"), block.alias("b")).groupBy("b", "t").agg(F.min("k").alias("k")).withColumn("n", F.length("t")).filter("n > 0")
+    edits = lambda n: F.floor(n * ((1 - threshold) / threshold) + 1e-9).cast("int")
+    at = lambda i, n: F.floor(i * n / (edits(n) + 1)).cast("int")
+    cut = reps.select("*", F.explode(F.sequence(F.lit(0), edits(F.col("n")))).alias("i"))
+    cut = cut.select("b", F.col("n").alias("short"), "i", F.substr("t", at(F.col("i"), F.col("n")) + 1, at(F.col("i") + 1, F.col("n")) - at(F.col("i"), F.col("n"))).alias("piece"), "k", "t")
+    n, short = F.col("n"), F.col("short")
+    longer = reps.select("*", F.explode(F.sequence(F.ceil(n * threshold - 1e-9).cast("int"), n)).alias("short")).filter("short > 0")
+    longer = longer.select("*", F.explode(F.sequence(F.lit(0), edits(short))).alias("i"), F.floor(n * (1 - threshold) + 1e-9).cast("int").alias("off"))
+    place, size = at(F.col("i"), short), at(F.col("i") + 1, short) - at(F.col("i"), short)
+    longer = longer.withColumns({"low": F.greatest(place - F.col("off"), F.lit(0)), "high": F.least(place + F.col("off"), n - size), "size": size}).filter("low <= high")
+    probes = longer.select("b", "short", "i", F.explode(F.array_distinct(F.transform(F.sequence("low", "high"), lambda q: F.substr("t", q + 1, F.col("size"))))).alias("piece"), F.col("k").alias("k2"), F.col("t").alias("t2"))
+    met = cut.join(probes, ["b", "short", "i", "piece"]).filter(F.col("k") != F.col("k2"))
+    swap = F.col("k") > F.col("k2")
+    pairs = met.select(F.least("k", "k2").alias("key"), F.greatest("k", "k2").alias("other"), F.when(swap, F.col("t2")).otherwise(F.col("t")).alias("t"), F.when(swap, F.col("t")).otherwise(F.col("t2")).alias("t2")).distinct()
+    return pairs.withColumn("similarity", F.round(similarity("t", "t2"), 4)).filter(F.col("similarity") >= threshold).select("key", "other", "similarity")
 
 
 def first_listed(lists: DataFrame, key: str, codes: str, items: DataFrame, code: str, value: str) -> DataFrame:

@@ -185,7 +185,7 @@ def score_states(spark: SparkSession, d: str) -> DataFrame:
 
 @Q.query("""
 WITH p AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE o_orderkey % 101 END AS a, CASE WHEN o_orderkey % 5 = 0 THEN -1 ELSE o_orderkey % 97 END AS b, o_orderkey % 89 AS c FROM orders),
-r AS (SELECT k, floor((coalesce(a, 0) * 0.2 + CASE WHEN b = -1 THEN 0 ELSE b * 0.3 END + c * 0.5) / (CASE WHEN a IS NULL THEN 0 ELSE 0.2 END + CASE WHEN b = -1 THEN 0 ELSE 0.3 END + 0.5) + 0.5) AS raw FROM p),
+r AS (SELECT k, floor((coalesce(a, 0) * 0.2::DOUBLE + CASE WHEN b = -1 THEN 0.0::DOUBLE ELSE b * 0.3::DOUBLE END + c * 0.5::DOUBLE) / (CASE WHEN a IS NULL THEN 0.0::DOUBLE ELSE 0.2::DOUBLE END + CASE WHEN b = -1 THEN 0.0::DOUBLE ELSE 0.3::DOUBLE END + 0.5::DOUBLE) + 0.5) AS raw FROM p),
 s AS (SELECT k, CASE WHEN k % 10 = 0 THEN least(raw, 60) WHEN k % 4 = 0 THEN least(raw, 85) ELSE raw END AS score FROM r)
 SELECT k, score, CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 70 THEN 'C' WHEN score >= 60 THEN 'D' ELSE 'F' END AS grade, CASE WHEN score >= 90 THEN 'excellent' WHEN score >= 75 THEN 'good' WHEN score >= 60 THEN 'fair' WHEN score >= 40 THEN 'poor' ELSE 'critical' END AS status FROM s""")
 def evaluations(spark: SparkSession, d: str) -> DataFrame:

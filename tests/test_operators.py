@@ -1,8 +1,10 @@
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from brambling.functions import text as text_functions
 from brambling.operators import collections, documents, joins, losses, ranking, rollups, scoring
 from brambling.sources import tables
 from brambling.streaming import metrics
@@ -153,3 +155,49 @@ def test_sinks(spark, tmp_path):
 def test_search(spark):
     docs = spark.createDataFrame([(1, "fire policy", "x"), (2, "theft", "a policy"), (3, "none", "none")], "id int, title string, body string")
     assert [r.id for r in documents.search(docs, {"title": 1.0, "body": 0.4}, "policy", "id").collect()] == [1, 2]
+
+
+def test_contains_match_beyond_the_small_size(spark, monkeypatch):
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abc") for _ in range(rng.randint(0, n)))
+    rows = [(i, word(5)) for i in range(120)] + [(500, None)]
+    names = [(i, word(4)) for i in range(60)]
+    a, b = spark.createDataFrame(rows, "k int, name string"), spark.createDataFrame(names, "o int, other string")
+    want = {k: next((x for _, x in names if n and x and (x in n or n in x)), None) for k, n in rows}
+    assert {r.k: r.matched for r in joins.contains_match(a, b, "name", "other", "o").collect()} == want
+    monkeypatch.setattr(joins, "SMALL_ROWS", 10)
+    assert {r.k: r.matched for r in joins.contains_match(a, b, "name", "other", "o").collect()} == want
+
+
+def test_asof_with_many_versions(spark, monkeypatch):
+    rng = random.Random(5)
+    day = lambda n: datetime.date(2020, 1, 1) + datetime.timedelta(days=n)
+    versions = [(day(s), None if rng.random() < 0.2 else day(s + rng.randint(0, 90)), i, None if i % 7 == 0 else i * 2) for i, s in enumerate(rng.randint(0, 400) for _ in range(40))]
+    facts = spark.createDataFrame([(i, day(rng.randint(-50, 500))) for i in range(200)], "k int, at date")
+    v = spark.createDataFrame(versions, "a date, b date, no int, twice int")
+    one = joins.asof(facts, v, [], "at", "a", "b", "k", ["no", "twice"]).collect()
+    monkeypatch.setattr(joins, "MANY_VERSIONS", 5)
+    assert sorted(one) == sorted(joins.asof(facts, v, [], "at", "a", "b", "k", ["no", "twice"]).collect())
+
+
+def test_similar_pairs_like_brute_force(spark):
+    rng = random.Random(7)
+    rows = []
+    for base in range(12):
+        text = "".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 24)))
+        for _ in range(6):
+            t = list(text)
+            for _ in range(rng.randint(0, 3)):
+                k = rng.randrange(len(t) + 1)
+                t[k : k + rng.randint(0, 1)] = [rng.choice("abcdefgh")] * rng.randint(0, 1)
+            rows.append((len(rows), "".join(t), base % 2))
+    df = spark.createDataFrame(rows, "k int, t string, b int")
+    for least in (0.6, 0.85, 1.0):
+        got = {(r.key, r.other) for r in joins.similar_pairs(df, "k", "t", F.col("b"), least).collect()}
+        first = {}
+        for k, t, b in rows:
+            first.setdefault((b, t), k)
+        reps = [(b, t, k) for (b, t), k in first.items() if t]
+        pairs = spark.createDataFrame([(min(k, m), max(k, m), t, u) for i, (b, t, k) in enumerate(reps) for c, u, m in reps[:i] if b == c], "k int, m int, t string, u string")
+        want = {(r.k, r.m) for r in pairs.filter(F.round(text_functions.similarity("t", "u"), 4) >= least).collect()}
+        assert got == want
