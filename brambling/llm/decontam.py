@@ -2,16 +2,18 @@
 
 Every batch of documents is a shard: its words become numbers (words that no item has are all zero), a suffix array
 orders the suffixes of the shard by their next words, and every test suffix is found in it by binary search. The run
-of equal suffixes gives all verbatim places of the window; places are merged into spans of words.
+of equal suffixes gives all verbatim places of the window; places are merged into spans of words, and each place where
+a match begins is followed to its end, which gives the longest verbatim match of a document with an item and where it
+lies in both.
 
 A suffix whose first two words do not follow each other in any item cannot match and is left out of the array (but for
 items of one word). The items are a stated query set: they are read in blocks of at most ``BLOCK_CHARS`` characters,
 each block is sent to the tasks, and all documents are searched for it; the blocks are chained, so any number of items
-works.
+works. A longer item is a block of its own.
 
 Cases: null text has no words; an item without words matches nothing; an item shorter than the window is one window;
 repeated rows (documents or items) are kept or harmless; ids of items are returned as strings; a null item id is left
-out of the lists but its words still hit; empty tables give no hits or no rows; other columns are ignored.
+out of the lists but its words still hit; texts of any length are taken whole, with the batch that they come in; empty tables give no hits or no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -49,11 +51,21 @@ class TestSuffixes:
         self.per, self.bits = 63 // bits, bits
         self.keys = -(-window // self.per)
         found: dict[tuple[int, ...], set[str]] = {}
-        for item, ws in split:
+        places: dict[tuple[int, ...], list[int]] = {}
+        flat: list[int] = []
+        self.names, self.begins = [i for i, _ in split], np.zeros(len(split) + 1, np.int64)
+        for k, (item, ws) in enumerate(split):
             n = [self.ids[w] for w in ws]
             for s in range(max(1, len(n) - window + 1) if n else 0):
                 found.setdefault(tuple(n[s : s + window]), set()).update([item] if item is not None else [])
+                places.setdefault(tuple(n[s : s + window]), []).append(len(flat) + s)
+            flat += [*n, -1]
+            self.begins[k + 1] = len(flat)
         self.items = [sorted(x) for x in found.values()]
+        # The words of all items in a row (-1 apart) and, window after window, where each one begins in it.
+        self.flat = np.array([*flat, -1], np.int64)
+        self.at_window = np.cumsum([0, *map(len, places.values())])
+        self.at_flat = np.array([x for p in places.values() for x in p], np.int64)
         self.lengths = np.array([len(w) for w in found], np.int64)
         pad = lambda fill: np.array([w + (fill,) * (window - len(w)) for w in found], np.int64).reshape(len(found), window)
         self.low, self.high = self.pack(pad(0)), self.pack(pad((1 << bits) - 1))
@@ -115,6 +127,30 @@ class TestSuffixes:
         return at, window
 
 
+    def longest(self, shard: np.ndarray, doc: np.ndarray, at: np.ndarray, window: np.ndarray) -> dict[int, list[tuple]]:
+        """Per document of the matches: (item, length, place in the shard, place in the item) of the longest one of each item."""
+        n = self.at_window[window + 1] - self.at_window[window]
+        of = np.repeat(np.arange(len(at)), n)
+        item_at = self.at_flat[np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.at_window[window], n)]
+        place, length = at[of], self.lengths[window[of]]
+        ids = np.concatenate([shard, np.zeros(1, np.int64)])
+        first = (place == 0) | (ids[place - 1] != self.flat[item_at - 1])  # no match goes on to the left of it
+        of, item_at, place, length = of[first], item_at[first], place[first], length[first].copy()
+        live = np.arange(len(of))
+        while len(live):
+            word = self.flat[item_at[live] + length[live]]
+            live = live[(word > 0) & (ids[np.minimum(place[live] + length[live], len(shard))] == word)]
+            length[live] += 1
+        item = np.searchsorted(self.begins, item_at, "right") - 1
+        order = np.lexsort((item_at, place, -length, item, doc[of]))
+        keys = np.stack([doc[of], item])[:, order]
+        head = order[np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)])] if len(order) else order
+        out: dict[int, list[tuple]] = {}
+        for k in head.tolist():
+            out.setdefault(int(doc[of[k]]), []).append((self.names[item[k]], int(length[k]), int(place[k]), int(item_at[k] - self.begins[item[k]])))
+        return out
+
+
 def _blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[str | None, str | None]]]:
     kept = items.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t")).distinct()
     n = 1 + int((kept.agg(F.sum(F.length("t"))).first()[0] or 0) // BLOCK_CHARS)
@@ -122,8 +158,8 @@ def _blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple
         yield [tuple(r) for r in kept.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect()]
 
 
-def _search(tests: TestSuffixes, texts: list[bytes | None]) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words per document, its first place in the shard, the covered places, and (document, window) of all matches."""
+def _search(tests: TestSuffixes, texts: list[bytes | None], follow: bool = False) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray, dict[int, list[tuple]]]:
+    """Words per document, its first place in the shard, the covered places, (document, window) of all matches, and the longest ones."""
     get, shard, counts = tests.ids.get, [], []
     for t in texts:
         ws = words_of(t or b"")
@@ -135,28 +171,32 @@ def _search(tests: TestSuffixes, texts: list[bytes | None]) -> tuple[list[int],
     edge = np.zeros(len(ids) + 1, np.int64)
     np.add.at(edge, at, 1)
     np.add.at(edge, at + tests.lengths[window] if len(at) else at, -1)
-    pairs = np.unique(np.stack([np.searchsorted(first, at, "right") - 1, window], axis=1), axis=0) if len(at) else np.zeros((0, 2), np.int64)
-    return counts, first, np.cumsum(edge)[:-1] > 0, pairs[:, 0], pairs[:, 1]
+    doc = np.searchsorted(first, at, "right") - 1
+    pairs = np.unique(np.stack([doc, window], axis=1), axis=0) if len(at) else np.zeros((0, 2), np.int64)
+    return counts, first, np.cumsum(edge)[:-1] > 0, pairs[:, 0], pairs[:, 1], tests.longest(ids, doc, at, window) if follow and len(at) else {}
 
 
 SPANS = "array<struct<start: int, end: int>>"
+LONGEST = "array<struct<item: string, n_words: int, doc_word: int, item_word: int>>"
 
 
 def find_matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10) -> DataFrame:
-    """id_col, n_words long, spans (half-open, in words, merged), items array<string>: items with an occurring window."""
+    """id_col, n_words long, spans (half-open, in words, merged), items array<string>: items with an occurring window, longest: per item the longest verbatim match and where it begins."""
     bounded_batches(docs)
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col), F.encode(text_col, "UTF-8").alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast(SPANS).alias("spans"), F.array().cast("array<string>").alias("items"))
+    rows = docs.select(F.col(id_col), F.encode(text_col, "UTF-8").alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast(SPANS).alias("spans"), F.array().cast("array<string>").alias("items"), F.array().cast(LONGEST).alias("longest"))
     for block in _blocks(items, item_id, item_text):
-        rows = rows.mapInArrow(_matcher(TestSuffixes(block, window), id_col), f"`{id_col}` {kind}, text binary, n_words long, spans {SPANS}, items array<string>")
+        rows = rows.mapInArrow(_matcher(TestSuffixes(block, window), id_col), f"`{id_col}` {kind}, text binary, n_words long, spans {SPANS}, items array<string>, longest {LONGEST}")
     return rows.drop("text")
 
 
 def _matcher(tests: TestSuffixes, id_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            before, had = batch.column(3).to_pylist(), batch.column(4).to_pylist()
-            counts, first, covered, doc, win = _search(tests, batch.column(1).to_pylist())
+            before, had, longest = (batch.column(k).to_pylist() for k in (3, 4, 5))
+            counts, first, covered, doc, win, found = _search(tests, batch.column(1).to_pylist(), follow=True)
+            for k, matches in found.items():
+                longest[k] += [{"item": i, "n_words": n, "doc_word": at - int(first[k]), "item_word": p} for i, n, at, p in matches]
             for k, old in enumerate(before):
                 for s in old:
                     covered[first[k] + s["start"] : first[k] + s["end"]] = True
@@ -170,8 +210,8 @@ def _matcher(tests: TestSuffixes, id_col: str):
             for k, w in zip(doc.tolist(), win.tolist()):
                 items[k].update(tests.items[w])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(spans, batch.schema.field(3).type), pa.array([sorted(x) for x in items], batch.schema.field(4).type)],
-                names=[id_col, "text", "n_words", "spans", "items"],
+                [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(spans, batch.schema.field(3).type), pa.array([sorted(x) for x in items], batch.schema.field(4).type), pa.array(longest, batch.schema.field(5).type)],
+                names=[id_col, "text", "n_words", "spans", "items", "longest"],
             )
 
     return run

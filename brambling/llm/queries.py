@@ -56,6 +56,7 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (hit > 0).alias("contaminated"),
+        F.coalesce(F.array_max(F.transform("longest", lambda m: m["n_words"])), F.lit(0)).cast("long").alias("longest_match"),
     )
 
 

@@ -45,6 +45,26 @@ def test_like_brute_force(spark, monkeypatch):
         assert sorted(r.doc_id for r in kept.collect()) == sorted(w[0] for w in want if not w[2])
 
 
+def longest_match(a, b, least):
+    """(words, place in a, place in b) of the longest common run of at least ``least`` words, the first in a, then in b."""
+    runs = [(n, i, j) for i in range(len(a)) for j in range(len(b)) if (n := next((k for k in range(min(len(a) - i, len(b) - j)) if a[i + k] != b[j + k]), min(len(a) - i, len(b) - j))) >= least]
+    return max(runs, key=lambda r: (r[0], -r[1], -r[2]), default=None)
+
+
+def test_longest_matches(spark, monkeypatch):
+    rng = random.Random(11)
+    text = lambda n: " ".join(rng.choice("abcdefgh") + rng.choice("xy") for _ in range(n))
+    items = [(i, text(rng.randint(1, 30))) for i in range(12)]
+    docs = [(i, " ".join(rng.choice([text(rng.randint(0, 9)), " ".join(rng.choice(items)[1].split()[rng.randint(0, 5) : rng.randint(6, 30)])]) for _ in range(rng.randint(1, 5)))) for i in range(50)] + [(99, "word " * 200_000 + items[0][1])]
+    monkeypatch.setattr(decontam, "BLOCK_CHARS", 200)
+    d, b = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: {m["item"]: (m.n_words, m.doc_word, m.item_word) for m in r.longest} for r in decontam.find_matches(d, b, window=4).collect()}
+    for k, t in docs[:-1]:
+        want = {str(i): longest_match(words(t), words(x), min(4, len(words(x)))) for i, x in items}
+        assert got[k] == {i: m for i, m in want.items() if m}
+    assert got[99]["0"] == (len(words(items[0][1])), 200_000, 0)
+
+
 def test_empty(spark):
     d, b = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert decontam.find_matches(d, b).count() == 0
