@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,10 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 ARROW_BYTES, ARROW_BYTES_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
 BATCH_BYTES = 4 << 20
+#: Names of intermediate tables: what they hold, and a random number.
+NAME = re.compile("[a-z0-9-]+-[0-9a-f]{32}")
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
-    """``df``, with Arrow batches of whole texts bounded to a few MB, unless the session sets a size of its own."""
+    """``df``, with Arrow batches of whole texts bounded to a few MB for this session, unless it sets a size of its own.
+
+    Spark reads the setting when the job runs, so it stays set; Arrow batches are only cut smaller by it.
+    """
     conf = df.sparkSession.conf
     if str(conf.get(ARROW_BYTES, None)).rstrip("b") in ("None", str(ARROW_BYTES_DEFAULT)):
         conf.set(ARROW_BYTES, str(BATCH_BYTES))
@@ -21,7 +27,7 @@ def bounded_batches(df: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder of the session. Only where none is set (tests, one machine) a temporary one is made."""
+    """The checkpoint folder of the session. Only on one machine (tests) a temporary one is made where none is set."""
     sc = spark.sparkContext
     there = spark.conf.get("spark.checkpoint.dir", None)
     if there:
@@ -30,6 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
         return there
     made = sc._jsc.sc().getCheckpointDir()
     if made.isEmpty():
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="brambling-"))
         made = sc._jsc.sc().getCheckpointDir()
     return made.get()
@@ -45,3 +53,22 @@ def written(df: DataFrame, what: str) -> DataFrame:
     path = new_folder(spark, what)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession, older_than_seconds: float = 0) -> int:
+    """Deletes the intermediate tables of this library in the shared folder, once no result that reads them is needed; gives their number."""
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    now = jvm.java.lang.System.currentTimeMillis()
+    gone = 0
+    for status in files.listStatus(folder):
+        name = status.getPath().getName()
+        if NAME.fullmatch(name) and now - status.getModificationTime() >= older_than_seconds * 1000:
+            gone += files.delete(status.getPath(), True)
+    for t in spark.catalog.listTables():
+        if t.name.startswith("brambling_texts_"):
+            place = spark.sql(f"DESCRIBE EXTENDED `{t.name}`").filter("col_name = 'Location'").first()
+            if place is None or not files.exists(jvm.org.apache.hadoop.fs.Path(place["data_type"])):
+                spark.sql(f"DROP TABLE IF EXISTS `{t.name}`")
+    return gone

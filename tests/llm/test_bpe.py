@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import public_tokenizers
@@ -30,6 +31,26 @@ def test_scan_and_heap_agree():
     for _ in range(300):
         parts = [mine.inner[rng.choice(b"abcdeinthrs")] for _ in range(rng.randint(1, 60))]
         assert mine._scan(list(parts)) == mine._heap(list(parts))
+    for n in (bpe.SCAN_LIMIT - 1, bpe.SCAN_LIMIT, bpe.SCAN_LIMIT + 1, 1_000):
+        for letters in (b"a", b"ab", b"abcdeinthrs"):
+            parts = [mine.inner[rng.choice(letters)] for _ in range(n)]
+            assert mine._scan(list(parts)) == mine._heap(list(parts))
+
+
+def test_query_like_the_library(spark):
+    """Every row of the query against the tokenizers library."""
+    from brambling.llm import queries
+
+    folder = "/root/testdata/sf0.01"
+    theirs = Tokenizer.from_file(PATH)
+    theirs.no_padding()
+    theirs.no_truncation()
+    rows = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()
+    want = {}
+    for r, e in zip(rows, theirs.encode_batch([r.text or "" for r in rows], add_special_tokens=False)):
+        digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
+        want[r.doc_id] = (len(e.ids), digest(" ".join(map(str, e.ids))), digest(theirs.decode(e.ids, skip_special_tokens=False)))
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in queries.op1_bpe(spark, folder).collect()} == want
 
 
 def test_cache_is_bounded(monkeypatch):

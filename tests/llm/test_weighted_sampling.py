@@ -28,6 +28,29 @@ def test_collisions_are_generalised_jaccard():
     assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.06
 
 
+def test_fingerprint_term_by_term():
+    """The signature against the plain rule: per sample the term with the least value of c * exp(-r * (t - b + 1))."""
+    rng = random.Random(4)
+    for n in (1, 4, 5, 9, 300):
+        text = " ".join(rng.choice("abc") + rng.choice("de") for _ in range(n)).encode()
+        h = w.term_hashes(text)
+        names, counts = np.unique(h, return_counts=True)
+        got = w.fingerprint(text)
+        for k in range(0, w.SAMPLES, 9):
+            best = None
+            for name, count in zip(names, counts):
+                x = w._drawn(np.array([name], np.uint64))[:, k : k + 1]
+                e, f, g = -np.log(1 - w._uniform(x)), -np.log(w._uniform(w._mixed(x + w.C))), -np.log(w._uniform(w._mixed(x ^ w.B)))
+                c, s = e + f, np.log((e + f) / e)
+                r = s + g
+                t = np.floor(np.log(count) / r + 1 - s / r)
+                value = float((c * np.exp(-r * (t - (1 - s / r) + 1)))[0, 0])
+                if best is None or value < best[0]:
+                    best = value, name, int(t[0, 0])
+            sample = w._mixed(np.array([best[1]], np.uint64) + np.array([best[2]], np.int64).astype(np.uint64) * w.C + w.SEEDS[k]) >> np.uint64(48)
+            assert got[k] == sample[0]
+
+
 def test_variates():
     x = w._drawn(w._mixed(np.arange(1, 2001, dtype=np.uint64)))
     e, f, g = -np.log(1 - w._uniform(x)), -np.log(w._uniform(w._mixed(x + w.C))), -np.log(w._uniform(w._mixed(x ^ w.B)))
