@@ -425,3 +425,149 @@ WITH s AS (SELECT k, no_dates OR no_product AS blocked, greatest(0, least(100, k
 SELECT k, CASE WHEN blocked THEN 'compliance' ELSE 'complete' END AS stage, CASE WHEN blocked THEN 'blocked' WHEN final >= 70 THEN 'good' WHEN final >= 40 THEN 'fair' ELSE 'poor' END AS verdict, CASE WHEN NOT blocked THEN final END AS score FROM s""")
 def staged_evaluations(spark: SparkSession, d: str) -> DataFrame:
     return lifecycle.staged_evaluation(_gate(spark, d), "k", F.col("found"), F.col("k") % 101, F.col("price") / 10)
+
+
+# Words that scans tear apart, letter by letter.
+TORN = {"POLİÇE": "P O L [İI] [CÇ] E", "SİGORTA": "S [İI] G O R T A", "KASKO": "K A S K O"}
+
+
+@Q.query("""SELECT o_orderkey AS k, 'POLİÇE no ' || o_orderkey || CASE WHEN o_orderkey % 2 = 0 THEN ' KASKO' ELSE ' plain' END AS text, CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 2 END AS passes FROM orders""")
+def despaced_words(spark: SparkSession, d: str) -> DataFrame:
+    from brambling.operators.cleaning import despaced
+
+    k = F.col("k")
+    third = k % 3 == 0
+    t = F.concat(F.when(third, "POLİÇE").otherwise("P O L I C E"), F.lit(" no "), k.cast("string"), F.when(third, F.when(k % 2 == 0, " KASKO").otherwise(" plain")).otherwise(F.when(k % 2 == 0, " K AS K O").otherwise(" plain")))
+    t = F.when(third, t).otherwise(F.regexp_replace(t, "P O L I C E", "p o l i ç e"))
+    return orders(spark, d).select("k", despaced(t, TORN, 4).alias("r")).select("k", "r.*")
+
+
+@Q.query("""SELECT o_orderkey AS k, 'SİGORTA of 34 A B ' || (o_orderkey % 900 + 100) || ' and ABC' || chr(10) || 'second line' AS text FROM orders""")
+def kept_tokens(spark: SparkSession, d: str) -> DataFrame:
+    from brambling.operators.cleaning import normalised_ocr
+
+    t = F.concat(F.lit("  S I GORTA of   34 A B "), (F.col("k") % 900 + 100).cast("string"), F.lit(" and A B C \n||||!!!!||||\n second line"))
+    return orders(spark, d).select("k", normalised_ocr(t, TORN, r"\b\d{2} [A-Z](?: [A-Z]){0,2} \d{2,4}\b").alias("text"))
+
+
+@Q.query("""
+SELECT o_orderkey AS k, 'POLİÇE No: ' || o_orderkey || chr(10) || '[Page 1/2]' || chr(10) || 'a/b' || chr(10) || chr(10) || 'end' AS text, 2 AS despacing_passes, 1 AS page_marks, 1 AS lines_dropped,
+  length(o_orderkey::VARCHAR) + 81 AS n_before, 1 AS dropped, 1 AS control FROM orders""")
+def precleaned(spark: SparkSession, d: str) -> DataFrame:
+    from brambling.operators.cleaning import pre_clean, sanitised
+
+    raw = F.concat(F.lit("P O L I Ç E\x01 PoliceNo:"), F.col("k").cast("string"), F.lit("\r\n|||||||||||||\n- Page 1 of 2 -\na  / b\n\n\n\nend |||||||||||  "))
+    made = pre_clean(raw, TORN, [(r"POLİÇE PoliceNo:", "POLİÇE No:")], [(r"No:(?=\d)", "No: ")], [])
+    clean = sanitised(raw)
+    return orders(spark, d).select("k", made.alias("r"), clean.alias("s")).select("k", "r.*", F.col("s.n_before").alias("n_before"), F.col("s.lines_dropped").alias("dropped"), F.col("s.control_removed").alias("control"))
+
+
+RULES = [("LEGAL_ADVANCE", ["avans", "advance"], []), ("THIRD_PARTY", ["third party", "üçüncü şahıs"], []), ("THEFT", [], ["hırsızlık", "theft"])]
+
+
+@Q.query("""SELECT o_orderkey AS k, CASE o_orderkey % 7 WHEN 0 THEN 'LEGAL_ADVANCE' WHEN 1 THEN 'THIRD_PARTY' WHEN 2 THEN 'THEFT' WHEN 3 THEN 'GLASS' WHEN 4 THEN 'UNKNOWN' WHEN 5 THEN 'UNKNOWN' ELSE 'THIRD_PARTY' END AS label FROM orders""")
+def coverage_labels(spark: SparkSession, d: str) -> DataFrame:
+    from brambling.operators.analysis import canonical_label
+
+    name = by_case(F.col("k") % 7, F.lit("Hukuki AVANS"), F.lit("THIRD party Liability"), F.lit(" HIRSIZLIK "), F.lit("Cam  Kırılması"), F.lit("theft of keys"), F.lit(None).cast("string"), F.lit("Üçüncü Şahıs"))
+    return orders(spark, d).select("k", canonical_label(name, RULES, {"cam kırılması": "GLASS"}).alias("label"))
+
+
+@Q.query("""
+SELECT o_orderkey AS k, CASE o_orderstatus WHEN 'F' THEN 'MOTOR' WHEN 'O' THEN 'HOME' ELSE 'other' END AS kind, CASE WHEN o_orderkey % 5 > 0 THEN o_totalprice END AS amount, o_orderkey % 5 = 0 AS premium_missing, CASE WHEN o_orderkey % 2 = 0 THEN 'original' ELSE 'unspecified' END AS parts, CASE WHEN o_orderkey % 2 = 0 THEN 'extracted' ELSE 'inferred' END AS source,
+  CASE WHEN o_orderkey % 4 > 0 THEN CAST(o_orderkey % 4 AS DOUBLE) END AS insured, o_orderkey % 3 > 0 AS percentage FROM orders""")
+def actuarial_inputs(spark: SparkSession, d: str) -> DataFrame:
+    from brambling.operators.analysis import actuarial_input
+
+    k = F.col("k")
+    rows = orders(spark, d).select(
+        k.alias("id"), F.col("o_orderstatus").alias("kind"), F.lit("p").alias("product"), F.when(k % 5 > 0, F.col("o_totalprice")).alias("premium"), F.lit("TRY").alias("currency"), F.to_date("o_orderdate").alias("start"), F.to_date("o_orderdate").alias("expiry"),
+        (k % 4).alias("insured"), F.when(k % 3 > 0, k % 3).alias("deductible_percent"), F.lit(None).cast("int").alias("n_conditional"), F.when(k % 2 == 0, "original").alias("parts"), F.lit("any").alias("network"),
+    )
+    out = actuarial_input(rows, {"F": "MOTOR", "O": "HOME"})
+    return out.select(F.col("id").alias("k"), "kind", "premium.amount", "premium_missing", F.col("parts.value").alias("parts"), "parts.source", F.col("insured_value.amount").alias("insured"), F.col("has_percentage_deductible").alias("percentage"))
+
+
+@Q.query("""
+WITH o AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 > 0 THEN o_totalprice END AS premium, CAST(o_orderdate AS DATE) AS expiry FROM orders)
+SELECT k, floor(premium / 12 + 0.5) AS monthly_premium, CASE WHEN k % 3 = 0 THEN 'THEFT=' || (50 + k % 10) || '.0' WHEN k % 3 = 1 THEN 'THEFT=50.0,UNKNOWN=0.0' ELSE '' END AS coverages, CAST(CASE WHEN k % 3 = 0 THEN 50 + k % 10 WHEN k % 3 = 1 THEN 50 ELSE 0 END AS DOUBLE) AS total,
+  CASE WHEN expiry < DATE '1996-01-01' THEN 'expired' WHEN expiry <= DATE '1996-01-31' THEN 'expiring' ELSE 'active' END AS status, concat_ws(',', CASE WHEN premium IS NULL THEN 'premium' END, CASE WHEN k % 3 = 2 THEN 'coverages' END, CASE WHEN k % 7 = 0 THEN 'dates' END, CASE WHEN k % 3 = 1 THEN 'labels' END) AS warnings FROM o""")
+def analysed_policies(spark: SparkSession, d: str) -> DataFrame:
+    from brambling.operators.analysis import analysed, canonical_label
+
+    k, day = F.col("k"), F.to_date("o_orderdate")
+    cover = lambda n, x: F.struct(F.lit(n).alias("name"), x.cast("double").alias("limit"), F.lit(None).cast("boolean").alias("included"))
+    covers = F.when(k % 3 == 0, F.array(cover("Theft", F.lit(50)), cover("hırsızlık", 50 + k % 10))).when(k % 3 == 1, F.array(cover("theft", F.lit(50)), cover("Hail", F.lit(None)))).otherwise(F.array().cast("array<struct<name:string,limit:double,included:boolean>>"))
+    rows = orders(spark, d).select(k.alias("id"), F.lit("kasko").alias("kind"), F.when(k % 5 > 0, F.col("o_totalprice")).alias("premium"), F.date_add(day, F.when(k % 7 == 0, 5).otherwise(-300)).alias("start"), day.alias("expiry"), covers.alias("coverages"))
+    out = analysed(rows, F.lit("1996-01-01").cast("date"), lambda n: canonical_label(n, RULES, {}))
+    shown = joined(F.transform("coverages", lambda c: F.concat(c["label"], F.lit("="), c["limit"].cast("string"))))
+    return out.select(F.col("id").alias("k"), "monthly_premium", shown.alias("coverages"), "total", "status", joined("warnings").alias("warnings"))
+
+
+@Q.query("""
+SELECT o_orderkey AS k, concat_ws(',', CASE WHEN o_orderkey % 11 = 0 THEN 'currency' END, CASE WHEN o_orderkey % 5 = 0 THEN 'premium' END, CASE WHEN o_orderkey % 4 = 3 THEN 'coverages' END, CASE WHEN o_orderkey % 4 = 1 THEN 'deductible' END, CASE WHEN o_orderkey % 4 = 2 THEN 'limit' END, CASE WHEN o_orderkey % 2 = 1 THEN 'evidence' END, CASE WHEN o_totalprice > 300000 THEN 'plate' END) AS flags,
+  o_orderkey % 11 = 0 OR o_orderkey % 4 = 1 AS blocked FROM orders""")
+def unsafe_extractions(spark: SparkSession, d: str) -> DataFrame:
+    from brambling.operators.analysis import safety_flags
+
+    k = F.col("k")
+    cover = lambda limit, deductible, free: F.struct(F.lit(limit).cast("double").alias("limit"), F.lit(deductible).cast("double").alias("deductible"), F.lit(free).alias("is_unlimited"), F.lit(None).cast("boolean").alias("is_market_value"))
+    covers = by_case(k % 4, F.array(cover(1, 0, None), cover(None, None, True)), F.array(cover(1, -5, None)), F.array(cover(None, 1, None)), F.array().cast("array<struct<limit:double,deductible:double,is_unlimited:boolean,is_market_value:boolean>>"))
+    flags = safety_flags(F.when(k % 11 > 0, "TRY"), F.when(k % 5 > 0, k), covers, F.when(k % 2 == 0, True), {"plate": ("warning", F.col("o_totalprice") > 300_000)})
+    out = orders(spark, d).select("k", flags.alias("f"))
+    return out.select("k", joined(F.transform("f", lambda f: f["field"])).alias("flags"), F.exists("f", lambda f: f["level"] == "error").alias("blocked"))
+
+
+@Q.query("""
+WITH p AS (SELECT p_partkey, p_type, p_size FROM part)
+SELECT p_partkey, 'liability' AS requirement, 'critical' AS severity, CASE WHEN p_size % 3 = 0 THEN 'missing' ELSE 'too_low' END AS gap, CASE WHEN p_size % 3 = 0 THEN 30.0 ELSE 30.0 - p_size END AS shortfall FROM p WHERE p_type = 'ECONOMY' AND (p_size % 3 = 0 OR p_size < 30)
+UNION ALL SELECT p_partkey, 'quake', 'high', 'missing', 0.0 FROM p WHERE p_type = 'PROMO' AND p_size % 2 = 1""")
+def regulatory_gaps(spark: SparkSession, d: str) -> DataFrame:
+    from brambling.operators.analysis import compliance_gaps
+
+    size = F.col("p_size")
+    cover = lambda ok, n: F.when(ok, F.struct(F.lit(n).alias("name"), size.cast("double").alias("limit")))
+    rows = table(spark, d, "part").select("p_partkey", "p_type", F.array_compact(F.array(cover(size % 3 != 0, "Third PARTY liability"), cover(size % 2 == 0, "DASK quake"))).alias("covers"))
+    needs = spark.createDataFrame([("ECONOMY", "liability", "third party|trafik", 30.0, "critical"), ("PROMO", "quake", "dask|deprem", None, "high")], "kind string, requirement string, pattern string, minimum double, severity string")
+    return compliance_gaps(rows, "p_partkey", "p_type", "covers", needs)
+
+
+@Q.query(f"""SELECT k, CAST(greatest(0, 100 - CASE WHEN no_dates THEN 40 ELSE 0 END - CASE WHEN no_product THEN 40 ELSE 0 END - CASE WHEN old THEN 15 ELSE 0 END - CASE WHEN large THEN 15 ELSE 0 END) AS DOUBLE) AS score, NOT (no_dates OR no_product) AS compliant FROM ({GATE_SQL})""")
+def compliance_scores(spark: SparkSession, d: str) -> DataFrame:
+    from brambling.operators.analysis import compliance_score
+
+    return _gate(spark, d).select("k", compliance_score(F.col("found"), {"blocking": 40, "warning": 15}).alias("c")).select("k", "c.*")
+
+
+@Q.query("""
+WITH b(kind, low, mean, high, cl, cm, ch, trend) AS (VALUES ('ECONOMY', 900.0, 1300.0, 1700.0, 5.0, 20.0, 40.0, 12.0), ('PROMO', 900.0, 1250.0, 1600.0, 5.0, 25.0, 45.0, -8.0), ('STANDARD', 1000.0, 1400.0, 1800.0, 1.0, 25.0, 50.0, 0.0)),
+m AS (SELECT p_partkey, least(100, greatest(0, (p_retailprice - low) / (high - low) * 100)) AS pp, least(100, greatest(0, (p_size - cl) / (ch - cl) * 100)) AS cp, p_size / p_retailprice AS vr, cm / mean AS mr, trend FROM part JOIN b ON kind = p_type)
+SELECT p_partkey, CAST(pp AS DOUBLE) AS premium_percentile, CAST(cp AS DOUBLE) AS coverage_percentile, CASE WHEN pp <= 25 THEN 'excellent' WHEN pp <= 50 THEN 'good' WHEN pp <= 75 THEN 'average' ELSE 'high' END AS premium_rating, CASE WHEN cp >= 75 THEN 'excellent' WHEN cp >= 50 THEN 'good' WHEN cp >= 25 THEN 'average' ELSE 'low' END AS coverage_rating,
+  CASE WHEN vr / mr >= 1.2 THEN 'excellent' WHEN vr / mr >= 1.0 THEN 'good' WHEN vr / mr >= 0.8 THEN 'average' ELSE 'poor' END AS value_rating, CASE WHEN trend > 5 THEN 'increasing' WHEN trend < -5 THEN 'decreasing' ELSE 'stable' END AS market_trend FROM m""")
+def market_comparisons(spark: SparkSession, d: str) -> DataFrame:
+    from brambling.operators.analysis import market_comparison
+
+    rows = [("ECONOMY", 900.0, 1300.0, 1700.0, 5.0, 20.0, 40.0, 12.0), ("PROMO", 900.0, 1250.0, 1600.0, 5.0, 25.0, 45.0, -8.0), ("STANDARD", 1000.0, 1400.0, 1800.0, 1.0, 25.0, 50.0, 0.0)]
+    benchmarks = spark.createDataFrame(rows, "kind string, low double, mean double, high double, coverage_low double, coverage_mean double, coverage_high double, trend double")
+    out = market_comparison(table(spark, d, "part"), "p_type", "p_retailprice", "p_size", benchmarks)
+    return out.select("p_partkey", "premium_percentile", "coverage_percentile", "premium_rating", "coverage_rating", "value_rating", "market_trend")
+
+
+@Q.query("""
+WITH RECURSIVE m AS (SELECT date_trunc('hour', ts) AS start, count(*) AS n, count(*) FILTER (event_type = 'error') AS e FROM events GROUP BY 1),
+b AS (SELECT 'errors' AS rule, start, e::DOUBLE AS value, 21600 AS pause FROM m WHERE e >= 4 UNION ALL SELECT 'quiet', start, n::DOUBLE, 7200 FROM m WHERE n < 8),
+f AS (SELECT rule, min(start) AS start FROM b GROUP BY 1 UNION ALL SELECT f.rule, (SELECT min(b.start) FROM b WHERE b.rule = f.rule AND b.start >= f.start + to_seconds(b.pause)) FROM f WHERE f.start IS NOT NULL)
+SELECT b.rule, CAST(b.start AS TIMESTAMP) AS ts, b.value FROM f JOIN b ON b.rule = f.rule AND b.start = f.start""")
+def hourly_alerts(spark: SparkSession, d: str) -> DataFrame:
+    """Hourly metrics as a stream: what breaks a rule, at most once per rule and cooldown."""
+    import uuid
+
+    from brambling.streaming.metrics import alerts
+
+    hours = table(spark, d, "events").groupBy(F.date_trunc("hour", "ts").alias("start")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "error").alias("e"))
+    path, name = tables.scratch(spark, "hours"), f"alerts_{uuid.uuid4().hex}"
+    hours.withColumn("start", F.col("start").cast("timestamp")).coalesce(1).write.parquet(path)
+    stream = spark.readStream.schema("start timestamp, n long, e long").parquet(path)
+    found = alerts(stream, [("errors", "e", ">=", 4, 21_600), ("quiet", "n", "<", 8, 7_200)], "start")
+    found.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", tables.scratch(spark, "alerts")).trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
