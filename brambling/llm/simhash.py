@@ -39,7 +39,7 @@ from brambling.llm.storage import bounded_batches, written
 
 SEED = 42
 #: Fingerprints of one subtree that a task walks at once, node pairs that it holds, and links before it folds them.
-SUBTREE, FRONTIER, LINKS = 65_536, 1 << 20, 1 << 21
+SUBTREE, FRONTIER, LINKS = 65_536, 1 << 17, 1 << 18
 #: Wide fingerprints: words of 64 bits that are compared whole, the share of pairs at the similarity that bands must bring together, and how far from it an estimate (its standard deviation is below 0.04) says nothing.
 WORDS, MEETING, MARGIN = 8, 0.97, 0.08
 #: Eight lanes of one byte: the bits of a byte, spread, so that up to 255 of them add up side by side.

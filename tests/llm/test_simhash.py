@@ -27,7 +27,7 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-@pytest.mark.parametrize("tile, frontier", [(65_536, 1 << 20), (4, 50), (2, 1 << 20)])
+@pytest.mark.parametrize("tile, frontier", [(65_536, 1 << 17), (4, 50), (2, 1 << 17)])
 def test_components(spark, monkeypatch, tile, frontier):
     monkeypatch.setattr(simhash, "SUBTREE", tile)
     monkeypatch.setattr(simhash, "FRONTIER", frontier)
