@@ -172,7 +172,18 @@ def _part_set(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select(F.col("p_brand").alias("brand"), "p_partkey", F.col("p_retailprice").alias("price"), F.col("p_size").cast("double").alias("size"), F.length("p_name").cast("double").alias("name_length"))
 
 
-@Q.query()
+#: The weightings of the three criteria: the one in use, then each changed by each step.
+WEIGHTINGS = "SELECT 0 AS w, 0.5::DOUBLE AS a, 0.3::DOUBLE AS b, 0.2::DOUBLE AS c UNION ALL SELECT 1 + 4 * k + s, greatest(0, 0.5 + CASE WHEN k = 0 THEN d ELSE 0 END), greatest(0, 0.3 + CASE WHEN k = 1 THEN d ELSE 0 END), greatest(0, 0.2 + CASE WHEN k = 2 THEN d ELSE 0 END) FROM range(3) k(k), (VALUES (0, -0.1), (1, -0.05), (2, 0.05), (3, 0.1)) t(s, d)"
+
+
+@Q.query(f"""
+WITH p AS (SELECT p_brand AS brand, p_partkey, p_retailprice AS price, CAST(p_size AS DOUBLE) AS size, CAST(length(p_name) AS DOUBLE) AS name_length FROM part),
+n AS (SELECT brand, sqrt(sum(price * price)) AS a, sqrt(sum(size * size)) AS b, sqrt(sum(name_length * name_length)) AS c FROM p GROUP BY 1), w AS ({WEIGHTINGS}),
+v AS (SELECT w, brand, p_partkey, price / n.a * (w.a / (w.a + w.b + w.c)) AS x, size / n.b * (w.b / (w.a + w.b + w.c)) AS y, name_length / n.c * (w.c / (w.a + w.b + w.c)) AS z FROM p JOIN n USING (brand), w),
+e AS (SELECT w, brand, min(x) AS xi, max(x) AS xa, max(y) AS yi, min(y) AS ya, max(z) AS zi, min(z) AS za FROM v GROUP BY 1, 2),
+f AS (SELECT w, brand, p_partkey, sqrt(pow(x - xi, 2) + pow(y - yi, 2) + pow(z - zi, 2)) AS p, sqrt(pow(x - xa, 2) + pow(y - ya, 2) + pow(z - za, 2)) AS m FROM v JOIN e USING (w, brand)),
+g AS (SELECT w, brand, p_partkey, row_number() OVER (PARTITION BY w, brand ORDER BY round(CASE WHEN p + m = 0 THEN 0.5 ELSE m / (p + m) END, 4) DESC, p_partkey) AS r FROM f), b AS (SELECT brand, p_partkey AS winner FROM g WHERE w = 0 AND r = 1)
+SELECT brand, winner, count(*) AS n_scenarios, count(*) FILTER (p_partkey <> winner) AS n_flips, round(1 - count(*) FILTER (p_partkey <> winner) / count(*), 4) AS stability FROM g JOIN b USING (brand) WHERE w > 0 AND r = 1 GROUP BY 1, 2""")
 def topsis_stability(spark: SparkSession, d: str) -> DataFrame:
     return ranking.topsis_sensitivity(_part_set(spark, d), ["brand"], "p_partkey", CRITERIA)
 

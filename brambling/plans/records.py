@@ -571,3 +571,10 @@ def hourly_alerts(spark: SparkSession, d: str) -> DataFrame:
     found = alerts(stream, [("errors", "e", ">=", 4, 21_600), ("quiet", "n", "<", 8, 7_200)], "start")
     found.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", tables.scratch(spark, "alerts")).trigger(availableNow=True).start().awaitTermination()
     return spark.table(name).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@Q.query("""SELECT o_orderkey AS k, CASE WHEN o_orderkey % 10 = 3 THEN 'missing' ELSE 'changed' END AS change FROM orders WHERE o_orderkey % 10 = 3 OR o_orderkey % 17 = 0 AND o_orderkey % 10 <> 2 AND o_orderstatus <> 'X'""")
+def audit_violations(spark: SparkSession, d: str) -> DataFrame:
+    rows = orders(spark, d).select("k", F.col("o_orderstatus").alias("s"))
+    after = rows.filter("k % 10 <> 3").withColumn("s", F.when(F.col("k") % 17 == 0, "X").otherwise(F.col("s")))
+    return tables.audit_violations(rows.filter("k % 10 <> 2"), after, ["k"], ["s"])

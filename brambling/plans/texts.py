@@ -146,7 +146,12 @@ def document_search(spark: SparkSession, d: str) -> DataFrame:
     return documents.search(docs(spark, d), {"source": 1.0, "text": 0.4}, "copyright license", "doc_id").select("doc_id", "search_rank")
 
 
-@Q.query()
+@Q.query("""
+WITH RECURSIVE i AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS k, text, list_distinct(list_transform(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda w: length(w) > 0 AND w NOT IN ('the', 'of', 'and', 'a')), lambda w: left(w, 4))) AS stems FROM conversations),
+f AS (SELECT conv_id, 1::BIGINT AS k, [{'text': text, 'stems': stems}] AS kept FROM i WHERE k = 1
+UNION ALL SELECT f.conv_id, i.k, CASE WHEN len(list_filter(kept, lambda e: len(list_distinct(list_concat(e.stems, i.stems))) = 0 OR len(list_intersect(e.stems, i.stems)) / len(list_distinct(list_concat(e.stems, i.stems))) >= 0.3)) = 0 THEN list_append(kept, {'text': i.text, 'stems': i.stems})
+  ELSE list_transform(kept, lambda e, n: CASE WHEN n = list_position(list_transform(kept, lambda g: len(list_distinct(list_concat(g.stems, i.stems))) = 0 OR len(list_intersect(g.stems, i.stems)) / len(list_distinct(list_concat(g.stems, i.stems))) >= 0.3), true) AND length(i.text) > length(e.text) THEN {'text': i.text, 'stems': i.stems} ELSE e END) END FROM f JOIN i ON i.conv_id = f.conv_id AND i.k = f.k + 1)
+SELECT conv_id, max(k)::INTEGER AS n_before, max_by(len(kept), k)::INTEGER AS n_after FROM f GROUP BY 1""")
 def near_dup_pairs(spark: SparkSession, d: str) -> DataFrame:
     """The turns of a conversation as the items of one record: paraphrases fold together."""
     lines = table(spark, d, "conversations").select("conv_id", "turn", "text")

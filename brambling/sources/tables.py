@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from brambling.operators.collections import insert_absent, latest_per_key
+from brambling.operators.joins import changes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -104,6 +105,11 @@ def upsert(spark: SparkSession, new: DataFrame, path: str, keys: list[str], then
     return to
 
 
+def audit_violations(before: DataFrame, after: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """What an append-only table must never show between two versions: rows that changed or are gone. New rows are no violation."""
+    return changes(before, after, keys, values).filter("change <> 'added'").select(*keys, "change")
+
+
 def append_absent(spark: SparkSession, new: DataFrame, path: str, keys: list[str]) -> None:
     """Appends the rows whose key the table does not have yet."""
     insert_absent(new, spark.read.parquet(path), keys).write.mode("append").parquet(path)
