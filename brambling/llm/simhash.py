@@ -44,7 +44,9 @@ SUBTREE, FRONTIER, LINKS = 65_536, 1 << 17, 1 << 18
 WORDS, MEETING, MARGIN = 8, 0.97, 0.08
 #: Eight lanes of one byte: the bits of a byte, spread, so that up to 255 of them add up side by side.
 #: Shingles whose bits are counted at once.
-PORTION = 255 << 6
+PORTION = 255 << 4
+#: What sets the mixings of a hash apart.
+STEPS = np.arange(1 << 10, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 SPREAD = ((np.arange(256, dtype=np.uint64)[:, None] >> np.arange(8, dtype=np.uint64)) & 1) @ (np.uint64(1) << np.arange(0, 64, 8, dtype=np.uint64))
 
 
@@ -60,20 +62,21 @@ def _shingle_hashes(text: bytes, shingle: int, seed: int) -> np.ndarray:
     return np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[len(words) - n :].tolist())), np.uint64, n)
 
 
-def _majority(hashes: np.ndarray) -> np.ndarray:
-    """For each column, the bits that are set in over half its hashes."""
-    n, columns = hashes.shape
+def _majority(hashes: np.ndarray, words: int = 0) -> np.ndarray:
+    """The bits that are set in over half the hashes, or in over half of what ``words`` mixings make of them."""
+    columns = max(1, words)
     counts = np.zeros(64 * columns, np.int64)
-    for at in range(0, n, PORTION):
-        lanes = SPREAD[np.ascontiguousarray(hashes[at : at + PORTION]).view(np.uint8)]
+    for at in range(0, len(hashes), PORTION):
+        part = hashes[at : at + PORTION, None]
+        lanes = SPREAD[np.ascontiguousarray(_mixed(part + STEPS[:words]) if words else part).view(np.uint8)]
         full = len(lanes) // 255 * 255
         sums = np.concatenate([lanes[:full].reshape(-1, 255, 8 * columns).sum(axis=1), lanes[full:].sum(axis=0, keepdims=True)])
         counts += np.ascontiguousarray(sums).view(np.uint8).reshape(-1, 64 * columns).sum(axis=0, dtype=np.int64)
-    return np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)
+    return np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)
 
 
 def fingerprint(text: bytes, shingle: int = 4, seed: int = SEED) -> int:
-    return int(_majority(_shingle_hashes(text, shingle, seed)[:, None])[0])
+    return int(_majority(_shingle_hashes(text, shingle, seed))[0])
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -85,7 +88,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 def wide_fingerprint(text: bytes, shingle: int, words: int, seed: int = SEED) -> tuple[int, np.ndarray]:
     """How many different shingles there are, and ``words`` times 64 bits of them."""
     hashes = np.unique(_shingle_hashes(text, shingle, seed))
-    return len(hashes), _majority(_mixed(hashes[:, None] + np.arange(words, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    return len(hashes), _majority(hashes, words)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
