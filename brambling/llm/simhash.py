@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 from brambling.llm.storage import bounded_batches, written
 
 SEED = 42
-#: Fingerprints of one subtree that a task walks at once, node pairs that it holds, and links before it folds them.
-SUBTREE, FRONTIER, LINKS = 65_536, 1 << 17, 1 << 18
+#: Fingerprints of one subtree that a task walks at once, of small ones that it walks together, node pairs that it holds, and links before it folds them.
+SUBTREE, TOGETHER, FRONTIER, LINKS = 65_536, 16_384, 1 << 16, 1 << 17
 #: Wide fingerprints: words of 64 bits that are compared whole, the share of pairs at the similarity that bands must bring together, and how far from it an estimate (its standard deviation is below 0.04) says nothing.
 WORDS, MEETING, MARGIN = 8, 0.97, 0.08
 #: Eight lanes of one byte: the bits of a byte, spread, so that up to 255 of them add up side by side.
@@ -280,7 +280,7 @@ def _trie_links(nodes: DataFrame, keys: list[tuple[Column, int]], budget: int, n
         for batch in batches:
             held.append(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]))
             size += batch.num_rows
-            if size >= 2 * SUBTREE:
+            if size >= TOGETHER:
                 rows = np.concatenate(held, axis=1)
                 last = np.nonzero((rows[:4] != rows[:4, -1:]).any(axis=0))[0]
                 if len(last):
