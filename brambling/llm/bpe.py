@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from brambling.llm.storage import bounded_batches
+from brambling.llm.storage import bounded_batches, trimmed
 
 SCAN_LIMIT = 64
 #: Pieces and words that a worker remembers (twice as many at most), and the longest of them.
@@ -178,7 +178,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(rows.start, n), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))], names=[id_col, "ids"])
 
     kept = bounded_batches(docs.select(id_col, text_col))
-    return kept.mapInArrow(run, f"`{id_col}` {kept.schema[0].dataType.simpleString()}, ids array<int>")
+    return kept.mapInArrow(trimmed(run), f"`{id_col}` {kept.schema[0].dataType.simpleString()}, ids array<int>")
 
 
 def decode_ids(encoded: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -195,4 +195,4 @@ def decode_ids(encoded: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_c
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(rows.start, n), ids.slice(rows.start, n), pa.array(texts, pa.string())], names=[id_col, "ids", "decoded"])
 
     kept = bounded_batches(encoded.select(id_col, ids_col))
-    return kept.mapInArrow(run, f"`{id_col}` {kept.schema[0].dataType.simpleString()}, ids array<int>, decoded string")
+    return kept.mapInArrow(trimmed(run), f"`{id_col}` {kept.schema[0].dataType.simpleString()}, ids array<int>, decoded string")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brambling.llm.storage import bounded_batches
+from brambling.llm.storage import bounded_batches, trimmed
 
 BLOCK_CHARS = 8_000_000
 #: Lower-cases A-Z and turns every other ASCII character than digits and letters into a space.
@@ -186,7 +186,7 @@ def find_matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col), F.encode(text_col, "UTF-8").alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast(SPANS).alias("spans"), F.array().cast("array<string>").alias("items"), F.array().cast(LONGEST).alias("longest"))
     for block in _blocks(items, item_id, item_text):
-        rows = rows.mapInArrow(_matcher(TestSuffixes(block, window), id_col), f"`{id_col}` {kind}, text binary, n_words long, spans {SPANS}, items array<string>, longest {LONGEST}")
+        rows = rows.mapInArrow(trimmed(_matcher(TestSuffixes(block, window), id_col)), f"`{id_col}` {kind}, text binary, n_words long, spans {SPANS}, items array<string>, longest {LONGEST}")
     return rows.drop("text")
 
 
@@ -236,5 +236,5 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text
         return run
 
     for block in _blocks(items, item_id, item_text):
-        docs = docs.mapInArrow(filtered(TestSuffixes(block, window)), docs.schema)
+        docs = docs.mapInArrow(trimmed(filtered(TestSuffixes(block, window))), docs.schema)
     return docs

@@ -32,12 +32,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brambling.llm.storage import bounded_batches, new_folder, written
+from brambling.llm.storage import bounded_batches, new_folder, trimmed, written
 from brambling.llm.suffix_sort import Shard
 
 GRAM = 32
 #: Windows of a span, bytes of text that a task hashes at once, spans of a group that are sorted together, bytes that a task sorts at once.
-RUN, SEGMENT, GROUP, SHARD = 1024, 1 << 21, 2_000, 3_000_000
+RUN, SEGMENT, GROUP, SHARD = 1024, 1 << 20, 2_000, 2_000_000
 #: Neighbouring offsets whose windows are settled together.
 BLOCK = 16
 
@@ -144,7 +144,7 @@ def _hash_spans(texts: DataFrame, width: int) -> DataFrame:
             at = start.astype(np.int64) * (2 * RECURS) + n.astype(np.int64) + (copies[text] > 1)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (group.view(np.int64), content.view(np.int64), k1[text], k2[text], at)], names=["h", "c", "k1", "k2", "at"])
 
-    return texts.select("k1", "k2", "bytes", "copies").mapInArrow(run, "h long, c long, k1 long, k2 long, at long")
+    return texts.select("k1", "k2", "bytes", "copies").mapInArrow(trimmed(run), "h long, c long, k1 long, k2 long, at long")
 
 
 def _blocks(piece: bytes, h: int, windows: int) -> np.ndarray:
@@ -168,7 +168,7 @@ def _cores(pieces: DataFrame, width: int) -> DataFrame:
                     out.append((k1, k2, at, b, *_halves(digest), min(m, 2)))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 7)], names=["k1", "k2", "at", "block", "w1", "w2", "m"])
 
-    return pieces.select("h", "k1", "k2", "at", "m", "piece").mapInArrow(run, "k1 long, k2 long, at long, block long, w1 long, w2 long, m long")
+    return pieces.select("h", "k1", "k2", "at", "m", "piece").mapInArrow(trimmed(run), "k1 long, k2 long, at long, block long, w1 long, w2 long, m long")
 
 
 def _halves(digest: bytes) -> tuple[int, int]:
@@ -222,7 +222,7 @@ def _sort_shards(pieces: DataFrame, width: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [[]] * 6, kinds)], names=["kind", "k1", "k2", "at", "w1", "w2"])
 
     ordered = pieces.repartition("h", "salt").sortWithinPartitions("h", "salt")
-    return ordered.select("h", "salt", "k1", "k2", "at", "m", "piece", "blocks").mapInArrow(run, "kind int, k1 long, k2 long, at long, w1 long, w2 long")
+    return ordered.select("h", "salt", "k1", "k2", "at", "m", "piece", "blocks").mapInArrow(trimmed(run), "kind int, k1 long, k2 long, at long, w1 long, w2 long")
 
 
 def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
@@ -263,7 +263,7 @@ def kept_texts(docs: DataFrame, text_col: str = "text", width: int = 200) -> Dat
 
     settled = whole.unionByName(found.filter("kind = 0").select("k1", "k2", "at")).unionByName(apart)
     per_text = settled.groupBy("k1", "k2").agg(F.collect_list("at").alias("found"))
-    return texts.join(per_text, ["k1", "k2"], "left").select("k1", "k2", "bytes", "copies", "found").mapInArrow(_cut(width), "k1 long, k2 long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
+    return texts.join(per_text, ["k1", "k2"], "left").select("k1", "k2", "bytes", "copies", "found").mapInArrow(trimmed(_cut(width)), "k1 long, k2 long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
 
 
 def covered(found: np.ndarray, width: int) -> list[tuple[int, int]]:

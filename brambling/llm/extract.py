@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brambling.llm.storage import bounded_batches, written
+from brambling.llm.storage import bounded_batches, trimmed, written
 
 PART, LEAST_PAGES, SLICE = 1_000, 3, 200
 #: Slots of all hosts up to which the chosen ones are broadcast (8 bytes each); pages of a host per part beyond that.
@@ -480,7 +480,7 @@ def page_expressions(pages: DataFrame, url_col: str = "url", html_col: str = "ht
                 kind = pa.list_(pa.struct([("path", pa.int64()), ("h", pa.int64()), ("chars", pa.int64()), ("linked", pa.int64())]))
                 yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(digests, pa.int64()), pa.array(made, pa.string()), pa.array(held, kind)], names=["host", "page", "expression", "slots"])
 
-    return bounded_batches(pages.select(F.col(url_col).cast("string"), F.col(html_col).cast("string"))).mapInArrow(run, f"host string, page long, expression string, slots {SLOTS}")
+    return bounded_batches(pages.select(F.col(url_col).cast("string"), F.col(html_col).cast("string"))).mapInArrow(trimmed(run), f"host string, page long, expression string, slots {SLOTS}")
 
 
 def _merged_by(rows: DataFrame) -> DataFrame:
@@ -505,7 +505,7 @@ def _merged_by(rows: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([h for h, _ in found], pa.string()), pa.array([w for _, w in found], pa.string())], names=["host", "expression"])
 
     keys = ("host", "part")
-    return rows.select(*keys, "expression").repartition(*keys).sortWithinPartitions(*keys, "expression").mapInArrow(run, "host string, expression string")
+    return rows.select(*keys, "expression").repartition(*keys).sortWithinPartitions(*keys, "expression").mapInArrow(trimmed(run), "host string, expression string")
 
 
 def _aligned(expressions: DataFrame) -> DataFrame:
@@ -579,4 +579,4 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=[id_col, url_col, "text"])
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return bounded_batches(rows.select("id", "url", "html", "marked", "other")).mapInArrow(run, f"`{id_col}` {kinds['id']}, `{url_col}` {kinds['url']}, text string")
+    return bounded_batches(rows.select("id", "url", "html", "marked", "other")).mapInArrow(trimmed(run), f"`{id_col}` {kinds['id']}, `{url_col}` {kinds['url']}, text string")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brambling.llm.bpe import portions
-from brambling.llm.storage import bounded_batches, written
+from brambling.llm.storage import bounded_batches, trimmed, written
 
 FOLDS = 5
 
@@ -67,7 +67,7 @@ def scored(docs: DataFrame, score: Callable[[list[bytes]], np.ndarray], id_col:
                 found = score(batch.column(1).slice(part.start, n).to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.start, n), pa.array(found.astype(np.float64))], names=["row", "score"])
 
-    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, score double")
+    return rows.mapInArrow(trimmed(run), f"row {rows.schema['row'].dataType.simpleString()}, score double")
 
 
 _LOWER = np.arange(256, dtype=np.uint8)

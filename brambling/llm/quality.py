@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from brambling.llm import labelled
 from brambling.llm.bpe import portions
-from brambling.llm.storage import bounded_batches, written
+from brambling.llm.storage import bounded_batches, trimmed, written
 
 EACH = 3_000
 HIDDEN, BATCH, RATE, DECAY = 16, 256, 0.01, 1e-4
@@ -151,7 +151,7 @@ def surface(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * found.shape[1], pa.int32()), pa.array(found.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.start, n), lists], names=[id_col, "x"])
 
-    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, x array<float>")
+    return rows.mapInArrow(trimmed(run), f"`{id_col}` {rows.schema[0].dataType.simpleString()}, x array<float>")
 
 
 def _matrix(column: pa.ListArray) -> np.ndarray:
@@ -166,7 +166,7 @@ def _summed(rows: DataFrame, per_task) -> np.ndarray | None:
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], names=["k", "value"])
 
-    sums = rows.select("x").mapInArrow(run, "k int, value double").groupBy("k").agg(F.sum("value").alias("value")).orderBy("k").collect()
+    sums = rows.select("x").mapInArrow(trimmed(run), "k int, value double").groupBy("k").agg(F.sum("value").alias("value")).orderBy("k").collect()
     return np.array([r.value for r in sums]) if sums else None
 
 
@@ -225,7 +225,7 @@ def score_surface(rows: DataFrame, net: PuNet | Constant, id_col: str = "doc_id"
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(net.scores(_matrix(batch.column(1))))], names=[id_col, "score"])
 
-    scored = rows.select(id_col, "x").mapInArrow(run, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, score double")
+    scored = rows.select(id_col, "x").mapInArrow(trimmed(run), f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, score double")
     return scored.select(id_col, labelled.held_out(F.col(id_col)).alias("held_out"), "score")
 
 

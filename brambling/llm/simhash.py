@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brambling.llm.storage import bounded_batches, written
+from brambling.llm.storage import bounded_batches, trimmed, written
 
 SEED = 42
 #: Fingerprints of one subtree that a task walks at once, of small ones that it walks together, node pairs that it holds, and links before it folds them.
@@ -100,7 +100,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=[id_col, "fp"])
 
     kept = bounded_batches(docs.select(id_col, F.encode(text_col, "UTF-8").alias("text")))
-    return kept.mapInArrow(run, f"`{id_col}` {kept.schema[0].dataType.simpleString()}, fp long")
+    return kept.mapInArrow(trimmed(run), f"`{id_col}` {kept.schema[0].dataType.simpleString()}, fp long")
 
 
 class Forest:
@@ -308,7 +308,7 @@ def _trie_links(nodes: DataFrame, keys: list[tuple[Column, int]], budget: int, n
         a, b, grade = forest.links()
         return pa.RecordBatch.from_arrays([pa.array(rows[6, a]), pa.array(rows[6, b]), pa.array(grade == 2)], names=["src", "dst", "sure"])
 
-    return dealt.mapInArrow(run, "src long, dst long, sure boolean")
+    return dealt.mapInArrow(trimmed(run), "src long, dst long, sure boolean")
 
 
 def near_links(distinct: DataFrame, budget: int = 4) -> DataFrame:
@@ -381,7 +381,7 @@ def _settled(links: DataFrame, texts: DataFrame, shingle: int, similarity: float
 
     ends = links.select("a", "b", "x", "y", F.explode(F.array("a", "b")).alias("node")).join(texts, "node")
     pairs = ends.groupBy("a", "b").agg(F.first("x").alias("x"), F.first("y").alias("y"), F.collect_list("text").alias("pair"))
-    return bounded_batches(pairs.select("x", "y", "pair")).mapInArrow(run, "x long, y long")
+    return bounded_batches(pairs.select("x", "y", "pair")).mapInArrow(trimmed(run), "x long, y long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -433,7 +433,7 @@ def wide_fingerprints(rows: DataFrame, id_col: str, text_col: str, shingle: int,
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in found], pa.int64()), lists], names=[id_col, "n_shingles", "words"])
 
     kept = bounded_batches(rows.select(id_col, F.encode(F.col(text_col).cast("string"), "UTF-8").alias("text")))
-    return kept.mapInArrow(run, f"`{id_col}` {kept.schema[0].dataType.simpleString()}, n_shingles long, words array<long>")
+    return kept.mapInArrow(trimmed(run), f"`{id_col}` {kept.schema[0].dataType.simpleString()}, n_shingles long, words array<long>")
 
 
 def similar_classes(rows: DataFrame, id_col: str, text_col: str, shingle: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -20,7 +20,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 BITS, SIDE = 9, 7
-#: Queue entries that a task holds in memory (5 bytes each); more lie on disk. A shard of the query has up to 3 million.
+#: Queue entries that a task holds in memory (5 bytes each); more lie on disk. A shard of the query has up to 2 million.
 HELD = 1 << 19
 END = (1 << BITS) - 1
 #: A byte that UTF-8 never has. As a symbol it is the smallest.

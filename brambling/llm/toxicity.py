@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from brambling.llm import labelled
 from brambling.llm.bpe import portions
-from brambling.llm.storage import bounded_batches
+from brambling.llm.storage import bounded_batches, trimmed
 
 EACH, BYTES, MIN_TEXTS, CHECKED = 2_500, 16 << 20, 3, 8
 SPACE_BITS, SIZE, WIDTHS, FILTERS = 18, 8, (1, 2, 3), 8
@@ -195,4 +195,4 @@ def reject_toxic(docs: DataFrame, net: TextCnn | Constant, thresholds: dict[str,
 
     place = docs.columns.index(text_col)
     lang_place = docs.columns.index(lang_col) if lang_col in docs.columns else None
-    return bounded_batches(docs).mapInArrow(run, docs.schema)
+    return bounded_batches(docs).mapInArrow(trimmed(run), docs.schema)

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brambling.llm import labelled
-from brambling.llm.storage import bounded_batches
+from brambling.llm.storage import bounded_batches, trimmed
 
 SAMPLES, SHINGLE = 128, 5
 ROWS = 2_000
@@ -165,7 +165,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], names=[id_col, "fingerprint"])
 
     kept = bounded_batches(docs.select(id_col, text_col))
-    return kept.mapInArrow(run, f"`{id_col}` {kept.schema[0].dataType.simpleString()}, fingerprint string")
+    return kept.mapInArrow(trimmed(run), f"`{id_col}` {kept.schema[0].dataType.simpleString()}, fingerprint string")
 
 
 def in_ranges(rows: DataFrame, size: Column, per_range: int) -> DataFrame:
@@ -248,4 +248,4 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     def _table(out: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [[]] * 7, kinds)], names=names)
 
-    return dealt.mapInArrow(run, f"`{id_col}` long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return dealt.mapInArrow(trimmed(run), f"`{id_col}` long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
