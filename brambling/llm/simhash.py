@@ -452,7 +452,10 @@ def similar_classes(rows: DataFrame, id_col: str, text_col: str, shingle: int =
     of = lambda end, name: sure.select(F.col("node").alias(end), F.col("root").alias(name))
     unsure = links.filter("not sure").select("a", "b").join(of("a", "x"), "a", "left").join(of("b", "y"), "b", "left")
     unsure = unsure.select("a", "b", F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y")).filter("x <> y")
-    texts = nodes.join(rows.select(F.col(id_col).alias("least"), F.col(text_col).cast("string").alias("text")), "least").select("node", "text")
+    unsure = written(unsure, "unsure")
+    # Written, so that Spark knows its size: where few texts are asked for, they are picked without a shuffle of all.
+    asked = written(nodes.join(unsure.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "least"), "asked")
+    texts = rows.select(F.col(id_col).alias("least"), F.col(text_col).cast("string").alias("text")).join(asked, "least").select("node", "text")
     joined = components(_settled(unsure, texts, shingle, similarity).select(F.col("x").alias("src"), F.col("y").alias("dst")))
     named = nodes.select("node", "least").join(sure, "node", "left").withColumn("root", F.coalesce("root", "node"))
     return named.join(joined.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", "least", F.coalesce("top", "root").alias("root"))
@@ -471,4 +474,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     order = F.struct(F.col(id_col).isNull().alias("absent"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(own).alias("row"))
     classes = similar_classes(rows.select(order.alias("order"), F.col(text_col).alias("text")), "order", "text", shingle, similarity)
     kept = classes.groupBy("root").agg(F.min("least").alias("first")).select(F.col("first.row").alias(own))
-    return rows.join(kept, own, "left_semi").select(*docs.columns)
+    gone = written(rows.select(own).join(kept, own, "left_anti"), "gone")  # the smaller side, of numbers only
+    return rows.join(gone, own, "left_anti").select(*docs.columns)
