@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brambling.llm import bpe, chat, decontam, exact_dedup, extract, quality, simhash, toxicity, warc, weighted_sampling
+from brambling.llm import bpe, chat, decontam, exact_dedup, extract, merkle, quality, simhash, toxicity, warc, weighted_sampling
 from brambling.llm.storage import new_folder, written
 
 
@@ -116,9 +116,60 @@ WHERE path NOT IN (SELECT path FROM p WHERE k < n_turns)
 """
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = merkle.document_proofs(table(spark, sf_dir, "documents"), tampered=F.crc32(F.col("doc_id").cast("string")) % 7 == 0)
+    return found.select("doc_id", "leaf", "subroot", "root", merkle.path_digest(F.col("path")).alias("proof_sha256"), "folded_root", "verified")
+
+
+OP11_SQL = """
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(list_concat([b], range(8)), lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS t
+), d AS (
+  SELECT doc_id, lang, n_chars, source, text,
+    xor(list_reduce(list_concat([4294967295], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda a, c: xor(a >> 8, t[(xor(a, c) & 255) + 1])), 4294967295) % 7 = 0 AS tampered
+  FROM documents, crc
+), f AS (
+  SELECT doc_id, lang, n_chars IS NOT NULL AND coalesce(tampered, false) AS changed,
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+    coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS own, coalesce(strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), '-') AS more,
+    coalesce(strlen(text) || ':' || text, '-') AS tail
+  FROM d
+), l AS (
+  SELECT doc_id, lang, sha256(head || own || tail) AS leaf, CASE WHEN changed THEN sha256(head || more || tail) ELSE sha256(head || own || tail) END AS held FROM f
+), n AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx FROM l
+), tree AS (
+  SELECT lang, 0 AS lev, idx, leaf AS h, count(*) OVER (PARTITION BY lang) AS n FROM n
+  UNION ALL
+  SELECT lang, any_value(lev) + 1, idx // 2, sha256(string_agg(h, '' ORDER BY idx)), (any_value(n) + 1) // 2 FROM tree WHERE n > 1 GROUP BY lang, idx // 2
+), sub AS (
+  SELECT lang, h, lev AS top, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS idx FROM tree WHERE n = 1
+), head AS (
+  SELECT 0 AS lev, idx, h, count(*) OVER () AS n FROM sub
+  UNION ALL
+  SELECT any_value(lev) + 1, idx // 2, sha256(string_agg(h, '' ORDER BY idx)), (any_value(n) + 1) // 2 FROM head WHERE n > 1 GROUP BY idx // 2
+), nodes AS (
+  SELECT t.lang, t.lev, t.idx, t.h, t.n FROM tree t WHERE t.n > 1
+  UNION ALL
+  SELECT s.lang, s.top + e.lev, e.idx, e.h, e.n FROM sub s, head e WHERE e.n > 1
+), walk AS (
+  SELECT n.doc_id, n.lang, n.idx AS leaf_idx, n.leaf, s.idx AS sub_idx, s.top, 0 AS lev, n.held AS node, '' AS said FROM n JOIN sub s ON n.lang IS NOT DISTINCT FROM s.lang
+  UNION ALL
+  SELECT w.doc_id, w.lang, w.leaf_idx, w.leaf, w.sub_idx, w.top, w.lev + 1,
+    sha256(CASE WHEN p.here % 2 = 1 THEN coalesce(p.h, '') || w.node ELSE w.node || coalesce(p.h, '') END), w.said || coalesce(p.h, '')
+  FROM walk w JOIN (
+    SELECT o.lang, o.lev, o.idx AS here, x.h FROM nodes o LEFT JOIN nodes x ON o.lang IS NOT DISTINCT FROM x.lang AND o.lev = x.lev AND x.idx = xor(o.idx, 1)
+  ) p ON w.lang IS NOT DISTINCT FROM p.lang AND w.lev = p.lev AND p.here = CASE WHEN w.lev < w.top THEN w.leaf_idx >> w.lev ELSE w.sub_idx >> (w.lev - w.top) END
+)
+SELECT doc_id, leaf, s.h AS subroot, r.h AS root, sha256(said) AS proof_sha256, node AS folded_root, node = r.h AS verified
+FROM walk w JOIN sub s ON w.lang IS NOT DISTINCT FROM s.lang, (SELECT lev, h FROM head WHERE n = 1) r
+WHERE w.lev = w.top + r.lev
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_weighted_sampling": op2_weighted_sampling, "op3_quality": op3_quality, "op4_simhash": op4_simhash, "op5_suffix_dedup": op5_suffix_dedup, "op6_decontaminate": op6_decontaminate, "op7_warc": op7_warc, "op8_extract": op8_extract, "op9_toxicity": op9_toxicity, "op10_chat": op10_chat}
+    return {"op1_bpe": op1_bpe, "op2_weighted_sampling": op2_weighted_sampling, "op3_quality": op3_quality, "op4_simhash": op4_simhash, "op5_suffix_dedup": op5_suffix_dedup, "op6_decontaminate": op6_decontaminate, "op7_warc": op7_warc, "op8_extract": op8_extract, "op9_toxicity": op9_toxicity, "op10_chat": op10_chat, "op11_merkle": op11_merkle}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_warc": OP7_SQL, "op10_chat": OP10_SQL}
+    return {"op7_warc": OP7_SQL, "op10_chat": OP10_SQL, "op11_merkle": OP11_SQL}
