@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brambling.llm import bpe, chat, decontam, exact_dedup, extract, merkle, quality, simhash, toxicity, warc, weighted_sampling
+from brambling.llm import bpe, chat, decontam, exact_dedup, extract, hard_negatives, merkle, quality, simhash, toxicity, warc, weighted_sampling
 from brambling.llm.storage import new_folder, written
 
 
@@ -167,9 +167,32 @@ WHERE w.lev = w.top + r.lev
 """
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), anchor=F.col("vec_id") % 100 == 0, label=changed)
+
+
+OP12_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS c
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.c, b.c)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 5
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_weighted_sampling": op2_weighted_sampling, "op3_quality": op3_quality, "op4_simhash": op4_simhash, "op5_suffix_dedup": op5_suffix_dedup, "op6_decontaminate": op6_decontaminate, "op7_warc": op7_warc, "op8_extract": op8_extract, "op9_toxicity": op9_toxicity, "op10_chat": op10_chat, "op11_merkle": op11_merkle}
+    return {"op1_bpe": op1_bpe, "op2_weighted_sampling": op2_weighted_sampling, "op3_quality": op3_quality, "op4_simhash": op4_simhash, "op5_suffix_dedup": op5_suffix_dedup, "op6_decontaminate": op6_decontaminate, "op7_warc": op7_warc, "op8_extract": op8_extract, "op9_toxicity": op9_toxicity, "op10_chat": op10_chat, "op11_merkle": op11_merkle, "op12_hard_negatives": op12_hard_negatives}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_warc": OP7_SQL, "op10_chat": OP10_SQL, "op11_merkle": OP11_SQL}
+    return {"op7_warc": OP7_SQL, "op10_chat": OP10_SQL, "op11_merkle": OP11_SQL, "op12_hard_negatives": OP12_SQL}
