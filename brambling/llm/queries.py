@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brambling.llm import bpe, chat, decontam, exact_dedup, extract, hard_negatives, merkle, quality, simhash, toxicity, warc, weighted_sampling
+from brambling.llm import bpe, chat, decontam, exact_dedup, extract, hard_negatives, merkle, pii, quality, simhash, toxicity, warc, weighted_sampling
 from brambling.llm.storage import new_folder, written
 
 
@@ -190,8 +190,15 @@ QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DE
 """
 
 
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    counts = [count(k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.concat("base", "more")).alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_weighted_sampling": op2_weighted_sampling, "op3_quality": op3_quality, "op4_simhash": op4_simhash, "op5_suffix_dedup": op5_suffix_dedup, "op6_decontaminate": op6_decontaminate, "op7_warc": op7_warc, "op8_extract": op8_extract, "op9_toxicity": op9_toxicity, "op10_chat": op10_chat, "op11_merkle": op11_merkle, "op12_hard_negatives": op12_hard_negatives}
+    return {"op1_bpe": op1_bpe, "op2_weighted_sampling": op2_weighted_sampling, "op3_quality": op3_quality, "op4_simhash": op4_simhash, "op5_suffix_dedup": op5_suffix_dedup, "op6_decontaminate": op6_decontaminate, "op7_warc": op7_warc, "op8_extract": op8_extract, "op9_toxicity": op9_toxicity, "op10_chat": op10_chat, "op11_merkle": op11_merkle, "op12_hard_negatives": op12_hard_negatives, "op13_pii": op13_pii}
 
 
 def oracle_sql() -> dict[str, str]:
