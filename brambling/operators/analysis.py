@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brambling.functions.dictionaries import first_inside, rules_of
 from brambling.functions.numbers import banded, clamp, half_up, ratio
 from brambling.functions.text import col, label_key
 from brambling.operators.joins import small
@@ -31,6 +32,26 @@ def canonical_label(c: Column | str, rules: list[tuple[str, list[str], list[str]
     return F.when(F.coalesce(F.trim(col(c)), F.lit("")) == "", F.lit(default)).otherwise(out)
 
 
+def canonical_labels(rows: DataFrame, c: str, rules: DataFrame, dictionary: DataFrame, default: str = "UNKNOWN") -> DataFrame:
+    """``rows`` with the concept of a label, as ``canonical_label`` finds it, from tables of any length.
+
+    rules: pos, part, whole, concept (a rule has a part, which may stand anywhere in the label, or a whole); dictionary: label,
+    concept. Parts of all rules are found by one automaton, wholes and labels by joins; labels are compared in Turkish lower
+    case and with a dotless i as i, a whole or dictionary label with either form.
+    """
+    parts = rules_of(rules.filter("part IS NOT NULL"), "pos", "part", "concept")
+    inside = first_inside(F.concat_ws("\n", F.col("_tr"), F.translate("_tr", "ı", "i")), [p for _, p, _ in parts], [f"{pos}\n{concept}" for pos, _, concept in parts])
+    by = F.split(inside, "\n")
+    different = rows.select(F.col(c).alias("_c")).distinct().withColumn("_tr", label_key("_c")).filter("trim(_tr) <> ''")
+    known = rules.filter("whole IS NOT NULL").select("whole", F.struct(F.col("pos").cast("int").alias("pos"), "concept").alias("hit"))
+    listed = dictionary.select(F.col("label").alias("whole"), F.struct(F.lit(2**31 - 1).alias("pos"), "concept").alias("hit"))
+    forms = different.select("_c", F.explode(F.array_distinct(F.array("_tr", F.translate("_tr", "ı", "i")))).alias("whole"))
+    wholes = forms.join(known.unionByName(listed), "whole").select("_c", "hit")
+    found = different.withColumn("_by", by).filter("_by IS NOT NULL").select("_c", F.struct(F.element_at("_by", 1).cast("int").alias("pos"), F.element_at("_by", 2).alias("concept")).alias("hit"))
+    best = wholes.unionByName(found).groupBy("_c").agg(F.min("hit").alias("_hit"))
+    return rows.join(best, F.col(c) == F.col("_c"), "left").select(*rows.columns, F.coalesce("_hit.concept", F.lit(default)).alias("label"))
+
+
 def money(amount: Column, currency: Column) -> Column:
     """struct(amount, currency), or null without an amount."""
     return F.when(amount.isNotNull(), F.struct(amount.cast("double").alias("amount"), currency.alias("currency")))

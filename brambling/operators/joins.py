@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from brambling.functions.dictionaries import first_either_way, rules_of
 from brambling.functions.numbers import haversine_km
 from brambling.functions.text import coverage_key, ocr_key, similarity
 
@@ -26,13 +27,6 @@ def small(dimension: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(dimension) if dimension.limit(rows + 1).count() <= rows else dimension
 
 
-def listed(dimension: DataFrame, entry: Column, rows: int = SMALL_ROWS) -> DataFrame:
-    """One row with a sorted array of the entries of a table of rules, whose size is checked first, marked for broadcast."""
-    if dimension.limit(rows + 1).count() > rows:
-        raise ValueError(f"a table of rules has at most {rows} rows")
-    return F.broadcast(dimension.agg(F.array_sort(F.collect_list(entry)).alias("_listed")))
-
-
 #: Versions without a key up to which they are one array; more are met by month.
 MANY_VERSIONS = 1_000
 
@@ -122,7 +116,7 @@ def merged_limits(a: DataFrame, b: DataFrame, keys: list[str], name: str, limit:
 def contains_match(rows: DataFrame, names: DataFrame, name: str, other: str, order: str, synonyms: list[tuple[str, str]] = ()) -> DataFrame:
     """Rows with the first other name (by ``order``) that contains theirs or is contained in it, by normal form or synonym.
 
-    Up to SMALL_ROWS names are sent to all tasks as one array. More meet the different normal forms of the rows by pieces:
+    Up to SMALL_ROWS names are a dictionary of every task, which reads a text once. More meet the different normal forms of the rows by pieces:
     what is contained begins with three letters that are somewhere in what contains it, and that is checked.
     """
     key, other_key = coverage_key(name), coverage_key(other)
@@ -130,8 +124,8 @@ def contains_match(rows: DataFrame, names: DataFrame, name: str, other: str, ord
         key, other_key = F.regexp_replace(key, rf"\b{a}\b", b), F.regexp_replace(other_key, rf"\b{a}\b", b)
     keyed = names.select(F.struct(F.col(order).alias("o"), F.col(other).alias("other"), other_key.alias("k")).alias("_o")).filter("_o.k <> ''")
     if names.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
-        found = F.filter("_listed", lambda n: (F.col("_k") != "") & (F.contains(F.col("_k"), n["k"]) | F.contains(n["k"], F.col("_k"))))
-        return rows.withColumn("_k", key).crossJoin(listed(keyed, F.col("_o"))).select(*rows.columns, F.try_element_at(found, F.lit(1))["other"].alias("matched"))
+        sorted_names = rules_of(keyed.select("_o.*"), "o", "other", "k")
+        return rows.withColumn("matched", first_either_way(key, [n[2] for n in sorted_names], [n[1] for n in sorted_names]))
     forms = rows.select(key.alias("_k")).filter("_k <> ''").distinct()
     first = lambda c: F.substring(c, 1, 3)
     pieces = lambda c: F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.array(*[F.substr(c, i, F.lit(n)) for n in (1, 2, 3)])))))

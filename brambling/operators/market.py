@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from brambling.functions.dictionaries import matching
 from brambling.functions.numbers import clamp, half_up, ratio
 from brambling.operators.joins import small
 from brambling.operators.scoring import severity_weight
@@ -92,10 +93,10 @@ def merged_coverages(rows: DataFrame, keys: list[str], name: str, limit: str, or
 def exclusion_impacts(texts: DataFrame, key: str, text: str, patterns: DataFrame) -> DataFrame:
     """Per exclusion text: the scenarios of all patterns that match, the worst severity, and whether a person must look.
 
-    patterns (a small table): name, pattern, severity, scenarios array<string>. Equal texts are matched once.
+    patterns (a table of rules): name, pattern, severity, scenarios array<string>. Equal texts are matched once.
     """
     different = texts.select(F.col(text).alias("_t")).distinct()
-    hits = different.crossJoin(small(patterns)).filter(F.regexp_like("_t", F.col("pattern")))
+    hits = matching(different, "_t", patterns, "pattern")
     worst = F.max_by("severity", severity_weight(F.col("severity")))
     per = hits.groupBy("_t").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("scenarios")))).alias("scenarios"), worst.alias("severity"))
     out = texts.join(per, F.col(text) == F.col("_t"), "left")

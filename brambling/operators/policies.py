@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from brambling.functions.dictionaries import first_of_rules
 from brambling.functions.numbers import clamp, half_up, near
 from brambling.functions.text import coverage_key, ocr_alike, tokens
-from brambling.operators.joins import listed, small
+from brambling.operators.joins import small
 
 COVERAGES = "array<struct<name: string, limit: double, deductible: double, included: boolean, is_unlimited: boolean, is_market_value: boolean>>"
 
@@ -134,8 +135,7 @@ def canonical(coverages: DataFrame, keys: list[str], name: str, limit: str, posi
     rules (a small table): pos, part, label; the first rule whose part the normal form contains names the label.
     """
     k = coverage_key(name)
-    hit = F.try_element_at(F.filter("_listed", lambda r: F.contains(k, r["part"])), F.lit(1))["label"]
-    labelled = coverages.crossJoin(listed(rules, F.struct("pos", "part", "label"))).withColumn("label", F.coalesce(hit, k)).drop("_listed")
+    labelled = coverages.withColumn("label", F.coalesce(first_of_rules(k, rules, "pos", "part", "label"), k))
     w = Window.partitionBy(*keys, "label").orderBy(F.desc_nulls_last(limit), position)
     return labelled.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 

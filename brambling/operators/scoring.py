@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from brambling.functions.dictionaries import matching
 from brambling.functions.numbers import URGENCY, banded, clamp, half_up
 from brambling.functions.text import coverage_key
 
@@ -155,10 +156,8 @@ def rule_findings(rows: DataFrame, key: str, rules: dict[str, tuple[str, Column]
 
 
 def pattern_findings(texts: DataFrame, key: str, text: str, patterns: DataFrame) -> DataFrame:
-    """key, pattern, severity of every pattern (a small table: name, pattern, severity) that a text matches."""
-    from brambling.operators.joins import small
-
-    return texts.select(key, text).crossJoin(small(patterns)).filter(F.regexp_like(F.col(text), F.col("pattern"))).select(key, "name", "severity")
+    """key, pattern, severity of every pattern (a table of rules: name, pattern, severity) that a text matches."""
+    return matching(texts.select(key, text), text, patterns, "pattern").select(key, "name", "severity")
 
 
 def budget_check(budgets: DataFrame, request: dict[str, str], cost: float) -> DataFrame:

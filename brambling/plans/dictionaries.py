@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brambling.functions.dictionaries import rules_of, terms_inside
 from brambling.operators.search import SearchIndex
 from brambling.plans.registry import Registry
 from brambling.sources.tables import scratch, table
@@ -70,3 +71,17 @@ SELECT doc_id, n_chars AS recency FROM t WHERE contains(t, ' of the ')""")
 def searched_phrase(spark: SparkSession, d: str) -> DataFrame:
     """Words that follow each other, by positions."""
     return kept(spark, d).search("of the", phrase=True).select("doc_id", "recency")
+
+
+@Q.query("""
+WITH p AS (SELECT DISTINCT lower(array_to_string(string_split(text, ' ')[1:2], ' ')) AS phrase FROM benchmark WHERE text IS NOT NULL),
+h AS (SELECT doc_id, phrase FROM documents, p WHERE contains(lower(text), phrase))
+SELECT doc_id, count(*) AS n_phrases, min(phrase) AS first_phrase, max(phrase) AS last_phrase FROM h GROUP BY 1""")
+def phrase_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold a phrase of a long list: the first two words of every benchmark item."""
+    rows = table(spark, d, "benchmark").dropna(subset=["text"])
+    phrases = rows.select(F.lower(F.array_join(F.slice(F.split("text", " "), 1, 2), " ")).alias("phrase")).distinct()
+    terms = [p for (p,) in rules_of(phrases, "phrase")]
+    hits = table(spark, d, "documents").select("doc_id", terms_inside(F.lower("text"), terms).alias("at")).filter(F.size("at") > 0)
+    names = F.broadcast(spark.createDataFrame(list(enumerate(terms)), "i int, phrase string"))
+    return hits.select("doc_id", F.explode("at").alias("i")).join(names, "i").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_phrases"), F.min("phrase").alias("first_phrase"), F.max("phrase").alias("last_phrase"))

@@ -467,10 +467,12 @@ RULES = [("LEGAL_ADVANCE", ["avans", "advance"], []), ("THIRD_PARTY", ["third pa
 
 @Q.query("""SELECT o_orderkey AS k, CASE o_orderkey % 7 WHEN 0 THEN 'LEGAL_ADVANCE' WHEN 1 THEN 'THIRD_PARTY' WHEN 2 THEN 'THEFT' WHEN 3 THEN 'GLASS' WHEN 4 THEN 'UNKNOWN' WHEN 5 THEN 'UNKNOWN' ELSE 'THIRD_PARTY' END AS label FROM orders""")
 def coverage_labels(spark: SparkSession, d: str) -> DataFrame:
-    from brambling.operators.analysis import canonical_label
+    from brambling.operators.analysis import canonical_labels
 
+    rules = spark.createDataFrame([(i, part, whole, concept) for i, (concept, parts, wholes) in enumerate(RULES) for part, whole in [*[(p, None) for p in parts], *[(None, w) for w in wholes]]], "pos int, part string, whole string, concept string")
+    dictionary = spark.createDataFrame([("cam kırılması", "GLASS")], "label string, concept string")
     name = by_case(F.col("k") % 7, F.lit("Hukuki AVANS"), F.lit("THIRD party Liability"), F.lit(" HIRSIZLIK "), F.lit("Cam  Kırılması"), F.lit("theft of keys"), F.lit(None).cast("string"), F.lit("Üçüncü Şahıs"))
-    return orders(spark, d).select("k", canonical_label(name, RULES, {"cam kırılması": "GLASS"}).alias("label"))
+    return canonical_labels(orders(spark, d).select("k", name.alias("name")), "name", rules, dictionary).select("k", "label")
 
 
 @Q.query("""
