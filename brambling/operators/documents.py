@@ -95,6 +95,71 @@ def join_overlapping(parts: DataFrame, id_col: str, no: str, chunk: str, least:
     return listed.mapInArrow(run, f"`{id_col}` {listed.schema[0].dataType.simpleString()}, text string")
 
 
+def longest_common(a: str, b: str, least: int, most: int) -> tuple[int, int, int]:
+    """(length, place in a, place in b) of the longest string of ``least`` to ``most`` characters in both: the first in a, then in b; (0, 0, 0) without one.
+
+    If two texts share a string they share its parts, so the length is found by halving, each time over sets of pieces.
+    """
+    pieces = lambda s, n: (s[i : i + n] for i in range(len(s) - n + 1))
+
+    def shared(n: int) -> str | None:
+        of_b = set(pieces(b, n))
+        return next((p for p in pieces(a, n) if p in of_b), None)
+
+    low, high, found = least, min(most, len(a), len(b)), None
+    while low <= high:
+        n = (low + high) // 2
+        piece = shared(n)
+        if piece is None:
+            high = n - 1
+        else:
+            low, found = n + 1, piece
+    return (len(found), a.find(found), b.find(found)) if found else (0, 0, 0)
+
+
+def merged(chunks: list[str], overlap: int, least: int, most: int, widest: int = 1_000) -> str:
+    """One text of chunks that were cut with an overlap and rewritten since.
+
+    Of two neighbours the longest string that the end of the first and the start of the second share (both of twice the
+    overlap at most) is where the second takes over; without one, and without overlap, they are paragraphs.
+    """
+    done: list[str] = []
+    tail = chunks[0] if chunks else ""
+    if len(chunks) < 2:
+        return tail
+    for c in chunks[1:]:
+        window = min(2 * overlap, len(tail) + sum(map(len, done[-1:])), widest)
+        if len(tail) < window:  # a short chunk: what stands before it is part of the end
+            tail = done.pop() + tail
+        n, at, to = longest_common(tail[-window:], c[:window], least, most) if window else (0, 0, 0)
+        if n:
+            done.append(tail[: len(tail) - window + at])
+            tail = c[to:]
+        else:
+            tail = tail.rstrip()
+            while done and not tail:
+                tail = done.pop().rstrip()
+            done += [tail, "\n\n"]
+            tail = c.lstrip()
+        while len(done) > 1 and len(done[-1]) < widest and len(tail) < widest:
+            tail = done.pop() + tail
+    return "".join([*done, tail]).strip()
+
+
+def merge_rewritten(parts: DataFrame, id_col: str, no: str, chunk: str, overlap: int, least: int = 20, most: int = 100) -> DataFrame:
+    """id_col, text: the chunks of each document, in the order of ``no``, as ``merged`` joins them. A document's chunks are one row; null chunks are empty."""
+    listed = parts.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct(no, chunk))).alias("_c"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                texts = [c[chunk] or "" for c in row.column(1)[0].as_py()]
+                yield pa.RecordBatch.from_arrays([row.column(0), pa.array([merged(texts, overlap, least, most)], pa.string())], names=[id_col, "text"])
+
+    return listed.mapInArrow(run, f"`{id_col}` {listed.schema[0].dataType.simpleString()}, text string")
+
+
 # What is redacted, in this order.
 PII = [
     ("EMAIL", r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+"),

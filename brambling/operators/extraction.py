@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brambling.functions.checks import VALIDATORS
+from brambling.functions.dictionaries import rules_of, terms_inside
 from brambling.functions.text import col
-from brambling.operators.joins import listed
 
 
 def labelled(c: Column | str, aliases: list[str], value: str = r"[^\n|]{1,80}") -> Column:
@@ -65,10 +65,12 @@ def normalised(c: Column | str, rules: list[tuple[str, str, str]]) -> Column:
 
 
 def classified(docs: DataFrame, key: str, text: str, terms: DataFrame) -> DataFrame:
-    """key, label, score: the label with the most term weight, the first in order on a tie. terms (a small table): pos, label, term, weight."""
-    lower = F.lower(F.col(text))
-    table = listed(terms, F.struct("pos", "label", F.lower("term").alias("term"), "weight"))
-    hits = docs.select(key, lower.alias("_x")).crossJoin(table).select(key, F.explode(F.filter("_listed", lambda t: F.contains(F.col("_x"), t["term"]))).alias("t")).select(key, "t.*")
+    """key, label, score: the label with the most term weight, the first in order on a tie. terms (a table of rules): pos, label, term, weight."""
+    lowered = terms.select("pos", "label", F.lower("term").alias("term"), "weight")
+    different = [t for (t,) in rules_of(lowered.select("term").dropna().distinct(), "term")]
+    places = docs.sparkSession.createDataFrame(list(enumerate(different)), "_i int, term string")
+    found = docs.select(key, F.explode(terms_inside(F.lower(F.col(text)), different)).alias("_i"))
+    hits = found.join(F.broadcast(places.join(lowered, "term")), "_i")
     sums = hits.groupBy(key, "label").agg(F.sum("weight").alias("score"), F.min("pos").alias("pos"))
     best = sums.groupBy(key).agg(F.min(F.struct((-F.col("score")).alias("s"), "pos", "label")).alias("m"))
     return docs.select(key).join(best, key, "left").select(key, F.col("m.label").alias("label"), F.coalesce(-F.col("m.s"), F.lit(0.0)).alias("score"))

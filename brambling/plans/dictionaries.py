@@ -1,4 +1,4 @@
-"""Search by an index, and dictionaries of many terms."""
+"""Search by an index, dictionaries of many terms, and chunks that were rewritten."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brambling.functions.dictionaries import rules_of, terms_inside
+from brambling.operators import documents
 from brambling.operators.search import SearchIndex
 from brambling.plans.registry import Registry
 from brambling.sources.tables import scratch, table
@@ -85,3 +86,25 @@ def phrase_hits(spark: SparkSession, d: str) -> DataFrame:
     hits = table(spark, d, "documents").select("doc_id", terms_inside(F.lower("text"), terms).alias("at")).filter(F.size("at") > 0)
     names = F.broadcast(spark.createDataFrame(list(enumerate(terms)), "i int, phrase string"))
     return hits.select("doc_id", F.explode("at").alias("i")).join(names, "i").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_phrases"), F.min("phrase").alias("first_phrase"), F.max("phrase").alias("last_phrase"))
+
+
+@Q.query("""
+WITH c AS (SELECT doc_id, coalesce(text, '') AS t, unnest(range(greatest(1, ceil((length(coalesce(text, '')) - 40) / 1000)::INT))) AS k FROM documents),
+r AS (SELECT doc_id, k, substr(t, k * 1000 + 1, 1040) AS x FROM c),
+e AS (SELECT doc_id, k, CASE WHEN length(x) >= 20 THEN '#####' || substr(x, 6, length(x) - 10) || '~~~~~' ELSE x END AS x FROM r),
+p AS (SELECT doc_id, k, x, lag(x) OVER w AS before, least(80, length(lag(x) OVER w)) AS n FROM e WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
+q AS (SELECT *, right(before, n) AS a, left(x, n) AS b FROM p),
+m AS (SELECT *, list_max(list_filter(range(20, n + 1), lambda l: len(list_filter(range(0, n - l + 1), lambda i: contains(b, substr(a, i + 1, l)))) > 0)) AS best FROM q),
+f AS (SELECT *, list_min(list_filter(range(0, n - best + 1), lambda i: contains(b, substr(a, i + 1, best)))) AS pa FROM m),
+g AS (SELECT *, CASE WHEN best IS NOT NULL THEN strpos(b, substr(a, pa + 1, best)) - 1 ELSE 0 END AS first FROM f),
+h AS (SELECT *, lead(k) OVER w IS NOT NULL AS more, lead(best) OVER w IS NOT NULL AS met, length(x) - lead(n) OVER w + lead(pa) OVER w AS last FROM g WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
+s AS (SELECT doc_id, k, CASE WHEN k > 0 AND best IS NULL THEN regexp_replace(own, '^\\s+', '') ELSE own END || CASE WHEN more AND NOT met THEN chr(10) || chr(10) ELSE '' END AS piece FROM (
+  SELECT doc_id, k, best, more, met, CASE WHEN NOT more THEN substr(x, first + 1) WHEN met THEN substr(x, first + 1, last - first) ELSE regexp_replace(substr(x, first + 1), '\\s+$', '') END AS own FROM h))
+SELECT doc_id, CASE WHEN count(*) = 1 THEN any_value(piece) ELSE regexp_replace(string_agg(piece, '' ORDER BY k), '^\\s+|\\s+$', '', 'g') END AS text FROM s GROUP BY 1""")
+def merged_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of 1,040 characters that overlap by 40 and whose edges were rewritten, as one text again."""
+    t = F.coalesce("text", F.lit(""))
+    n = F.greatest(F.lit(1), F.ceil((F.length(t) - 40) / 1000).cast("int"))
+    cut = table(spark, d, "documents").select("doc_id", t.alias("t"), F.explode(F.sequence(F.lit(0), n - 1)).alias("k")).select("doc_id", "k", F.substr("t", F.col("k") * 1000 + 1, F.lit(1040)).alias("x"))
+    edges = F.concat(F.lit("#####"), F.substr("x", F.lit(6), F.length("x") - 10), F.lit("~~~~~"))
+    return documents.merge_rewritten(cut.select("doc_id", "k", F.when(F.length("x") >= 20, edges).otherwise(F.col("x")).alias("x")), "doc_id", "k", "x", overlap=40)

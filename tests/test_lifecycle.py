@@ -2,11 +2,10 @@
 
 import datetime
 
-import pytest
 from pyspark.sql import functions as F
 
 from brambling.functions import numbers, text
-from brambling.operators import analysis, cleaning, collections, extraction, joins, lifecycle
+from brambling.operators import analysis, cleaning, collections, extraction, lifecycle
 from brambling.sources import tables
 
 
@@ -66,5 +65,3 @@ def test_preferences_and_versions(spark, tmp_path):
     first = tables.upsert(spark, new, path, ["k"])
     second = tables.upsert(spark, new.filter("k = 3").withColumn("v", F.lit("newer")), first, ["k"])
     assert first != second and sorted(map(tuple, spark.read.parquet(second).collect())) == [(1, "old"), (2, "new"), (3, "newer")]
-    with pytest.raises(ValueError):
-        joins.listed(spark.range(5), F.col("id"), rows=3)

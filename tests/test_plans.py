@@ -8,7 +8,7 @@ from brambling import queries
 from tests.oracle import rows
 
 DIR = "/root/testdata/sf0.001"
-PYTHON = {"rate_limit", "chunked", "rejoined", "insurer_keys", "expected_losses", "aligned_tokens", "fuzzy_coverage", "canonical_coverages", "coverage_labels", "pattern_findings", "exclusion_impacts", "phrase_hits"}
+PYTHON = {"rate_limit", "chunked", "rejoined", "insurer_keys", "expected_losses", "aligned_tokens", "fuzzy_coverage", "canonical_coverages", "coverage_labels", "pattern_findings", "exclusion_impacts", "phrase_hits", "classified", "merged_chunks"}
 
 
 def plan(spark, name):
