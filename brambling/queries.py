@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brambling.plans import business, dictionaries, fields, logs, markets, records, texts
+from brambling.plans import business, changes, dictionaries, fields, logs, markets, records, texts
 
-FAMILIES = (logs, business, markets, texts, fields, records, dictionaries)
+FAMILIES = (logs, business, markets, texts, fields, records, dictionaries, changes)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
