@@ -10,8 +10,10 @@ all pairs, so a group of many near copies gives as many links as it has members.
 ``near_duplicates`` links 64-bit fingerprints by a budget of differing bits. ``keep_one`` asks for a similarity instead:
 64 bits are too few to tell 0.8 from less, so it takes wide fingerprints of distinct shingles, walks the trie over bands
 of them (``_bands`` picks their width from the number of documents and their number from the share of pairs at the
-similarity that must meet). What the whole width estimates to be well above the similarity links at once; what is
-within ``MARGIN`` of it and would join two groups is settled by the texts themselves.
+similarity that must meet). What the whole width estimates to be ``CERTAIN`` above the similarity links at once. What is
+``MARGIN`` above it makes a spanning forest, whose links are then settled by the texts. What is nearer to the similarity,
+on either side, stays as pairs and is settled by the texts too, unless its ends hang together by better links: first one
+pair of every group, then, of what these joined no group of, all.
 
 Copies share a fingerprint and take part once. A subtree that holds more than ``SUBTREE`` fingerprints is cut into
 tiles; every pair of tiles is walked in its own task, so nothing is lost and nothing grows past a task.
@@ -40,8 +42,8 @@ from brambling.llm.storage import bounded_batches, trimmed, written
 SEED = 42
 #: Fingerprints of one subtree that a task walks at once, of small ones that it walks together, node pairs that it holds, and links before it folds them.
 SUBTREE, TOGETHER, FRONTIER, LINKS = 65_536, 16_384, 1 << 16, 1 << 17
-#: Wide fingerprints: words of 64 bits that are compared whole, the share of pairs at the similarity that bands must bring together, and how far from it an estimate (its standard deviation is below 0.04) says nothing.
-WORDS, MEETING, MARGIN = 8, 0.97, 0.08
+#: Wide fingerprints: words of 64 bits that are compared whole, the share of pairs at the similarity that bands must bring together, how far from it an estimate (its standard deviation is below 0.04) says little, and how far above it is as good as certain.
+WORDS, MEETING, MARGIN, CERTAIN = 8, 0.97, 0.08, 0.14
 #: Eight lanes of one byte: the bits of a byte, spread, so that up to 255 of them add up side by side.
 #: Shingles whose bits are counted at once.
 PORTION = 255 << 4
@@ -104,11 +106,14 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 class Forest:
-    """Links among n rows, folded now and then into a spanning forest. Sure links (2) come before unsure ones (1)."""
+    """Links among n rows, folded now and then into a spanning forest: certain links (3) first, then likely ones (2).
+
+    Pairs that are only possible (1) join nothing: each stays, unless better links connect its ends.
+    """
 
     def __init__(self, n: int):
         self.root = np.arange(n)
-        self.held: dict[int, list[np.ndarray]] = {2: [], 1: []}
+        self.held: dict[int, list[np.ndarray]] = {3: [], 2: [], 1: []}
         self.kept: list[np.ndarray] = []
         self.size = 0
 
@@ -127,6 +132,12 @@ class Forest:
             if not held:
                 continue
             a, b = np.concatenate(held, axis=1)
+            if g == 1:
+                apart = root[a] != root[b]
+                a, b = a[apart], b[apart]
+                one = np.unique(np.minimum(a, b) * len(root) + np.maximum(a, b))
+                held[:] = [np.stack([one // len(root), one % len(root)])]
+                continue
             while True:
                 ra, rb = root[a], root[b]
                 apart = ra != rb
@@ -144,12 +155,13 @@ class Forest:
         self.root, self.size = root, 0
 
     def links(self) -> np.ndarray:
-        """Rows a, b, grade of the links that span what hangs together."""
+        """Rows a, b, grade of the links that span what hangs together, and of the possible pairs."""
         self.fold()
-        return np.concatenate(self.kept, axis=1) if self.kept else np.zeros((3, 0), np.int64)
+        possible = [np.stack([a, b, np.ones(len(a), np.int64)]) for a, b in self.held[1]]
+        return np.concatenate([*self.kept, *possible], axis=1) if self.kept or possible else np.zeros((3, 0), np.int64)
 
 
-#: For two arrays of places: 0 where they do not link, 2 where they do, 1 where a closer look is needed.
+#: For two arrays of places: 0 where they do not link, 3 or 2 where they do for certain or likely, 1 where they may.
 Near = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
@@ -251,7 +263,7 @@ def _laid_out(key: Column, view: list[tuple[int, int]]) -> Column:
 
 
 def _trie_links(nodes: DataFrame, keys: list[tuple[Column, int]], budget: int, n: int, near: Callable[[list[np.ndarray]], Near], payload: list[str]) -> DataFrame:
-    """src, dst long, sure boolean: links among ``nodes`` (node, payload long ...) that connect all pairs which one of the ``keys`` brings together.
+    """src, dst long, grade int: links among ``nodes`` (node, payload long ...) that connect all pairs which one of the ``keys`` brings together.
 
     keys: columns and how many of their first bits are walked. ``near`` gets the payload of the rows of a task and gives
     the check of pairs of them.
@@ -306,9 +318,9 @@ def _trie_links(nodes: DataFrame, keys: list[tuple[Column, int]], budget: int, n
         forest = Forest(len(walked))
         walk(walked, np.concatenate(pairs), depth, width, budget, near(list(rows[6:])), forest)
         a, b, grade = forest.links()
-        return pa.RecordBatch.from_arrays([pa.array(rows[6, a]), pa.array(rows[6, b]), pa.array(grade == 2)], names=["src", "dst", "sure"])
+        return pa.RecordBatch.from_arrays([pa.array(rows[6, a]), pa.array(rows[6, b]), pa.array(grade, pa.int32())], names=["src", "dst", "grade"])
 
-    return dealt.mapInArrow(trimmed(run), "src long, dst long, sure boolean")
+    return dealt.mapInArrow(trimmed(run), "src long, dst long, grade int")
 
 
 def near_links(distinct: DataFrame, budget: int = 4) -> DataFrame:
@@ -341,7 +353,7 @@ def _bands(similarity: float, n: int) -> tuple[int, int, int]:
 
 
 def similar_links(nodes: DataFrame, similarity: float, bands: tuple[int, int, int], n: int) -> DataFrame:
-    """src, dst long, sure boolean: links that span the ``nodes`` (node, n_shingles long, words array<long>) which may be similar."""
+    """src, dst long, grade int: links that span the ``nodes`` (node, n_shingles long, words array<long>) which are likely similar, and pairs that may be."""
     width, budget, number = bands
     per = 64 // width
     keys = [(F.shiftleft(F.element_at("words", i // per + 1), i % per * width), width) for i in range(number)]
@@ -355,10 +367,10 @@ def similar_links(nodes: DataFrame, similarity: float, bands: tuple[int, int, in
             a, b = size[i], size[j]
             may = np.nonzero(np.minimum(a, b) >= similarity * np.maximum(a, b))[0]  # no smaller set can be similar
             i, j, a, b = i[may], j[may], a[may], b[may]
-            off = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
-            both = np.cos(np.pi * off / (64 * WORDS)) * np.sqrt(a * b)
+            differ = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
+            both = np.cos(np.pi * differ / (64 * WORDS)) * np.sqrt(a * b)
             rest = a + b - both
-            out[may] = (both >= (similarity - MARGIN) * rest).astype(np.int8) + (both >= (similarity + MARGIN) * rest)
+            out[may] = sum((both >= (similarity + off) * rest).astype(np.int8) for off in (-MARGIN, MARGIN, CERTAIN))
             return out
 
         return check
@@ -447,18 +459,41 @@ def similar_classes(rows: DataFrame, id_col: str, text_col: str, shingle: int =
     marked = wide_fingerprints(rows, id_col, text_col, shingle, max(WORDS, -(-bands[2] // (64 // bands[0]))))
     different = marked.groupBy("n_shingles", "words").agg(F.min(id_col).alias("least"))
     nodes = written(different.withColumn("node", F.monotonically_increasing_id()), "fingerprints")
-    links = written(similar_links(nodes, similarity, bands, n).select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "sure").distinct(), "links")
-    sure = written(components(links.filter("sure").select(F.col("a").alias("src"), F.col("b").alias("dst"))), "components")
-    of = lambda end, name: sure.select(F.col("node").alias(end), F.col("root").alias(name))
-    unsure = links.filter("not sure").select("a", "b").join(of("a", "x"), "a", "left").join(of("b", "y"), "b", "left")
-    unsure = unsure.select("a", "b", F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y")).filter("x <> y")
-    unsure = written(unsure, "unsure")
-    # Written, so that Spark knows its size: where few texts are asked for, they are picked without a shuffle of all.
-    asked = written(nodes.join(unsure.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "least"), "asked")
-    texts = rows.select(F.col(id_col).alias("least"), F.col(text_col).cast("string").alias("text")).join(asked, "least").select("node", "text")
-    joined = components(_settled(unsure, texts, shingle, similarity).select(F.col("x").alias("src"), F.col("y").alias("dst")))
-    named = nodes.select("node", "least").join(sure, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    return named.join(joined.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", "least", F.coalesce("top", "root").alias("root"))
+    found = similar_links(nodes, similarity, bands, n).select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "grade")
+    links = written(found.groupBy("a", "b").agg(F.max("grade").alias("grade")), "links")
+    roots = written(components(links.filter("grade = 3").select(F.col("a").alias("src"), F.col("b").alias("dst"))), "components")
+    for grade, one_each in ((2, False), (1, True), (1, False)):
+        open_links = _between(links.filter(F.col("grade") == grade).select("a", "b"), roots)
+        if one_each:  # of every group the pair with the group of the least number
+            open_links = open_links.groupBy("x").agg(F.min(F.struct("y", "a", "b")).alias("m")).select("m.a", "m.b", "x", "m.y")
+        asked = written(open_links, "unsure")
+        if asked.isEmpty():
+            continue
+        held = _settled(asked, _texts_of(asked, nodes, rows, id_col, text_col), shingle, similarity)
+        roots = _joined(roots, components(held.select(F.col("x").alias("src"), F.col("y").alias("dst"))))
+    named = nodes.select("node", "least").join(roots, "node", "left")
+    return named.select("node", "least", F.coalesce("root", "node").alias("root"))
+
+
+def _between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """a, b, x, y: the pairs whose ends are in different groups x < y."""
+    of = lambda end, name: roots.select(F.col("node").alias(end), F.col("root").alias(name))
+    met = pairs.join(of("a", "p"), "a", "left").join(of("b", "q"), "b", "left").select("a", "b", F.coalesce("p", "a").alias("p"), F.coalesce("q", "b").alias("q"))
+    return met.filter("p <> q").select("a", "b", F.greatest("p", "q").alias("x"), F.least("p", "q").alias("y"))
+
+
+def _joined(roots: DataFrame, more: DataFrame) -> DataFrame:
+    """node, root after groups were joined: ``more`` has the new root of a group by its old one."""
+    up = written(more.select(F.col("node").alias("old"), F.col("root").alias("new")), "groups")
+    whole = roots.join(up, roots["root"] == up["old"], "left").select("node", F.coalesce("new", "root").alias("root"))
+    own = up.join(roots.select("node"), up["old"] == roots["node"], "left_anti").select(F.col("old").alias("node"), F.col("new").alias("root"))
+    return written(whole.unionByName(own), "components")
+
+
+def _texts_of(asked: DataFrame, nodes: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """node, text of all ends. The ends are written, so that Spark knows their size: where few are asked for, their texts are picked without a shuffle of all."""
+    ends = written(nodes.join(asked.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "least"), "asked")
+    return rows.select(F.col(id_col).alias("least"), F.col(text_col).cast("string").alias("text")).join(ends, "least").select("node", "text")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -150,3 +150,42 @@ def test_keep_one_with_null_and_repeated_ids(spark):
     # Of texts that share an id in one component the choice does not depend on the partitions.
     near = spark.createDataFrame([(1, texts[0], 1), (1, texts[0].upper(), 2)], "doc_id long, text string, mark int")
     assert simhash.keep_one(near.repartition(2, "mark")).collect() == simhash.keep_one(near.orderBy("mark", ascending=False).coalesce(1)).collect()
+
+
+def test_possible_pairs_join_nothing():
+    one = lambda *pairs: [np.array(x) for x in zip(*pairs)]
+    forest = simhash.Forest(3)
+    forest.add(*one((0, 1), (0, 2), (1, 2), (0, 1)), np.ones(4, int))
+    assert sorted(map(tuple, forest.links().T)) == [(0, 1, 1), (0, 2, 1), (1, 2, 1)]
+    forest.add(*one((0, 1)), np.array([2]))
+    assert sorted(map(tuple, forest.links().T)) == [(0, 1, 2), (0, 2, 1), (1, 2, 1)]
+    forest.add(*one((1, 2)), np.array([3]))
+    assert sorted(map(tuple, forest.links().T)) == [(0, 1, 2), (1, 2, 3)]
+
+
+def test_pairs_of_one_template(spark):
+    """Sixty pairs, each a near copy, whose texts all stem from one template and are nearly near copies of each other."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+
+    def edited(words, n):
+        out = list(words)
+        for i in rng.sample(range(len(out)), n):
+            out[i] = word()
+        return out
+
+    template = [word() for _ in range(2_000)]
+    texts = []
+    for _ in range(60):
+        own = edited(template, 9)
+        texts += [" ".join(edited(own, 18)), " ".join(edited(own, 18))]
+    within = [jaccard(texts[i], texts[i + 1]) for i in range(0, 120, 2)]
+    across = [jaccard(texts[0], t) for t in texts[2:]]
+    assert min(within) > 0.8 and 0.72 < min(across) < max(across) < 0.8
+    order = list(range(120))
+    rng.shuffle(order)
+    docs = spark.createDataFrame([(i, texts[i]) for i in order], "doc_id long, text string")
+    kept = sorted(r.doc_id for r in simhash.keep_one(docs).collect())
+    wrong = [i for i in kept if i % 2]
+    assert len(wrong) <= 6  # of pairs that meet in no band
+    assert {i // 2 for i in kept} == set(range(60))
