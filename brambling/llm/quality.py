@@ -6,9 +6,11 @@ of positives among the labelled rows that may be learnt from, smoothed by one ro
 
 The trusted positives are at most ``EACH`` labelled ids (a documented bound); the unlabelled side is every document of
 the table outside the held-out fold, and so are the means and scales of the features. Features are made once, in the
-tasks, and written; a round of training is one Spark job over them: each task starts from the network of the round
-before, takes mini-batches of its own rows against positives, and the networks of all tasks are averaged, weighted by
-rows. What comes to the driver is one row per parameter, and one feature row per positive.
+tasks, and written. A round of training is one Spark job over them: rows are dealt by a hash into shards whose number
+depends on the rows alone; each shard starts from the network of the round before and takes mini-batches of its rows, in
+the order of a hash, against positives; the networks of all shards are averaged, weighted by rows. Sums are of whole
+numbers (fixed point). So neither partitions nor the order of rows nor a repeated task change a score. What comes to the
+driver is one row per parameter, and one feature row per positive.
 
 Cases: null and empty texts have all features at zero; very long texts are read whole, one at a time; without trusted
 positives or unlabelled text every score is the prior; null labels and ids whose labels contradict each other are left
@@ -18,12 +20,12 @@ ignored, whatever their names; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +35,10 @@ from brambling.llm.storage import bounded_batches, trimmed, written
 
 EACH = 3_000
 HIDDEN, BATCH, RATE, DECAY = 16, 256, 0.01, 1e-4
-#: Rounds of training, and mini-batches that a task takes in one of them at least.
+#: Rounds of training, and mini-batches that a shard takes in one of them at least.
 ROUNDS, STEPS = 6, 150
+#: Rows of a shard, about, and rows that its network sees at a time.
+SHARD, TOGETHER = 8_192, 8_192
 BLOCK = 16
 _KIND = np.full(256, 5, np.uint8)  # 0 lower, 1 upper, 2 digit, 3 space, 4 beyond ASCII, 5 symbol, 6 comma or full stop
 for _k, _codes in enumerate((range(97, 123), range(65, 91), range(48, 58), (9, 10, 11, 12, 13, 32), range(128, 256))):
@@ -158,41 +162,91 @@ def _matrix(column: pa.ListArray) -> np.ndarray:
     return column.flatten().to_numpy().reshape(len(column), -1).astype(np.float64)
 
 
-def _summed(rows: DataFrame, per_task) -> np.ndarray | None:
-    """The sum over all tasks of the vector that ``per_task`` makes of a task's matrices; None if no task has any."""
+#: Fixed point: sums of whole numbers are the same in whatever order Spark adds them.
+POINT = 1 << 24
+WHOLE = pa.decimal128(38, 0)
+
+
+def _whole(x: np.ndarray) -> np.ndarray:
+    return np.rint(x * POINT).astype(np.int64)
+
+
+def _summed(rows: DataFrame, columns: list[str], per_task: Callable[[Iterator[pa.RecordBatch]], list[int] | None]) -> np.ndarray | None:
+    """The sum over all tasks of the vector of whole numbers that ``per_task`` makes of a task's batches; None if no task has any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = per_task(_matrix(b.column(0)) for b in batches if b.num_rows)
+        total = per_task(b for b in batches if b.num_rows)
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], names=["k", "value"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array([Decimal(v) for v in total], WHOLE)], names=["k", "value"])
 
-    sums = rows.select("x").mapInArrow(trimmed(run), "k int, value double").groupBy("k").agg(F.sum("value").alias("value")).orderBy("k").collect()
-    return np.array([r.value for r in sums]) if sums else None
+    sums = rows.select(*columns).mapInArrow(trimmed(run), "k int, value decimal(38,0)").groupBy("k").agg(F.sum("value").alias("value")).orderBy("k").collect()
+    return np.array([float(r.value) for r in sums]) if sums else None
 
 
-def _moments(parts: Iterator[np.ndarray]) -> np.ndarray | None:
-    total = None
-    for x in parts:
-        now = np.concatenate([[len(x)], x.sum(axis=0), (x * x).sum(axis=0)])
-        total = now if total is None else total + now
+def _moments(batches: Iterator[pa.RecordBatch]) -> list[int] | None:
+    """Rows, sums and sums of squares (both in fixed point)."""
+    total: list[int] | None = None
+    for batch in batches:
+        x = _matrix(batch.column(0))
+        now = [len(x), *map(int, _whole(x).sum(axis=0)), *map(int, _whole(x * x).sum(axis=0))]
+        total = now if total is None else [a + b for a, b in zip(total, now)]
     return total
 
 
-def _round(net: PuNet, positive: np.ndarray, number: int):
-    """One task's part of a round: its network's parameters times its rows, and the rows."""
-
-    def per_task(parts: Iterator[np.ndarray]) -> np.ndarray | None:
-        own, rows = net.with_parameters(net.parameters()), 0
-        adam = labelled.Adam([own.w, own.b, own.v, own.c], RATE / (1 + number / 2))
-        rng = np.random.default_rng([number, TaskContext.get().partitionId()])
-        for x in parts:
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+    """Shard and up to ``TOGETHER`` of its rows, in order, however Arrow cut them."""
+    shard, held, n = None, [], 0
+    for batch in batches:
+        shards, x = batch.column(0).to_numpy(), _matrix(batch.column(1))
+        at = 0
+        while at < len(x):
+            if shards[at] != shard and n:
+                yield shard, np.concatenate(held)
+                held, n = [], 0
+            shard = int(shards[at])
+            stop = min(int(np.searchsorted(shards, shard, "right")), at + TOGETHER - n)
+            held.append(x[at:stop])
+            n, at = n + stop - at, stop
+            if n == TOGETHER:
+                yield shard, np.concatenate(held)
+                held, n = [], 0
+    if n:
+        yield shard, np.concatenate(held)
+
+
+def _round(net: PuNet, positive: np.ndarray, number: int) -> Callable[[Iterator[pa.RecordBatch]], list[int] | None]:
+    """A task's part of a round: every shard trains a network of its own on its rows; their parameters times their rows, and the rows."""
+
+    def per_task(batches: Iterator[pa.RecordBatch]) -> list[int] | None:
+        total: list[int] | None = None
+        here = own = adam = rng = None
+        rows = 0
+
+        def ended() -> list[int]:
+            now = [int(v) * rows for v in _whole(own.parameters())] + [rows]
+            return now if total is None else [a + b for a, b in zip(total, now)]
+
+        for shard, x in _blocks(batches):
+            if shard != here:
+                total = ended() if rows else total
+                here, rows = shard, 0
+                own = net.with_parameters(net.parameters())
+                adam = labelled.Adam([own.w, own.b, own.v, own.c], RATE / (1 + number / 2))
+                rng = np.random.default_rng([number, shard])
             own.learn(adam, positive, net.scaled(x), 0 if rows else STEPS, rng)
             rows += len(x)
-        return np.append(own.parameters() * rows, rows) if rows else None
+        return ended() if rows else total
 
     return per_task
 
 
+def _dealt(web: DataFrame, id_col: str, n: int) -> DataFrame:
+    """shard, x: rows dealt by a hash of the id and their features into shards whose number depends on the rows alone, each in the order of a hash."""
+    shards = max(8, 1 << (n // SHARD).bit_length())
+    keyed = web.select(F.pmod(F.xxhash64(id_col, "x"), F.lit(shards)).cast("int").alias("shard"), F.hash("x", id_col).alias("h"), "x")
+    return keyed.repartition("shard").sortWithinPartitions("shard", "h", "x").select("shard", "x")
+
+
 def fit(rows: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: str = "quality") -> PuNet | Constant:
     """The network for the written rows of ``surface``."""
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label).isNotNull() & ~labelled.held_out(F.col(id_col)))
@@ -201,15 +255,15 @@ def fit(rows: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: str =
     trusted = labelled.learning_rows(labels, label, EACH, id_col, classes=(1,))
     found = rows.join(F.broadcast(trusted.select(id_col)), id_col).groupBy(id_col).agg(F.min("x").alias("x")).orderBy(id_col).collect()
     web = rows.filter(F.col(id_col).isNotNull() & ~labelled.held_out(F.col(id_col)))
-    sums = _summed(web, _moments)
+    sums = _summed(web, ["x"], _moments)
     if not found or sums is None:
         return Constant(prior)
-    mean, square = np.split(sums[1:] / sums[0], 2)
+    mean, square = np.split(sums[1:] / sums[0] / POINT, 2)
     net = PuNet(mean, np.sqrt(np.maximum(square - mean * mean, 0)) + 1e-3, prior)
     positive = net.scaled(np.array([r.x for r in found], np.float64))
     for number in range(ROUNDS):
-        total = _summed(web, _round(net, positive, number))
-        net = net.with_parameters(total[:-1] / total[-1])
+        total = _summed(_dealt(web, id_col, int(sums[0])), ["shard", "x"], _round(net, positive, number))
+        net = net.with_parameters(total[:-1] / total[-1] / POINT)
     return net
 
 

@@ -143,3 +143,35 @@ def test_held_out_documents(spark, name, module, limit, scale):
     ones, zeros = (np.array([s for s, y in rows if y == v]) for v in (1, 0))
     assert len(rows) > 40 and (ones[:, None] > zeros).mean() >= 0.98, ((ones[:, None] > zeros).mean(), len(rows))
     assert np.mean([(s >= limit) == (y == 1) for s, y in rows]) >= 0.95
+
+
+def test_quality_does_not_depend_on_partitions(spark):
+    where = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{where}/documents.parquet"), spark.read.parquet(f"{where}/labels.parquet")
+    found = []
+    for n in (2, 7, 32):
+        rows = quality.written(quality.surface(docs.repartition(n)), "surface")
+        net = quality.fit(rows, labels)
+        found.append({r.doc_id: r.score for r in quality.score_surface(rows, net).collect()})
+        assert max(abs(quality.POINT * x * x).max() for x in [quality._matrix(quality.pa.array([r.x for r in rows.select("x").collect()]))]) < 2**44
+    assert found[0] == found[1] == found[2]
+
+
+def test_quality_shards_like_a_plain_loop(spark):
+    """One round by hand: every shard in the order of its hash, averaged by rows."""
+    where = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{where}/documents.parquet"), spark.read.parquet(f"{where}/labels.parquet")
+    rows = quality.written(quality.surface(docs), "surface")
+    dealt = quality._dealt(rows, "doc_id", rows.count())
+    shards = {}
+    for r in dealt.collect():
+        shards.setdefault(r.shard, []).append(r.x)
+    net = quality.PuNet(np.zeros(len(r.x)), np.ones(len(r.x)), 0.5)
+    positive = net.scaled(np.array([x for xs in shards.values() for x in xs][:30]))
+    total = quality._summed(dealt, ["shard", "x"], quality._round(net, positive, 0))
+    want = np.zeros(len(net.parameters()))
+    for shard, xs in shards.items():
+        own = net.with_parameters(net.parameters())
+        own.learn(labelled.Adam([own.w, own.b, own.v, own.c], quality.RATE), positive, net.scaled(np.array(xs, np.float64)), quality.STEPS, np.random.default_rng([0, shard]))
+        want += own.parameters() * len(xs)
+    assert total[-1] == rows.count() and np.allclose(total[:-1] / quality.POINT, want, atol=1e-4)
