@@ -138,12 +138,42 @@ def contains_match(rows: DataFrame, names: DataFrame, name: str, other: str, ord
 def similar_pairs(rows: DataFrame, key: str, text: str, block: Column, threshold: float = 0.85) -> DataFrame:
     """Pairs key < other in one block whose texts are alike after OCR folding. Equal texts of a block take part once; pairs are between representatives.
 
-    Of two texts at the threshold (above one half) the shorter one is cut into one segment more than there may be edits, so
-    one of them is in the longer text, nearly at its place: texts meet by such a segment, not every one with every other.
+    Above a threshold of 0.7 texts meet by their rarest pieces; else by segments: the shorter text is cut into one more
+    than there may be edits, so one of them is in the longer text. Never does every text meet every other.
     """
     if threshold <= 0.5:
         raise ValueError("the threshold must be above one half")
     reps = rows.select(F.col(key).alias("k"), ocr_key(text).alias("t"), block.alias("b")).groupBy("b", "t").agg(F.min("k").alias("k")).withColumn("n", F.length("t")).filter("n > 0")
+    met = _by_rare_pieces(reps, threshold) if threshold > 0.7 else _by_segments(reps, threshold)
+    swap = F.col("k") > F.col("k2")
+    pairs = met.select(F.least("k", "k2").alias("key"), F.greatest("k", "k2").alias("other"), F.when(swap, F.col("t2")).otherwise(F.col("t")).alias("t"), F.when(swap, F.col("t")).otherwise(F.col("t2")).alias("t2")).distinct()
+    return pairs.withColumn("similarity", F.round(similarity("t", "t2"), 4)).filter(F.col("similarity") >= threshold).select("key", "other", "similarity")
+
+
+def _by_rare_pieces(reps: DataFrame, threshold: float) -> DataFrame:
+    """k, t, k2, t2: pairs that share one of their rarest pieces of two characters.
+
+    An edit changes two pieces at most. So of two texts with e edits between them, whose pieces stand in one order of
+    frequency in their block, the first 2e + 1 of either have one in common (pieces are told apart by their occurrence).
+    What everybody has stands last and brings nobody together. Of two texts the longer one, of n characters, allows
+    n (1 - threshold) edits: it meets the shorter ones (and its like) under its own length, and these stand under every
+    length that a partner may have.
+    """
+    n, most = F.col("n"), F.col("most")
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.struct(F.substr("t", i, F.lit(2)).alias("g"), i.alias("at")))
+    cut = reps.select("b", "k", "t", "n", F.explode(grams).alias("p")).select("b", "k", "t", "n", "p.g", "p.at")
+    cut = cut.withColumn("nth", F.row_number().over(Window.partitionBy("b", "k", "t", "g").orderBy("at")))
+    common = cut.groupBy("b", "g", "nth").agg(F.count(F.lit(1)).alias("f"))
+    ranked = cut.join(common, ["b", "g", "nth"]).groupBy("b", "k", "t", "n").agg(F.array_sort(F.collect_list(F.struct("f", "g", "nth"))).alias("ps"))
+    edits = F.floor(most * (1 - threshold + 1e-4) + 1e-9).cast("int")  # similarities are rounded to four places
+    under = ranked.withColumn("most", F.explode(F.sequence(n, F.floor(n / (threshold - 1e-4)).cast("int"))))
+    rare = under.select("b", "k", "t", "n", "most", F.explode(F.slice("ps", F.lit(1), 2 * edits + 1)).alias("p")).select("b", "k", "t", "n", "most", "p.g", "p.nth")
+    longer = rare.filter(n == most).select("b", "most", "g", "nth", F.col("k").alias("k2"), F.col("t").alias("t2"))
+    return rare.join(longer, ["b", "most", "g", "nth"]).filter((F.col("t") != F.col("t2")) & ((n < most) | (F.col("k") < F.col("k2")))).select("k", "t", "k2", "t2")
+
+
+def _by_segments(reps: DataFrame, threshold: float) -> DataFrame:
+    """k, t, k2, t2: pairs of which one of the segments of the shorter text is in the longer one, nearly at its place."""
     edits = lambda n: F.floor(n * ((1 - threshold) / threshold) + 1e-9).cast("int")
     at = lambda i, n: F.floor(i * n / (edits(n) + 1)).cast("int")
     cut = reps.select("*", F.explode(F.sequence(F.lit(0), edits(F.col("n")))).alias("i"))
@@ -154,10 +184,7 @@ def similar_pairs(rows: DataFrame, key: str, text: str, block: Column, threshold
     place, size = at(F.col("i"), short), at(F.col("i") + 1, short) - at(F.col("i"), short)
     longer = longer.withColumns({"low": F.greatest(place - F.col("off"), F.lit(0)), "high": F.least(place + F.col("off"), n - size), "size": size}).filter("low <= high")
     probes = longer.select("b", "short", "i", F.explode(F.array_distinct(F.transform(F.sequence("low", "high"), lambda q: F.substr("t", q + 1, F.col("size"))))).alias("piece"), F.col("k").alias("k2"), F.col("t").alias("t2"))
-    met = cut.join(probes, ["b", "short", "i", "piece"]).filter(F.col("k") != F.col("k2"))
-    swap = F.col("k") > F.col("k2")
-    pairs = met.select(F.least("k", "k2").alias("key"), F.greatest("k", "k2").alias("other"), F.when(swap, F.col("t2")).otherwise(F.col("t")).alias("t"), F.when(swap, F.col("t")).otherwise(F.col("t2")).alias("t2")).distinct()
-    return pairs.withColumn("similarity", F.round(similarity("t", "t2"), 4)).filter(F.col("similarity") >= threshold).select("key", "other", "similarity")
+    return cut.join(probes, ["b", "short", "i", "piece"]).filter(F.col("k") != F.col("k2")).select("k", "t", "k2", "t2")
 
 
 def first_listed(lists: DataFrame, key: str, codes: str, items: DataFrame, code: str, value: str) -> DataFrame:

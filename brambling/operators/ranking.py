@@ -9,10 +9,35 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from brambling.functions.numbers import clamp, half_up
+from brambling.sources.tables import scratch
+
+
+def positions(rows: DataFrame, order: list[Column | str], name: str = "position") -> DataFrame:
+    """``rows`` with their place (from 0) in one order of all rows, which must end with a unique column.
+
+    Rows are dealt by ranges of the order and written once, so that places stand; a range's rows come after those of all
+    ranges before it. Only the number of rows of each range comes to the driver.
+    """
+    spark = rows.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch(spark, "positions")
+    placed = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumns({"_range": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)})
+    placed.write.parquet(path)
+    kept = spark.read.schema(placed.schema).parquet(path)
+    before, starts = 0, []
+    for r in kept.groupBy("_range").count().orderBy("_range").collect():
+        starts.append((r["_range"], before))
+        before += r["count"]
+    table = spark.createDataFrame(starts, "_range int, _before long")
+    return kept.join(F.broadcast(table), "_range").select(*rows.columns, (F.col("_before") + F.col("_at")).alias(name))
 
 
 def ranks(rows: DataFrame, sets: list[str], by: dict[str, Column], tie: str) -> DataFrame:
-    """One unique rank per named order within each set."""
+    """One unique rank per named order within each set; without sets all rows are one, which no task holds."""
+    if not sets:
+        for k, c in by.items():
+            rows = positions(rows, [c, tie], k).withColumn(k, (F.col(k) + 1).cast("int"))
+        return rows
     return rows.withColumns({k: F.row_number().over(Window.partitionBy(*sets).orderBy(c, tie)) for k, c in by.items()})
 
 
@@ -55,14 +80,13 @@ def versions(changes: DataFrame, key: str, order: list[str], image: str) -> Data
 def evict(entries: DataFrame, hits: str, tie: str, most: int, share: float = 0.2) -> DataFrame:
     """What stays of a cache: if it holds more than ``most``, the ceil(share) entries with the fewest hits go.
 
-    Rank without a global window: the hits at the cut come from a distributed sort of the ids to drop.
+    The cut is by the place of an entry in the order of hits, so no task holds what goes.
     """
     n = entries.count()
     if n <= most:
         return entries
     gone = -(-n * int(share * 100) // 100)
-    dropped = entries.select(tie, hits).orderBy(hits, tie).limit(gone).select(tie)
-    return entries.join(dropped, tie, "left_anti")
+    return positions(entries, [hits, tie], "_place").filter(F.col("_place") >= gone).drop("_place")
 
 
 def topsis(rows: DataFrame, sets: list[str], key: str, criteria: dict[str, tuple[float, bool]]) -> DataFrame:
@@ -84,7 +108,7 @@ def topsis(rows: DataFrame, sets: list[str], key: str, criteria: dict[str, tuple
     plus, minus = far(ideal), far(anti)
     closeness = F.round(F.when(plus + minus == 0, 0.5).otherwise(minus / (plus + minus)), 4)
     out = out.select(*sets, key, closeness.alias("closeness"))
-    return out.withColumn("rank", F.row_number().over(Window.partitionBy(*sets).orderBy(F.desc("closeness"), key)))
+    return ranks(out, sets, {"rank": F.desc("closeness")}, key)
 
 
 def _with(rows: DataFrame, per_set: DataFrame, sets: list[str]) -> DataFrame:

@@ -32,6 +32,33 @@ def period_rollup(logs: DataFrame, ts: str, period: str, value: str, ok: Column,
     )
 
 
+#: Sketches: bits of the registers (relative error 1.04 / 2**(bits / 2), so 1.6 in 100), and the size that gives ranks within 2 in 100.
+REGISTERS, QUANTILES = 12, 200
+
+
+def sketched(logs: DataFrame, ts: str, period: str, keys: list[str], who: str, value: str) -> DataFrame:
+    """start, keys, n, total, users, spread: a roll-up that merges further; ``users`` counts different ``who``, ``spread`` holds the distribution of ``value``.
+
+    A table of such rows is kept in place of the logs: a longer period is ``merged`` from shorter ones.
+    """
+    start = F.date_trunc(period, ts).alias("start")
+    return logs.groupBy(start, *keys).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"), F.hll_sketch_agg(who, REGISTERS).alias("users"), F.kll_sketch_agg_double(F.col(value).cast("double"), QUANTILES).alias("spread"))
+
+
+def merged(sketches: DataFrame, period: str, keys: list[str]) -> DataFrame:
+    """The roll-up of a longer period, or of fewer keys, from that of a shorter one."""
+    start = F.date_trunc(period, "start").alias("start")
+    return sketches.groupBy(start, *keys).agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.hll_union_agg("users").alias("users"), F.kll_merge_agg_double("spread").alias("spread"))
+
+
+def estimated(sketches: DataFrame, quantiles: dict[str, float]) -> DataFrame:
+    """The sketches as numbers: different users, and the named quantiles (null where no value is known)."""
+    known = F.kll_sketch_get_n_double("spread") > 0
+    points = [F.when(known, F.kll_sketch_get_quantile_double("spread", F.lit(q))).alias(k) for k, q in quantiles.items()]
+    others = [c for c in sketches.columns if c not in ("users", "spread")]
+    return sketches.select(*others, F.hll_sketch_estimate("users").alias("n_users"), *points)
+
+
 def grouped_totals(logs: DataFrame, groups: dict[str, Column | str], measures: dict[str, Column], alone: bool = True) -> DataFrame:
     """The measures by each group alone and in total, as one table (dimension, member, ...): one pass by grouping sets."""
     names = list(groups)

@@ -288,3 +288,46 @@ def minute_metrics(spark: SparkSession, d: str) -> DataFrame:
     from brambling.streaming.metrics import minute_metrics as minutes
 
     return minutes(events(spark, d), "ts", ["event_type"], "value", failed()).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", "high")
+
+
+@Q.query("""
+SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, true AS users_near, true AS p95_near FROM events GROUP BY 1, 2
+UNION ALL SELECT CAST(date_trunc('month', ts) AS TIMESTAMP), 'all', count(*), true, true FROM events GROUP BY 1""")
+def sketched_days(spark: SparkSession, d: str) -> DataFrame:
+    """Days by type, and months, from hourly sketches alone; their numbers lie within the stated error of the exact ones."""
+    from brambling.operators import rollups
+
+    rows = events(spark, d).select("ts", "event_type", "user_id", F.col("value").cast("double").alias("value"))
+    hours = rollups.sketched(rows, "ts", "hour", ["event_type"], "user_id", "value")
+    days = rollups.merged(hours, "day", ["event_type"])
+    months = rollups.merged(days, "month", []).select("start", F.lit("all").alias("event_type"), "n", "total", "users", "spread")
+    found = None
+    for sketches, period, kind in ((days, "day", F.col("event_type")), (months, "month", F.lit("all"))):
+        near = rollups.estimated(sketches, {"p95": 0.95}).select(F.col("start").alias("s"), F.col("event_type").alias("e"), "n", "n_users", "p95")
+        logs = rows.select(F.date_trunc(period, "ts").alias("start"), kind.alias("event_type"), "user_id", "value")
+        exact = logs.join(F.broadcast(near), (F.col("start") == F.col("s")) & (F.col("event_type") == F.col("e"))).groupBy("start", "event_type").agg(
+            F.max("n").alias("n"),
+            (F.abs(F.max("n_users") - F.count_distinct("user_id")) <= 0.05 * F.count_distinct("user_id") + 1).alias("users_near"),
+            # as many values lie below the estimate as should, within the error of ranks and one row
+            (F.coalesce(F.count_if(F.col("value") < F.col("p95")), F.lit(0)) <= 0.97 * F.count("value") + 1).alias("below"),
+            (F.coalesce(F.count_if(F.col("value") <= F.col("p95")), F.lit(0)) >= 0.93 * F.count("value") - 1).alias("above"),
+        )
+        part = exact.select("start", "event_type", "n", "users_near", (F.col("below") & F.col("above")).alias("p95_near"))
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+@Q.query("""
+WITH p AS (SELECT p_partkey, p_retailprice AS price, p_size AS size FROM part), n AS (SELECT sqrt(sum(price * price)) AS a, sqrt(sum(size::DOUBLE * size)) AS b FROM p),
+v AS (SELECT p_partkey, price, price / a * 0.6 AS x, size / b * 0.4 AS y FROM p, n), e AS (SELECT min(x) AS xi, max(x) AS xa, max(y) AS yi, min(y) AS ya FROM v),
+f AS (SELECT p_partkey, price, sqrt(pow(x - xi, 2) + pow(y - yi, 2)) AS p, sqrt(pow(x - xa, 2) + pow(y - ya, 2)) AS m FROM v, e),
+g AS (SELECT p_partkey, price, round(CASE WHEN p + m = 0 THEN 0.5 ELSE m / (p + m) END, 4) AS closeness FROM f)
+SELECT p_partkey, closeness, row_number() OVER (ORDER BY closeness DESC, p_partkey) AS "rank", row_number() OVER (ORDER BY price, p_partkey) AS by_price FROM g""")
+def global_ranks(spark: SparkSession, d: str) -> DataFrame:
+    """All parts as one set: closeness to the ideal and two ranks, without a task that holds all of them."""
+    from brambling.operators import ranking
+
+    rows = table(spark, d, "part").select("p_partkey", F.col("p_retailprice").alias("price"), F.col("p_size").cast("double").alias("size"))
+    best = ranking.topsis(rows, [], "p_partkey", {"price": (0.6, False), "size": (0.4, True)})
+    priced = ranking.ranks(rows, [], {"by_price": F.col("price")}, "p_partkey").select("p_partkey", F.col("by_price").cast("long").alias("by_price"))
+    return best.withColumn("rank", F.col("rank").cast("long")).join(priced, "p_partkey")

@@ -562,17 +562,15 @@ f AS (SELECT rule, min(start) AS start FROM b GROUP BY 1 UNION ALL SELECT f.rule
 SELECT b.rule, CAST(b.start AS TIMESTAMP) AS ts, b.value FROM f JOIN b ON b.rule = f.rule AND b.start = f.start""")
 def hourly_alerts(spark: SparkSession, d: str) -> DataFrame:
     """Hourly metrics as a stream: what breaks a rule, at most once per rule and cooldown."""
-    import uuid
-
     from brambling.streaming.metrics import alerts
 
     hours = table(spark, d, "events").groupBy(F.date_trunc("hour", "ts").alias("start")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "error").alias("e"))
-    path, name = tables.scratch(spark, "hours"), f"alerts_{uuid.uuid4().hex}"
+    path, to = tables.scratch(spark, "hours"), tables.scratch(spark, "alerts")
     hours.withColumn("start", F.col("start").cast("timestamp")).coalesce(1).write.parquet(path)
     stream = spark.readStream.schema("start timestamp, n long, e long").parquet(path)
     found = alerts(stream, [("errors", "e", ">=", 4, 21_600), ("quiet", "n", "<", 8, 7_200)], "start")
-    found.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", tables.scratch(spark, "alerts")).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    found.writeStream.format("parquet").outputMode("append").option("checkpointLocation", tables.scratch(spark, "alerts-state")).trigger(availableNow=True).start(to).awaitTermination()
+    return spark.read.schema(found.schema).parquet(to).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @Q.query("""SELECT o_orderkey AS k, CASE WHEN o_orderkey % 10 = 3 THEN 'missing' ELSE 'changed' END AS change FROM orders WHERE o_orderkey % 10 = 3 OR o_orderkey % 17 = 0 AND o_orderkey % 10 <> 2 AND o_orderstatus <> 'X'""")

@@ -78,7 +78,11 @@ def alerts(metrics: DataFrame, rules: list[tuple[str, str, str, float, int]], ts
 
 
 def learned_patterns(finds: DataFrame, pattern: str, kind: str, example: str, source: str, examples: int = 5, sources: int = 10) -> DataFrame:
-    """Counts per pattern with a few examples and sources (bounded arrays), in batch or complete-mode streams."""
-    first = lambda c, n: F.slice(F.array_sort(F.collect_set(c)), 1, n)
-    counted = finds.groupBy(pattern, kind).agg(F.count(F.lit(1)).alias("occurrences"), first(F.substring(example, 1, 200), examples).alias("examples"), first(source, sources).alias("sources"))
+    """Counts per pattern with a few different examples and sources, in batch or complete-mode streams.
+
+    The values of a pattern fall into as many classes (by a hash) as may be kept, and the least of each class is. So what is
+    held for a pattern is bounded however often it occurs, partial results merge, and the order of rows does not matter.
+    """
+    few = lambda c, n: F.array_sort(F.array_compact(F.array(*[F.min(F.when(F.pmod(F.xxhash64(c), F.lit(n)) == i, c)) for i in range(n)])))
+    counted = finds.groupBy(pattern, kind).agg(F.count(F.lit(1)).alias("occurrences"), few(F.substring(example, 1, 200), examples).alias("examples"), few(F.col(source), sources).alias("sources"))
     return counted.withColumn("confidence", F.round(F.least(F.lit(1.0), 0.5 + 0.05 * F.col("occurrences")), 3))
