@@ -17,7 +17,6 @@ import json
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +27,7 @@ from pyspark.sql import DataFrame
 from brambling.llm.storage import bounded_batches, trimmed
 
 SCAN_LIMIT = 64
-#: Pieces and words that a worker remembers (twice as many at most), and the longest of them.
+#: Pieces and words whose ids (as bytes) a worker remembers (twice as many at most), and the longest of them.
 CACHE_ENTRIES, CACHE_CHARS = 100_000, 40
 #: Bytes or ids that are Python objects at once.
 PORTION = 500_000
@@ -70,7 +69,6 @@ class WordBpe:
         model = spec["model"]
         vocab = model["vocab"]
         suffix = model["end_of_word_suffix"]
-        self.tokens = {i: t for t, i in vocab.items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.words = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
@@ -81,7 +79,7 @@ class WordBpe:
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.merges.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
-        self.known = Memory(lambda word: tuple(self.merge_word(word.encode())))
+        self.known = Memory(self._word)
         self.pieces = Memory(self._piece)
 
     def merge_word(self, word: bytes) -> list[int]:
@@ -125,11 +123,14 @@ class WordBpe:
                     heapq.heappush(queue, (m[0], x, parts[x], parts[y], m[1]))
         return [p for p in parts if p >= 0]
 
-    def _piece(self, piece: str) -> tuple[int, ...]:
+    def _word(self, word: str) -> bytes:
+        return np.array(self.merge_word(word.encode()), np.int32).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
         words = self.words.findall(piece)
-        return self.known[words[0]] if len(words) == 1 else tuple(chain.from_iterable(map(self.known.__getitem__, words)))
+        return self._word(words[0]) if len(words) == 1 else b"".join(map(self.known.__getitem__, words))  # the piece itself is remembered
 
-    def _plain(self, text: str) -> list[tuple[int, ...]]:
+    def _plain(self, text: str) -> list[bytes]:
         # Letters are lower-cased one by one: str.lower alone would write a final sigma by its context.
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
         pieces = filter(None, regex.split(r"\p{White_Space}+", text)) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
@@ -137,16 +138,20 @@ class WordBpe:
 
     def encode(self, text: str) -> np.ndarray:
         if self.specials and "<|" in text:
-            parts: list[tuple[int, ...]] = []
+            parts: list[bytes] = []
             for part in self.specials.split(text):
-                parts += [(self.special[part],)] if part in self.special else self._plain(part)
+                parts += [np.int32(self.special[part]).tobytes()] if part in self.special else self._plain(part)
         else:
             parts = self._plain(text)
-        return np.fromiter(chain.from_iterable(parts), np.int32)
+        return np.frombuffer(b"".join(parts), np.int32)
+
 
-    def decode(self, ids: list[int]) -> str:
-        """Tokens joined by one space: the file names no decoder, so word ends stay visible."""
-        return " ".join(map(self.tokens.__getitem__, ids))
+
+def spelled(path: str) -> dict[int, str]:
+    """The token of every id. Decoding joins tokens by one space: the file names no decoder, so word ends stay visible."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    return {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
 
 
 @lru_cache(maxsize=2)
@@ -185,12 +190,12 @@ def decode_ids(encoded: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_c
     """id_col, ids, decoded string. Null ids decode to the empty string."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(tokenizer)
+        tokens = spelled(tokenizer)
         for batch in batches:
             ids = batch.column(1)
             flat, offsets = ids.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
             for rows in portions(np.diff(offsets)):
-                texts = [bpe.decode(flat[a:b].tolist()) for a, b in zip(offsets[rows], offsets[rows.start + 1 : rows.stop + 1])]
+                texts = [" ".join(map(tokens.__getitem__, flat[a:b].tolist())) for a, b in zip(offsets[rows], offsets[rows.start + 1 : rows.stop + 1])]
                 n = rows.stop - rows.start
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(rows.start, n), ids.slice(rows.start, n), pa.array(texts, pa.string())], names=[id_col, "ids", "decoded"])
 
