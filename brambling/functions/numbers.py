@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from brambling.functions.text import col
+from brambling.functions.text import col, once
 
 
 def half_up(c: Column | str, digits: int = 0) -> Column:
@@ -74,17 +74,23 @@ MONTHS = ("ocak", "şubat", "mart", "nisan", "mayıs", "haziran", "temmuz", "ağ
 
 def parse_date(c: Column | str, pivot: int = 50) -> Column:
     """Day-first dates with . / or -, year-first ones, and Turkish month names; two-digit years above ``pivot`` are of the last century. No calendar day: null."""
-    c = F.lower(F.translate(F.trim(col(c)), "Iİ", "ıi"))
-    for k, name in enumerate(MONTHS, 1):
-        c = F.regexp_replace(c, rf"\s*{name}\s*", f".{k:02d}.")
     day_first = r"(?<!\d)(\d{1,2})\s*[./-]\s*(\d{1,2})\s*[./-]\s*(\d{4}|\d{2})(?!\d)"
     year_first = r"(?<!\d)(\d{4})[./-](\d{1,2})[./-](\d{1,2})(?!\d)"
-    part = lambda p, k: F.regexp_extract(c, p, k)
-    short = F.length(part(day_first, 3)) == 2
-    century = F.when(short, F.when(part(day_first, 3).try_cast("int") > pivot, "19").otherwise("20")).otherwise("")
-    a = F.concat_ws("-", part(year_first, 1), F.lpad(part(year_first, 2), 2, "0"), F.lpad(part(year_first, 3), 2, "0"))
-    b = F.concat_ws("-", F.concat(century, part(day_first, 3)), F.lpad(part(day_first, 2), 2, "0"), F.lpad(part(day_first, 1), 2, "0"))
-    return F.when(c.rlike(year_first), a.try_cast("date")).when(c.rlike(day_first), b.try_cast("date"))
+
+    def numbered(c: Column) -> Column:
+        named = c
+        for k, name in enumerate(MONTHS, 1):
+            named = F.regexp_replace(named, rf"\s*{name}\s*", f".{k:02d}.")
+        return F.when(c.rlike("|".join(MONTHS)), named).otherwise(c)
+
+    def date(c: Column) -> Column:
+        part = lambda p, k: F.regexp_extract(c, p, k)
+        year = lambda y: F.concat(F.when(F.length(y) == 2, F.when(y.try_cast("int") > pivot, "19").otherwise("20")).otherwise(""), y)
+        a = F.concat_ws("-", part(year_first, 1), F.lpad(part(year_first, 2), 2, "0"), F.lpad(part(year_first, 3), 2, "0"))
+        b = F.concat_ws("-", once(part(day_first, 3), year), F.lpad(part(day_first, 2), 2, "0"), F.lpad(part(day_first, 1), 2, "0"))
+        return F.when(c.rlike(year_first), a.try_cast("date")).when(c.rlike(day_first), b.try_cast("date"))
+
+    return once(once(F.lower(F.translate(F.trim(col(c)), "Iİ", "ıi")), numbered), date)
 
 
 def all_dates(c: Column | str) -> Column:

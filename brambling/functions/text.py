@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -108,19 +109,30 @@ def count_of(c: Column | str, characters: str) -> Column:
     return F.length(col(c)) - F.length(F.regexp_replace(col(c), f"[{characters}]", ""))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it.
+
+    A Column that is named twice is written out twice, and one that is built by steps grows with every step; a lambda's
+    variable is evaluated once per row.
+    """
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def garbage_reason(line: Column | str) -> Column:
     """Why a line is scanning noise: a code of marks only, too many high bytes or control characters, too few letters; else null."""
-    t = F.trim(col(line))
-    n = F.length(t)
-    high, control = count_of(t, r"\x{80}-\x{ff}"), count_of(t, r"\x00-\x1f\x7f-\x{9f}\x{fffd}")
-    solid = F.length(F.regexp_replace(t, r"\s", ""))
-    return (
-        F.when(n == 0, F.lit(None).cast("string"))
-        .when(t.rlike(r"^[|!Il1\s]{10,}$") | t.rlike(r"^[^\p{L}\p{N}\s]{6,}$"), "barcode")
-        .when((high > 10) | (high / n > 0.3), "high_ascii")
-        .when((control > 5) | (control / n > 0.2), "control")
-        .when((solid > 40) & (letter_ratio(t) < 0.15), "few_letters")
-    )
+
+    def reason(t: Column) -> Column:
+        n = F.length(t)
+        many = lambda marks, most, share: once(count_of(t, marks), lambda k: (k > most) | (k / n > share))
+        return (
+            F.when(n == 0, F.lit(None).cast("string"))
+            .when(t.rlike(r"^[|!Il1\s]{10,}$|^[^\p{L}\p{N}\s]{6,}$"), "barcode")
+            .when(many(r"\x{80}-\x{ff}", 10, 0.3), "high_ascii")
+            .when(many(r"\x00-\x1f\x7f-\x{9f}\x{fffd}", 5, 0.2), "control")
+            .when((n > 40) & (F.length(F.regexp_replace(t, r"\s", "")) > 40) & (letter_ratio(t) < 0.15), "few_letters")
+        )
+
+    return once(F.trim(col(line)), reason)
 
 
 def clean_lines(c: Column | str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from brambling.functions.text import clean_lines, col, count_of, garbage_reason, merge_spaced_capitals
+from brambling.functions.text import clean_lines, col, count_of, garbage_reason, merge_spaced_capitals, once
 
 #: Stands for a kept token; a character of the private area.
 KEPT = ""
@@ -22,13 +22,13 @@ def known_words(c: Column | str, words: dict[str, str]) -> Column:
 
 def despaced(c: Column | str, words: dict[str, str], most: int = 4) -> Column:
     """struct(text, passes): spaced capitals and known words put together until nothing changes, ``most`` times at most."""
-    now, passes, going = col(c), F.lit(0), F.lit(True)
-    for _ in range(most):
-        after = known_words(merge_spaced_capitals(now), words)
-        passes = passes + F.when(going, 1).otherwise(0)
-        going = going & (after != now)
-        now = after
-    return F.struct(now.alias("text"), passes.alias("passes"))
+    state = lambda text, passes, going: F.struct(text.alias("text"), passes.alias("passes"), going.alias("going"))
+
+    def one_pass(s: Column, _: Column) -> Column:
+        again = once(known_words(merge_spaced_capitals(s["text"]), words), lambda after: state(after, s["passes"] + 1, F.coalesce(after != s["text"], F.lit(False))))
+        return F.when(s["going"], again).otherwise(s)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(most)), state(col(c), F.lit(0), F.lit(True)), one_pass, lambda s: F.struct(s["text"].alias("text"), s["passes"].alias("passes")))
 
 
 def keeping(c: Column | str, tokens: str, work) -> Column:
@@ -51,8 +51,8 @@ def sanitised(c: Column | str) -> Column:
     text = F.coalesce(col(c), F.lit(""))
     lines = F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n")
     dropped = F.size(F.filter(lines, lambda x: garbage_reason(x).isNotNull()))
-    clean = clean_lines(text)
-    return F.struct(clean.alias("text"), F.length(text).alias("n_before"), F.length(clean).alias("n_after"), dropped.alias("lines_dropped"), count_of(text, r"\x00-\x08\x0b\x0c\x0e-\x1f\x7f").alias("control_removed"))
+    control = count_of(text, r"\x00-\x08\x0b\x0c\x0e-\x1f\x7f")
+    return once(clean_lines(text), lambda clean: F.struct(clean.alias("text"), F.length(text).alias("n_before"), F.length(clean).alias("n_after"), dropped.alias("lines_dropped"), control.alias("control_removed")))
 
 
 def pre_clean(c: Column | str, words: dict[str, str], labels: list[tuple[str, str]], fields: list[tuple[str, str]], headers: list[tuple[str, str]], most: int = 4) -> Column:
@@ -64,17 +64,25 @@ def pre_clean(c: Column | str, words: dict[str, str], labels: list[tuple[str, st
     text = F.coalesce(col(c), F.lit(""))
     text = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), r"[\x{a0}\x{2000}-\x{200a}\x{202f}\x{3000}]", " "), r"[\x{200b}-\x{200d}\x{feff}\x{fffd}]", "")
     text = F.regexp_replace(text, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
-    lines = F.split(text, "\n")
-    kept = F.filter(lines, lambda x: garbage_reason(x).isNull())
-    text = F.regexp_replace(F.array_join(kept, "\n"), r"[|!Il1]{10,}", "")
-    torn = despaced(text, words, most)
-    text = torn["text"]
-    for pattern, replacement in [*labels, *fields]:
-        text = F.regexp_replace(text, pattern, replacement)
+
+    def without_noise(lines: Column) -> Column:
+        return once(F.filter(lines, lambda x: garbage_reason(x).isNull()), lambda kept: F.struct(F.regexp_replace(F.array_join(kept, "\n"), r"[|!Il1]{10,}", "").alias("text"), (F.size(lines) - F.size(kept)).alias("n")))
+
     mark = r"(?im)^[ \t]*-*[ \t]*(?:page|sayfa)[ \t]*:?[ \t]*(\d+)[ \t]*(?:/|of)[ \t]*(\d+)[ \t]*-*[ \t]*$"
-    marks = F.size(F.regexp_extract_all(text, F.lit(f"({mark})"), F.lit(1)))
-    text = F.regexp_replace(F.regexp_replace(text, mark, "[Page $1/$2]"), r"(?<=\w)[ \t]*/[ \t]*(?=\w)", "/")
-    for pattern, replacement in headers:
-        text = F.regexp_replace(text, pattern, replacement)
-    text = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"[ \t]+", " "), r"(?m)^ | $", ""), r"\n{3,}", "\n\n"))
-    return F.struct(text.alias("text"), torn["passes"].alias("despacing_passes"), marks.alias("page_marks"), (F.size(lines) - F.size(kept)).alias("lines_dropped"))
+
+    def labelled(text: Column) -> Column:
+        for pattern, replacement in [*labels, *fields]:
+            text = F.regexp_replace(text, pattern, replacement)
+        return text
+
+    def finished(text: Column) -> Column:
+        text = F.regexp_replace(F.regexp_replace(text, mark, "[Page $1/$2]"), r"(?<=\w)[ \t]*/[ \t]*(?=\w)", "/")
+        for pattern, replacement in headers:
+            text = F.regexp_replace(text, pattern, replacement)
+        return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"[ \t]+", " "), r"(?m)^ | $", ""), r"\n{3,}", "\n\n"))
+
+    def result(clean: Column, torn: Column) -> Column:
+        marks = lambda text: F.size(F.regexp_extract_all(text, F.lit(f"({mark})"), F.lit(1)))
+        return once(labelled(torn["text"]), lambda text: F.struct(finished(text).alias("text"), torn["passes"].alias("despacing_passes"), marks(text).alias("page_marks"), clean["n"].alias("lines_dropped")))
+
+    return once(once(F.split(text, "\n"), without_noise), lambda clean: once(despaced(clean["text"], words, most), lambda torn: result(clean, torn)))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from brambling.functions.numbers import banded, clamp, half_up
-from brambling.functions.text import col, count_of, garbage_reason, without
+from brambling.functions.text import col, count_of, garbage_reason, once, without
 
 PAGE_MARK = r"(?im)^[ \t]*(?:-+[ \t]*)?(?:page|sayfa|seite|página)[ \t]*:?[ \t]*\d+(?:[ \t]*(?:/|of)[ \t]*\d+)?[ \t]*(?:-+)?[ \t]*$"
 
@@ -184,12 +184,13 @@ def _entry(kind: str):
 
 def vault(docs: DataFrame, id_col: str, text_col: str, kinds: list[tuple[str, str]] = PII) -> DataFrame:
     """id_col, kind, token, value: what ``redact`` takes out, numbered per document and kind in order of the text; equal values share a token."""
-    rest = F.col(text_col)
-    found = []
-    for name, pattern in kinds:
-        found.append(F.transform(F.regexp_extract_all(rest, F.lit(f"({pattern})"), F.lit(1)), _entry(name)))
-        rest = F.regexp_replace(rest, pattern, f"[{name}]")
-    hits = docs.select(id_col, F.explode(F.concat(*found)).alias("h")).select(id_col, "h.*")
+
+    def finds(rest: Column, kinds: list[tuple[str, str]]) -> Column:
+        (name, pattern), *others = kinds
+        here = F.transform(F.regexp_extract_all(rest, F.lit(f"({pattern})"), F.lit(1)), _entry(name))
+        return once(F.regexp_replace(rest, pattern, f"[{name}]"), lambda text: F.concat(here, finds(text, others))) if others else here
+
+    hits = docs.select(id_col, F.explode(finds(F.col(text_col), kinds)).alias("h")).select(id_col, "h.*")
     first = hits.groupBy(id_col, "kind", "value").agg(F.min("pos").alias("pos"), F.count(F.lit(1)).alias("n"))
     no = F.row_number().over(Window.partitionBy(id_col, "kind").orderBy("pos"))
     return first.select(id_col, "kind", F.concat(F.lit("["), F.col("kind"), F.lit("_"), no.cast("string"), F.lit("]")).alias("token"), "value", "n")

@@ -6,6 +6,8 @@ choice to Spark above it.
 
 from __future__ import annotations
 
+import math
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
 
@@ -74,14 +76,27 @@ def best_match(facts: DataFrame, benchmarks: DataFrame, kind: str, sub: str, ord
 def nearest(points: DataFrame, others: DataFrame, key: str, lat: str, lon: str, within_km: float, k: int) -> DataFrame:
     """For each point the ``k`` nearest others within a distance.
 
-    Both sides are cut into bands of latitude as high as the distance; a point meets its own band and both neighbours,
-    so far pairs are never made.
+    Both sides are cut into cells: bands of latitude as high as the distance, each cut into cells of longitude as wide as
+    the distance is anywhere in the band or its neighbours (one cell around a pole; the cells of a band close at the date
+    line). A point meets its own cell and those around it. Points without a place
+    take no part.
     """
     height = within_km / 110.5
+    half = math.sin(min(math.pi / 2, within_km / 2 / 6371.0 * 1.001))
+
+    def cells(band: Column) -> Column:
+        far = F.radians(F.least(F.lit(90.0), F.greatest(F.abs(band), F.abs(band + 1)) * height + height))
+        reach = F.when(F.cos(far) <= half, 360.0).otherwise(F.degrees(2 * F.asin(F.least(F.lit(1.0), half / F.cos(far)))))
+        return F.greatest(F.lit(1), F.floor(360 / reach)).cast("long")
+
+    place = lambda n: F.least(F.floor(F.pmod(F.col(lon) + 180, F.lit(360.0)) / 360 * n).cast("long"), n - 1)
     band = F.floor(F.col(lat) / height).cast("long")
-    a = points.select(F.col(key).alias("key"), F.col(lat).alias("_a1"), F.col(lon).alias("_a2"), F.explode(F.sequence(band - 1, band + 1)).alias("_band"))
-    b = others.select(F.col(key).alias("other"), F.col(lat).alias("_b1"), F.col(lon).alias("_b2"), band.alias("_band"))
-    pairs = a.join(b, "_band").filter("key <> other").withColumn("km", haversine_km(F.col("_a1"), F.col("_a2"), F.col("_b1"), F.col("_b2"))).filter(F.col("km") <= within_km)
+    a = points.dropna(subset=[lat, lon]).select(F.col(key).alias("key"), lat, lon, F.explode(F.sequence(band - 1, band + 1)).alias("_band")).withColumn("_n", cells(F.col("_band")))
+    own = place(F.col("_n"))
+    a = a.select("key", F.col(lat).alias("_a1"), F.col(lon).alias("_a2"), "_band", F.explode(F.array_distinct(F.array(*[F.pmod(own + i, F.col("_n")) for i in (-1, 0, 1)]))).alias("_cell"))
+    b = others.dropna(subset=[lat, lon]).select(F.col(key).alias("other"), lat, lon, band.alias("_band")).withColumn("_n", cells(F.col("_band")))
+    b = b.select("other", F.col(lat).alias("_b1"), F.col(lon).alias("_b2"), "_band", place(F.col("_n")).alias("_cell"))
+    pairs = a.join(b, ["_band", "_cell"]).filter("key <> other").withColumn("km", haversine_km(F.col("_a1"), F.col("_a2"), F.col("_b1"), F.col("_b2"))).filter(F.col("km") <= within_km)
     ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("km", "other")))
     return ranked.filter(F.col("rank") <= k).select("key", "other", "km", "rank")
 
@@ -204,8 +219,12 @@ def matrix(rows: DataFrame, key: str, name: str, value: str) -> DataFrame:
 def align_boxes(tokens: DataFrame, page: list[str], engine: str, token_id: str, text: str, box: str, least: float = 0.5) -> DataFrame:
     """Groups of tokens of different engines at one place: in reading order each free token takes the best overlapping free token of every other engine.
 
-    Greedy and so by order: a page is walked by itself, and a page is bounded by what fits on paper.
+    Greedy and so by order: a page is walked by itself, and a page is bounded by what fits on paper. Boxes lie in the cells of
+    grids, one grid for each size of boxes; two that share ``least`` of their area differ in either side by that share at
+    most, so a box looks into a few cells of the grids near its own size. A box without a place or an area is alone.
     """
+    if not 0 < least <= 1:
+        raise ValueError("boxes must share a part of their area")
     names = [*page, engine, token_id, text, "x", "y", "width", "height"]
     rows = tokens.select(*page, engine, token_id, text, *[F.col(f"{box}.{c}").cast("double").alias(c) for c in names[-4:]])
     dealt = rows.repartition(*page).sortWithinPartitions(*page, F.col("y") * 10_000 + F.col("x"), token_id)
@@ -227,16 +246,32 @@ def align_boxes(tokens: DataFrame, page: list[str], engine: str, token_id: str,
         both = max(w, 0.0) * max(h, 0.0)
         return both / (a[2] * a[3] + b[2] * b[3] - both) if both else 0.0
 
+    def level(side: float) -> int:
+        return math.ceil(math.log2(side))
+
     def group(rows: list[tuple]) -> pa.RecordBatch:
+        grid: dict[tuple[int, int, int, int], list[int]] = defaultdict(list)
+        boxes = [r[-4:] if None not in r[-4:] and r[-2] > 0 and r[-1] > 0 and all(map(math.isfinite, r[-4:])) else None for r in rows]
+        for j, b in enumerate(boxes):
+            if b:
+                u, v = level(b[2]), level(b[3])
+                grid[u, v, math.floor(b[0] / 2.0**u), math.floor(b[1] / 2.0**v)].append(j)
+        sizes = {k[:2] for k in grid}
         taken: dict[int, int] = {}
-        for i, r in enumerate(rows):
+        for i, (r, b) in enumerate(zip(rows, boxes)):
             if i in taken:
                 continue
             taken[i] = i
             best: dict[str, tuple[float, int]] = {}
-            for j in range(len(rows)):
-                if j not in taken and rows[j][n] != r[n] and (s := shared(r[-4:], rows[j][-4:])) >= least:
-                    best[rows[j][n]] = max(best.get(rows[j][n], (0.0, -j)), (s, -j))
+            for u, v in sizes if b else ():
+                if not (level(b[2] * least) <= u <= level(b[2] / least) and level(b[3] * least) <= v <= level(b[3] / least)):
+                    continue
+                across, down = 2.0**u, 2.0**v
+                for x in range(math.floor((b[0] - across) / across), math.floor((b[0] + b[2]) / across) + 1):
+                    for y in range(math.floor((b[1] - down) / down), math.floor((b[1] + b[3]) / down) + 1):
+                        for j in grid.get((u, v, x, y), ()):
+                            if j not in taken and rows[j][n] != r[n] and (s := shared(b, boxes[j])) >= least:
+                                best[rows[j][n]] = max(best.get(rows[j][n], (0.0, -j)), (s, -j))
             for _, j in best.values():
                 taken[-j] = i
         columns = list(zip(*[(*r[: n + 3], rows[taken[i]][n + 1]) for i, r in enumerate(rows)]))
