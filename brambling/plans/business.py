@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from brambling.functions import numbers
 from brambling.operators import collections, joins, losses, ranking, rollups, scoring
 from brambling.plans.registry import Registry
-from brambling.sources.tables import comparison, table
+from brambling.sources.tables import comparison, spread, table
 
 Q = Registry()
 
@@ -373,7 +373,7 @@ SCENARIOS = [("theft", 0.3, "lognormal", 5.0, 0.8, None, None, None), ("fire", 0
 @Q.query()
 def expected_losses(spark: SparkSession, d: str) -> DataFrame:
     """Simulated own losses of every part as an exposure."""
-    exposures = table(spark, d, "part").select("p_partkey", (F.col("p_retailprice") * 2).alias("limit"), (F.col("p_size") * 10.0).alias("deductible"))
+    exposures = spread(table(spark, d, "part")).select("p_partkey", (F.col("p_retailprice") * 2).alias("limit"), (F.col("p_size") * 10.0).alias("deductible"))
     scenarios = spark.createDataFrame(SCENARIOS, "code string, frequency double, kind string, mu double, sigma double, alpha double, low double, high double")
     return losses.simulate(exposures, scenarios, "p_partkey", 10_000)
 

@@ -9,7 +9,7 @@ from brambling.functions.dictionaries import rules_of, terms_inside
 from brambling.operators import documents
 from brambling.operators.search import SearchIndex
 from brambling.plans.registry import Registry
-from brambling.sources.tables import scratch, table
+from brambling.sources.tables import scratch, spread, table
 
 Q = Registry()
 
@@ -18,7 +18,7 @@ FIELDS = {"source": "A", "lang": "B", "text": "C"}
 
 def built(spark: SparkSession, d: str) -> SearchIndex:
     """An index of all documents that was filled in two steps, the second of which also mends what the first had wrong, and removes some."""
-    docs = table(spark, d, "documents").select("doc_id", "n_chars", "source", "lang", "text")
+    docs = spread(table(spark, d, "documents")).select("doc_id", "n_chars", "source", "lang", "text")
     wrong = docs.filter("doc_id % 2 = 0").withColumn("text", F.when(F.col("doc_id") % 10 == 0, F.lit("license misplaced")).otherwise(F.col("text")))
     index = SearchIndex.create(wrong, scratch(spark, "index"), "doc_id", "n_chars", FIELDS, ("source", "lang"))
     index.append(docs.filter("doc_id % 2 = 1 OR doc_id % 10 = 0"))
@@ -83,7 +83,7 @@ def phrase_hits(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "benchmark").dropna(subset=["text"])
     phrases = rows.select(F.lower(F.array_join(F.slice(F.split("text", " "), 1, 2), " ")).alias("phrase")).distinct()
     terms = [p for (p,) in rules_of(phrases, "phrase")]
-    hits = table(spark, d, "documents").select("doc_id", terms_inside(F.lower("text"), terms).alias("at")).filter(F.size("at") > 0)
+    hits = spread(table(spark, d, "documents")).select("doc_id", terms_inside(F.lower("text"), terms).alias("at")).filter(F.size("at") > 0)
     names = F.broadcast(spark.createDataFrame(list(enumerate(terms)), "i int, phrase string"))
     return hits.select("doc_id", F.explode("at").alias("i")).join(names, "i").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_phrases"), F.min("phrase").alias("first_phrase"), F.max("phrase").alias("last_phrase"))
 

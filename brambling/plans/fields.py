@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from brambling.functions import checks, numbers, text
 from brambling.operators import documents, extraction, joins, policies, scoring
 from brambling.plans.registry import Registry
-from brambling.sources.tables import table
+from brambling.sources.tables import spread, table
 
 Q = Registry()
 
@@ -96,7 +96,7 @@ def parsed_days(spark: SparkSession, d: str) -> DataFrame:
     written = by_case(F.col("k") % 7, fmt("dd.MM.yyyy"), fmt("d/M/yy"), fmt("yyyy-MM-dd"), put(fmt("d"), " ", F.initcap(month), " ", fmt("yyyy")), put("on ", fmt("dd-MM-yyyy"), "."), F.lit("31.02.1999"), F.lit("soon"))
     later = F.when(F.col("k") % 2 == 0, put("until ", fmt("yyyy-MM-dd", F.date_add("day", 40)), " or ", fmt("d.M.yyyy"))).otherwise(fmt("dd/MM/yyyy"))
     dates = numbers.all_dates(put("from ", fmt("dd.MM.yyyy"), " ", later))
-    rows = money(spark, d)
+    rows = spread(money(spark, d))
     return rows.select("k", numbers.parse_date(written).alias("parsed"), F.concat(F.lit("["), F.array_join(F.transform(dates, lambda x: x.cast("string")), ", "), F.lit("]")).alias("dates"), numbers.expiry_status("day", F.lit("1997-01-01").cast("date")).alias("status"))
 
 
@@ -119,7 +119,7 @@ def identifier_checks(spark: SparkSession, d: str) -> DataFrame:
     phone = by_case(k % 3, F.concat(F.lit("0532"), pad(k % 1000, 3), F.lit("1234")), F.concat(F.lit("+90 (532) "), pad(k % 1000, 3), F.lit(" 12 34")), F.concat(F.lit("532-"), pad(k % 1000, 3), F.lit("-1234")))
     pages = F.when(k % 4 == 0, F.array(F.lit(1), F.lit(3))).otherwise(F.array(F.lit(2), F.lit(1)))
     tax = F.lpad(((k * 7919 + 13) % 10_000_000_000).cast("string"), 10, "1")
-    rows = table(spark, d, "orders").select(k, vin.alias("v"), pages.alias("pages"), (k % 130).alias("share"))
+    rows = spread(table(spark, d, "orders")).select(k, vin.alias("v"), pages.alias("pages"), (k % 130).alias("share"))
     return rows.select(
         k.alias("k"), checks.tax_number(tax).alias("tax"), checks.tax_number(tax, 9).alias("tax_other"), checks.vehicle_number("v").alias("vin"), checks.vehicle_number_digit("v").alias("vin_digit"),
         checks.plate(F.concat(pad(k % 90, 2), F.lit(" ab "), (k % 5000).cast("string"))).alias("plate"), checks.iban(account).alias("iban"), checks.phone(phone).alias("phone"),
@@ -220,7 +220,7 @@ m AS (SELECT *, length(t) AS n, length(t) - length(regexp_replace(t, '[\\x{80}-\
 SELECT * FROM (SELECT doc_id, CAST(no AS INTEGER) AS line, CASE WHEN n = 0 THEN NULL WHEN regexp_matches(t, '^[|!Il1\\s]{10,}$') OR regexp_matches(t, '^[^\\p{L}\\p{N}\\s]{6,}$') THEN 'barcode' WHEN high > 10 OR high / n > 0.3 THEN 'high_ascii' WHEN control > 5 OR control / n > 0.2 THEN 'control'
   WHEN length(solid) > 40 AND length(regexp_replace(solid, '[^a-zA-ZçğıöşüÇĞİÖŞÜâîûÂÎÛ]', '', 'g')) / length(solid) < 0.15 THEN 'few_letters' END AS reason FROM m) WHERE reason IS NOT NULL""")
 def garbage_lines(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
+    lines = spread(table(spark, d, "documents")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
     return lines.select("doc_id", "line", text.garbage_reason("t").alias("reason")).filter("reason is not null")
 
 

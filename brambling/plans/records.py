@@ -447,7 +447,7 @@ def kept_tokens(spark: SparkSession, d: str) -> DataFrame:
     from brambling.operators.cleaning import normalised_ocr
 
     t = F.concat(F.lit("  S I GORTA of   34 A B "), (F.col("k") % 900 + 100).cast("string"), F.lit(" and A B C \n||||!!!!||||\n second line"))
-    return orders(spark, d).select("k", normalised_ocr(t, TORN, r"\b\d{2} [A-Z](?: [A-Z]){0,2} \d{2,4}\b").alias("text"))
+    return tables.spread(orders(spark, d)).select("k", normalised_ocr(t, TORN, r"\b\d{2} [A-Z](?: [A-Z]){0,2} \d{2,4}\b").alias("text"))
 
 
 @Q.query("""
@@ -459,7 +459,7 @@ def precleaned(spark: SparkSession, d: str) -> DataFrame:
     raw = F.concat(F.lit("P O L I Ç E\x01 PoliceNo:"), F.col("k").cast("string"), F.lit("\r\n|||||||||||||\n- Page 1 of 2 -\na  / b\n\n\n\nend |||||||||||  "))
     made = pre_clean(raw, TORN, [(r"POLİÇE PoliceNo:", "POLİÇE No:")], [(r"No:(?=\d)", "No: ")], [])
     clean = sanitised(raw)
-    return orders(spark, d).select("k", made.alias("r"), clean.alias("s")).select("k", "r.*", F.col("s.n_before").alias("n_before"), F.col("s.lines_dropped").alias("dropped"), F.col("s.control_removed").alias("control"))
+    return tables.spread(orders(spark, d)).select("k", made.alias("r"), clean.alias("s")).select("k", "r.*", F.col("s.n_before").alias("n_before"), F.col("s.lines_dropped").alias("dropped"), F.col("s.control_removed").alias("control"))
 
 
 RULES = [("LEGAL_ADVANCE", ["avans", "advance"], []), ("THIRD_PARTY", ["third party", "üçüncü şahıs"], []), ("THEFT", [], ["hırsızlık", "theft"])]

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from brambling.functions import checks, numbers, text
 from brambling.operators import collections, documents, ranking, scoring
 from brambling.plans.registry import Registry
-from brambling.sources.tables import table
+from brambling.sources.tables import spread, table
 
 Q = Registry()
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents")
+    return spread(table(spark, d, "documents"))
 
 
 LETTER = f"[^{text.LETTERS}]"

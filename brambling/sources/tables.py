@@ -18,6 +18,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt evenly over all cores if it is too small to give each a block of its own.
+
+    A file of one row group is one task, however many cores there are; where rows cost much work, dealing them is the
+    lesser cost. A table with a full block for every core (by the size that Spark knows) is read as it lies.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    block = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * block else df
+
+
 def by_key(df: DataFrame, key: str, value) -> DataFrame:
     """The one row of a key. More than one is an error when the result is computed."""
     found = df.filter(F.col(key) == value)
