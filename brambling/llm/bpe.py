@@ -147,6 +147,7 @@ class WordBpe:
 
 
 
+@lru_cache(maxsize=2)
 def spelled(path: str) -> dict[int, str]:
     """The token of every id. Decoding joins tokens by one space: the file names no decoder, so word ends stay visible."""
     with open(path, encoding="utf-8") as f:
@@ -169,21 +170,27 @@ def portions(sizes: np.ndarray) -> Iterator[slice]:
         at = stop
 
 
-def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, ids array<int>. ``tokenizer`` is the path of a tokenizer file that every executor has."""
+def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """id_col, ids array<int>, and the text that the ids decode to if ``decoded`` (in the same task, so that no second one holds the vocabulary).
+
+    ``tokenizer`` is the path of a tokenizer file that every executor has.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(tokenizer)
+        bpe, tokens = load(tokenizer), spelled(tokenizer) if decoded else {}
         for batch in batches:
             for rows in portions(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy()):
                 n = rows.stop - rows.start
                 ids = [bpe.encode(t or "") for t in batch.column(1).slice(rows.start, n).to_pylist()]
                 offsets = np.zeros(n + 1, np.int32)
                 np.cumsum([len(x) for x in ids], out=offsets[1:])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(rows.start, n), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))], names=[id_col, "ids"])
+                columns = {id_col: batch.column(0).slice(rows.start, n), "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))}
+                if decoded:
+                    columns["decoded"] = pa.array([" ".join(map(tokens.__getitem__, x.tolist())) for x in ids], pa.string())
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     kept = bounded_batches(docs.select(id_col, text_col))
-    return kept.mapInArrow(trimmed(run), f"`{id_col}` {kept.schema[0].dataType.simpleString()}, ids array<int>")
+    return kept.mapInArrow(trimmed(run), f"`{id_col}` {kept.schema[0].dataType.simpleString()}, ids array<int>{', decoded string' if decoded else ''}")
 
 
 def decode_ids(encoded: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

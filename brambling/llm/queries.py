@@ -18,7 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
-    encoded = bpe.decode_ids(bpe.encode_documents(table(spark, sf_dir, "documents"), path), path)
+    encoded = bpe.encode_documents(table(spark, sf_dir, "documents"), path, decoded=True)
     return encoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
