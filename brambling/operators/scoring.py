@@ -170,6 +170,22 @@ def budget_check(budgets: DataFrame, request: dict[str, str], cost: float) -> Da
     return budgets.filter((F.col("applies_to") == "all") | applies).withColumn("projected", projected).withColumn("verdict", verdict)
 
 
+def budget_checks(requests: DataFrame, key: str, targets: dict[str, str], cost: str, budgets: DataFrame) -> DataFrame:
+    """key, n_budgets, n_warn, n_notify, allowed of every request, by the budgets that apply to it.
+
+    targets: kind of budget -> the request's column that names its target; budgets of the kind ``all`` (with an empty target)
+    apply to every request. budgets: applies_to, target, used, limit, warn_at, action. A request meets its budgets by kind and
+    target, so neither is paired with what does not apply; one without any is not returned.
+    """
+    kinds = F.array(F.struct(F.lit("all").alias("applies_to"), F.lit("").alias("target")), *[F.struct(F.lit(k).alias("applies_to"), F.col(c).cast("string").alias("target")) for k, c in targets.items()])
+    asked = requests.select(key, F.col(cost).alias("_cost"), F.explode(kinds).alias("t")).select(key, "_cost", "t.*")
+    projected = F.round(F.col("used") + F.col("_cost"), 4)
+    verdict = F.when(projected > F.col("limit"), F.col("action")).when(projected > F.col("limit") * F.col("warn_at"), "warn").otherwise("pass")
+    met = asked.join(budgets, ["applies_to", "target"]).select(key, verdict.alias("verdict"))
+    count = lambda v: F.count_if(F.col("verdict") == v)
+    return met.groupBy(key).agg(F.count(F.lit(1)).alias("n_budgets"), count("warn").alias("n_warn"), count("notify").alias("n_notify"), (count("block") == 0).alias("allowed"))
+
+
 def running_budget(costs: DataFrame, budget: str, period: Column, ts: str, cost: str, limit: float) -> DataFrame:
     """Costs so far in the period of each budget, and whether they exceed the limit."""
     w = Window.partitionBy(budget, "period").orderBy(ts).rowsBetween(Window.unboundedPreceding, Window.currentRow)

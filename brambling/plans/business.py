@@ -352,11 +352,20 @@ def converted(spark: SparkSession, d: str) -> DataFrame:
 
 
 @Q.query("""
-WITH b(name, applies_to, target, used, most, warn_at, action) AS (VALUES ('a', 'all', '', 90.0, 100.0, 0.8, 'block'), ('b', 'user', '7', 10.0, 100.0, 0.8, 'block'), ('c', 'user', '8', 99.0, 100.0, 0.8, 'block'), ('d', 'model', 'm', 75.0, 100.0, 0.8, 'notify'))
-SELECT name, used + 15 AS projected, CASE WHEN used + 15 > most THEN action WHEN used + 15 > most * warn_at THEN 'warn' ELSE 'pass' END AS verdict FROM b WHERE applies_to = 'all' OR (applies_to = 'user' AND target = '7') OR (applies_to = 'model' AND target = 'm')""")
+WITH u AS (SELECT 'user' AS applies_to, CAST(user_id AS VARCHAR) AS target, round(sum(value), 2) AS used FROM events WHERE event_id % 2 = 0 GROUP BY 2 UNION ALL SELECT 'type', event_type, round(sum(value), 2) FROM events WHERE event_id % 2 = 0 GROUP BY 2 UNION ALL SELECT 'all', '', round(sum(value), 2) FROM events WHERE event_id % 2 = 0),
+b AS (SELECT *, CASE applies_to WHEN 'user' THEN used * 1.05 WHEN 'type' THEN used * 1.0005 ELSE used * 1.4 END AS most, CASE applies_to WHEN 'user' THEN 'block' WHEN 'type' THEN 'notify' ELSE 'block' END AS action FROM u),
+r AS (SELECT event_id, value, 'user' AS applies_to, CAST(user_id AS VARCHAR) AS target FROM events WHERE event_id % 2 = 1 AND value IS NOT NULL UNION ALL SELECT event_id, value, 'type', event_type FROM events WHERE event_id % 2 = 1 AND value IS NOT NULL UNION ALL SELECT event_id, value, 'all', '' FROM events WHERE event_id % 2 = 1 AND value IS NOT NULL),
+v AS (SELECT event_id, CASE WHEN round(used + value, 4) > most THEN action WHEN round(used + value, 4) > most * 0.8 THEN 'warn' ELSE 'pass' END AS verdict FROM r JOIN b ON r.applies_to = b.applies_to AND r.target = b.target)
+SELECT event_id, count(*) AS n_budgets, count(*) FILTER (verdict = 'warn') AS n_warn, count(*) FILTER (verdict = 'notify') AS n_notify, count(*) FILTER (verdict = 'block') = 0 AS allowed FROM v GROUP BY 1""")
 def budgets(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([("a", "all", "", 90.0, 100.0, 0.8, "block"), ("b", "user", "7", 10.0, 100.0, 0.8, "block"), ("c", "user", "8", 99.0, 100.0, 0.8, "block"), ("d", "model", "m", 75.0, 100.0, 0.8, "notify")], "name string, applies_to string, target string, used double, limit double, warn_at double, action string")
-    return scoring.budget_check(rows, {"user": "7", "model": "m"}, 15.0).select("name", "projected", "verdict")
+    """Odd events as requests against budgets of their user, their type and of all, of which the even events used up a part."""
+    rows = table(spark, d, "events").withColumn("user", F.col("user_id").cast("string"))
+    spent = rows.filter("event_id % 2 = 0")
+    used = lambda kind, c: spent.groupBy(c.alias("target")).agg(F.round(F.sum("value"), 2).alias("used")).select(F.lit(kind).alias("applies_to"), "target", "used")
+    every = used("user", F.col("user")).unionByName(used("type", F.col("event_type"))).unionByName(used("all", F.lit("")))
+    table_of = every.withColumns({"limit": F.col("used") * F.when(F.col("applies_to") == "user", 1.05).when(F.col("applies_to") == "type", 1.0005).otherwise(1.4), "warn_at": F.lit(0.8), "action": F.when(F.col("applies_to") == "type", "notify").otherwise("block")})
+    requests = rows.filter("event_id % 2 = 1 AND value IS NOT NULL")
+    return scoring.budget_checks(requests, "event_id", {"user": "user", "type": "event_type"}, "value", table_of)
 
 
 @Q.query("""
