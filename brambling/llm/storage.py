@@ -62,8 +62,23 @@ def shared_dir(spark: SparkSession) -> str:
     return made.get()
 
 
+#: Folders made in this process, in order.
+MADE: list[str] = []
+
+
 def new_folder(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    MADE.append(f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}")
+    return MADE[-1]
+
+
+def drop_unread(spark: SparkSession, folders: list[str], kept: DataFrame) -> None:
+    """Deletes those of the folders that ``kept`` does not read."""
+    read = kept.inputFiles()
+    for folder in folders:
+        name = folder.rsplit("/", 1)[-1]
+        if not any(f"/{name}/" in f for f in read):
+            place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
