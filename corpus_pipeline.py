@@ -7,35 +7,63 @@ into the shared folder and reads it again. Null texts count as empty; rows with
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brambling.llm import bpe, decontam, exact_dedup, simhash, toxicity
-from brambling.llm.storage import written
+from brambling.llm.storage import MADE, drop_unread, written
+
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Intermediate tables of the stage before.
+_left: list[str] = []
+
+
+def tidied(stage: Stage) -> Stage:
+    """``stage``, which first deletes the intermediate tables of the stage before, whose result is written by now, but for those that ``docs`` still reads."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop_unread(spark, _left, docs)
+        _left.clear()
+        before = len(MADE)
+        found = stage(spark, docs, sf_dir)
+        _left.extend(MADE[before:])
+        return found
+
+    return run_stage
 
 
+@tidied
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that reach the toxicity threshold of their language go."""
     net, thresholds = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.reject_toxic(docs, net, thresholds)
 
 
+@tidied
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five-word shingles, similarity 0.8 or more) the smallest id stays."""
     return simhash.keep_one(docs, shingle=5, similarity=0.8)
 
 
+@tidied
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of 200 bytes that occur more than once are cut out of the texts; n_chars follows."""
     return exact_dedup.remove_repeats(docs, width=200).withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
 
 
+@tidied
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with ten consecutive words of a benchmark item go."""
     return decontam.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10)
 
 
+@tidied
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids and the text that they decode to."""
     path = public_tokenizers.path("word_bpe_49k.json")
