@@ -95,34 +95,44 @@ def topsis(rows: DataFrame, sets: list[str], key: str, criteria: dict[str, tuple
     The sums, least and greatest values of a set are aggregates joined back (pre-aggregated before the shuffle), so a
     set with very many rows is not one window partition; only the final rank is.
     """
-    total = sum(w for w, _ in criteria.values())
-    norms = rows.groupBy(*sets).agg(*[F.sqrt(F.sum(F.col(c) * F.col(c))).alias(f"_n_{c}") for c in criteria])
-    scaled = _with(rows, norms, sets)
-    for c, (w, _) in criteria.items():
-        scaled = scaled.withColumn(f"_v_{c}", F.when(F.col(f"_n_{c}") == 0, 0.0).otherwise(F.col(c) / F.col(f"_n_{c}")) * (w / total))
-    ends = scaled.groupBy(*sets).agg(*[f(f"_v_{c}").alias(f"_{k}_{c}") for c in criteria for k, f in (("hi", F.max), ("lo", F.min))])
-    out = _with(scaled, ends, sets)
-    ideal = {c: F.col(f"_hi_{c}" if more else f"_lo_{c}") for c, (_, more) in criteria.items()}
-    anti = {c: F.col(f"_lo_{c}" if more else f"_hi_{c}") for c, (_, more) in criteria.items()}
-    far = lambda ends: F.sqrt(reduce(lambda a, b: a + b, (F.pow(F.col(f"_v_{c}") - ends[c], 2) for c in criteria)))
-    plus, minus = far(ideal), far(anti)
-    closeness = F.round(F.when(plus + minus == 0, 0.5).otherwise(minus / (plus + minus)), 4)
-    out = out.select(*sets, key, closeness.alias("closeness"))
+    closeness = _closeness(criteria, {c: w for c, (w, _) in criteria.items()})
+    out = _with_ends(rows, sets, criteria).select(*sets, key, closeness.alias("closeness"))
     return ranks(out, sets, {"rank": F.desc("closeness")}, key)
 
 
+def _with_ends(rows: DataFrame, sets: list[str], criteria: dict[str, tuple[float, bool]]) -> DataFrame:
+    """``rows`` with the norm, the least and the greatest value of each criterion in their set."""
+    found = [(f"_n_{c}", F.sqrt(F.sum(F.col(c) * F.col(c)))) for c in criteria] + [(f"_{k}_{c}", f(c)) for c in criteria for k, f in (("hi", F.max), ("lo", F.min))]
+    per_set = rows.groupBy(*sets).agg(*[a.alias(n) for n, a in found])
+    return _with(rows, per_set, sets)
+
+
+def _closeness(criteria: dict[str, tuple[float, bool]], weights: dict[str, float]) -> Column:
+    """Closeness of a row of ``_with_ends`` under ``weights``. Norms and weights are not negative, so the ends of scaled values are the scaled ends."""
+    total = sum(weights.values())
+    scaled = lambda c, v: F.when(F.col(f"_n_{c}") == 0, 0.0).otherwise(F.col(v) / F.col(f"_n_{c}")) * (weights[c] / total)
+    far = lambda most: F.sqrt(reduce(lambda a, b: a + b, (F.pow(scaled(c, c) - scaled(c, f"_hi_{c}" if more == most else f"_lo_{c}"), 2) for c, (_, more) in criteria.items())))
+    plus, minus = far(True), far(False)
+    return F.round(F.when(plus + minus == 0, 0.5).otherwise(minus / (plus + minus)), 4)
+
+
 def _with(rows: DataFrame, per_set: DataFrame, sets: list[str]) -> DataFrame:
     return rows.join(per_set, sets) if sets else rows.crossJoin(F.broadcast(per_set))
 
 
 def topsis_sensitivity(rows: DataFrame, sets: list[str], key: str, criteria: dict[str, tuple[float, bool]], steps: tuple[float, ...] = (-0.1, -0.05, 0.05, 0.1)) -> DataFrame:
-    """Per set: the winner, how many of the changed weightings keep it, and that share as stability."""
-    base = topsis(rows, sets, key, criteria).filter("rank = 1").select(*sets, F.col(key).alias("winner"))
-    runs = []
-    for c, (w, more) in criteria.items():
-        for step in steps:
-            changed = {k: ((max(0.0, w + step), more) if k == c else v) for k, v in criteria.items()}
-            runs.append(topsis(rows, sets, key, changed).filter("rank = 1").select(*sets, F.col(key).alias("other"), F.lit(f"{c}{step:+}").alias("scenario")))
-    every = reduce(DataFrame.unionByName, runs)
-    counts = _with(every, base, sets).groupBy(*sets, "winner").agg(F.count(F.lit(1)).alias("n_scenarios"), F.count_if(F.col("other") != F.col("winner")).alias("n_flips"))
+    """Per set: the winner, how many of the changed weightings keep it, and that share as stability.
+
+    All weightings are read off the same rows: each is one aggregate of the set, so rows are neither repeated nor ranked.
+    """
+    base = {c: w for c, (w, _) in criteria.items()}
+    changed = [base | {c: max(0.0, w + step)} for c, w in base.items() for step in steps]
+
+    def best(weights: dict[str, float]) -> Column:
+        near = _closeness(criteria, weights)
+        return F.min(F.struct(near.isNull().alias("none"), (~F.isnan(near)).alias("number"), (-near).alias("near"), F.col(key).alias("key")))["key"]
+
+    won = _with_ends(rows, sets, criteria).groupBy(*sets).agg(best(base).alias("winner"), F.array(*[best(w) for w in changed]).alias("_others"))
+    flips = F.size(F.filter("_others", lambda o: o != F.col("winner"))).cast("long")
+    counts = won.select(*sets, "winner", F.size("_others").cast("long").alias("n_scenarios"), flips.alias("n_flips"))
     return counts.withColumn("stability", F.round(1 - F.col("n_flips") / F.col("n_scenarios"), 4))

@@ -95,3 +95,18 @@ def test_sketches_merge(spark):
 def test_alerts_do_not_pass_through_the_driver(spark):
     assert "memory" not in plan(spark, "hourly_alerts").lower().split("scan")[0]
     assert queries.queries()["hourly_alerts"](spark, DIR).count() > 0
+
+
+def test_all_weightings_read_the_rows_once(spark):
+    rng = random.Random(8)
+    rows = [(i % 3, i, rng.choice([None, float("nan"), 0.0]) if i % 50 == 49 else rng.uniform(1, 9), rng.uniform(0, 5)) for i in range(300)]
+    df = spark.createDataFrame(rows, "s int, k int, price double, cover double")
+    criteria = {"price": (0.6, False), "cover": (0.4, True)}
+    for kept in (df, df.filter("k % 50 <> 49")):
+        found = ranking.topsis_sensitivity(kept, ["s"], "k", criteria)
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 2  # one for the ends of the sets, one for all weightings
+        first = lambda weighted: {r.s: r.k for r in ranking.topsis(kept, ["s"], "k", weighted).filter("rank = 1").collect()}
+        base = first(criteria)
+        changed = [first(criteria | {c: (max(0.0, w + step), more)}) for c, (w, more) in criteria.items() for step in (-0.1, -0.05, 0.05, 0.1)]
+        want = {(s, k, 8, sum(c[s] != k for c in changed)) for s, k in base.items()}
+        assert {(r.s, r.winner, r.n_scenarios, r.n_flips) for r in found.collect()} == want
