@@ -73,10 +73,17 @@ def urgency(priority: Column | str) -> Column:
     return banded(priority, URGENCY, "monitor")
 
 
-def gap_score(gaps: DataFrame, key: str, score: str, severity: str, category_weight: Column) -> DataFrame:
-    """Severity scores weighted by category and severity, times 0.7 to 1 by their number."""
+def gap_score(gaps: DataFrame, key: str, score: str, severity: str, category_weight: Column, order: str) -> DataFrame:
+    """Severity scores weighted by category and severity, times 0.7 to 1 by their number.
+
+    Scores lie on halves often, and a sum of doubles falls on either side of them by the order of its terms. So a key's
+    gaps are summed in the order of ``order``, one after the other, however rows are dealt; a window streams them.
+    """
     w = category_weight * severity_weight(F.col(severity)) / 100
-    sums = gaps.groupBy(key).agg(F.sum(F.col(score) * w).alias("s"), F.sum(w).alias("w"), F.count(F.lit(1)).alias("n_gaps"))
+    so_far = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    weighed = gaps.select(key, order, (F.col(score) * w).alias("_s"), w.alias("_w"))
+    run = weighed.select(key, F.sum("_s").over(so_far).alias("s"), F.sum("_w").over(so_far).alias("w"), F.count(F.lit(1)).over(so_far).alias("n"))
+    sums = run.groupBy(key).agg(F.max("n").alias("n_gaps"), F.max_by("s", "n").alias("s"), F.max_by("w", "n").alias("w"))
     base = F.when(F.col("w") > 0, F.col("s") / F.col("w")).otherwise(0.0)
     return sums.select(key, "n_gaps", F.least(F.lit(100.0), half_up(base * (0.7 + 0.3 * F.least(F.lit(1.0), F.col("n_gaps") / 10))).cast("double")).alias("gap_score"))
 

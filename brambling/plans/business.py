@@ -208,7 +208,7 @@ WITH g AS (SELECT o_custkey, o_orderkey, CASE o_orderpriority WHEN '1-URGENT' TH
 w AS (SELECT *, cw * CASE severity WHEN 'critical' THEN 100 WHEN 'high' THEN 75 WHEN 'medium' THEN 50 ELSE 25 END / 100 AS w FROM g)
 SELECT o_custkey, count(*) AS n_gaps, CAST(least(100, floor(sum(score * w) / sum(w) * (0.7 + 0.3 * least(1.0, count(*) / 10)) + 0.5)) AS DOUBLE) AS gap_score FROM w GROUP BY 1""")
 def gap_scores(spark: SparkSession, d: str) -> DataFrame:
-    return scoring.gap_score(_gaps(spark, d), "o_custkey", "score", "severity", F.when(F.col("o_orderstatus") == "F", F.lit(1.2)).otherwise(1.0))
+    return scoring.gap_score(_gaps(spark, d), "o_custkey", "score", "severity", F.when(F.col("o_orderstatus") == "F", F.lit(1.2)).otherwise(1.0), "o_orderkey")
 
 
 def _gaps(spark: SparkSession, d: str) -> DataFrame:

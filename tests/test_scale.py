@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from brambling import queries
-from brambling.operators import joins, ranking, rollups
+from brambling.operators import joins, ranking, rollups, scoring
 from brambling.streaming.metrics import learned_patterns
 from tests.test_plans import DIR, plan
 
@@ -110,3 +110,17 @@ def test_all_weightings_read_the_rows_once(spark):
         changed = [first(criteria | {c: (max(0.0, w + step), more)}) for c, (w, more) in criteria.items() for step in (-0.1, -0.05, 0.05, 0.1)]
         want = {(s, k, 8, sum(c[s] != k for c in changed)) for s, k in base.items()}
         assert {(r.s, r.winner, r.n_scenarios, r.n_flips) for r in found.collect()} == want
+
+
+def test_gap_scores_do_not_depend_on_how_rows_are_dealt(spark):
+    rng = random.Random(9)
+    rows = [(k, i, float(rng.randrange(100)), rng.choice(["critical", "high", "medium", "low"]), rng.choice([1.0, 1.2])) for k in range(2_000) for i in range(12)]
+    df = spark.createDataFrame(rows, "k int, i int, score double, severity string, weight double")
+    want = {}
+    for k, _, score, severity, weight in rows:
+        w = weight * scoring.SEVERITY[severity] / 100
+        s, t = want.get(k, (0.0, 0.0))
+        want[k] = (s + score * w, t + w)
+    want = {k: float(int(s / t + 0.5)) for k, (s, t) in want.items()}
+    for dealt in (df.coalesce(1), df.repartition(7), df.orderBy(F.desc("i")), df.repartitionByRange(11, "score")):
+        assert {r.k: r.gap_score for r in scoring.gap_score(dealt, "k", "score", "severity", F.col("weight"), "i").collect()} == want
