@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import uuid
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +38,21 @@ def bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
+def _postings(fields: DataFrame) -> DataFrame:
+    """term, field, doc, positions, recency of rows (doc, recency, field, words).
+
+    The words of a field are sorted with their places inside its row and cut where the word changes: tokens are neither
+    rows nor shuffled.
+    """
+    placed = F.array_sort(F.transform("words", lambda w, i: F.struct(w.alias("term"), i.alias("pos"))))
+    lists = fields.filter(F.size("words") > 0).select("doc", "recency", "field", placed.alias("_w"))
+    starts = F.filter(F.sequence(F.lit(0), F.size("_w") - 1), lambda i: (i == 0) | (F.get("_w", i)["term"] != F.get("_w", i - 1)["term"]))
+    cut = lists.withColumn("_at", starts)
+    end = lambda j: F.coalesce(F.get("_at", j + 1), F.size("_w"))
+    each = F.transform("_at", lambda at, j: F.struct(F.get("_w", at)["term"].alias("term"), F.transform(F.slice("_w", at + 1, end(j) - at), lambda x: x["pos"]).alias("positions")))
+    return cut.select("doc", "recency", "field", F.explode(each).alias("p")).select("p.term", "field", "doc", "p.positions", "recency")
+
+
 @dataclass(frozen=True)
 class SearchIndex:
     """An index in ``path``. ``fields``: column -> class; ``parts``: columns of short texts that are also found by a part of them."""
@@ -73,9 +89,8 @@ class SearchIndex:
         rows = docs.select(F.col(self.key).alias("doc"), F.col(self.recency).alias("recency"), *[F.col(f).cast("string").alias(f"f_{f}") for f in dict.fromkeys([*self.fields, *self.parts])]).dropna(subset=["doc"])
         self._void(rows.select("doc"), no, segment)
         said = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), words(f"f_{f}").alias("words")) for f in self.fields]))
-        tokens = rows.select("doc", "recency", said.alias("s")).select("doc", "recency", "s.field", F.posexplode("s.words").alias("pos", "term"))
-        postings = tokens.groupBy("term", "field", "doc").agg(F.array_sort(F.collect_list("pos")).alias("positions"), F.max("recency").alias("recency"))
-        self._write(postings, "postings", "term", no, segment)
+        fields = rows.select("doc", "recency", said.alias("s")).select("doc", "recency", "s.field", F.col("s.words").alias("words"))
+        self._write(_postings(fields), "postings", "term", no, segment)
         shown = rows.select("doc", "recency", F.array(*[F.lower(F.coalesce(f"f_{f}", F.lit(""))) for f in self.parts]).cast("array<string>").alias("parts"))
         self._write(shown.select("doc", F.explode(F.array_distinct(F.flatten(F.transform("parts", pieces)))).alias("gram")), "grams", "gram", no, segment)
         shown.withColumns({"no": F.lit(no), "segment": F.lit(segment)}).write.mode("append").parquet(f"{self.path}/shown")
@@ -101,8 +116,8 @@ class SearchIndex:
         return made
 
     def _write(self, rows: DataFrame, what: str, term: str, no: int, segment: str) -> None:
-        dealt = rows.withColumns({"bucket": bucket(F.col(term)), "no": F.lit(no), "segment": F.lit(segment)}).repartition("bucket", F.pmod(F.xxhash64("doc"), F.lit(SPREAD)))
-        dealt.sortWithinPartitions("bucket", term, "doc").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/{what}")
+        dealt = rows.repartition(bucket(F.col(term)), F.pmod(F.xxhash64("doc"), F.lit(SPREAD))).withColumn("bucket", bucket(F.col(term))).sortWithinPartitions("bucket", term, "doc")
+        dealt.withColumns({"no": F.lit(no), "segment": F.lit(segment)}).write.mode("append").partitionBy("bucket").parquet(f"{self.path}/{what}")
 
     def _void(self, keys: DataFrame, no: int, segment: str) -> None:
         """Notes the keys that older segments hold."""
@@ -160,12 +175,9 @@ class SearchIndex:
         wanted = list(dict.fromkeys(said))
         hits = self._valid(self._table("postings").filter(F.col("bucket").isin(where) & F.col("term").isin(wanted)))
         if phrase and len(said) > 1:
-            lists = hits.groupBy("doc", "field").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("p"))
-            at = [self._shifted(w, i) for i, w in enumerate(said)]
-            run = at[0]
-            for a in at[1:]:
-                run = F.array_intersect(run, a)
-            hits = hits.join(lists.filter(F.size(run) > 0).select("doc").distinct(), "doc", "left_semi")
+            held = hits.groupBy("doc").agg(F.collect_list(F.struct("field", "term", "positions", "recency")).alias("h"))
+            follow = reduce(lambda a, b: a | b, (F.size(self._run(f, said)) > 0 for f in self.fields))
+            hits = held.filter(follow).select("doc", F.inline("h"))
         n = F.size("positions")
         by_words = hits.groupBy("doc").agg(F.sum(weight * n / (n + 1)).alias("rank"), F.count_distinct("term").alias("n_terms"), F.max("recency").alias("recency"))
         if every:
@@ -177,9 +189,11 @@ class SearchIndex:
         return found.select(F.col("doc").alias(self.key), F.round("rank", 6).alias("rank"), "recency")
 
     @staticmethod
-    def _shifted(word: str, places: int) -> Column:
-        own = F.coalesce(F.col("p")[word], F.array().cast("array<int>"))
-        return F.transform(own, lambda x: x - places)
+    def _run(field: str, said: list[str]) -> Column:
+        """Where the words ``said`` follow each other in a field of a document whose postings are the array ``h``."""
+        own = lambda w: F.flatten(F.transform(F.filter("h", lambda x: (x["field"] == field) & (x["term"] == w)), lambda x: x["positions"]))
+        shifted = lambda w, i: F.transform(own(w), lambda x: x - i)
+        return reduce(F.array_intersect, (shifted(w, i) for i, w in enumerate(said)))
 
     def _by_part(self, part: str) -> DataFrame:
         """Documents with ``part`` in a short field: those that have all its pieces, then those where it stands."""

@@ -3,6 +3,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from brambling.operators import search
 from brambling.operators.search import SearchIndex
 from brambling.sources.tables import scratch
 
@@ -83,3 +84,10 @@ def test_empty_index(spark):
     assert index.search("policy").count() == 0
     index.append(spark.createDataFrame(ROWS, KIND).withColumn("doc", F.lit(1)))
     assert found(index.search("policy")) == [(1, 0.5), (2, 0.5)]
+
+
+def test_tokens_are_not_shuffled(spark):
+    rows = spark.createDataFrame([(1, 5, "t", ["b", "a", "b"]), (2, 6, "t", []), (3, 7, "t", ["a"]), (3, 7, "s", ["a", "a"])], "doc int, recency int, field string, words array<string>")
+    found = search._postings(rows)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.doc, r.field, r.term, r.positions, r.recency) for r in found.collect()) == [(1, "t", "a", [1], 5), (1, "t", "b", [0, 2], 5), (3, "s", "a", [0, 1], 7), (3, "t", "a", [0], 7)]
