@@ -37,9 +37,9 @@ class AlertLife(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
         new = [(r.at, r.tie, r.action, r.value) for r in rows]
         self.waiting.appendList(new)
-        due = {(at + 999) // 1000 for at, _, _, _ in new}
-        for ms in due - set(self.handle.listTimers()):
-            self.handle.registerTimer(ms)
+        due, timers = self._due(min(at for at, _, _, _ in new)), list(self.handle.listTimers())
+        if not timers or due < min(timers):
+            self.handle.registerTimer(due)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
@@ -72,14 +72,22 @@ class AlertLife(StatefulProcessor):
             self.open.update(opened)
         else:
             self.open.clear()
+        wanted = {self._due(later[0][0])} if later else set()
         if until is not None and (opened is not None or now * 1000 < until):
             self.quiet.update((until,))
-            if opened is None and -(-until // 1000) not in set(self.handle.listTimers()):
-                self.handle.registerTimer(-(-until // 1000))
+            if opened is None:
+                wanted.add(self._due(until))
         elif not later:
             self.quiet.clear()
+        for ms in wanted - set(self.handle.listTimers()) if wanted else ():
+            self.handle.registerTimer(ms)
         return iter(out)
 
+    @staticmethod
+    def _due(micros: int) -> int:
+        """The timer of a time, which is set for the first step that waits only: it lets through all that are ripe."""
+        return -(-micros // 1000)
+
     @staticmethod
     def _row(key, alert: int | None, event: str, at: int, value: float | None) -> Row:
         return Row(key=key[0], alert=_stamp(alert), event=event, ts=_stamp(at), value=value)

@@ -1,10 +1,11 @@
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from brambling.sources.tables import scratch
-from brambling.streaming.alerting import OUT, alert_life, broken_rules
+from brambling.streaming.alerting import AlertLife, OUT, alert_life, broken_rules
 
 KIND = "rule string, action string, at long, tie long, value double"
 HOUR = 3_600
@@ -101,3 +102,52 @@ def test_broken_rules(spark):
     rows = spark.createDataFrame([(0, 5.0, 1), (1, 6.0, None)], "t long, x double, n int")
     found = broken_rules(rows, F.timestamp_seconds("t"), [("high", "x", ">=", 6), ("low", "n", "<", 2), ("same", "x", "=", 5)])
     assert sorted((r.rule, r.value) for r in found.collect()) == [("high", 6.0), ("low", 1.0), ("same", 5.0)]
+
+
+def test_a_key_has_one_timer_for_all_that_waits():
+    class Handle:
+        def __init__(self):
+            self.timers, self.states = set(), {}
+
+        def state(self, name, _):
+            return self.states.setdefault(name, State())
+
+        getListState = getValueState = state
+
+        def listTimers(self):
+            return iter(sorted(self.timers))
+
+        def registerTimer(self, ms):
+            self.timers.add(ms)
+
+    class State:
+        def __init__(self):
+            self.rows = []
+
+        def appendList(self, rows):
+            self.rows += rows
+
+        def put(self, rows):
+            self.rows = rows
+
+        def get(self):
+            return iter(self.rows)
+
+        def exists(self):
+            return False
+
+        def clear(self):
+            self.rows = []
+
+        update = put
+
+    class Now:
+        def getCurrentWatermarkInMs(self):
+            return 500
+
+    handle, life = Handle(), AlertLife(1_000)
+    life.init(handle)
+    list(life.handleInputRows(("a",), iter([Row(at=i * 1_000, tie=i, action="acknowledge", value=0.0) for i in range(1_000, 0, -1)]), Now()))
+    assert handle.timers == {1}
+    handle.timers.clear()
+    assert list(life.handleExpiredTimer(("a",), Now(), None)) == [] and len(life.waiting.rows) == 500 and handle.timers == {501}
