@@ -7,7 +7,9 @@ deductible stay with the policy holder. ``uniform`` and ``draw`` are the same as
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -49,12 +51,22 @@ def simulate(exposures: DataFrame, scenarios: DataFrame, key: str, sims: int = 1
     rows = exposures.select(F.col(key), F.col("limit").cast("double"), F.col("deductible").cast("double"), *[F.xxhash64(F.lit(seed), F.col(key), F.lit(s.code)).alias(f"_s{i}") for i, s in enumerate(library)])
     years = np.arange(sims, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
-    def share(start: np.uint64, draw: int, at: np.ndarray) -> np.ndarray:
-        """Between 0 and 1, both excluded: a hash of exposure, scenario, draw and year."""
+    def drawn(start: np.uint64, draw: int, at: np.ndarray) -> np.ndarray:
+        """52 bits: a hash of exposure, scenario, draw and year."""
         x = (start + np.uint64(draw * 0xD1B54A32D192ED03 & (1 << 64) - 1)) ^ at
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return ((x ^ (x >> np.uint64(31))) >> np.uint64(12)).astype(np.float64) / (1 << 52) + 0.5 / (1 << 52)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x ^= x >> np.uint64(shift)
+            x *= np.uint64(factor)
+        x ^= x >> np.uint64(31)
+        x >>= np.uint64(12)
+        return x
+
+    def share(start: np.uint64, draw: int, at: np.ndarray) -> np.ndarray:
+        """Between 0 and 1, both excluded."""
+        return drawn(start, draw, at).astype(np.float64) / (1 << 52) + 0.5 / (1 << 52)
+
+    # Years with a draw below it have the scenario: the whole numbers whose share is less than its frequency.
+    below = [np.uint64(min(1 << 52, max(0, math.ceil(Fraction(min(1.0, s.frequency) if s.frequency > 0 else 0.0) * (1 << 52) - Fraction(1, 2))))) for s in library]
 
     def losses_of(s, start: np.uint64, at: np.ndarray) -> np.ndarray:
         u = share(start, 1, at)
@@ -70,8 +82,8 @@ def simulate(exposures: DataFrame, scenarios: DataFrame, key: str, sims: int = 1
             out = np.zeros((batch.num_rows, len(names)))
             for r in range(batch.num_rows):
                 own = np.zeros(sims)
-                for s, start in zip(library, starts):
-                    hit = np.nonzero(share(start[r], 0, years) < s.frequency)[0]
+                for s, start, least in zip(library, starts, below):
+                    hit = np.nonzero(drawn(start[r], 0, years) < least)[0]
                     loss = losses_of(s, start[r], years[hit])
                     own[hit] += loss - np.minimum(np.maximum(loss - deductible[r], 0), limit[r])
                 out[r] = own.mean(), own.std(ddof=1) / np.sqrt(sims) if sims > 1 else 0.0, *np.percentile(own, (50, 95, 99))
