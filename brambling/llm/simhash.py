@@ -396,25 +396,29 @@ def _settled(links: DataFrame, texts: DataFrame, shingle: int, similarity: float
     return bounded_batches(pairs.select("x", "y", "pair")).mapInArrow(trimmed(run), "x long, y long")
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether the ``edges`` (a, b, all with a > b) are stars: a node has one link down and none up, or links up only."""
+    end = lambda node, down: F.struct(F.col(node).alias("node"), F.lit(down).alias("down"), F.lit(1 - down).alias("up"))
+    ends = edges.select(F.explode(F.array(end("a", 1), end("b", 0))).alias("e")).select("e.*")
+    nodes = ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return nodes.filter("down > 1 or (down = 1 and up = 1)").agg(F.count(F.lit(1))).first()[0] == 0
+
+
 def components(links: DataFrame) -> DataFrame:
-    """node, root long for every node with a link: root is the least node of its component.
+    """node, root long for every node with a link: root is the least node of its component. It reads a written table.
 
-    Large-star and small-star rounds until no link changes. A node's links are met by an aggregate and a join (which
-    Spark can split), never gathered in one row, so a node with very many links is no hot group.
+    Large-star and small-star rounds until all links are stars, which pairs are from the first. A node's links are met by
+    an aggregate and a join (which Spark can split), never gathered in one row, so a node with very many links is no hot group.
     """
     edges = written(links.filter("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct(), "links")
-    mark = None
-    while True:
+    while not _stars(edges):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").filter("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         lower = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lower, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
         edges = written(small.filter("a <> b").distinct(), "links")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.count_distinct("a")).first()
-        if now[0] == now[2] and tuple(now) == mark:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        mark = tuple(now)
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def _classes(marked: DataFrame, id_col: str, budget: int) -> DataFrame:
@@ -461,7 +465,7 @@ def similar_classes(rows: DataFrame, id_col: str, text_col: str, shingle: int =
     nodes = written(different.withColumn("node", F.monotonically_increasing_id()), "fingerprints")
     found = similar_links(nodes, similarity, bands, n).select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "grade")
     links = written(found.groupBy("a", "b").agg(F.max("grade").alias("grade")), "links")
-    roots = written(components(links.filter("grade = 3").select(F.col("a").alias("src"), F.col("b").alias("dst"))), "components")
+    roots = components(links.filter("grade = 3").select(F.col("a").alias("src"), F.col("b").alias("dst")))
     for grade, one_each in ((2, False), (1, True), (1, False)):
         open_links = _between(links.filter(F.col("grade") == grade).select("a", "b"), roots)
         if one_each:  # of every group the pair with the group of the least number
@@ -484,7 +488,7 @@ def _between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 def _joined(roots: DataFrame, more: DataFrame) -> DataFrame:
     """node, root after groups were joined: ``more`` has the new root of a group by its old one."""
-    up = written(more.select(F.col("node").alias("old"), F.col("root").alias("new")), "groups")
+    up = more.select(F.col("node").alias("old"), F.col("root").alias("new"))
     whole = roots.join(up, roots["root"] == up["old"], "left").select("node", F.coalesce("new", "root").alias("root"))
     own = up.join(roots.select("node"), up["old"] == roots["node"], "left_anti").select(F.col("old").alias("node"), F.col("new").alias("root"))
     return written(whole.unionByName(own), "components")

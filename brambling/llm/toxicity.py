@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from brambling.llm import labelled
 from brambling.llm.bpe import portions
-from brambling.llm.storage import bounded_batches, trimmed
+from brambling.llm.storage import bounded_batches, give_back, trimmed
 
 EACH, BYTES, MIN_TEXTS, CHECKED = 2_500, 16 << 20, 3, 8
 SPACE_BITS, SIZE, WIDTHS, FILTERS = 18, 8, (1, 2, 3), 8
@@ -146,10 +146,17 @@ def best_threshold(score: np.ndarray, y: np.ndarray) -> float:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", label: str = "toxic") -> tuple[TextCnn | Constant, dict[str, float]]:
-    """A classifier, and thresholds by language."""
+    """A classifier, and thresholds by language. The driver learns it, and keeps nothing of the texts."""
     chosen = labelled.learning_rows(labels, label, EACH, id_col)
     more = [lang_col] if lang_col and lang_col in docs.columns else []
-    rows = labelled.texts_of(docs, chosen, BYTES, id_col, text_col, *more)
+    try:
+        return _learnt(labelled.texts_of(docs, chosen, BYTES, id_col, text_col, *more), bool(more))
+    finally:
+        give_back()
+
+
+def _learnt(rows: list[tuple], by_lang: bool) -> tuple[TextCnn | Constant, dict[str, float]]:
+    """``train`` from rows of y, text and language."""
     y = np.array([r[0] for r in rows], np.float32)
     if len(set(y.tolist())) < 2:
         return Constant(float(y.mean()) if len(y) else 0.5), {}
@@ -165,7 +172,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     checked = np.nonzero(~kept)[0]
     score = np.concatenate([net.scores([texts[i]]) for i in checked])
     thresholds = {}
-    if more:
+    if by_lang:
         langs = np.array([str(rows[i][2]) for i in checked])
         for lang in sorted(set(langs)):
             mine = langs == lang

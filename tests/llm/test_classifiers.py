@@ -1,4 +1,5 @@
 import random
+import weakref
 import zlib
 
 import numpy as np
@@ -175,3 +176,23 @@ def test_quality_shards_like_a_plain_loop(spark):
         own.learn(labelled.Adam([own.w, own.b, own.v, own.c], quality.RATE), positive, net.scaled(np.array(xs, np.float64)), quality.STEPS, np.random.default_rng([0, shard]))
         want += own.parameters() * len(xs)
     assert total[-1] == rows.count() and np.allclose(total[:-1] / quality.POINT, want, atol=1e-4)
+
+
+def test_training_keeps_no_texts(spark, monkeypatch):
+    """The driver gives their memory back, after nothing holds them any more."""
+
+    class Rows(list):
+        pass
+
+    def texts_of(*_):
+        rows = Rows((y, f"{'good bad'.split()[y]} words {i % 7}".encode(), "en") for i in range(60) for y in (0, 1))
+        held.append(weakref.ref(rows))
+        return rows
+
+    held, alive = [], []
+    monkeypatch.setattr(toxicity.labelled, "texts_of", texts_of)
+    monkeypatch.setattr(toxicity, "give_back", lambda: alive.append(held[0]() is not None))
+    docs = spark.createDataFrame([(1, "a", "en")], "doc_id long, text string, lang string")
+    net, _ = toxicity.train(docs, spark.createDataFrame([(1, 0)], "doc_id long, toxic int"))
+    assert alive == [False]
+    assert net.scores([b"bad words 1"])[0] > 0.5 > net.scores([b"good words 1"])[0]

@@ -56,6 +56,23 @@ def test_components(spark, monkeypatch, tile, frontier):
     assert [got.get(signed(x), signed(x)) for x in fp] == [signed(fp[find(i)]) for i in range(len(fp))]
 
 
+def test_links_that_are_stars_take_no_round(spark, monkeypatch):
+    tables = []
+    monkeypatch.setattr(simhash, "written", lambda df, what, write=simhash.written: tables.append(what) or write(df, what))
+    for links, roots, rounds in (
+        ([], {}, 0),
+        ([(3, 3)], {}, 0),
+        ([(2, 1), (4, 3), (3, 4), (1, 5)], {2: 1, 5: 1, 4: 3}, 0),
+        ([(1, 2), (2, 3)], {2: 1, 3: 1}, 1),
+        ([(1, 3), (2, 3)], {2: 1, 3: 1}, 1),
+        ([(-1, 2), (2, 0), (7, 8)], {2: -1, 0: -1, 8: 7}, 1),
+    ):
+        tables.clear()
+        found = simhash.components(spark.createDataFrame(links, "src long, dst long"))
+        assert {r.node: r.root for r in found.collect()} == roots
+        assert len(tables) == 1 + rounds
+
+
 def test_documents(spark):
     text = "one two three four five six seven eight nine ten"
     rows = [(5, text, 0), (3, text.upper(), 0), (9, None, 0), (7, " \n", 0), (7, " \n", 0), (8, "quite another text here", 0)]
