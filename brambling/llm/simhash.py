@@ -12,8 +12,10 @@ all pairs, so a group of many near copies gives as many links as it has members.
 of them (``_bands`` picks their width from the number of documents and their number from the share of pairs at the
 similarity that must meet). What the whole width estimates to be ``CERTAIN`` above the similarity links at once. What is
 ``MARGIN`` above it makes a spanning forest, whose links are then settled by the texts. What is nearer to the similarity,
-on either side, stays as pairs and is settled by the texts too, unless its ends hang together by better links: first one
-pair of every group, then, of what these joined no group of, all.
+on either side, is settled by the texts too, unless its ends hang together by better links. Where a document has more
+than ``BUSY`` such pairs in a subtree, they are no rows: who hangs together by them is a crowd, whose members are rows, and
+crowds of all subtrees that share a member are one. The shingles of a crowd are compared whole, all its groups with each
+other, in tiles (``_met``). Other pairs stay: first one pair of every group, then, of what these joined no group of, all.
 
 Copies share a fingerprint and take part once. A subtree that holds more than ``SUBTREE`` fingerprints is cut into
 tiles; every pair of tiles is walked in its own task, so nothing is lost and nothing grows past a task.
@@ -44,6 +46,8 @@ SEED = 42
 SUBTREE, TOGETHER, FRONTIER, LINKS = 65_536, 16_384, 1 << 16, 1 << 17
 #: Wide fingerprints: words of 64 bits that are compared whole, the share of pairs at the similarity that bands must bring together, how far from it an estimate (its standard deviation is below 0.04) says little, and how far above it is as good as certain.
 WORDS, MEETING, MARGIN, CERTAIN = 8, 0.97, 0.08, 0.14
+#: Possible pairs that a document has in a subtree before it and its partners are a crowd, and shingles of a tile of a crowd.
+BUSY, TILE = 4, 1 << 17
 #: Eight lanes of one byte: the bits of a byte, spread, so that up to 255 of them add up side by side.
 #: Shingles whose bits are counted at once.
 PORTION = 255 << 4
@@ -108,11 +112,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 class Forest:
     """Links among n rows, folded now and then into a spanning forest: certain links (3) first, then likely ones (2).
 
-    Pairs that are only possible (1) join nothing: each stays, unless better links connect its ends.
+    Pairs that are only possible (1) join nothing: each stays, unless better links connect its ends. A row with more than
+    ``BUSY`` of them gives them up and is in one ``cell`` with its partners, so no more than BUSY pairs a row ever stay.
     """
 
     def __init__(self, n: int):
         self.root = np.arange(n)
+        self.cell = np.arange(n)
         self.held: dict[int, list[np.ndarray]] = {3: [], 2: [], 1: []}
         self.kept: list[np.ndarray] = []
         self.size = 0
@@ -133,24 +139,18 @@ class Forest:
                 continue
             a, b = np.concatenate(held, axis=1)
             if g == 1:
-                apart = root[a] != root[b]
+                apart = (root[a] != root[b]) & (self.cell[a] != self.cell[b])
                 a, b = a[apart], b[apart]
                 one = np.unique(np.minimum(a, b) * len(root) + np.maximum(a, b))
-                held[:] = [np.stack([one // len(root), one % len(root)])]
+                a, b = one // len(root), one % len(root)
+                busy = np.bincount(np.concatenate([a, b]), minlength=len(root)) > BUSY
+                crowded = busy[a] | busy[b]
+                self.cell, _ = _spanned(self.cell, a[crowded], b[crowded])
+                apart = self.cell[a] != self.cell[b]
+                held[:] = [np.stack([a[apart], b[apart]])]
                 continue
-            while True:
-                ra, rb = root[a], root[b]
-                apart = ra != rb
-                if not apart.any():
-                    break
-                a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
-                high, low = np.maximum(ra, rb), np.minimum(ra, rb)
-                order = np.lexsort((low, high))
-                first = order[np.concatenate([[True], high[order][1:] != high[order][:-1]])]
-                root[high[first]] = low[first]
-                self.kept.append(np.stack([a[first], b[first], np.full(len(first), g)]))
-                while not np.array_equal(up := root[root], root):
-                    root = up
+            root, span = _spanned(root, a, b)
+            self.kept.append(np.concatenate([span, np.full((1, span.shape[1]), g)]))
             held.clear()
         self.root, self.size = root, 0
 
@@ -160,6 +160,30 @@ class Forest:
         possible = [np.stack([a, b, np.ones(len(a), np.int64)]) for a, b in self.held[1]]
         return np.concatenate([*self.kept, *possible], axis=1) if self.kept or possible else np.zeros((3, 0), np.int64)
 
+    def crowds(self) -> tuple[np.ndarray, np.ndarray]:
+        """The rows that share a cell with others, and their cells."""
+        self.fold()
+        inside = np.nonzero(np.bincount(self.cell)[self.cell] > 1)[0]
+        return inside, self.cell[inside]
+
+
+def _spanned(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The roots once the links a, b have joined them, and rows a, b of those links that did."""
+    span = [np.zeros((2, 0), np.int64)]
+    while True:
+        ra, rb = root[a], root[b]
+        apart = ra != rb
+        if not apart.any():
+            return root, np.concatenate(span, axis=1)
+        a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
+        high, low = np.maximum(ra, rb), np.minimum(ra, rb)
+        order = np.lexsort((low, high))
+        first = order[np.concatenate([[True], high[order][1:] != high[order][:-1]])]
+        root[high[first]] = low[first]
+        span.append(np.stack([a[first], b[first]]))
+        while not np.array_equal(up := root[root], root):
+            root = up
+
 
 #: For two arrays of places: 0 where they do not link, 3 or 2 where they do for certain or likely, 1 where they may.
 Near = Callable[[np.ndarray, np.ndarray], np.ndarray]
@@ -263,7 +287,7 @@ def _laid_out(key: Column, view: list[tuple[int, int]]) -> Column:
 
 
 def _trie_links(nodes: DataFrame, keys: list[tuple[Column, int]], budget: int, n: int, near: Callable[[list[np.ndarray]], Near], payload: list[str]) -> DataFrame:
-    """src, dst long, grade int: links among ``nodes`` (node, payload long ...) that connect all pairs which one of the ``keys`` brings together.
+    """src, dst long, grade int: links among ``nodes`` (node, payload long ...) that connect all pairs which one of the ``keys`` brings together; of grade 0, who is in one crowd.
 
     keys: columns and how many of their first bits are walked. ``near`` gets the payload of the rows of a task and gives
     the check of pairs of them.
@@ -318,7 +342,12 @@ def _trie_links(nodes: DataFrame, keys: list[tuple[Column, int]], budget: int, n
         forest = Forest(len(walked))
         walk(walked, np.concatenate(pairs), depth, width, budget, near(list(rows[6:])), forest)
         a, b, grade = forest.links()
-        return pa.RecordBatch.from_arrays([pa.array(rows[6, a]), pa.array(rows[6, b]), pa.array(grade, pa.int32())], names=["src", "dst", "grade"])
+        inside, cell = forest.crowds()
+        first = np.full(len(walked), np.iinfo(np.int64).max)  # the least member names a crowd, so that crowds of many subtrees agree
+        np.minimum.at(first, cell, rows[6, inside])
+        src, dst = np.concatenate([rows[6, a], rows[6, inside]]), np.concatenate([rows[6, b], first[cell]])
+        grade = np.concatenate([grade, np.zeros(len(inside), np.int64)])
+        return pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst), pa.array(grade, pa.int32())], names=["src", "dst", "grade"]).filter(pa.array(src != dst))
 
     return dealt.mapInArrow(trimmed(run), "src long, dst long, grade int")
 
@@ -353,7 +382,7 @@ def _bands(similarity: float, n: int) -> tuple[int, int, int]:
 
 
 def similar_links(nodes: DataFrame, similarity: float, bands: tuple[int, int, int], n: int) -> DataFrame:
-    """src, dst long, grade int: links that span the ``nodes`` (node, n_shingles long, words array<long>) which are likely similar, and pairs that may be."""
+    """src, dst long, grade int: links that span the ``nodes`` (node, n_shingles long, words array<long>) which are likely similar, pairs that may be, and crowds of them."""
     width, budget, number = bands
     per = 64 // width
     keys = [(F.shiftleft(F.element_at("words", i // per + 1), i % per * width), width) for i in range(number)]
@@ -396,6 +425,103 @@ def _settled(links: DataFrame, texts: DataFrame, shingle: int, similarity: float
     return bounded_batches(pairs.select("x", "y", "pair")).mapInArrow(trimmed(run), "x long, y long")
 
 
+def _met(group: np.ndarray, sizes: np.ndarray, shingles: np.ndarray, second: int, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of groups that link by the sets of their rows, as many as join them: rows before ``second`` with those from it on, all rows with each other if it is 0.
+
+    sizes: how many of the ``shingles``, which lie row after row, are of each row.
+    """
+    n = len(group)
+    of = np.repeat(np.arange(n), sizes)
+    _, number, count = np.unique(shingles, return_inverse=True, return_counts=True)
+    shared = count[number] > 1  # what one row has alone is in no intersection
+    number = number[shared]
+    ends = np.cumsum(np.bincount(of[shared], minlength=n))
+    starts = np.append(0, ends[:-1])
+    now, mine, pairs = group.copy(), np.zeros(len(count), bool), []
+    for k in range(second or n):
+        after = max(k + 1, second)
+        rest = after + np.nonzero((now[after:] != now[k]) & (np.minimum(sizes[after:], sizes[k]) >= similarity * np.maximum(sizes[after:], sizes[k])))[0]
+        if not len(rest):
+            continue
+        mine[number[starts[k] : ends[k]]] = True
+        if 4 * len(rest) > n - after:
+            sums = np.append(0, np.cumsum(mine[number[starts[after] :]]))
+            both = sums[ends[rest] - starts[after]] - sums[starts[rest] - starts[after]]
+        else:
+            many = ends[rest] - starts[rest]
+            stops = np.cumsum(many)
+            sums = np.append(0, np.cumsum(mine[number[np.arange(many.sum()) + np.repeat(starts[rest] - stops + many, many)]]))
+            both = sums[stops] - sums[stops - many]
+        mine[number[starts[k] : ends[k]]] = False
+        found = rest[both >= similarity * (sizes[rest] + sizes[k] - both)]
+        if len(found):
+            joined, first = np.unique(now[found], return_index=True)
+            pairs += [(int(group[k]), int(g)) for g in group[found[first]]]
+            now[np.isin(now, joined)] = now[k]
+    return pairs
+
+
+def _members(links: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """cell, node, root long, tiles int: who is in a crowd (``links`` a, b) that more than one group has members in."""
+    found = components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))).select("node", F.col("root").alias("cell"))
+    every = found.unionByName(found.select(F.col("cell").alias("node"), "cell").distinct())
+    known = every.join(nodes.select("node", "n_shingles"), "node").join(roots, "node", "left").select("cell", "node", F.coalesce("root", "node").alias("root"), "n_shingles")
+    sizes = known.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.sum("n_shingles").alias("n")).filter("low <> high")
+    return known.join(sizes.select("cell", F.greatest(F.lit(1), F.ceil(F.col("n") / TILE)).cast("int").alias("tiles")), "cell").select("cell", "node", "root", "tiles")
+
+
+def _crowd_links(members: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """x, y long: pairs that join the groups (root) of a crowd's ``members`` of which any two texts (node, text) have the Jaccard similarity.
+
+    A crowd is cut into tiles of about ``TILE`` shingles; every pair of tiles is compared in one place, so a member is there
+    once for each tile of its crowd.
+    """
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(_shingle_hashes(t or b"", shingle, SEED)).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            rows = pa.Table.from_batches(held)
+            keys = np.stack([rows.column(k).to_numpy() for k in range(3)])
+            cuts = (np.nonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0))[0] + 1).tolist()
+            if cuts:
+                yield links([rows.slice(a, b - a) for a, b in zip([0, *cuts], cuts)])
+                held = rows.slice(cuts[-1]).to_batches()
+        if held:
+            yield links([pa.Table.from_batches(held)])
+
+    def links(parts: list[pa.Table]) -> pa.RecordBatch:
+        pairs = []
+        for part in parts:
+            tile, group, sets = (part.column(k).combine_chunks() for k in (3, 4, 5))
+            tile = tile.to_numpy()
+            if part.column(1)[0] == part.column(2)[0]:
+                second = 0
+            elif tile[0] == tile[-1]:  # the other tile has no rows
+                continue
+            else:
+                second = int(np.searchsorted(tile, tile[-1]))
+            pairs += _met(group.to_numpy(), sets.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), sets.flatten().to_numpy(), second, similarity)
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["x", "y"])
+
+    sets = bounded_batches(texts.select("node", F.encode("text", "UTF-8").alias("text"))).mapInArrow(trimmed(hashed), "node long, shingles array<long>")
+    place = ["cell", "low", "high"]
+    dealt = (
+        members.join(sets, "node")
+        .withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        .select("cell", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "root", "shingles")
+        .repartition(*place)
+        .sortWithinPartitions(*place, "tile")
+    )
+    return dealt.mapInArrow(trimmed(run), "x long, y long")
+
+
 def _stars(edges: DataFrame) -> bool:
     """Whether the ``edges`` (a, b, all with a > b) are stars: a node has one link down and none up, or links up only."""
     end = lambda node, down: F.struct(F.col(node).alias("node"), F.lit(down).alias("down"), F.lit(1 - down).alias("up"))
@@ -464,16 +590,21 @@ def similar_classes(rows: DataFrame, id_col: str, text_col: str, shingle: int =
     different = marked.groupBy("n_shingles", "words").agg(F.min(id_col).alias("least"))
     nodes = written(different.withColumn("node", F.monotonically_increasing_id()), "fingerprints")
     found = similar_links(nodes, similarity, bands, n).select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "grade")
-    links = written(found.groupBy("a", "b").agg(F.max("grade").alias("grade")), "links")
+    links = written(found.groupBy("a", "b").agg(F.max("grade").alias("grade"), (F.min("grade") == 0).alias("crowd")), "links")
     roots = components(links.filter("grade = 3").select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    for grade, one_each in ((2, False), (1, True), (1, False)):
-        open_links = _between(links.filter(F.col("grade") == grade).select("a", "b"), roots)
-        if one_each:  # of every group the pair with the group of the least number
-            open_links = open_links.groupBy("x").agg(F.min(F.struct("y", "a", "b")).alias("m")).select("m.a", "m.b", "x", "m.y")
-        asked = written(open_links, "unsure")
+    for grade, one_each in ((2, False), (0, False), (1, True), (1, False)):
+        if grade == 0:
+            asked = written(_members(links.filter("crowd"), nodes, roots), "crowds")
+        else:
+            open_links = _between(links.filter(F.col("grade") == grade).select("a", "b"), roots)
+            if one_each:  # of every group the pair with the group of the least number
+                open_links = open_links.groupBy("x").agg(F.min(F.struct("y", "a", "b")).alias("m")).select("m.a", "m.b", "x", "m.y")
+            asked = written(open_links, "unsure")
         if asked.isEmpty():
             continue
-        held = _settled(asked, _texts_of(asked, nodes, rows, id_col, text_col), shingle, similarity)
+        wanted = asked.select("node") if grade == 0 else asked.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        texts = _texts_of(wanted, nodes, rows, id_col, text_col)
+        held = (_crowd_links if grade == 0 else _settled)(asked, texts, shingle, similarity)
         roots = _joined(roots, components(held.select(F.col("x").alias("src"), F.col("y").alias("dst"))))
     named = nodes.select("node", "least").join(roots, "node", "left")
     return named.select("node", "least", F.coalesce("root", "node").alias("root"))
@@ -494,9 +625,9 @@ def _joined(roots: DataFrame, more: DataFrame) -> DataFrame:
     return written(whole.unionByName(own), "components")
 
 
-def _texts_of(asked: DataFrame, nodes: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """node, text of all ends. The ends are written, so that Spark knows their size: where few are asked for, their texts are picked without a shuffle of all."""
-    ends = written(nodes.join(asked.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "least"), "asked")
+def _texts_of(wanted: DataFrame, nodes: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """node, text of all that are ``wanted`` (node). They are written, so that Spark knows their size: where few are asked for, their texts are picked without a shuffle of all."""
+    ends = written(nodes.join(wanted, "node", "left_semi").select("node", "least"), "asked")
     return rows.select(F.col(id_col).alias("least"), F.col(text_col).cast("string").alias("text")).join(ends, "least").select("node", "text")
 
 

@@ -206,3 +206,88 @@ def test_pairs_of_one_template(spark):
     wrong = [i for i in kept if i % 2]
     assert len(wrong) <= 6  # of pairs that meet in no band
     assert {i // 2 for i in kept} == set(range(60))
+
+
+def _template_pairs(rng, pairs: int) -> list[str]:
+    """Texts 2 i and 2 i + 1 are near copies; all others are nearly ones, as all stem from one template."""
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+
+    def edited(words, n):
+        out = list(words)
+        for i in rng.sample(range(len(out)), n):
+            out[i] = word()
+        return out
+
+    template = [word() for _ in range(400)]
+    texts = []
+    for _ in range(pairs):
+        own = edited(template, 6)
+        texts += [" ".join(edited(own, 3)), " ".join(edited(own, 3))]
+    return texts
+
+
+@pytest.mark.parametrize("tile", [1 << 17, 3_000])
+def test_rows_grow_with_a_template_group_not_with_its_square(spark, monkeypatch, tile):
+    made = {}
+
+    def counting(df, what, write=simhash.written):
+        table = write(df, what)
+        made[what] = made.get(what, 0) + table.count()
+        return table
+
+    monkeypatch.setattr(simhash, "written", counting)
+    monkeypatch.setattr(simhash, "TILE", tile)
+    asked = []
+    for pairs in (50, 200):
+        texts = _template_pairs(random.Random(4), pairs)
+        sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+        root = list(range(len(texts)))
+        for i in range(len(texts)):
+            for j in range(i):
+                both = len(sets[i] & sets[j])
+                if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both) and root[i] != root[j]:
+                    a, b = sorted((root[i], root[j]))
+                    root = [a if r == b else r for r in root]
+        assert len(texts) / 2 * 0.8 < len(set(root)) < len(texts) * 0.6
+        made.clear()
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+        kept = sorted(r.doc_id for r in simhash.keep_one(docs).collect())
+        assert kept == sorted(set(root))
+        asked.append((made["links"], made["unsure"]))
+    assert all(large <= 6 * max(small, 100) for small, large in zip(*asked)), asked
+
+
+@pytest.mark.parametrize("second", [0, 25])
+def test_met_joins_all_groups_that_link(second):
+    rng = np.random.default_rng(7)
+    for _ in range(20):
+        base = rng.integers(-(1 << 62), 1 << 62, 40)
+        sets = [np.unique(np.where(rng.random(40) < rng.choice([0.02, 0.1, 0.3]), rng.integers(0, 1 << 62, 40), base)) for _ in range(59)] + [base[:0]]
+        group = rng.integers(0, 45, 60)
+
+        def joined(links):
+            root = list(range(45))
+            for x, y in links:
+                a, b = sorted((root[x], root[y]))
+                root = [a if r == b else r for r in root]
+            return root
+
+        links = []
+        for i in range(60):
+            for j in range(i):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if (not second or j < second <= i) and both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                    links.append((group[i], group[j]))
+        got = simhash._met(group, np.array([len(s) for s in sets]), np.concatenate(sets), second, 0.8)
+        assert len(got) < 60 and joined(got) == joined(links)
+
+
+def test_pairs_of_busy_rows_become_a_crowd():
+    i, j = np.triu_indices(300, 1)
+    forest = simhash.Forest(400)
+    forest.add(i, j, np.ones(len(i), int))
+    forest.fold()
+    forest.add(np.array([299, 350]), np.array([350, 351]), np.ones(2, int))
+    assert sorted(map(tuple, forest.links().T)) == [(299, 350, 1), (350, 351, 1)]
+    inside, cell = forest.crowds()
+    assert inside.tolist() == list(range(300)) and len(set(cell)) == 1
